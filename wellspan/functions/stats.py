@@ -16,7 +16,9 @@ def clip_low(c: Column, low: float = 0.0) -> Column:
 
 
 def round_half_even(c: Column, places: int) -> Column:
-    return F.bround(c, places)
+    """Half-even on the scaled binary value, the way NumPy rounds."""
+    scale = F.lit(float(10**places))
+    return F.rint(c * scale) / scale
 
 
 def ratio(a: Column, b: Column) -> Column:

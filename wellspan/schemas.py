@@ -127,26 +127,44 @@ TEXT_PARAMS = ["seasonality_mode"]
 
 # --- end of fixed values -----------------------------------------------------------------
 
-STATION_SCHEMA = T.StructType.fromDDL(
-    "code_bss string, bss_id string, libelle_pe string, x double, y double, nom_commune string, "
-    "code_commune_insee string, nom_departement string, code_departement string, "
-    "altitude_station double, profondeur_investigation double, date_debut_mesure date, "
-    "date_fin_mesure date, nb_mesures_piezo int, noms_masse_eau_edl string, "
-    "codes_masse_eau_edl string, codes_bdlisa string"
-)
-
-OBSERVATION_SCHEMA = T.StructType.fromDDL(
-    "code_bss string, bss_id string, date_mesure date, niveau_nappe_eau double, "
-    "profondeur_nappe double, mode_obtention string, nom_producteur string, urn_bss string, "
-    "timestamp_mesure long, statut string, qualification string, code_continuite string, "
-    "nom_continuite string, code_producteur string, code_nature_mesure string, "
-    "nom_nature_mesure string"
-)
-
-WEATHER_SCHEMA = T.StructType.fromDDL(
-    "date date, latitude double, longitude double, code_bss string, "
-    + ", ".join(f"{name} {kind}" for name, kind in WEATHER_VARIABLES.items())
-)
+_KINDS = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(),
+    "long": T.LongType(), "date": T.DateType(),
+}
+
+
+def struct_of(columns: dict[str, str]) -> T.StructType:
+    """Schema from name to type name; needs no running session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in columns.items()])
+
+
+def _same(kind: str, names: str) -> dict[str, str]:
+    return {name: kind for name in names.split()}
+
+
+STATION_SCHEMA = struct_of({
+    **_same("string", "code_bss bss_id libelle_pe"),
+    **_same("double", "x y"),
+    **_same("string", "nom_commune code_commune_insee nom_departement code_departement"),
+    **_same("double", "altitude_station profondeur_investigation"),
+    **_same("date", "date_debut_mesure date_fin_mesure"),
+    "nb_mesures_piezo": "int",
+    **_same("string", "noms_masse_eau_edl codes_masse_eau_edl codes_bdlisa"),
+})
+
+OBSERVATION_SCHEMA = struct_of({
+    **_same("string", "code_bss bss_id"),
+    "date_mesure": "date",
+    **_same("double", "niveau_nappe_eau profondeur_nappe"),
+    **_same("string", "mode_obtention nom_producteur urn_bss"),
+    "timestamp_mesure": "long",
+    **_same("string", "statut qualification code_continuite nom_continuite code_producteur"),
+    **_same("string", "code_nature_mesure nom_nature_mesure"),
+})
+
+WEATHER_SCHEMA = struct_of({
+    "date": "date", **_same("double", "latitude longitude"), "code_bss": "string", **WEATHER_VARIABLES,
+})
 
 
 def page_schema(record: T.StructType) -> T.StructType:
@@ -159,8 +177,9 @@ def page_schema(record: T.StructType) -> T.StructType:
 
 def weather_doc_schema(variables: dict[str, str] | None = None) -> T.StructType:
     """Envelope of one weather document: parallel daily arrays."""
-    kinds = variables or WEATHER_VARIABLES
-    arrays = ", ".join(f"{name}: array<{kind}>" for name, kind in kinds.items())
-    return T.StructType.fromDDL(
-        f"code_bss string, latitude double, longitude double, daily struct<time: array<string>, {arrays}>"
-    )
+    kinds = {"time": "string", **(variables or WEATHER_VARIABLES)}
+    daily = T.StructType([T.StructField(n, T.ArrayType(_KINDS[k])) for n, k in kinds.items()])
+    return T.StructType([
+        T.StructField("code_bss", T.StringType()), T.StructField("latitude", T.DoubleType()),
+        T.StructField("longitude", T.DoubleType()), T.StructField("daily", daily),
+    ])
