@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from wellspan.plans import daily_queries, index_queries  # noqa: F401
+from wellspan.plans import daily_queries, index_queries, quality_queries  # noqa: F401
 from wellspan.plans.registry import ENTRIES
 
 __all__ = ["ENTRIES"]
