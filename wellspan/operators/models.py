@@ -8,14 +8,19 @@ sweep comes from one pass over the data.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wellspan.operators.folds import test_rows
 
+# The small task functions below travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 YEAR_DAYS = 365.25
 FOURIER_ORDER = 10
 KNOTS = 31
@@ -66,7 +71,11 @@ def _solve(gram: np.ndarray, p: int, penalty: np.ndarray) -> tuple[np.ndarray, f
     xx, xy, yy = gram[:p, :p], gram[:p, -1], gram[-1, -1]
     scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
     a = (xx + np.diag(penalty)) / np.outer(scale, scale)
-    beta = np.linalg.lstsq(a, xy / scale, rcond=1e-12)[0] / scale
+    try:
+        lower = np.linalg.cholesky(a)
+        beta = np.linalg.solve(lower.T, np.linalg.solve(lower, xy / scale)) / scale
+    except np.linalg.LinAlgError:  # singular: least-norm solution
+        beta = np.linalg.lstsq(a, xy / scale, rcond=1e-12)[0] / scale
     rss = float(max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0))
     return beta, rss
 
@@ -174,6 +183,7 @@ def fit_additive(
             seen = segments <= cutoff
             gram, n = grams[seen].sum(axis=0), int(counts[seen].sum())
             reach = max((cutoff - first).days / days, 1e-9)
+            noise: dict[float, float] = {}
             for i, config in enumerate(configs):
                 keep = np.ones(p, bool)
                 keep[2:2 + KNOTS] = knots <= reach * config["changepoint_range"]
@@ -186,9 +196,11 @@ def fit_additive(
                 part = gram[np.ix_(index, index)]
                 beta, sigma, error = np.zeros(p), None, None
                 try:
-                    _, rss = _solve(part, len(prior), np.full(len(prior), 1e-9))
-                    noise = max(rss / max(n, 1), 1e-12)
-                    fitted, rss = _solve(part, len(prior), noise / prior**2)
+                    share = config["changepoint_range"]
+                    if share not in noise:
+                        _, rss = _solve(part, len(prior), np.full(len(prior), 1e-9))
+                        noise[share] = max(rss / max(n, 1), 1e-12)
+                    fitted, rss = _solve(part, len(prior), noise[share] / prior**2)
                     beta[keep] = fitted
                     sigma = float(np.sqrt(rss / max(n, 1)))
                 except np.linalg.LinAlgError as failure:
@@ -282,3 +294,28 @@ def gbt_backtest(
         *keys, F.col(t).alias("ds"), "split", F.col(target).alias("y"),
         (F.col("yhat") + F.col("_base")).alias("yhat"),
     )
+
+
+def expanding_line(rows: DataFrame, cutoffs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """One-regressor least squares on all rows up to each cutoff.
+
+    Running regression aggregates over the station's rows, read off at the cutoffs: one window,
+    no repetition of training rows per fold.
+    """
+    points = rows.select(*keys, F.col("ds").alias("at"), F.lit(0).alias("_cut"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    marks = cutoffs.select(*keys, F.col("cutoff").alias("at"), F.lit(1).alias("_cut")).distinct()
+    w = Window.partitionBy(*keys).orderBy("at", "_cut").rowsBetween(Window.unboundedPreceding, 0)
+    both = points.unionByName(marks, allowMissingColumns=True)
+    pair = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    fitted = both.withColumns({
+        "_sxy": F.covar_pop("_y", "_x").over(w),
+        "_sxx": F.var_pop(F.when(pair, F.col("_x"))).over(w),
+        "_mx": F.avg(F.when(pair, F.col("_x"))).over(w),
+        "_my": F.avg(F.when(pair, F.col("_y"))).over(w),
+        "n_train": F.count(F.when(pair, 1)).over(w),
+    }).where(F.col("_cut") == 1)
+    slope = F.try_divide("_sxy", "_sxx")
+    return fitted.select(
+        *keys, F.col("at").alias("cutoff"), slope.alias("slope"),
+        (F.col("_my") - slope * F.col("_mx")).alias("intercept"), "n_train",
+    )
