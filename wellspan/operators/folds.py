@@ -4,39 +4,39 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wellspan.functions.dates import month_start
 
 
 def rolling_cutoffs(
-    df: DataFrame, keys: list[str], ds: str, h: int, period: int,
+    df: DataFrame, keys: list[str], ds: str, h: int | Column, period: int,
     initial_days: int | None = None, fraction: float = 0.8,
 ) -> DataFrame:
     """Rolling-origin cutoffs: from ``max - h`` back in ``period`` steps to ``min + initial``.
 
-    ``initial`` is ``fraction`` of the span unless given in days. Stations too short for one
-    cutoff yield none.
+    ``initial`` is ``fraction`` of the span unless given in days. ``h`` may be one of the key
+    columns, for several horizons at once. Stations too short for one cutoff yield none.
     """
     span = df.groupBy(*keys).agg(F.min(ds).alias("_a"), F.max(ds).alias("_b"))
     days = F.date_diff("_b", "_a")
     initial = F.lit(initial_days) if initial_days is not None else F.floor(days * F.lit(fraction)).cast("int")
     span = span.select(
-        *keys, F.date_sub("_b", h).alias("_last"), F.expr("_a").alias("_a"), initial.alias("_initial")
+        *keys, F.date_sub("_b", h).alias("_last"), "_a", initial.alias("_initial")
     ).withColumn("_first", F.date_add("_a", F.col("_initial")))
     steps = F.sequence("_last", "_first", F.expr(f"interval -{int(period)} day"))
     return span.where(F.col("_last") >= F.col("_first")).select(*keys, F.explode(steps).alias("cutoff"))
 
 
-def test_days(cutoffs: DataFrame, keys: list[str], h: int) -> DataFrame:
+def test_days(cutoffs: DataFrame, keys: list[str], h: int | Column) -> DataFrame:
     """The ``h`` days after each cutoff, as rows to equi-join with."""
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")  # lit keeps a column as it is
     return cutoffs.select(*keys, "cutoff", ahead).select(
         *keys, "cutoff", F.col("step").alias("horizon"), F.expr("date_add(cutoff, step)").alias("ds")
     )
 
 
-def test_rows(df: DataFrame, cutoffs: DataFrame, keys: list[str], h: int) -> DataFrame:
+def test_rows(df: DataFrame, cutoffs: DataFrame, keys: list[str], h: int | Column) -> DataFrame:
     """Rows in ``(cutoff, cutoff + h]`` of every fold; the range is unrolled into an equi-join."""
     return df.join(test_days(cutoffs, keys, h), [*keys, "ds"])
 

@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wellspan.operators.folds import test_rows
+from wellspan.session import spread
 
 # The small task functions below travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -45,8 +46,11 @@ def partial_grams(df: DataFrame, by: list[str], vector: str) -> DataFrame:
                 continue
             flat = batch.column(batch.schema.get_field_index("_v")).flatten()
             rows = np.asarray(flat, dtype=float).reshape(batch.num_rows, -1)
-            labels = batch.select(arrow_by).to_pandas()
-            codes = labels.groupby(arrow_by, sort=False, dropna=False).ngroup().to_numpy()
+            codes = np.zeros(batch.num_rows, dtype=np.int64)
+            for c in arrow_by:
+                labels = batch.column(batch.schema.get_field_index(c)).dictionary_encode("encode")
+                codes = codes * len(labels.dictionary) + labels.indices.to_numpy(zero_copy_only=False)
+                codes = np.unique(codes, return_inverse=True)[1]
             order = np.argsort(codes, kind="stable")
             edges = np.flatnonzero(np.diff(codes[order])) + 1
             members = np.split(order, edges)
@@ -101,12 +105,12 @@ def fit_linear(df: DataFrame, by: list[str], features: list[str], target: str) -
         head = {c: table.column(c).slice(0, 1) for c in arrow_by}
         return pa.table({**head, "coef": pa.array([beta], pa.list_(pa.float64())), "rss": [rss], "n_train": [n]})
 
-    return partial_grams(rows, by, "v").groupBy(*by).applyInArrow(solve, schema)
+    return spread(partial_grams(rows, by, "v"), *by).groupBy(*by).applyInArrow(solve, schema)
 
 
 def predict_linear(df: DataFrame, models: DataFrame, by: list[str], features: list[str], out: str = "yhat") -> DataFrame:
     x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
-    return df.join(models.select(*by, "coef"), by).withColumn(out, dot(x, F.col("coef"))).drop("coef")
+    return df.join(models.select(*by, "coef", "n_train"), by).withColumn(out, dot(x, F.col("coef"))).drop("coef")
 
 
 def additive_basis(frame: DataFrame, keys: list[str], regressors: list[str], ds: str = "ds") -> DataFrame:
@@ -221,7 +225,7 @@ def fit_additive(
             "n_train": pa.array(out["n_train"], pa.int64()), "error": pa.array(out["error"], pa.string()),
         })
 
-    return partial.groupBy(*by).applyInArrow(solve, schema)
+    return spread(partial, *by).groupBy(*by).applyInArrow(solve, schema)
 
 
 def _interval(rows: DataFrame, width: float) -> DataFrame:
@@ -233,7 +237,7 @@ def _interval(rows: DataFrame, width: float) -> DataFrame:
 
 
 def backtest_additive(
-    basis: DataFrame, models: DataFrame, cutoffs: DataFrame, by: list[str], h: int, width: float = 0.8
+    basis: DataFrame, models: DataFrame, cutoffs: DataFrame, by: list[str], h: int | Column, width: float = 0.8
 ) -> DataFrame:
     """Predictions of every fold and configuration over its ``h`` test days."""
     rows = test_rows(basis.where(F.col("y").isNotNull()), cutoffs, by, h)

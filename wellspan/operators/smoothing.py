@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wellspan.functions.stats import ratio
+from wellspan.session import spread
 
 
 def seasonal_naive(
@@ -63,7 +64,7 @@ def holt_winters_grid(
         F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("alpha", "beta", "gamma", "phi"), values)])
         for values in product(alphas, betas, gammas, phis)
     ])
-    jobs = start.select("*", F.inline(grid))
+    jobs = spread(start.select("*", F.inline(grid)), *keys, "alpha", "beta", "gamma", "phi")
     init = F.struct(
         F.col("_l0").alias("l"), F.col("_b0").alias("b"), F.col("_s0").alias("s"), F.lit(0.0).alias("sse")
     )

@@ -12,6 +12,8 @@ from wellspan.operators.folds import rolling_cutoffs
 from wellspan.operators.frames import lag_names, lagged_frame
 from wellspan.operators.metrics import cv_summary, select_score, top_configs
 from wellspan.operators.models import additive_basis, backtest_additive, fit_additive, score
+from wellspan.session import reuse
+from wellspan.sources.feeds import union_frames
 
 
 def grid_configs(grid: dict[str, list] | None = None) -> list[dict]:
@@ -29,27 +31,37 @@ def grid_frame(spark: SparkSession, configs: list[dict]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def _lagged_all(daily: DataFrame, keys: list[str], t: str, y: str, columns: list[str], horizons) -> DataFrame:
+    """Lagged frames of all horizons as one table keyed by ``h``; a regressor keeps its own name."""
+    parts = []
+    for h in horizons:
+        frame = lagged_frame(daily, keys, t, y, columns, h).withColumn("h", F.lit(h))
+        parts.append(frame.withColumnsRenamed(dict(zip(lag_names(columns, h), columns))))
+    return union_frames(*parts)
+
+
 def tune(
-    daily: DataFrame, keys: list[str], t: str, y: str, columns: list[str], h: int,
-    configs: list[dict] | None = None, period: int = schemas.CV_PERIOD_DAYS,
-    fraction: float = schemas.CV_INITIAL_FRACTION,
+    daily: DataFrame, keys: list[str], t: str, y: str, columns: list[str],
+    horizons: tuple[int, ...] = schemas.HORIZONS, configs: list[dict] | None = None,
+    period: int = schemas.CV_PERIOD_DAYS, fraction: float = schemas.CV_INITIAL_FRACTION,
 ) -> DataFrame:
-    """Metrics and selection score of every configuration for one horizon.
+    """Metrics and selection score of every configuration for every horizon.
 
-    All stations, folds and configurations are one job. A configuration that fails to solve has
-    no rows here, and the others are not affected.
+    All stations, horizons, folds and configurations are one job. A configuration that fails to
+    solve has no rows here, and the others are not affected.
     """
     configs = configs or grid_configs()
-    frame = lagged_frame(daily, keys, t, y, columns, h).dropna(subset=["y", *lag_names(columns, h)])
-    basis = additive_basis(frame, keys, lag_names(columns, h))
-    cutoffs = rolling_cutoffs(frame, keys, "ds", h, period, fraction=fraction)
-    models = fit_additive(basis, cutoffs, keys, configs, len(columns))
-    cv = backtest_additive(basis, models, cutoffs, keys, h)
-    spread = frame.groupBy(*keys).agg(F.stddev_samp("y").alias("std_y"))
-    summary = cv_summary(cv, spread, [*keys, "config_id"], keys)
+    by = [*keys, "h"]
+    frame = reuse(_lagged_all(daily, keys, t, y, columns, horizons).dropna(subset=["y", *columns]))
+    basis = additive_basis(frame, by, columns)
+    cutoffs = rolling_cutoffs(frame, by, "ds", F.col("h"), period, fraction=fraction)
+    models = fit_additive(basis, cutoffs, by, configs, len(columns))
+    cv = backtest_additive(basis, models, cutoffs, by, F.col("h"))
+    spread = frame.groupBy(*by).agg(F.stddev_samp("y").alias("std_y"))
+    summary = cv_summary(cv, spread, [*by, "config_id"], by)
     scored = select_score(summary, schemas.LAMBDA_DEGRADATION, schemas.LAMBDA_SPREAD)
     named = F.broadcast(grid_frame(daily.sparkSession, configs))  # a fixed, literal table
-    return scored.join(named, "config_id").withColumn("horizon", F.lit(h))
+    return scored.join(named, "config_id").withColumnRenamed("h", "horizon")
 
 
 def refit_best(
@@ -58,11 +70,11 @@ def refit_best(
 ) -> DataFrame:
     """Winning configuration per station refitted on all rows; forecast over history and ``h`` days."""
     configs = configs or grid_configs()
-    frame = lagged_frame(daily, keys, t, y, columns, h).dropna(subset=lag_names(columns, h))
+    frame = reuse(lagged_frame(daily, keys, t, y, columns, h).dropna(subset=lag_names(columns, h)))
     basis = additive_basis(frame, keys, lag_names(columns, h))
-    last = basis.where(F.col("y").isNotNull()).groupBy(*keys).agg(F.max("ds").alias("cutoff"))
+    last = frame.where(F.col("y").isNotNull()).groupBy(*keys).agg(F.max("ds").alias("cutoff"))
     models = fit_additive(basis, last, keys, configs, len(columns)).where(F.col("error").isNull())
-    best = top_configs(results, keys, 1).select(*keys, "config_id")
+    best = top_configs(results.where(F.col("horizon") == h), keys, 1).select(*keys, "config_id")
     return score(basis, models.join(best, [*keys, "config_id"]), keys, width)
 
 

@@ -285,8 +285,7 @@ def linear_multi(spark, sf_dir):
     by = ["station", "lead"]
     fitted = models.fit_linear(long.where("split = 'train'"), by, ["SPI", "SSTI"], "y")
     out = models.predict_linear(long.where("split = 'test'"), fitted, by, ["SPI", "SSTI"])
-    counts = fitted.select(*by, "n_train")
-    return out.join(counts, by).select(*by, "month", "n_train", r6("y").alias("y"), r6("yhat").alias("yhat"))
+    return out.select(*by, "month", "n_train", r6("y").alias("y"), r6("yhat").alias("yhat"))
 
 
 @query("seasonal_naive_forecast", f"""WITH {SPLI}, start_ AS (SELECT station, month AS t, z AS y, CAST((ROW_NUMBER() OVER (PARTITION BY station ORDER BY month) - 1) % 12 AS INTEGER) AS pos,
@@ -378,8 +377,8 @@ def univariate_additive_backtest(spark, sf_dir):
 def grid_select_score(spark, sf_dir):
     """The full sweep for both horizons, best five configurations each."""
     daily = reuse(model_daily(spark, sf_dir))
-    parts = [tuning.tune(daily, K, "t", "level", REGRESSORS, h) for h in schemas.HORIZONS]
-    return metrics.top_configs(parts[0].unionByName(parts[1]), ["station", "horizon"], 5)
+    results = tuning.tune(daily, K, "t", "level", REGRESSORS, schemas.HORIZONS)
+    return metrics.top_configs(results, ["station", "horizon"], 5)
 
 
 @query("refit_forecast_index")

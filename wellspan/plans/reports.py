@@ -10,6 +10,7 @@ from wellspan.operators.events import characterize_events, event_extremes
 from wellspan.operators.indices import forecast_index, index_panel
 from wellspan.operators.quality import kpis
 from wellspan.operators.tuning import refit_best, top_configs, tune
+from wellspan.session import reuse
 
 
 def drought_report(
@@ -47,8 +48,8 @@ def forecast_job(
     daily: DataFrame, keys: list[str], t: str, y: str, columns: list[str], h: int
 ) -> dict[str, DataFrame]:
     """Sweep, refit and index of the forecast for one horizon."""
-    results = tune(daily, keys, t, y, columns, h)
-    forecast = refit_best(daily, keys, t, y, columns, h, results)
+    results = reuse(tune(daily, keys, t, y, columns, (h,)))
+    forecast = reuse(refit_best(daily, keys, t, y, columns, h, results))
     last = forecast.where(F.col("y").isNotNull()).groupBy(*keys).agg(F.max("ds").alias("last_train"))
     observed = daily.select(*keys, F.col(t).alias("ds"), F.col(y).alias("y"))
     index = forecast_index(observed, forecast, last, keys).withColumn("label", severity_label(F.col("spli")))

@@ -24,6 +24,7 @@ def build_session(app: str = "wellspan", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():
@@ -61,6 +62,16 @@ def reuse(df):
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def spread(df, *columns):
+    """Hash-partition on ``columns`` into the session's shuffle partitions.
+
+    For rows that are few bytes but much work: an explicit count keeps adaptive execution from
+    merging them into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
+
+
 def materialize(df, label: str):
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
