@@ -62,7 +62,9 @@ def assign_folds(df: DataFrame, cutoffs: DataFrame, keys: list[str], h: int) ->
     test = test_rows(df.select(*keys, "ds"), cutoffs, keys, h).groupBy(*keys, "cutoff").agg(
         F.count(F.lit(1)).alias("n_test"), F.min("ds").alias("test_start"), F.max("ds").alias("test_end")
     )
-    return train.join(test, [*keys, "cutoff"], "left")
+    return train.join(test, [*keys, "cutoff"], "left").withColumn(
+        "n_test", F.coalesce("n_test", F.lit(0).cast("long"))
+    )
 
 
 def monthly_folds(df: DataFrame, keys: list[str], t: str, fraction: float = 0.8) -> DataFrame:

@@ -27,10 +27,19 @@ def rank_avg(c: Column, partition: list[Column | str]) -> Column:
     return F.when(c.isNotNull(), (F.rank().over(w) + F.count(c).over(w)) / F.lit(2.0))
 
 
+TIE_PLACES = 8
+
+
+def tie_key(c: Column | str) -> Column:
+    """Value to rank by. Sums of doubles depend on the order of addition in their last bits, so
+    values that differ only there count as tied, whatever the partitioning."""
+    return F.round(c, TIE_PLACES)
+
+
 def normal_score(df: DataFrame, value: str, partition: list[Column | str], out: str = "z") -> DataFrame:
     """Gringorten plotting position of each value in its group, through the inverse normal CDF."""
     n = F.count(value).over(Window.partitionBy(*partition))
-    p = gringorten(rank_avg(F.col(value), partition), n)
+    p = gringorten(rank_avg(tie_key(value), partition), n)
     return with_norm_ppf(df.withColumn("_p", p), "_p", out).drop("_p")
 
 
@@ -154,8 +163,8 @@ def forecast_index(
     )
     pool = F.transform(F.filter("_all", lambda m: m["month"] != F.col("month")), lambda m: m["v"])
     scored = touched.withColumn("_others", pool).withColumns({
-        "_less": F.size(F.filter("_others", lambda v: v < F.col("mean_level"))),
-        "_equal": F.size(F.filter("_others", lambda v: v == F.col("mean_level"))),
+        "_less": F.size(F.filter("_others", lambda v: tie_key(v) < tie_key("mean_level"))),
+        "_equal": F.size(F.filter("_others", lambda v: tie_key(v) == tie_key("mean_level"))),
         "_pool": F.size("_others"),
     })
     return pool_score(scored, "_less", "_equal", "_pool", "spli").select(

@@ -49,62 +49,66 @@ def _horizon_table(cv: DataFrame, by: list[str], window: float) -> DataFrame:
     """
     y, p = F.col("y"), F.col("yhat")
     per_day = cv.groupBy(*by, F.date_diff("ds", "cutoff").alias("horizon")).agg(
-        F.count(F.lit(1)).alias("m"),
-        F.sum((y - p) * (y - p)).alias("se"),
-        F.sum(F.abs(y - p)).alias("ae"),
-        F.sum(F.abs(F.try_divide(y - p, y))).alias("ape"),
-        F.sum(F.when((y >= F.col("yhat_lower")) & (y <= F.col("yhat_upper")), 1.0).otherwise(0.0)).alias("inside"),
-        F.avg("y").alias("y_mean"),
-        (F.var_pop("y") * F.count(F.lit(1))).alias("y_ss"),
+        F.count(F.lit(1)).alias("_m"),
+        F.sum((y - p) * (y - p)).alias("_se"),
+        F.sum(F.abs(y - p)).alias("_ae"),
+        F.sum(F.abs(F.try_divide(y - p, y))).alias("_ape"),
+        F.sum(F.when((y >= F.col("yhat_lower")) & (y <= F.col("yhat_upper")), 1.0).otherwise(0.0)).alias("_inside"),
+        F.avg("y").alias("_y_mean"),
+        (F.var_pop("y") * F.count(F.lit(1))).alias("_y_ss"),
     )
     everything = Window.partitionBy(*by)
     per_day = per_day.withColumn(
-        "_grand", F.sum(F.col("y_mean") * F.col("m")).over(everything) / F.sum("m").over(everything)
+        "_grand", F.sum(F.col("_y_mean") * F.col("_m")).over(everything) / F.sum("_m").over(everything)
     )
-    off = F.col("y_mean") - F.col("_grand")
-    sst = F.sum(F.col("y_ss") + F.col("m") * off * off).over(everything)
+    off = F.col("_y_mean") - F.col("_grand")
+    sst = F.sum(F.col("_y_ss") + F.col("_m") * off * off).over(everything)
     pooled = F.struct(
-        (F.lit(1.0) - F.try_divide(F.sum("se").over(everything), sst)).alias("r2"),
-        (F.sum("inside").over(everything) / F.sum("m").over(everything)).alias("coverage"),
-        F.sum("m").over(everything).alias("n"),
+        (F.lit(1.0) - F.try_divide(F.sum("_se").over(everything), sst)).alias("r2"),
+        (F.sum("_inside").over(everything) / F.sum("_m").over(everything)).alias("coverage"),
+        F.sum("_m").over(everything).alias("n"),
     )
-    sums = ["se", "ae", "ape", "inside"]
+    sums = ["_se", "_ae", "_ape", "_inside"]
     w = Window.partitionBy(*by).orderBy("horizon")
-    total = F.sum("m").over(Window.partitionBy(*by))
+    total = F.sum("_m").over(Window.partitionBy(*by))
     curve = per_day.withColumns({
-        "c_end": F.sum("m").over(w),
-        "k": F.greatest(F.floor(total * F.lit(window)), F.lit(1)),
+        "_c_end": F.sum("_m").over(w),
+        "_k": F.greatest(F.floor(total * F.lit(window)), F.lit(1)),
         "_pooled": pooled,
         **{f"{s}_end": F.sum(s).over(w) for s in sums},
     })
-    starts = curve.select(
-        *by, (F.col("c_end") - F.col("m")).alias("at"), F.lit(0).alias("_side"),
-        F.struct(
-            "m", (F.col("c_end") - F.col("m")).alias("c0"),
-            *[F.struct((F.col(f"{s}_end") - F.col(s)).alias("s0"), F.col(s).alias("rise")).alias(s) for s in sums],
-        ).alias("_seg"),
-    )
-    wanted = curve.where(F.col("c_end") >= F.col("k")).select(
-        *by, (F.col("c_end") - F.col("k")).alias("at"), F.lit(1).alias("_side"),
-        F.struct("horizon", "k", "_pooled", *[F.col(f"{s}_end").alias(s) for s in sums]).alias("_want"),
-    )
-    order = Window.partitionBy(*by).orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        wanted.unionByName(starts, allowMissingColumns=True)
-        .withColumn("_seg", F.last("_seg", ignorenulls=True).over(order))
-        .where(F.col("_side") == 1)
+    start_at, want_at = F.col("_c_end") - F.col("_m"), F.col("_c_end") - F.col("_k")
+    segment = F.struct(
+        "_m", start_at.alias("_c0"),
+        *[F.struct((F.col(f"{s}_end") - F.col(s)).alias("_s0"), F.col(s).alias("_rise")).alias(s) for s in sums],
     )
-    part = (F.col("at") - F.col("_seg.c0")) / F.col("_seg.m")
+    wanted = F.struct("horizon", "_k", "_pooled", *[F.col(f"{s}_end").alias(s) for s in sums])
+    # each horizon as a piece of the curve and as a question to it, from the same row
+    both = curve.withColumns({"_piece": segment, "_ask": wanted}).select(*by, F.inline(F.array(
+        F.struct(
+            start_at.alias("_at"), F.lit(0).alias("_side"), F.col("_piece").alias("_seg"),
+            F.when(F.lit(False), F.col("_ask")).alias("_want"),
+        ),
+        F.struct(
+            want_at.alias("_at"), F.lit(1).alias("_side"), F.when(F.lit(False), F.col("_piece")).alias("_seg"),
+            F.col("_ask").alias("_want"),
+        ),
+    )))
+    order = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.where(F.col("_at") >= 0).withColumn(
+        "_seg", F.last("_seg", ignorenulls=True).over(order)
+    ).where(F.col("_side") == 1)
+    part = (F.col("_at") - F.col("_seg._c0")) / F.col("_seg._m")
 
     def smoothed(s: str):
-        start = F.col(f"_seg.{s}.s0") + F.col(f"_seg.{s}.rise") * part
-        return (F.col(f"_want.{s}") - start) / F.col("_want.k")
+        start = F.col(f"_seg.{s}._s0") + F.col(f"_seg.{s}._rise") * part
+        return (F.col(f"_want.{s}") - start) / F.col("_want._k")
 
     return found.select(
         *by, F.col("_want.horizon").alias("horizon"),
-        F.sqrt(F.greatest(smoothed("se"), F.lit(0.0))).alias("rmse"),
-        smoothed("ae").alias("mae"), smoothed("ape").alias("mape"),
-        smoothed("inside").alias("coverage"), F.col("_want._pooled").alias("_pooled"),
+        F.sqrt(F.greatest(smoothed("_se"), F.lit(0.0))).alias("rmse"),
+        smoothed("_ae").alias("mae"), smoothed("_ape").alias("mape"),
+        smoothed("_inside").alias("coverage"), F.col("_want._pooled").alias("_pooled"),
     )
 
 

@@ -120,8 +120,8 @@ def rolling_origin_cutoffs(spark, sf_dir):
   (SELECT COUNT(*) FROM obs o WHERE o.station = c.station AND o.t <= c.cutoff) AS n_train,
   (SELECT MAX(t) FROM obs o WHERE o.station = c.station AND o.t <= c.cutoff) AS train_end,
   (SELECT COUNT(*) FROM obs o WHERE o.station = c.station AND o.t > c.cutoff AND o.t <= c.cutoff + 30) AS n_test,
-  (SELECT MIN(t) FROM obs o WHERE o.station = c.station AND o.t > c.cutoff) AS test_start,
-  (SELECT MAX(t) FROM obs o WHERE o.station = c.station AND o.t <= c.cutoff + 30) AS test_end FROM cuts c""")
+  (SELECT MIN(t) FROM obs o WHERE o.station = c.station AND o.t > c.cutoff AND o.t <= c.cutoff + 30) AS test_start,
+  (SELECT MAX(t) FROM obs o WHERE o.station = c.station AND o.t > c.cutoff AND o.t <= c.cutoff + 30) AS test_end FROM cuts c""")
 def fold_assignment(spark, sf_dir):
     daily = reuse(panels.obs(spark, sf_dir).withColumnRenamed("t", "ds"))
     cutoffs = folds.rolling_cutoffs(daily, K, "ds", 30, schemas.CV_PERIOD_DAYS)

@@ -42,7 +42,7 @@ def _panel_sql() -> str:
             f"CASE WHEN COUNT(m) OVER w{k} < {k} THEN NULL WHEN agg = 'sum' THEN SUM(m) OVER w{k} ELSE AVG(m) OVER w{k} END"
         )
         acc.append(
-            f"SELECT station, month, index_name, {k} AS scale, round({pick}, 7) AS value FROM long "
+            f"SELECT station, month, index_name, {k} AS scale, {pick} AS value FROM long "
             f"WINDOW w{k} AS (PARTITION BY station, index_name ORDER BY month ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
         )
     scaled = "\n UNION ALL ".join(acc)
@@ -108,7 +108,7 @@ def index_broadcast_daily(spark, sf_dir):
 
 @query("causal_index_asof", f"""WITH {SPLI},
 c AS (SELECT station, month, LAG(z) OVER (PARTITION BY station ORDER BY month) AS z_prev FROM spli)
-SELECT o.station, o.t, {q6('c.z_prev')} AS z_prev FROM obs o ASOF LEFT JOIN (SELECT * FROM c WHERE z_prev IS NOT NULL) c
+SELECT o.station, o.t, {q6('c.z_prev')} AS z_prev FROM obs o ASOF LEFT JOIN c
   ON o.station = c.station AND o.t >= c.month""")
 def causal_index_asof(spark, sf_dir):
     daily = reuse(panels.obs(spark, sf_dir))
@@ -117,11 +117,11 @@ def causal_index_asof(spark, sf_dir):
 
 
 @query("index_forward_filled_asof", f"""WITH {SPLI}
-SELECT o.station, o.t, {q6('c.z')} AS z FROM obs o ASOF LEFT JOIN (SELECT * FROM spli WHERE z IS NOT NULL) c
+SELECT o.station, o.t, {q6('c.z')} AS z FROM obs o ASOF LEFT JOIN spli c
   ON o.station = c.station AND o.t >= c.month""")
 def index_forward_filled_asof(spark, sf_dir):
     daily = reuse(panels.obs(spark, sf_dir))
-    monthly = indices.standardized_index(daily, K, "t", "level").where("z is not null").select("station", "month", "z")
+    monthly = indices.standardized_index(daily, K, "t", "level").select("station", "month", "z")
     return joins.asof_month(daily, monthly, K, "t", ["z"]).select("station", "t", r6("z").alias("z"))
 
 
@@ -148,7 +148,7 @@ m AS (SELECT station, CAST(date_trunc('month', t) AS DATE) AS month, AVG(level)
    AVG(level) FILTER (fc = 0) AS hist, COUNT(*) FILTER (fc = 0) AS obs_days, COUNT(*) FILTER (fc = 1) AS fc_days FROM both_ GROUP BY 1, 2),
 tm AS (SELECT * FROM m WHERE fc_days > 0 AND (obs_days > 0 OR fc_days > 14)),
 pooled AS (SELECT tm.station, tm.month, tm.mean_level, tm.obs_days, tm.fc_days,
-   (COUNT(*) FILTER (p.hist < tm.mean_level) + (COUNT(*) FILTER (p.hist = tm.mean_level) + 2) / CAST(2 AS DOUBLE) - CAST(0.44 AS DOUBLE))
+   (COUNT(*) FILTER (round(p.hist, 8) < round(tm.mean_level, 8)) + (COUNT(*) FILTER (round(p.hist, 8) = round(tm.mean_level, 8)) + 2) / CAST(2 AS DOUBLE) - CAST(0.44 AS DOUBLE))
    / (COUNT(p.hist) + 2 - CAST(0.88 AS DOUBLE)) AS p
   FROM tm LEFT JOIN m p ON p.station = tm.station AND month(p.month) = month(tm.month) AND p.month <> tm.month AND p.hist IS NOT NULL
   GROUP BY 1, 2, 3, 4, 5)"""
@@ -204,7 +204,7 @@ def wet_events(spark, sf_dir):
 
 def _level_panel_sql() -> str:
     acc = "\n UNION ALL ".join(
-        f"""SELECT station, month, {k} AS scale, round(CASE WHEN COUNT(value) OVER w{k} = {k} THEN AVG(value) OVER w{k} END, 7) AS value FROM monthly
+        f"""SELECT station, month, {k} AS scale, CASE WHEN COUNT(value) OVER w{k} = {k} THEN AVG(value) OVER w{k} END AS value FROM monthly
 WINDOW w{k} AS (PARTITION BY station ORDER BY month ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)""" for k in schemas.SCALES
     )
     return f"{OBS}, {MONTHLY_LEVEL}, scaled AS ({acc}), {score_sql('scaled', 'lp', 'station, scale')}, {_events_sql('lp', -1.5, 'below', 1, 'station, scale')}"

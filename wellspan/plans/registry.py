@@ -121,8 +121,8 @@ def score_sql(src: str, out: str, keys: str = "station", value: str = "value") -
     (c.less + (c.same + 1) / CAST(2 AS DOUBLE) - CAST(0.44 AS DOUBLE)) / (c.n + 1 - CAST(0.88 AS DOUBLE)) END AS p
   FROM {src} a LEFT JOIN (
     SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.month,
-           COUNT(CASE WHEN b.{value} < a.{value} THEN 1 END) AS less,
-           COUNT(CASE WHEN b.{value} = a.{value} THEN 1 END) AS same, COUNT(b.{value}) AS n
+           COUNT(CASE WHEN round(b.{value}, 8) < round(a.{value}, 8) THEN 1 END) AS less,
+           COUNT(CASE WHEN round(b.{value}, 8) = round(a.{value}, 8) THEN 1 END) AS same, COUNT(b.{value}) AS n
     FROM {src} a JOIN {src} b ON {on} AND month(b.month) = month(a.month) GROUP BY ALL) c
   ON {on.replace('b.', 'c.')} AND c.month = a.month),
 {ppf_sql(f'{out}_p', out)}"""
