@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wellspan.functions.stats import corr_safe
 from wellspan.operators.calendar import gap_days
+from wellspan.session import materialize, reuse
 
 
 def _long(df: DataFrame, keys: list[str], rows: list[Column]) -> DataFrame:
@@ -61,7 +62,8 @@ def exact_quantiles(
     Values are counted first, so repeats never shuffle. Each level then cuts the value range that
     still holds a wanted rank into ``bins`` equal cells, counts the cells, and keeps the few that
     contain one, which become the ranges of the next level. Only the rows of those last cells are
-    ordered. No task ever sees a whole group.
+    ordered. No task ever sees a whole group. The value counts are written once to shared storage,
+    so the source is read once; what later levels keep is a small share of them.
     """
     group = list(keys)
     counted = (
@@ -71,6 +73,7 @@ def exact_quantiles(
     )
     if not group:
         counted, group = counted.withColumn("_g", F.lit(0)), ["_g"]
+    counted = materialize(counted, "value-counts")
     span = counted.groupBy(*group).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")
     )
@@ -86,7 +89,7 @@ def exact_quantiles(
     )
     cells = span.select(*group, F.lit("").alias("path"), "lo", "hi", F.lit(0).cast("long").alias("before"))
     rows = counted.withColumn("path", F.lit(""))
-    for _ in range(levels):
+    for level in range(levels):
         located = rows.join(cells, [*group, "path"]).withColumn(
             "cell",
             F.when(F.col("hi") > F.col("lo"), F.least(
@@ -96,6 +99,8 @@ def exact_quantiles(
             *group, F.col("path").alias("parent"), "cell", "v", "c", "before",
             F.concat_ws("/", "path", F.col("cell").cast("string")).alias("path"),
         )
+        if level > 0:
+            located = reuse(located)
         sums = located.groupBy(*group, "parent", "path", "cell", "before").agg(
             F.sum("c").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")
         )

@@ -8,6 +8,7 @@ from wellspan import schemas
 from wellspan.operators.clean import conform_daily, with_water_balance
 from wellspan.operators.indices import attach_indices, index_panel, pivot_panel
 from wellspan.operators.rolling import water_balance_features
+from wellspan.session import reuse
 
 RAIN, ET0 = "precipitation_sum", "et0_fao_evapotranspiration"
 SOIL_TEMPERATURE = "soil_temperature_0_to_100cm_mean"
@@ -30,7 +31,7 @@ def monthly_indices(daily: DataFrame, keys: list[str], t: str, scales: tuple[int
 
 def feature_table(df: DataFrame, keys: list[str], t: str) -> DataFrame:
     """Daily table with rolling features and all standardised indices."""
-    daily = conformed_features(df, keys, t)
+    daily = reuse(conformed_features(df, keys, t))
     names = [s.name for s in schemas.INDEX_SPECS]
     wide = pivot_panel(monthly_indices(daily, keys, t), keys, names, scale=1)
     return attach_indices(daily, wide, keys, t, names)

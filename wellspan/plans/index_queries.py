@@ -30,7 +30,7 @@ def merged_balance(spark, sf_dir):
     return with_water_balance(panels.merged(spark, sf_dir), "precip", "et0")
 
 
-def _panel_sql() -> str:
+def _panel_sql(base: str = MERGED) -> str:
     value = {s.name: ("AVG(m.%s)" if s.agg == "mean" else "COALESCE(SUM(m.%s), 0)") % s.column for s in PANEL}
     wide = ", ".join(f"{v} AS {n}" for n, v in value.items())
     long = "\n UNION ALL ".join(
@@ -46,7 +46,7 @@ def _panel_sql() -> str:
             f"WINDOW w{k} AS (PARTITION BY station, index_name ORDER BY month ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
         )
     scaled = "\n UNION ALL ".join(acc)
-    return f"""{MERGED}, mb AS (SELECT *, precip - et0 AS Peff FROM merged), {months('mb')},
+    return f"""{base}, mb AS (SELECT *, precip - et0 AS Peff FROM merged), {months('mb')},
 wide AS (SELECT s.station, s.month, {wide} FROM cal_m s LEFT JOIN mb m
   ON m.station = s.station AND CAST(date_trunc('month', m.t) AS DATE) = s.month GROUP BY 1, 2),
 long AS ({long}),
@@ -336,7 +336,34 @@ def index_checks(spark, sf_dir):
     return rows.withColumns({"mean_z": r6("mean_z"), "std_z": r6("std_z")})
 
 
-@query("daily_feature_table")
+# level on a straight line between known days, then the same features and indices on that
+_CONFORMED = f"""{OBS}, {WX}, raw AS (SELECT wx.*, obs.level FROM wx LEFT JOIN obs ON wx.station = obs.station AND wx.t = obs.t),
+ln AS (SELECT *, MAX(CASE WHEN level IS NOT NULL THEN t END) OVER (PARTITION BY station ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0,
+  MIN(CASE WHEN level IS NOT NULL THEN t END) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM raw),
+merged AS (SELECT n.* EXCLUDE (level, t0, t1), n.level IS NOT NULL AS is_observed,
+  CASE WHEN n.t0 IS NULL THEN NULL WHEN n.t1 IS NULL OR n.t0 = n.t1 THEN a.level ELSE (b.level - a.level) / (n.t1 - n.t0) * (n.t - n.t0) + a.level END AS level
+  FROM ln n LEFT JOIN raw a ON a.station = n.station AND a.t = n.t0 LEFT JOIN raw b ON b.station = n.station AND b.t = n.t1)"""
+
+
+def _first_filled(column: str, n: int) -> str:
+    w = f"(PARTITION BY station ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN COUNT({column}) OVER {w} = {n} THEN SUM({column}) OVER {w} END"
+
+
+_FEATURE_SQL = f"""WITH {_panel_sql(_CONFORMED)},
+f AS (SELECT *, {_first_filled('precip', 90)} AS p90, {_first_filled('Peff', 30)} AS e30 FROM mb),
+z AS (SELECT f.*, {', '.join(f"(SELECT p.z FROM panel p WHERE p.station = f.station AND p.scale = 1 AND p.index_name = '{n}' AND p.month = CAST(date_trunc('month', f.t) AS DATE)) AS z_{n}" for n in NAMES)} FROM f)
+SELECT station AS code_bss, t AS date_index, is_observed, {q6('level', 3)} AS niveau_nappe_eau,
+  {q6('COALESCE(p90, FIRST_VALUE(p90 IGNORE NULLS) OVER w)', 3)} AS P_cum_90d, {q6('COALESCE(e30, FIRST_VALUE(e30 IGNORE NULLS) OVER w)', 3)} AS Peff_cum_30d,
+  {', '.join(f"{q6(f'COALESCE(z_{n}, AVG(z_{n}) OVER (PARTITION BY station))')} AS {n}" for n in NAMES)}
+FROM z WINDOW w AS (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+@query("daily_feature_table", _FEATURE_SQL)
 def daily_feature_table(spark, sf_dir):
     named = panels.named(panels.merged(spark, sf_dir))
-    return build_feature_table(named, ["code_bss"], "date_index")
+    table = build_feature_table(named, ["code_bss"], "date_index")
+    return table.select(
+        "code_bss", "date_index", "is_observed",
+        *[r6(c, 3).alias(c) for c in ("niveau_nappe_eau", "P_cum_90d", "Peff_cum_30d")], *[r6(n).alias(n) for n in NAMES],
+    )
