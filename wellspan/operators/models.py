@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,11 @@ YEAR_DAYS = 365.25
 FOURIER_ORDER = 10
 KNOTS = 31
 REGRESSOR_PRIOR = 10.0
-INTERVAL_Z = {0.80: 1.2815515655446004, 0.95: 1.959963984540054}
+
+
+def interval_z(width: float) -> float:
+    """Half-width of a central normal interval in standard deviations."""
+    return NormalDist().inv_cdf(0.5 + width / 2)
 
 
 def partial_grams(df: DataFrame, by: list[str], vector: str) -> DataFrame:
@@ -230,7 +235,7 @@ def fit_additive(
 
 def _interval(rows: DataFrame, width: float) -> DataFrame:
     yhat = dot(F.col("x"), F.col("coef")) * F.col("y_scale")
-    half = F.col("sigma") * F.col("y_scale") * F.lit(INTERVAL_Z[width])
+    half = F.col("sigma") * F.col("y_scale") * F.lit(interval_z(width))
     return rows.withColumn("yhat", yhat).withColumns({
         "yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half,
     })

@@ -137,7 +137,7 @@ def picked_folds(spark, sf_dir):
 
 # --- backtests and metrics ----------------------------------------------------------------
 
-Z80 = models.INTERVAL_Z[0.80]
+Z80 = models.interval_z(0.80)
 
 
 def naive_cv(spark, sf_dir, h=14):
