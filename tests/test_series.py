@@ -68,6 +68,28 @@ def test_rolling_sum_and_centred_mean(spark):
     assert column(df.withColumn("c", rolling.rolling_centered(F.col("x"), 4, w)), "c") == [None, None, 1.5, 2.5, 3.5, None]
 
 
+@pytest.mark.parametrize("n", [3, 4, 7])
+def test_running_sum_form_of_the_centred_mean(spark, n):
+    rng = np.random.default_rng(n)
+    xs = [None if rng.random() < 0.1 else float(x) for x in 1e5 + rng.normal(size=60)]
+    w = Window.partitionBy("k").orderBy("t")
+    df = series(spark, xs).withColumn("a", rolling.rolling_centered(F.col("x"), n, w))
+    out = rolling.with_centered_mean(df, K, "t", "x", n, "b")
+    got, want = (np.array(column(out, c), dtype=float) for c in "ba")
+    assert np.allclose(got, want, rtol=1e-13, equal_nan=True)
+
+
+def test_stepwise_sums_equal_plain_ones(spark):
+    rng = np.random.default_rng(8)
+    xs = [None if rng.random() < 0.03 else float(x) for x in rng.integers(0, 9, 150)]
+    w = Window.partitionBy("k").orderBy("t")
+    windows = (2, 7, 12, 30, 60)
+    df = series(spark, xs)
+    out = rolling.rolling_sums(df, K, "t", {"s": F.col("x")}, windows)
+    for n in windows:
+        assert column(out, f"s_{n}") == column(df.withColumn("r", rolling.rolling_sum(F.col("x"), n, w)), "r")
+
+
 def test_densify_covers_gaps_and_the_extension(spark):
     df = spark.createDataFrame([("a", day(0), 1.0), ("a", day(3), 2.0), ("b", day(9), 5.0)], "k string, t date, x double")
     out = cal.densify(df, K, "t", extra=2).orderBy("k", "t").collect()

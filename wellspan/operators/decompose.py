@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wellspan.functions.stats import ratio
-from wellspan.operators.rolling import rolling_centered
+from wellspan.operators.rolling import frame_sums, with_centered_mean
 
 
 def climatology(df: DataFrame, keys: list[str], t: str, column: str, out: str = "seasonal") -> DataFrame:
@@ -29,9 +29,8 @@ def decompose_classical(df: DataFrame, keys: list[str], t: str, column: str, win
     """
     w = Window.partitionBy(*keys)
     by_month = Window.partitionBy(*keys, F.month(t))
-    rows = df.select(*keys, t, F.col(column).alias("y")).withColumn(
-        "trend", rolling_centered(F.col("y"), window, w.orderBy(t))
-    ).withColumn("_d", F.col("y") - F.col("trend"))
+    rows = with_centered_mean(df.select(*keys, t, F.col(column).alias("y")), keys, t, "y", window, "trend")
+    rows = rows.withColumn("_d", F.col("y") - F.col("trend"))
     rows = rows.withColumns({"_m": F.avg("_d").over(by_month), "_n": F.count("_d").over(by_month)})
     share = F.when(F.col("_d").isNotNull(), F.lit(1.0) / F.when(F.col("_n") > 0, F.col("_n")))
     center = ratio(F.sum(F.col("_m") * share).over(w), F.sum(share).over(w))
@@ -54,7 +53,6 @@ def decompose_robust(
     """
     w = Window.partitionBy(*keys).orderBy(t)
     half = period // 2
-    frame = w.rowsBetween(-half, half)
     rows = df.where(F.col(column).isNotNull()).select(*keys, t, F.col(column).alias("y")).withColumns({
         "pos": F.pmod(F.row_number().over(w) - 1, F.lit(period)),
         "seasonal": F.lit(0.0),
@@ -62,14 +60,17 @@ def decompose_robust(
     })
     at_pos = Window.partitionBy(*keys, "pos")
     whole = Window.partitionBy(*keys)
+    rows = rows.withColumn("_base", F.avg("y").over(whole))
     for _ in range(passes):
-        flat = F.col("y") - F.col("seasonal")
+        flat = F.col("y") - F.col("_base") - F.col("seasonal")
+        sums = {
+            "_fw": flat * F.col("weight"), "_w": F.col("weight"), "_f": flat, "_n": F.lit(1.0),
+        }
+        rows = frame_sums(rows.drop(*sums), keys, t, sums, half, half)
+        # rows of weight zero only: a running sum leaves rounding dust there, so test against it
+        weighted = F.when(F.col("_w") > 1e-6, F.col("_fw") / F.col("_w"))
         rows = rows.withColumn(
-            "trend",
-            F.coalesce(
-                ratio(F.sum(flat * F.col("weight")).over(frame), F.sum("weight").over(frame)),
-                F.avg(flat).over(frame),
-            ),
+            "trend", F.col("_base") + F.coalesce(weighted, F.col("_f") / F.col("_n"))
         )
         rows = rows.withColumn(
             "_s", F.median(F.when(F.col("weight") > 0, F.col("y") - F.col("trend"))).over(at_pos)

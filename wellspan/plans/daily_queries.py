@@ -243,10 +243,8 @@ def _filled(column: str) -> str:
   {_rolled('precip', 30, 'SUM')} AS p30, {_rolled('precip', 90, 'SUM')} AS p90 FROM wx)''')}
 SELECT station, t, {q6('p7')} AS p7, {q6('p30')} AS p30, {q6('p90')} AS p90 FROM rolled""")
 def rolling_precip_7_30_90(spark, sf_dir):
-    w = Window.partitionBy("station").orderBy("t")
-    return panels.wx(spark, sf_dir).select(
-        "station", "t", *[r6(rolling.rolling_sum(F.col("precip"), n, w)).alias(f"p{n}") for n in (7, 30, 90)]
-    )
+    rows = rolling.rolling_sums(panels.wx(spark, sf_dir), K, "t", {"p": F.col("precip")}, (7, 30, 90))
+    return rows.select("station", "t", *[r6(f"p_{n}").alias(f"p{n}") for n in (7, 30, 90)])
 
 
 _WB = f"""rolled AS (SELECT station, t,
@@ -277,9 +275,10 @@ SELECT station, t,
 FROM wr""")
 def centered_ma_7_365(spark, sf_dir):
     w = Window.partitionBy("station").orderBy("t")
-    return panels.wx(spark, sf_dir).select(
-        "station", "t", *[r6(rolling.rolling_centered(F.col("soil_temp"), n, w)).alias(f"ma_{n}") for n in (7, 365)]
-    )
+    rows = panels.wx(spark, sf_dir).select("station", "t", "soil_temp")
+    rows = rows.withColumn("ma_7", rolling.rolling_centered(F.col("soil_temp"), 7, w))
+    rows = rolling.with_centered_mean(rows, K, "t", "soil_temp", 365, "ma_365")
+    return rows.select("station", "t", r6("ma_7").alias("ma_7"), r6("ma_365").alias("ma_365"))
 
 
 @query("monthly_resample_mean_sum_last", f"""
