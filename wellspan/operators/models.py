@@ -75,18 +75,22 @@ def _stack(table: pa.Table) -> np.ndarray:
     return flat.reshape(table.num_rows, side, side)
 
 
-def _solve(gram: np.ndarray, p: int, penalty: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge coefficients of the last column on the first ``p`` and the residual sum of squares."""
+def _solve(gram: np.ndarray, p: int, penalties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ridge coefficients of the last column on the first ``p``, one row per row of penalties, and
+    the residual sums of squares."""
     xx, xy, yy = gram[:p, :p], gram[:p, -1], gram[-1, -1]
     scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1.0))
-    a = (xx + np.diag(penalty)) / np.outer(scale, scale)
+    systems = np.repeat((xx / np.outer(scale, scale))[None], len(penalties), axis=0)
+    systems[:, np.arange(p), np.arange(p)] += penalties / scale**2
+    right = xy / scale
     try:
-        lower = np.linalg.cholesky(a)
-        beta = np.linalg.solve(lower.T, np.linalg.solve(lower, xy / scale)) / scale
+        np.linalg.cholesky(systems)  # raises unless all are well posed
+        betas = np.linalg.solve(systems, np.repeat(right[None, :, None], len(penalties), axis=0))[:, :, 0]
     except np.linalg.LinAlgError:  # singular: least-norm solution
-        beta = np.linalg.lstsq(a, xy / scale, rcond=1e-12)[0] / scale
-    rss = float(max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0))
-    return beta, rss
+        betas = np.array([np.linalg.lstsq(a, right, rcond=1e-12)[0] for a in systems])
+    betas = betas / scale
+    rss = yy - 2 * betas @ xy + np.einsum("ij,jk,ik->i", betas, xx, betas)
+    return betas, np.maximum(rss, 0.0)
 
 
 def dot(x: Column, beta: Column) -> Column:
@@ -105,10 +109,10 @@ def fit_linear(df: DataFrame, by: list[str], features: list[str], target: str) -
     arrow_by, p = list(by), len(features) + 1
 
     def solve(table: pa.Table) -> pa.Table:
-        beta, rss = _solve(_stack(table).sum(axis=0), p, np.zeros(p))
+        betas, rss = _solve(_stack(table).sum(axis=0), p, np.zeros((1, p)))
         n = int(np.asarray(table.column("n")).sum())
         head = {c: table.column(c).slice(0, 1) for c in arrow_by}
-        return pa.table({**head, "coef": pa.array([beta], pa.list_(pa.float64())), "rss": [rss], "n_train": [n]})
+        return pa.table({**head, "coef": pa.array(list(betas), pa.list_(pa.float64())), "rss": rss, "n_train": [n]})
 
     return spread(partial_grams(rows, by, "v"), *by).groupBy(*by).applyInArrow(solve, schema)
 
@@ -182,6 +186,13 @@ def fit_additive(
     arrow_by = list(by)
     knots = np.arange(1, KNOTS + 1) / (KNOTS + 1)
 
+    def prior_scales(config: dict, reach: float) -> np.ndarray:
+        return np.concatenate([
+            [5.0, 5.0 / reach], np.full(KNOTS, config["changepoint_prior_scale"] / reach),
+            np.full(2 * FOURIER_ORDER, config["seasonality_prior_scale"]),
+            np.full(n_regressors, REGRESSOR_PRIOR),
+        ])
+
     def solve(table: pa.Table) -> pa.Table:
         grams, counts = _stack(table), np.asarray(table.column("n"))
         segments = np.array(table.column("segment").to_pylist())
@@ -192,34 +203,28 @@ def fit_additive(
             seen = segments <= cutoff
             gram, n = grams[seen].sum(axis=0), int(counts[seen].sum())
             reach = max((cutoff - first).days / days, 1e-9)
-            noise: dict[float, float] = {}
-            for i, config in enumerate(configs):
+            for share in sorted({c["changepoint_range"] for c in configs}):
+                members = [i for i, c in enumerate(configs) if c["changepoint_range"] == share]
                 keep = np.ones(p, bool)
-                keep[2:2 + KNOTS] = knots <= reach * config["changepoint_range"]
-                prior = np.concatenate([
-                    [5.0, 5.0 / reach], np.full(KNOTS, config["changepoint_prior_scale"] / reach),
-                    np.full(2 * FOURIER_ORDER, config["seasonality_prior_scale"]),
-                    np.full(n_regressors, REGRESSOR_PRIOR),
-                ])[keep]
+                keep[2:2 + KNOTS] = knots <= reach * share
                 index = np.append(np.flatnonzero(keep), p)
-                part = gram[np.ix_(index, index)]
-                beta, sigma, error = np.zeros(p), None, None
+                part, size = gram[np.ix_(index, index)], int(keep.sum())
+                coefs, sigmas, error = np.zeros((len(members), p)), np.zeros(len(members)), None
                 try:
-                    share = config["changepoint_range"]
-                    if share not in noise:
-                        _, rss = _solve(part, len(prior), np.full(len(prior), 1e-9))
-                        noise[share] = max(rss / max(n, 1), 1e-12)
-                    fitted, rss = _solve(part, len(prior), noise[share] / prior**2)
-                    beta[keep] = fitted
-                    sigma = float(np.sqrt(rss / max(n, 1)))
+                    _, loose = _solve(part, size, np.full((1, size), 1e-9))
+                    noise = max(loose[0] / max(n, 1), 1e-12)
+                    priors = np.array([prior_scales(configs[i], reach) for i in members])[:, keep]
+                    coefs[:, keep], rss = _solve(part, size, noise / priors**2)
+                    sigmas = np.sqrt(rss / max(n, 1))
                 except np.linalg.LinAlgError as failure:
                     error = str(failure)
-                out["cutoff"].append(cutoff)
-                out["config_id"].append(i)
-                out["coef"].append(beta if error is None else None)
-                out["sigma"].append(sigma)
-                out["n_train"].append(n)
-                out["error"].append(error)
+                for i, beta, sigma in zip(members, coefs, sigmas):
+                    out["cutoff"].append(cutoff)
+                    out["config_id"].append(i)
+                    out["coef"].append(beta if error is None else None)
+                    out["sigma"].append(float(sigma) if error is None else None)
+                    out["n_train"].append(n)
+                    out["error"].append(error)
         size = len(out["cutoff"])
         head = {c: table.column(c).take(pa.array([0] * size)) for c in arrow_by}
         return pa.table({
