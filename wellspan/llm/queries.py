@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wellspan.llm import bpe, lang_id, packing, quality, toxicity
+from wellspan.llm import bpe, jaccard_join, lang_id, packing, quality, secret_scan, toxicity, winnow
 from wellspan.llm.common import table
 
 
@@ -25,6 +25,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": lang_id.op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_winnow": winnow.op4_winnow,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit": packing.op10_best_fit,
