@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added, such that ``df`` has no column of it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the value as text, modulo ``parts``; NULL for NULL."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(parts)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from wellspan.llm.common import fold, map_batches, spread_key, table, texts
+from wellspan.llm.common import fold, free_name, map_batches, spread_key, table, texts
 
 SPAN = 24
 LONGEST = 10  # letters of a piece, the word mark included
@@ -211,11 +211,11 @@ def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
     return LanguageModel.fit(pieces, found)
 
 
-def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """``df`` plus ``lang_pred`` and ``score``, the posterior of that language (0 to 1)."""
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+def predict(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``df`` plus the language and its posterior (0 to 1); columns of those names are replaced."""
+    kept = [c for c in df.columns if c not in (lang_pred, score)]
     source = df.select(*kept)
-    schema = StructType(source.schema.fields + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType(source.schema.fields + [StructField(lang_pred, StringType()), StructField(score, DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast(model)  # size: pieces times languages
 
     def make():
@@ -227,7 +227,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
             names, scores = scorer.predict(texts(batch, text))
             return pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*kept, "lang_pred", "score"])
+                [*kept, lang_pred, score])
 
         return step
 
@@ -239,10 +239,8 @@ _KEPT: dict = {}
 
 def keep(df: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """Rows whose language is known with a posterior of at least ``least``; columns as before."""
-    added = [c for c in ("lang_pred", "score") if c in df.columns]
-    if added:
-        raise ValueError(f"columns {added} would be replaced; rename them first")
-    return predict(df, model, text).where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*df.columns)
+    lang_pred, score = free_name(df, "lang_pred"), free_name(df, "score")
+    return predict(df, model, text, lang_pred, score).where((F.col(lang_pred) != UND) & (F.col(score) >= least)).select(*df.columns)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

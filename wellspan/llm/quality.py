@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from wellspan.llm.common import Memo, gram_hashes, map_batches, texts, word_hashes
 
 # fixed values of this operator: (bytes from, lowest ratio, highest ratio) of a whole text
-BANDS = [(0, 0.20, 1.60), (100, 0.10, 1.15), (500, 0.04, 0.95), (1500, 0.02, 0.85), (5000, 0.005, 0.80), (20000, 0.0015, 0.78)]
+BANDS = [(0, 0.20, 1.60), (100, 0.15, 1.15), (200, 0.12, 0.95), (500, 0.10, 0.80), (1500, 0.08, 0.70), (5000, 0.05, 0.65), (20000, 0.03, 0.62)]
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.015, 0.90)
+CHUNK_BAND = (0.05, 0.72)
 CHUNK_SHARE = 0.5  # of the chunks outside their band that fail a text
 
 SYMBOLS = "#*$%&|<>"

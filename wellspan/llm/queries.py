@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wellspan.llm import bpe, jaccard_join, lang_id, packing, quality, secret_scan, toxicity, winnow
+from wellspan.llm import bpe, chat, jaccard_join, lang_id, packing, pii, quality, secret_scan, toxicity, winnow
 from wellspan.llm.common import table
 
 
@@ -27,9 +27,11 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_winnow": winnow.op4_winnow,
+    "op5_personal_data": pii.op5_personal_data,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
+    "op8_perspectives": chat.op8_perspectives,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit": packing.op10_best_fit,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_perspectives": chat.OP8_SQL}

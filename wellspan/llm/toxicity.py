@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from wellspan.llm.common import Memo, fold, map_batches, spread_key, table, texts
+from wellspan.llm.common import Memo, fold, free_name, map_batches, spread_key, table, texts
 from wellspan.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -156,11 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return model
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` plus ``score`` (0 to 1) and ``predicted`` (1 from 0.5); columns of those names are replaced."""
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
+def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``df`` plus the score (0 to 1) and ``predicted`` (1 from 0.5); columns of those names are replaced."""
+    kept = [c for c in df.columns if c not in (out, predicted)]
     source = df.select(*kept)
-    schema = StructType(source.schema.fields + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    schema = StructType(source.schema.fields + [StructField(out, DoubleType()), StructField(predicted, IntegerType())])
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -176,7 +176,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = _sigmoid(np.array(g))
             return pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
-                [*kept, "score", "predicted"])
+                [*kept, out, predicted])
 
         return step
 
@@ -185,10 +185,8 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def keep(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Rows that aren't predicted toxic; columns as before."""
-    clash = [c for c in ("score", "predicted") if c in df.columns]
-    if clash:
-        raise ValueError(f"columns {clash} would be replaced; rename them first")
-    return score(df, model, text).where("predicted = 0").select(*df.columns)
+    out, predicted = free_name(df, "score"), free_name(df, "predicted")
+    return score(df, model, text, out, predicted).where(F.col(predicted) == 0).select(*df.columns)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

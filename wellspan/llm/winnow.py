@@ -93,14 +93,14 @@ def with_next(df: DataFrame, key: str, text: str, run) -> DataFrame:
     block = F.greatest(F.size(F.filter(coarse, lambda s: s <= F.col(key))) - 1, F.lit(0))
     within = F.size(F.filter(F.slice(fine, block * step + 1, F.lit(step)), lambda s: s <= F.col(key)))
     own = F.greatest(block * step + within - 1, F.lit(0))
-    visits = F.filter(F.array(F.struct(own.alias("range"), F.lit(0).alias("guest")),
+    visits = F.filter(F.array(F.struct(own.alias("_range"), F.lit(0).alias("_guest")),
                               F.when(F.get(fine, own) == F.col(key), F.struct(
-                                  F.pmod(own - 1, F.lit(len(starts))).alias("range"), F.lit(1).alias("guest")))),
+                                  F.pmod(own - 1, F.lit(len(starts))).alias("_range"), F.lit(1).alias("_guest")))),
                       lambda v: v.isNotNull())
     placed = df.select("*", F.inline(visits))
-    order = Window.partitionBy("range").orderBy("guest", F.col(key).asc_nulls_first(), text)
+    order = Window.partitionBy("_range").orderBy("_guest", F.col(key).asc_nulls_first(), text)
     # the last row of a range without a following one (no row has a key) has itself for its next
-    return run(placed, lambda c: F.coalesce(F.lead(c).over(order), F.col(c))).where("guest = 0").drop("range", "guest")
+    return run(placed, lambda c: F.coalesce(F.lead(c).over(order), F.col(c))).where("_guest = 0").drop("_range", "_guest")
 
 
 def op4_winnow(spark, sf_dir: str) -> DataFrame:
@@ -112,11 +112,11 @@ def op4_winnow(spark, sf_dir: str) -> DataFrame:
         df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")),
                                               F.substring("next_text", F.lit(1), half)))
         df = with_fingerprint(with_fingerprint(df, "text", "own"), "edited", "changed")
-        df = df.select("range", "guest", "doc_id", "text", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        df = df.select("_range", "_guest", "doc_id", "text", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        written("own").alias("fingerprint"), written("changed").alias("edited_fingerprint"),
                        hashes("own").alias("own"), hashes("changed").alias("changed"))
         df = df.withColumn("following", next_of("own"))
-        return df.select("range", "guest", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        return df.select("_range", "_guest", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                          likeness("own", "changed").alias("near_edited"), likeness("own", "following").alias("near_next"))
 
     return with_next(docs, "doc_id", "text", run)
