@@ -204,6 +204,9 @@ def test_holt_winters_equals_the_recursion(spark):
     best = min(fits, key=lambda q: fits[q][0])
     df = frame(spark, y).unionByName(frame(spark, y[:8], "short"))
     out = smoothing.holt_winters_grid(df, K, "ds", "y", 6, 9, [0.2, 0.6], [0.05, 0.3], [0.1, 0.4], [0.9, 1.0]).orderBy("step").collect()
+    short = [r for r in out if r.k == "short"]
+    out = [r for r in out if r.k != "short"]
+    assert len(short) == 9 and all(r.yhat is None and r.reason == "8 values, two cycles have 12" for r in short)
     assert (out[0].alpha, out[0].beta, out[0].gamma, out[0].phi) == best and len(out) == 9
     assert np.allclose([r.yhat for r in out], fits[best][1])
     assert out[0].fit_rmse == pytest.approx(np.sqrt(fits[best][0] / (len(y) - 6)))
@@ -212,8 +215,11 @@ def test_holt_winters_equals_the_recursion(spark):
 def test_run_versions_and_parameter_fallback(spark):
     new = spark.createDataFrame([("a", "r1"), ("b", "r2")], "k string, run_id string")
     history = spark.createDataFrame([("a", 1), ("a", 4)], "k string, version int")
-    out = {r.k: (r.version, r.previous_version) for r in tuning.register_runs(history, new, K).collect()}
-    assert out == {"a": (5, 4), "b": (1, None)}
+    out = {(r.k, r.version): (r.previous_version, r.is_production) for r in tuning.register_runs(history, new, K, ["run_id"]).collect()}
+    assert out == {("a", 1): (None, False), ("a", 4): (1, False), ("a", 5): (4, True), ("b", 1): (None, True)}
+    three = spark.createDataFrame([("a", "r3"), ("a", "r1"), ("a", "r2")], "k string, run_id string")
+    runs = tuning.register_runs(spark.createDataFrame([("a", 3)], "k string, version int"), three, K, ["run_id"]).collect()
+    assert sorted((r.run_id, r.version, r.is_production) for r in runs if r.run_id) == [("r1", 4, False), ("r2", 5, False), ("r3", 6, True)]
     assert len(tuning.grid_configs()) == 15
 
 

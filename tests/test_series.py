@@ -275,7 +275,7 @@ def test_exact_quantiles_equal_numpy_on_hard_shapes(spark):
     rows = [(k, float(v)) for k, xs in shapes.items() for v in xs]
     df = spark.createDataFrame(rows, "k string, x double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    out = quality.exact_quantiles(df, "x", probs, K, bins=8, levels=3).collect()
+    out = quality.exact_quantiles(df, "x", probs, K, bins=8, small=4).collect()
     got = {(r.k, r.q): r.value for r in out}
     for k, xs in shapes.items():
         for q in probs:

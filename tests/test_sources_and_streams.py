@@ -95,9 +95,11 @@ def test_upsert_stream_over_two_deliveries(spark, tmp_path):
     write_events(spark, landed, [(4, at(1), "a", 9.0), (5, at(3), "a", 4.0)])
     deliver()
     deliver()  # nothing new
-    rows = {(r.k, r.t.day): r.value for r in spark.read.parquet(table).collect()}
+    schema = "k string, t date, event_id bigint, value double"
+    schema = spark.createDataFrame([], schema).schema
+    rows = {(r.k, r.t.day): r.value for r in jobs.read_history(spark, table, schema).collect()}
     assert rows == {("a", 1): 9.0, ("b", 2): 3.0, ("a", 3): 4.0}
-    marks = {r.k: r.last_date.day for r in jobs.high_water_mark(spark, table, "k", "t").collect()}
+    marks = {r.k: r.last_date.day for r in jobs.high_water_mark(spark, table, schema, "k", "t").collect()}
     assert marks == {"a": 3, "b": 2}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def as_date(c: Column | str) -> Column:
@@ -11,6 +11,16 @@ def as_date(c: Column | str) -> Column:
     return F.to_date(F.try_to_timestamp(col.cast("string")))
 
 
+def day_of(df: DataFrame, c: str) -> Column:
+    """Day of a column of ``df``: a DATE as it is, so that a known partitioning stays known."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.DateType):
+        return F.col(c)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.to_date(c)
+    return as_date(c)
+
+
 def month_start(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.trunc(col, "MM")
@@ -22,11 +32,6 @@ def month_number(c: Column | str) -> Column:
     return F.year(col) * 12 + F.month(col)
 
 
-def shift_months(c: Column | str, n: int) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.add_months(col, n)
-
-
 def days_in_month(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.dayofmonth(F.last_day(col))

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wellspan import schemas
-from wellspan.functions.dates import as_date
+from wellspan.functions.dates import day_of
 from wellspan.operators.calendar import densify
 
 
 def clean_obs(df: DataFrame) -> DataFrame:
     """Observation table ready to join: day index, quality-control columns removed."""
-    return df.withColumn(schemas.DATE_INDEX, as_date("date_mesure")).drop(*schemas.OBSERVATION_DROP)
+    return df.withColumn(schemas.DATE_INDEX, day_of(df, "date_mesure")).drop(*schemas.OBSERVATION_DROP)
 
 
 def clean_weather(df: DataFrame) -> DataFrame:
     """Weather table ready to join: sparse and collinear columns removed."""
-    return df.withColumn(schemas.DATE_INDEX, as_date("date")).drop(
+    return df.withColumn(schemas.DATE_INDEX, day_of(df, "date")).drop(
         *schemas.WEATHER_DROP_SPARSE, *schemas.WEATHER_DROP_COLLINEAR
     )
 
@@ -35,10 +35,6 @@ def select_regex(df: DataFrame, pattern: str = "^S.*I$") -> DataFrame:
     return df.select(df.colRegex(f"`{pattern}`"))
 
 
-def matching_columns(df: DataFrame, pattern: str = "^S.*I$") -> list[str]:
-    return select_regex(df, pattern).columns
-
-
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Raise before any job runs when a needed column is absent."""
     missing = sorted(set(columns) - set(df.columns))
@@ -69,6 +65,11 @@ def with_water_balance(df: DataFrame, rain: str, et0: str, out: str = "Peff") ->
     return df.withColumn(out, F.col(rain) - F.col(et0))
 
 
+def sortable(df: DataFrame, exclude: list[str] = ()) -> list[str]:
+    """Columns that have an order, by name."""
+    return sorted(f.name for f in df.schema if f.name not in exclude and not isinstance(f.dataType, (T.MapType, T.VariantType)))
+
+
 def _pick(df: DataFrame, keys: list[str], order: list[Column], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     chosen = pick(F.struct(*rest), F.struct(*order)).alias("_row")
@@ -85,12 +86,17 @@ def dedupe_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _pick(df, keys, [F.col(c) for c in order], F.max_by)
 
 
-def upsert_last(history: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """History merged with a new delivery; on equal keys the new row wins."""
+def upsert_last(history: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """History merged with a new delivery; on equal keys the new row wins.
+
+    ``order`` names the columns that decide between rows of one delivery, the last one wins. Without
+    it all other columns do, so the result doesn't depend on how the rows are partitioned.
+    """
     both = history.withColumn("_batch", F.lit(0)).unionByName(
         new.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
-    return dedupe_last(both, keys, ["_batch"]).drop("_batch")
+    rest = order if order is not None else sortable(both, [*keys, "_batch"])
+    return dedupe_last(both, keys, ["_batch", *rest]).drop("_batch")
 
 
 def daily_mean(df: DataFrame, keys: list[str], t: str, columns: list[str]) -> DataFrame:
@@ -135,7 +141,7 @@ def interpolate_linear(df: DataFrame, keys: list[str], t: str, columns: list[str
     filled = {}
     for c in columns:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        slope = (n["v"] - p["v"]) / F.date_diff(n["d"], p["d"])
+        slope = F.try_divide(n["v"] - p["v"], F.date_diff(n["d"], p["d"]))
         line = slope * F.date_diff(F.col(t), p["d"]) + p["v"]
         filled[c] = (
             F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
@@ -158,12 +164,17 @@ def conform_daily(
     """De-duplicate by day and interpolate numeric columns over the calendar.
 
     Interpolation uses day distance, so the calendar spine is only needed when the gap days
-    themselves are wanted in the output. ``order`` names the delivery order that decides which
-    reading of a day is the first one.
+    themselves are wanted in the output. There is one row per station and day in any case:
+    the first reading by ``order``, the delivery order; without it, readings with fewer missing
+    values come first, then those with smaller values.
     """
     cols = columns or numeric_columns(df, exclude=[*keys, *(order or [])])
     if order:
         df = dedupe_first(df, [*keys, t], order)
+    else:
+        rest = sortable(df, [*keys, t])
+        gaps = sum((F.col(c).isNull().cast("int") for c in rest), F.lit(0))
+        df = dedupe_first(df.withColumn("_gaps", gaps), [*keys, t], ["_gaps", *rest]).drop("_gaps")
     if keep_gap_days:
         df = densify(df, keys, t)
     return interpolate_linear(df, keys, t, cols)

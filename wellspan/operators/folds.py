@@ -28,6 +28,19 @@ def rolling_cutoffs(
     return span.where(F.col("_last") >= F.col("_first")).select(*keys, F.explode(steps).alias("cutoff"))
 
 
+def without_cutoffs(
+    df: DataFrame, keys: list[str], ds: str, h: int | Column, initial_days: int | None = None, fraction: float = 0.8,
+) -> DataFrame:
+    """The stations that :func:`rolling_cutoffs` has no cutoff for, and why, so that none is lost silently."""
+    span = df.groupBy(*keys).agg(F.min(ds).alias("_a"), F.max(ds).alias("_b"))
+    days = F.coalesce(F.date_diff("_b", "_a"), F.lit(0))
+    initial = F.lit(initial_days) if initial_days is not None else F.floor(days * F.lit(fraction)).cast("int")
+    short = F.coalesce(F.date_sub("_b", h) < F.date_add("_a", initial), F.lit(True))
+    return span.where(short).select(*keys, F.concat(
+        F.lit("span of "), days.cast("string"), F.lit(" days is shorter than the initial "), initial.cast("string"),
+        F.lit(" and the horizon "), F.lit(h).cast("string")).alias("reason"))
+
+
 def test_days(cutoffs: DataFrame, keys: list[str], h: int | Column) -> DataFrame:
     """The ``h`` days after each cutoff, as rows to equi-join with."""
     ahead = F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")  # lit keeps a column as it is

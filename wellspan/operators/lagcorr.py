@@ -41,8 +41,10 @@ def best_lag(profile: DataFrame, keys: list[str], by_abs: bool = False) -> DataF
 def index_driver_pairs(panel: DataFrame, keys: list[str], response: str) -> DataFrame:
     """Long panel to (driver, response) rows: every other index against ``response``.
 
-    The response reaches the other rows of its month by a window, not by a self-join.
+    The response reaches the other rows of its month by a window, not by a self-join. A panel with a
+    ``scale`` pairs equal scales and keeps the column.
     """
+    keys = [*keys, "scale"] if "scale" in panel.columns else keys
     month = Window.partitionBy(*keys, "month")
     target = F.max(F.when(F.col("index_name") == response, F.col("z"))).over(month)
     return panel.withColumn("response", target).where(F.col("index_name") != response).select(

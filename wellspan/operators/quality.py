@@ -55,15 +55,15 @@ def describe(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probs: list[float], keys: list[str] = (), bins: int = 1024, levels: int = 3
+    df: DataFrame, column: str, probs: list[float], keys: list[str] = (), bins: int = 64, small: int = 10_000
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles of groups of any size.
+    """Exact linear-interpolation quantiles of groups of any size and shape.
 
-    Values are counted first, so repeats never shuffle. Each level then cuts the value range that
-    still holds a wanted rank into ``bins`` equal cells, counts the cells, and keeps the few that
-    contain one, which become the ranges of the next level. Only the rows of those last cells are
-    ordered. No task ever sees a whole group. The value counts are written once to shared storage,
-    so the source is read once; what later levels keep is a small share of them.
+    Values are counted first, so repeats never shuffle. Each level then cuts every range that still
+    holds a wanted rank at about ``bins`` of its own values, counts the cells, and keeps those that
+    contain one. A cell has about a ``bins``-th of its range's values however they are spread, so a
+    few levels bring all cells down to ``small`` values; only those are ordered. The value counts
+    and what each level keeps are written to shared storage, so the source is read once.
     """
     group = list(keys)
     counted = (
@@ -74,48 +74,36 @@ def exact_quantiles(
     if not group:
         counted, group = counted.withColumn("_g", F.lit(0)), ["_g"]
     counted = materialize(counted, "value-counts")
-    span = counted.groupBy(*group).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n")
-    )
     ranks = F.array(*[
         F.struct(F.lit(float(q)).alias("q"), ((F.col("n") - 1) * F.lit(float(q))).alias("h"))
         for q in probs
     ])
-    wanted = span.select(*group, F.inline(ranks)).select(
+    wanted = counted.groupBy(*group).agg(F.sum("c").alias("n")).select(*group, F.inline(ranks)).select(
         *group, "q", "h", F.inline(F.array(
             F.struct(F.lit("a").alias("side"), F.floor("h").alias("rank")),
             F.struct(F.lit("b").alias("side"), F.ceil("h").alias("rank")),
         )),
     )
-    cells = span.select(*group, F.lit("").alias("path"), "lo", "hi", F.lit(0).cast("long").alias("before"))
-    rows = counted.withColumn("path", F.lit(""))
-    for level in range(levels):
-        located = rows.join(cells, [*group, "path"]).withColumn(
-            "cell",
-            F.when(F.col("hi") > F.col("lo"), F.least(
-                F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)
-            )).otherwise(F.lit(0)).cast("long"),
-        ).select(
-            *group, F.col("path").alias("parent"), "cell", "v", "c", "before",
-            F.concat_ws("/", "path", F.col("cell").cast("string")).alias("path"),
-        )
-        if level > 0:
-            located = reuse(located)
-        sums = located.groupBy(*group, "parent", "path", "cell", "before").agg(
-            F.sum("c").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        )
-        w = Window.partitionBy(*group, "parent").orderBy("cell")
-        sums = sums.withColumn("upto", F.col("before") + F.sum("m").over(w))
-        hits = (
-            sums.join(wanted.select(*group, "rank").distinct(), group)
-            .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
-        )
-        cells = hits.select(*group, "path", "lo", "hi", (F.col("upto") - F.col("m")).alias("before")).distinct()
-        rows = located.select(*group, "path", "v", "c")
+    targets = wanted.select(*group, "rank").distinct()
+    rows = counted.select(*group, F.lit("").alias("path"), F.lit(0).cast("long").alias("before"), "v", "c")
+    while True:
+        cell = [*group, "path"]
+        largest = rows.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
+        if largest <= small:
+            break
+        cuts = rows.groupBy(*cell).agg(
+            F.percentile_approx("v", [i / bins for i in range(1, bins)], 20 * bins).alias("_cuts"))
+        located = rows.join(cuts, cell).select(
+            *cell, "before", "v", "c", F.size(F.filter(F.array_distinct("_cuts"), lambda x: x < F.col("v"))).alias("cell"))
+        sums = located.groupBy(*cell, "before", "cell").agg(F.sum("c").alias("m"))
+        upto = F.col("before") + F.sum("m").over(Window.partitionBy(*cell).orderBy("cell"))
+        hits = sums.withColumn("upto", upto).join(targets, group).where(
+            (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m"))
+        ).select(*cell, "cell", (F.col("upto") - F.col("m")).alias("_b")).distinct()
+        rows = materialize(located.join(hits, [*cell, "cell"]).select(
+            *group, F.concat_ws("/", "path", F.col("cell").cast("string")).alias("path"), F.col("_b").alias("before"), "v", "c"), "cells")
     w = Window.partitionBy(*group, "path").orderBy("v")
-    ordered = rows.join(cells, [*group, "path"]).withColumn(
-        "upto", F.col("before") + F.sum("c").over(w)
-    )
+    ordered = rows.withColumn("upto", F.col("before") + F.sum("c").over(w))
     picked = (
         ordered.join(wanted, group)
         .where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import sys
+from collections.abc import Iterator
 from itertools import product
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from wellspan.functions.stats import ratio
 from wellspan.session import spread
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of this package
+
 
 def seasonal_naive(
     parts: DataFrame, keys: list[str], t: str, steps: list[int], freq: str = "month"
@@ -33,76 +41,71 @@ def seasonal_naive(
     )
 
 
+def _holt_winters(y: np.ndarray, period: int, horizon: int, grid: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Best parameters, their RMSE and the forecast. ``grid`` rows: alpha, beta, gamma, phi."""
+    alpha, beta, gamma, phi = grid.T
+    m1, m2 = y[:period].mean(), y[period:2 * period].mean()
+    level, trend = np.full(len(grid), m1), np.full(len(grid), (m2 - m1) / period)
+    season = np.tile(y[:period] - m1, (len(grid), 1))
+    sse, rest = np.zeros(len(grid)), y[period:]
+    for i, value in enumerate(rest):
+        at = i % period
+        s, damped = season[:, at].copy(), phi * trend
+        sse += (value - (level + damped + s)) ** 2
+        new = alpha * (value - s) + (1 - alpha) * (level + damped)
+        season[:, at] = gamma * (value - level - damped) + (1 - gamma) * s
+        trend = beta * (new - level) + (1 - beta) * damped
+        level = new
+    best = np.lexsort((phi, gamma, beta, alpha, sse))[0]
+    steps = np.arange(1, horizon + 1)
+    damp = np.cumsum(phi[best] ** steps)
+    ahead = level[best] + damp * trend[best] + season[best, (len(rest) + steps - 1) % period]
+    return grid[best], float(np.sqrt(sse[best] / len(rest))), ahead
+
+
 def holt_winters_grid(
     df: DataFrame, keys: list[str], t: str, column: str, period: int, horizon: int,
     alphas: list[float], betas: list[float], gammas: list[float], phis: list[float],
 ) -> DataFrame:
     """Damped additive Holt-Winters over a parameter grid, the best one per station kept.
 
-    The recursion is sequential, so each station's dense daily series (bounded by the calendar) is
-    folded in order as an array; stations and grid points are independent rows. The start state is
-    the mean of the first cycle, the mean slope between the first two cycles, and the first
-    cycle's offsets; the fold runs from the second cycle on. Stations shorter than two cycles
-    have no start state and are left out.
+    The recursion is sequential in time, so a task folds one station's dense daily series (bounded
+    by the calendar) once, with all grid points as a vector and the season as a ring. The start
+    state is the mean of the first cycle, the mean slope between the first two cycles, and the first
+    cycle's offsets; the fold runs from the second cycle on. A station shorter than two cycles has no
+    start state: its forecast is NULL and ``reason`` says so.
     """
-    series = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("d"), F.col(column).cast("double").alias("y")))).alias("_s"))
-        .where(F.size("_s") >= 2 * period)
-        .select(*keys, F.element_at("_s", -1)["d"].alias("last_train"), F.col("_s.y").alias("_y"))
-    )
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    first, second = F.slice("_y", 1, period), F.slice("_y", period + 1, period)
-    start = series.withColumns({"_m1": total(first) / period, "_m2": total(second) / period})
-    start = start.withColumns({
-        "_b0": (F.col("_m2") - F.col("_m1")) / period,
-        "_s0": F.transform(first, lambda x: x - F.col("_m1")),
-        "_rest": F.slice("_y", F.lit(period + 1), F.size("_y") - period),
-    }).select(*keys, "last_train", F.col("_m1").alias("_l0"), "_b0", "_s0", "_rest")
-    grid = F.array(*[
-        F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("alpha", "beta", "gamma", "phi"), values)])
-        for values in product(alphas, betas, gammas, phis)
-    ])
-    jobs = spread(start.select("*", F.inline(grid)), *keys, "alpha", "beta", "gamma", "phi")
-    init = F.struct(
-        F.col("_l0").alias("l"), F.col("_b0").alias("b"), F.col("_s0").alias("s"), F.lit(0.0).alias("sse")
-    )
+    series = df.groupBy(*keys).agg(
+        F.max(F.when(F.col(column).isNotNull(), F.col(t))).alias("last_train"),
+        F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(F.col(t).alias("d"), F.col(column).cast("double").alias("y"))))).alias("_s"),
+    ).select(*keys, "last_train", F.col("_s.y").alias("_y"))
+    grid = np.array(list(product(alphas, betas, gammas, phis)), float)
+    kinds = [df.schema[c] for c in keys]
+    schema = T.StructType(kinds + [T.StructField(c, T.DoubleType()) for c in ("alpha", "beta", "gamma", "phi", "fit_rmse")] + [
+        T.StructField("step", T.IntegerType()), T.StructField("ds", T.DateType()), T.StructField("yhat", T.DoubleType()),
+        T.StructField("reason", T.StringType())])
+    by = list(keys)
 
-    def step(state, y):
-        damped = F.col("phi") * state["b"]
-        season = F.get(state["s"], F.lit(0))
-        error = y - (state["l"] + damped + season)
-        level = F.col("alpha") * (y - season) + (1 - F.col("alpha")) * (state["l"] + damped)
-        trend = F.col("beta") * (level - state["l"]) + (1 - F.col("beta")) * damped
-        renewed = F.col("gamma") * (y - state["l"] - damped) + (1 - F.col("gamma")) * season
-        return F.struct(
-            level.alias("l"), trend.alias("b"),
-            F.concat(F.slice(state["s"], 2, period - 1), F.array(renewed)).alias("s"),
-            (state["sse"] + error * error).alias("sse"),
-        )
-
-    fitted = jobs.withColumn("_n", F.size("_rest")).withColumn("_state", F.aggregate("_rest", init, step))
-    best = fitted.groupBy(*keys).agg(
-        F.min_by(
-            F.struct("last_train", "alpha", "beta", "gamma", "phi", "_state", "_n"),
-            F.struct(F.col("_state.sse"), "alpha", "beta", "gamma", "phi"),
-        ).alias("_best")
-    )
-    h = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")
-    out = best.select(*keys, "_best.*", h)
-    phi = F.col("phi")
-    # phi + phi^2 + ... + phi^h
-    damp = F.when(phi == 1, F.col("step").cast("double")).otherwise(
-        phi * (1 - F.pow(phi, F.col("step"))) / F.when(phi != 1, 1 - phi)
-    )
-    season = F.get(F.col("_state.s"), F.pmod(F.col("step") - 1, F.lit(period)))
-    return out.select(
-        *keys, "alpha", "beta", "gamma", "phi",
-        F.sqrt(F.col("_state.sse") / F.col("_n")).alias("fit_rmse"),
-        "step", F.expr("date_add(last_train, step)").alias("ds"),
-        (F.col("_state.l") + damp * F.col("_state.b") + season).alias("yhat"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                y = np.array(batch.column("_y")[i].as_py() or [], float)
+                last = batch.column("last_train")[i].as_py()
+                if len(y) >= 2 * period:
+                    params, rmse, ahead = _holt_winters(y, period, horizon, grid)
+                    numbers, reason = [*params, rmse], None
+                else:
+                    ahead, numbers = [None] * horizon, [None] * 5
+                    reason = f"{len(y)} values, two cycles have {2 * period}"
+                days = [None if last is None else last + dt.timedelta(days=s) for s in range(1, horizon + 1)]
+                head = [batch.column(c).take(pa.array([i] * horizon)) for c in by]
+                yield pa.RecordBatch.from_arrays(
+                    head + [pa.array([x] * horizon, pa.float64()) for x in numbers] + [
+                        pa.array(range(1, horizon + 1), pa.int32()), pa.array(days, pa.date32()), pa.array(ahead, pa.float64()),
+                        pa.array([reason] * horizon, pa.string())],
+                    [*by, "alpha", "beta", "gamma", "phi", "fit_rmse", "step", "ds", "yhat", "reason"])
+
+    return spread(series, *keys).mapInArrow(run, schema)
 
 
 def ar_diff_forecast(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wellspan import schemas
 from wellspan.functions.text import typed_params
-from wellspan.operators.folds import rolling_cutoffs
+from wellspan.operators.folds import rolling_cutoffs, without_cutoffs
 from wellspan.operators.frames import lag_names, lagged_frame
 from wellspan.operators.metrics import cv_summary, select_score, top_configs
 from wellspan.operators.models import additive_basis, backtest_additive, fit_additive, score
@@ -22,13 +22,17 @@ def grid_configs(grid: dict[str, list] | None = None) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def grid_frame(spark: SparkSession, configs: list[dict]) -> DataFrame:
-    """The grid as rows, from literals."""
-    rows = [
+def _grid(configs: list[dict]) -> Column:
+    """The grid as an array of rows, from literals."""
+    return F.array(*[
         F.struct(F.lit(i).alias("config_id"), *[F.lit(float(v)).alias(k) for k, v in c.items()])
         for i, c in enumerate(configs)
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    ])
+
+
+def grid_frame(spark: SparkSession, configs: list[dict]) -> DataFrame:
+    """The grid as rows."""
+    return spark.range(1).select(F.inline(_grid(configs)))
 
 
 def _lagged_all(daily: DataFrame, keys: list[str], t: str, y: str, columns: list[str], horizons) -> DataFrame:
@@ -48,7 +52,8 @@ def tune(
     """Metrics and selection score of every configuration for every horizon.
 
     All stations, horizons, folds and configurations are one job. A configuration that fails to
-    solve has no rows here, and the others are not affected.
+    solve, or has no fold to be tested on, keeps its row, with NULL metrics and ``error`` set; the
+    others are not affected.
     """
     configs = configs or grid_configs()
     by = [*keys, "h"]
@@ -60,8 +65,13 @@ def tune(
     spread = frame.groupBy(*by).agg(F.stddev_samp("y").alias("std_y"))
     summary = cv_summary(cv, spread, [*by, "config_id"], by)
     scored = select_score(summary, schemas.LAMBDA_DEGRADATION, schemas.LAMBDA_SPREAD)
-    named = F.broadcast(grid_frame(daily.sparkSession, configs))  # a fixed, literal table
-    return scored.join(named, "config_id").withColumnRenamed("h", "horizon")
+    failed = models.where(F.col("error").isNotNull()).groupBy(*by, "config_id").agg(F.min("error").alias("_error"))
+    short = without_cutoffs(frame, by, "ds", F.col("h"), fraction=fraction).withColumnRenamed("reason", "_short")
+    asked = frame.select(*by).distinct().select(*by, F.inline(_grid(configs)))
+    found = F.lit(True).alias("_found")
+    rows = asked.join(scored.select("*", found), [*by, "config_id"], "left").join(failed, [*by, "config_id"], "left").join(short, by, "left")
+    error = F.when(F.col("_found").isNull(), F.coalesce("_error", "_short", F.lit("no test rows")))
+    return rows.withColumn("error", error).drop("_found", "_error", "_short").withColumnRenamed("h", "horizon")
 
 
 def refit_best(
@@ -74,7 +84,7 @@ def refit_best(
     basis = additive_basis(frame, keys, lag_names(columns, h))
     last = frame.where(F.col("y").isNotNull()).groupBy(*keys).agg(F.max("ds").alias("cutoff"))
     models = fit_additive(basis, last, keys, configs, len(columns)).where(F.col("error").isNull())
-    best = top_configs(results.where(F.col("horizon") == h), keys, 1).select(*keys, "config_id")
+    best = top_configs(results.where((F.col("horizon") == h) & F.col("error").isNull()), keys, 1).select(*keys, "config_id")
     return score(basis, models.join(best, [*keys, "config_id"]), keys, width)
 
 
@@ -107,10 +117,15 @@ def _text_map(columns: list[str]) -> Column:
 
 
 def model_runs(
-    results: DataFrame, on: list[str], params: list[str], metrics: list[str], tags: list[str]
+    results: DataFrame, on: list[str], params: list[str], metrics: list[str], tags: list[str],
+    trained_to: str | None = None,
 ) -> DataFrame:
-    """Append-only run log rows: parameter, metric and tag maps."""
-    run_id = F.sha2(F.concat_ws("|", *on, *[F.col(p).cast("string") for p in params]), 256)
+    """Append-only run log rows: parameter, metric and tag maps.
+
+    ``trained_to``, the last training day, tells runs of equal parameters on new data apart.
+    """
+    parts = [*on, *params, *([trained_to] if trained_to else [])]
+    run_id = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256)
     numbers = F.map_from_arrays(
         F.array(*[F.lit(m) for m in metrics]), F.array(*[F.col(m).cast("double") for m in metrics])
     )
@@ -120,10 +135,20 @@ def model_runs(
     )
 
 
-def register_runs(history: DataFrame, new_runs: DataFrame, on: list[str]) -> DataFrame:
-    """New runs with the next version number per model; the new version takes the alias."""
-    latest = history.groupBy(*on).agg(F.max("version").alias("_v"))
-    return new_runs.join(latest, on, "left").select(
-        *new_runs.columns, (F.coalesce("_v", F.lit(0)) + 1).alias("version"),
-        F.col("_v").alias("previous_version"), F.lit(True).alias("is_production"),
+def register_runs(history: DataFrame, new_runs: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """The run log with ``new_runs`` added: next version numbers per model, one production row each.
+
+    ``history`` has ``on`` and ``version``, and may lack other columns of a run. New runs are numbered in
+    the ``order`` given; the newest version of a model takes the production alias from the others.
+    """
+    both = history.withColumn("_new", F.lit(0)).unionByName(new_runs.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    model = Window.partitionBy(*on)
+    numbered = both.withColumns({
+        "_base": F.coalesce(F.max(F.when(F.col("_new") == 0, F.col("version"))).over(model), F.lit(0)),
+        "_at": F.row_number().over(Window.partitionBy(*on, "_new").orderBy(*order)),
+    }).withColumn("version", F.when(F.col("_new") == 1, F.col("_base") + F.col("_at")).otherwise(F.col("version")).cast("int"))
+    columns = [c for c in new_runs.columns if c not in ("version", "previous_version", "is_production")]
+    return numbered.select(
+        *columns, "version", F.lag("version").over(model.orderBy("version")).alias("previous_version"),
+        (F.col("version") == F.max("version").over(model)).alias("is_production"),
     )

@@ -14,6 +14,21 @@ from wellspan.session import scratch_path
 from wellspan.sources import chunks, feeds, panels, zones
 
 K = ["station"]
+WEATHER_SOURCE = {
+    "temperature_2m_max": "tmax", "precipitation_sum": "precip", "shortwave_radiation_sum": "radiation",
+    "et0_fao_evapotranspiration": "et0", "cloud_cover_mean": "cloud", "pressure_msl_mean": "pressure",
+    "wind_speed_10m_mean": "wind", "soil_moisture_0_to_100cm_mean": "soil_moist",
+    "soil_temperature_0_to_100cm_mean": "soil_temp",
+}
+_SQL_KINDS = {"double": "DOUBLE", "int": "INTEGER", "string": "VARCHAR", "bigint": "BIGINT"}
+
+
+def _weather_sql(names) -> str:
+    """The variables of the panel, NULL for those it lacks."""
+    return ", ".join(f"{WEATHER_SOURCE[v]} AS {v}" if v in WEATHER_SOURCE else f"CAST(NULL AS {_SQL_KINDS[schemas.WEATHER_VARIABLES[v]]}) AS {v}" for v in names)
+
+
+_KEPT_WEATHER = [v for v in schemas.WEATHER_VARIABLES if v not in (*schemas.WEATHER_DROP_SPARSE, *schemas.WEATHER_DROP_COLLINEAR)]
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +55,8 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weather panel in the shape of the weather feed, all variables present."""
     wx = panels.wx(spark, sf_dir)
-    source = {
-        "temperature_2m_max": "tmax", "precipitation_sum": "precip", "shortwave_radiation_sum": "radiation",
-        "et0_fao_evapotranspiration": "et0", "cloud_cover_mean": "cloud", "pressure_msl_mean": "pressure",
-        "wind_speed_10m_mean": "wind", "soil_moisture_0_to_100cm_mean": "soil_moist",
-        "soil_temperature_0_to_100cm_mean": "soil_temp",
-    }
     columns = [
-        (F.col(source[v]) if v in source else F.lit(None)).cast(kind).alias(v)
+        (F.col(WEATHER_SOURCE[v]) if v in WEATHER_SOURCE else F.lit(None)).cast(kind).alias(v)
         for v, kind in schemas.WEATHER_VARIABLES.items()
     ]
     return wx.select(
@@ -67,15 +76,10 @@ def obs_clean_daily(spark, sf_dir):
 
 
 @query("weather_clean_daily", f"""
-{with_(WX)} SELECT station AS code_bss, t AS date_index, tmax AS temperature_2m_max, precip AS precipitation_sum,
-       et0 AS et0_fao_evapotranspiration, soil_temp AS soil_temperature_0_to_100cm_mean FROM wx""")
+{with_(WX)} SELECT station AS code_bss, t AS date_index, {_weather_sql(_KEPT_WEATHER).replace('AS INTEGER', 'AS DOUBLE')} FROM wx""")
 def weather_clean_daily(spark, sf_dir):
     cleaned = clean.clean_weather(raw_weather(spark, sf_dir))
-    columns = [
-        "temperature_2m_max", "precipitation_sum", "et0_fao_evapotranspiration",
-        "soil_temperature_0_to_100cm_mean",
-    ]
-    return clean.daily_mean(cleaned, ["code_bss"], "date_index", columns)
+    return clean.daily_mean(cleaned, ["code_bss"], "date_index", _KEPT_WEATHER)
 
 
 @query("weather_left_join_obs", f"""
@@ -105,11 +109,10 @@ def obs_inner_weather(spark, sf_dir):
 SELECT c_custkey AS station, d.last_date,
        CASE WHEN d.last_date IS NULL THEN DATE '1995-01-01' ELSE CAST(d.last_date + INTERVAL 1 DAY AS DATE) END AS start_date
 FROM customer LEFT JOIN (
-  SELECT o_custkey, MAX(CAST(o_orderdate AS DATE)) AS last_date FROM orders
-  WHERE o_orderstatus = 'F' GROUP BY 1) d ON d.o_custkey = c_custkey""")
+  SELECT o_custkey, MAX(CAST(o_orderdate AS DATE)) AS last_date FROM orders GROUP BY 1) d ON d.o_custkey = c_custkey""")
 def last_dates_resume(spark, sf_dir):
     stations = panels.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("station"))
-    history = panels.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+    history = panels.table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("station"), F.to_date("o_orderdate").alias("t")
     )
     last = chunks.last_dates(history, K, "t")
@@ -142,22 +145,14 @@ def chunk_plan_missing(spark, sf_dir):
     return chunks.missing_chunks(chunk_plan(spark, sf_dir), landed, K).select("station", "year")
 
 
-def _status_levels(spark, sf_dir, status):
-    rows = panels.readings(spark, sf_dir).where(F.col("status") == status)
-    return rows.groupBy("station", "t").agg(F.max("level").alias("level"), F.lit(status).alias("batch"))
-
-
 @query("history_upsert_last", """
-WITH h AS (SELECT o_orderpriority AS station, CAST(o_orderdate AS DATE) AS t, MAX(o_totalprice) AS level FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
-n AS (SELECT o_orderpriority AS station, CAST(o_orderdate AS DATE) AS t, MAX(o_totalprice) AS level FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2)
-SELECT COALESCE(n.station, h.station) AS station, COALESCE(n.t, h.t) AS t,
-       CASE WHEN n.station IS NOT NULL THEN n.level ELSE h.level END AS level,
-       CASE WHEN n.station IS NOT NULL THEN 'O' ELSE 'F' END AS batch
-FROM h FULL JOIN n ON h.station = n.station AND h.t = n.t""")
+SELECT o_orderpriority AS station, CAST(o_orderdate AS DATE) AS t, o_orderkey AS seq, o_totalprice AS level, o_orderstatus AS status
+FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_orderpriority, CAST(o_orderdate AS DATE)
+  ORDER BY o_orderstatus = 'O' DESC, o_orderkey DESC) = 1""")
 def history_upsert_last(spark, sf_dir):
-    return clean.upsert_last(
-        _status_levels(spark, sf_dir, "F"), _status_levels(spark, sf_dir, "O"), ["station", "t"]
-    )
+    """Two raw deliveries with several rows a day: open orders are the newer one."""
+    rows = panels.readings(spark, sf_dir)
+    return clean.upsert_last(rows.where("status <> 'O'"), rows.where("status = 'O'"), ["station", "t"], ["seq"])
 
 
 @query("dedupe_first_reading", """
@@ -220,6 +215,24 @@ def conformed_daily(spark, sf_dir):
     return rows.select("station", "t", r6("level").alias("level"))
 
 
+# the first reading of a day by delivery; readings of status P have no level
+FIRST_READING = """(SELECT * EXCLUDE (rn) FROM (
+  SELECT o_orderpriority AS station, CAST(o_orderdate AS DATE) AS t, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS level,
+         ROW_NUMBER() OVER (PARTITION BY o_orderpriority, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS rn
+  FROM orders) WHERE rn = 1)"""
+
+
+def gappy_readings(spark, sf_dir):
+    """Raw readings, several a day, some without a level."""
+    return panels.readings(spark, sf_dir).withColumn("level", F.when(F.col("status") != "P", F.col("level"))).drop("status")
+
+
+@query("conformed_raw_readings", f"{with_(f'readings AS {FIRST_READING}', 'known AS (SELECT station, t, level FROM readings WHERE level IS NOT NULL)', _NEIGHBOURS.format(src='readings', known='known'))} {_LINE.replace('JOIN obs ', 'JOIN known ')}")
+def conformed_raw_readings(spark, sf_dir):
+    rows = clean.conform_daily(gappy_readings(spark, sf_dir), K, "t", ["level"], order=["seq"])
+    return rows.select("station", "t", r6("level").alias("level"))
+
+
 @query("forward_filled_daily", f"""
 {with_(MERGED)} SELECT m.station, m.t, {q6('''(SELECT o.level FROM merged o WHERE o.station = m.station AND o.t <= m.t
    AND o.level IS NOT NULL ORDER BY o.t DESC LIMIT 1)''')} AS level FROM merged m""")
@@ -314,13 +327,11 @@ def gap_stats(spark, sf_dir):
 
 @query("latest_preview", """
 SELECT strftime(t, '%Y-%m-%d') AS date, seq, level FROM (
-  SELECT CAST(o_orderdate AS DATE) AS t, MAX(o_orderkey) AS seq, MAX(o_totalprice) AS level FROM orders GROUP BY 1
-  ORDER BY 1 DESC LIMIT 50)""")
+  SELECT CAST(o_orderdate AS DATE) AS t, o_orderkey AS seq, o_totalprice AS level FROM orders
+  ORDER BY 1 DESC, level, seq LIMIT 50)""")
 def latest_preview(spark, sf_dir):
-    days = panels.readings(spark, sf_dir).groupBy(F.col("t").alias("date")).agg(
-        F.max("seq").alias("seq"), F.max("level").alias("level")
-    )
-    return zones.preview(days, "date", 50)
+    rows = panels.readings(spark, sf_dir).select(F.col("t").alias("date"), "seq", "level")
+    return zones.preview(rows, "date", 50)
 
 
 @query("station_list_text", """
@@ -359,8 +370,7 @@ def _by_station(key, order):
 
 
 @query("weather_documents", f"""
-{with_(WX)} SELECT station AS code_bss, t AS date, precip AS precipitation_sum, tmax AS temperature_2m_max,
-  CAST(NULL AS INTEGER) AS weather_code FROM wx""")
+{with_(WX)} SELECT station AS code_bss, t AS date, 45.0::DOUBLE AS latitude, 5.0::DOUBLE AS longitude, {_weather_sql(schemas.WEATHER_VARIABLES)} FROM wx""")
 def weather_documents(spark, sf_dir):
     """One document per station and year with parallel arrays, as the weather feed lands them."""
     wx = raw_weather(spark, sf_dir)
@@ -374,9 +384,7 @@ def weather_documents(spark, sf_dir):
     docs.select(
         F.to_json(F.struct("code_bss", "latitude", "longitude", daily.alias("daily")), {"ignoreNullFields": "false"}).alias("value")
     ).write.text(path)
-    return feeds.read_weather_docs(spark, path).select(
-        "code_bss", "date", "precipitation_sum", "temperature_2m_max", "weather_code"
-    )
+    return feeds.read_weather_docs(spark, path)
 
 
 @query("station_master", """
@@ -401,6 +409,15 @@ def zone_csv_roundtrip(spark, sf_dir):
     return zones.read_zone(spark, path, schemas.struct_of({"station": "string", "t": "date", "precip": "double", "level": "double"}), "csv")
 
 
+@query("zone_csv_nan", f"{with_(OBS)} SELECT station, COUNT(*) AS n, COUNT(level) AS n_level, {q6('AVG(level)')} AS mean_level FROM (SELECT station, CASE WHEN day(t) > 3 THEN level END AS level FROM obs) GROUP BY 1")
+def zone_csv_nan(spark, sf_dir):
+    """Readings of the first days of a month land as the text NaN, which is read as missing."""
+    rows = panels.obs(spark, sf_dir).withColumn("level", F.when(F.dayofmonth("t") > 3, F.col("level")).otherwise(F.lit(float("nan"))))
+    path = zones.write_zone(rows, scratch_path(spark, "zone-nan"), fmt="csv")
+    back = zones.read_zone(spark, path, schemas.struct_of({"station": "string", "t": "date", "level": "double"}), "csv")
+    return back.groupBy("station").agg(F.count("*").alias("n"), F.count("level").alias("n_level"), r6(F.avg("level")).alias("mean_level"))
+
+
 @query("zone_parquet_by_year", f"{with_(OBS)} SELECT station, t, level, CAST(year(t) AS INTEGER) AS year FROM obs WHERE year(t) >= 1999")
 def zone_parquet_by_year(spark, sf_dir):
     rows = panels.obs(spark, sf_dir).withColumn("year", F.year("t"))

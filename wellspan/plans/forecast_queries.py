@@ -420,14 +420,25 @@ def resolve_params(spark, sf_dir):
     return tuning.resolve_params(targets, production, tuned, ["model"])
 
 
+# the rule: versions go on from the highest one, the highest of a station is in production
+_RUNS_SQL = f""", runs AS (
+  SELECT station, NULL AS model, NULL AS run_id, NULL AS metric_rmse, NULL AS tag_horizon, version FROM old UNION ALL
+  SELECT s.station, s.model, sha256(s.station || '|' || s.model || '|' || CAST(l.last_day AS VARCHAR)), {q6('s.rmse', 3)}, '14',
+    COALESCE((SELECT MAX(version) FROM old o WHERE o.station = s.station), 0) + (SELECT COUNT(*) FROM sm b WHERE b.station = s.station AND b.model <= s.model)
+  FROM sm s JOIN (SELECT station, MAX(t) AS last_day FROM obs GROUP BY 1) l ON l.station = s.station)
+SELECT station, model, run_id, model AS param_model, metric_rmse, tag_horizon, CAST(version AS INTEGER) AS version,
+  CAST((SELECT MAX(version) FROM runs b WHERE b.station = a.station AND b.version < a.version) AS INTEGER) AS previous_version,
+  NOT EXISTS (SELECT 1 FROM runs b WHERE b.station = a.station AND b.version > a.version) AS is_production FROM runs a"""
+
+
 @query("model_runs_registered", f"""WITH {_naive_sql(14)}, {_SUMMARY}, old AS (SELECT DISTINCT station, 3 AS version FROM sm WHERE station < '3')
-SELECT s.station, s.model, sha256(s.station || '|' || s.model) AS run_id, s.model AS param_model, {q6('s.rmse', 3)} AS metric_rmse, '14' AS tag_horizon,
-  CASE WHEN s.station < '3' THEN 4 ELSE 1 END AS version, CASE WHEN s.station < '3' THEN 3 END AS previous_version, true AS is_production FROM sm s""")
+{_RUNS_SQL}""")
 def model_runs_registered(spark, sf_dir):
-    results = reuse(_summary(spark, sf_dir).withColumn("horizon", F.lit(14)))
-    runs = tuning.model_runs(results, K, ["model"], ["rmse", "mae"], ["horizon"])
+    ends = panels.obs(spark, sf_dir).groupBy("station").agg(F.max("t").alias("last_day"))
+    results = reuse(_summary(spark, sf_dir).withColumn("horizon", F.lit(14)).join(ends, "station"))
+    runs = tuning.model_runs(results, K, ["model"], ["rmse", "mae"], ["horizon"], trained_to="last_day")
     history = results.where("station < '3'").select("station", F.lit(3).alias("version")).distinct()
-    out = tuning.register_runs(history, runs, K)
+    out = tuning.register_runs(history, runs, K, [F.col("params")["model"]])
     return out.select(
         "station", F.col("params")["model"].alias("model"), "run_id", F.col("params")["model"].alias("param_model"),
         r6(F.col("metrics")["rmse"], 3).alias("metric_rmse"), F.col("tags")["horizon"].alias("tag_horizon"),

@@ -11,6 +11,7 @@ from wellspan.operators.clean import conform_daily, with_water_balance
 from wellspan.plans.registry import (
     MERGED, MONTHLY_LEVEL, OBS, SPLI, WX, calendar, months, ppf_sql, q6, query, r6, score_sql, with_,
 )
+from wellspan.plans.daily_queries import FIRST_READING, gappy_readings
 from wellspan.plans.features import feature_table as build_feature_table
 from wellspan.plans.reports import drought_report as build_drought_report
 from wellspan.session import reuse
@@ -86,24 +87,23 @@ def index_panel_scales(spark, sf_dir):
 
 
 @query("index_panel_wide", f"""WITH {PANEL_SQL} SELECT station, month,
-  {', '.join(f"{q6(f'''MAX(CASE WHEN index_name = '{n}' AND scale = {k} THEN z END)''')} AS {n}_{k}" for n in ('SPLI', 'SPI', 'SPEI') for k in (1, 12))}
+  {', '.join(f"{q6(f'''MAX(CASE WHEN index_name = '{n}' AND scale = {k} THEN z END)''')} AS {n}_{k}" for n in NAMES for k in schemas.SCALES)}
 FROM panel GROUP BY 1, 2""")
 def index_panel_wide(spark, sf_dir):
-    names = [f"{n}-{k}" for n in ("SPLI", "SPI", "SPEI") for k in (1, 12)]
+    names = [f"{n}-{k}" for n in NAMES for k in schemas.SCALES]
     wide = indices.pivot_panel(panel_of(spark, sf_dir), K, names)
     return wide.select("station", "month", *[r6(F.col(f"`{n}`")).alias(n.replace("-", "_")) for n in names])
 
 
 @query("index_broadcast_daily", f"""WITH {PANEL_SQL},
-j AS (SELECT d.station, d.t, {', '.join(f"(SELECT z FROM panel p WHERE p.station = d.station AND p.month = CAST(date_trunc('month', d.t) AS DATE) AND p.index_name = '{n}' AND p.scale = 3) AS {n}" for n in ('SPLI', 'SPI'))} FROM mb d)
-SELECT station, t, {', '.join(f"{q6(f'COALESCE({n}, AVG({n}) OVER (PARTITION BY station))')} AS {n}" for n in ('SPLI', 'SPI'))} FROM j""")
+j AS (SELECT d.station, d.t, {', '.join(f"(SELECT z FROM panel p WHERE p.station = d.station AND p.month = CAST(date_trunc('month', d.t) AS DATE) AND p.index_name = '{n}' AND p.scale = 3) AS {n}" for n in NAMES)} FROM mb d)
+SELECT station, t, {', '.join(f"{q6(f'COALESCE({n}, AVG({n}) OVER (PARTITION BY station))')} AS {n}" for n in NAMES)} FROM j""")
 def index_broadcast_daily(spark, sf_dir):
     daily = reuse(merged_balance(spark, sf_dir))
-    names = ["SPLI", "SPI"]
-    panel = indices.index_panel(daily, K, "t", [s for s in PANEL if s.name in names], (3,))
-    wide = indices.pivot_panel(panel, K, names, scale=3)
-    out = indices.attach_indices(daily.select("station", "t"), wide, K, "t", names)
-    return out.select("station", "t", *[r6(n).alias(n) for n in names])
+    panel = indices.index_panel(daily, K, "t", PANEL, (3,))
+    wide = indices.pivot_panel(panel, K, NAMES, scale=3)
+    out = indices.attach_indices(daily.select("station", "t"), wide, K, "t", NAMES)
+    return out.select("station", "t", *[r6(n).alias(n) for n in NAMES])
 
 
 @query("causal_index_asof", f"""WITH {SPLI},
@@ -131,11 +131,15 @@ def index_forward_filled_asof(spark, sf_dir):
   (1e9, false, 'Extremely wet', '#053061'))
 SELECT s.station, s.month,
   (SELECT arg_min(label, b) FROM lim WHERE s.z < b OR (incl AND s.z = b)) AS label,
-  (SELECT arg_min(color, b) FROM lim WHERE s.z < b OR (incl AND s.z = b)) AS color FROM spli s""")
+  (SELECT arg_min(color, b) FROM lim WHERE s.z < b OR (incl AND s.z = b)) AS color,
+  (SELECT arg_min(label, b) FROM lim WHERE 2.2 * s.z < b OR (incl AND 2.2 * s.z = b)) AS label_stretched,
+  (SELECT arg_min(color, b) FROM lim WHERE 2.2 * s.z < b OR (incl AND 2.2 * s.z = b)) AS color_stretched FROM spli s""")
 def severity_labels(spark, sf_dir):
-    z = F.col("z")
+    """Labels of the index, and of the index stretched until all seven classes occur."""
+    z, wide = F.col("z"), F.col("z") * 2.2
     return level_index(spark, sf_dir).select(
-        "station", "month", severity_label(z).alias("label"), severity_color(z).alias("color")
+        "station", "month", severity_label(z).alias("label"), severity_color(z).alias("color"),
+        severity_label(wide).alias("label_stretched"), severity_color(wide).alias("color_stretched"),
     )
 
 
@@ -207,16 +211,16 @@ def _level_panel_sql() -> str:
         f"""SELECT station, month, {k} AS scale, CASE WHEN COUNT(value) OVER w{k} = {k} THEN AVG(value) OVER w{k} END AS value FROM monthly
 WINDOW w{k} AS (PARTITION BY station ORDER BY month ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)""" for k in schemas.SCALES
     )
-    return f"{OBS}, {MONTHLY_LEVEL}, scaled AS ({acc}), {score_sql('scaled', 'lp', 'station, scale')}, {_events_sql('lp', -1.5, 'below', 1, 'station, scale')}"
+    return f"{OBS}, {MONTHLY_LEVEL}, scaled AS ({acc}), {score_sql('scaled', 'lp', 'station, scale')}, {_events_sql('lp', -1.0, 'below', 1, 'station, scale')}"
 
 
 @query("event_extremes_by_scale", f"""WITH {_level_panel_sql()},
 x AS (SELECT *, 'longest' AS kind FROM ev QUALIFY ROW_NUMBER() OVER (PARTITION BY station, scale ORDER BY duration_m DESC, start) = 1
  UNION ALL SELECT *, 'most_intense' FROM ev QUALIFY ROW_NUMBER() OVER (PARTITION BY station, scale ORDER BY peak, start) = 1)
 SELECT station, CAST(scale AS INTEGER) AS scale, kind, start, "end", duration_m, peak, severity + 0.0 AS severity,
-  CASE WHEN peak <= -2 THEN 'Extreme drought' WHEN peak <= -1.5 THEN 'Severe drought' END AS severity_class FROM x""")
+  CASE WHEN peak <= -2 THEN 'Extreme drought' WHEN peak <= -1.5 THEN 'Severe drought' WHEN peak <= -1 THEN 'Moderate drought' END AS severity_class FROM x""")
 def event_extremes_by_scale(spark, sf_dir):
-    report = build_drought_report(panels.obs(spark, sf_dir), K, "t", "level")
+    report = build_drought_report(panels.obs(spark, sf_dir), K, "t", "level", threshold=-1.0)
     return report.select("station", "scale", "kind", "start", "end", "duration_m", "peak", "severity", "severity_class")
 
 
@@ -246,20 +250,20 @@ def doy_percentile_ring(spark, sf_dir):
     return rows.withColumn("threshold", r6("threshold"))
 
 
-@query("heatwave_days", f"WITH {_HEAT.format(n=2)} SELECT station, t, tmax, {q6('threshold')} AS threshold, hot, heatwave FROM hw")
+@query("heatwave_days", f"WITH {_HEAT.format(n=3)} SELECT station, t, tmax, {q6('threshold')} AS threshold, hot, heatwave FROM hw")
 def heatwave_days(spark, sf_dir):
     daily = reuse(panels.wx(spark, sf_dir).select("station", "t", "tmax"))
-    return events.heatwave_days(daily, K, "t", "tmax", min_days=2).withColumn("threshold", r6("threshold"))
+    return events.heatwave_days(daily, K, "t", "tmax", min_days=3).withColumn("threshold", r6("threshold"))
 
 
-_COMPOUND = f"""WITH {SPLI}, {_HEAT.format(n=2)},
+_COMPOUND = f"""WITH {SPLI}, {_HEAT.format(n=3)},
 hm AS (SELECT station, CAST(date_trunc('month', t) AS DATE) AS month, bool_or(heatwave) AS heatwave, COUNT(*) FILTER (heatwave) AS heatwave_days FROM hw GROUP BY 1, 2),
 comp AS (SELECT s.station, s.month, COALESCE(s.z < -1, false) AS drought, hm.heatwave, hm.heatwave_days FROM spli s JOIN hm ON hm.station = s.station AND hm.month = s.month)"""
 
 
 def _compound(spark, sf_dir):
     wx = reuse(panels.wx(spark, sf_dir).select("station", "t", "tmax"))
-    months_ = events.heatwave_months(events.heatwave_days(wx, K, "t", "tmax", min_days=2), K, "t")
+    months_ = events.heatwave_months(events.heatwave_days(wx, K, "t", "tmax", min_days=3), K, "t")
     return events.compound_months(level_index(spark, sf_dir), months_, K)
 
 
@@ -290,8 +294,7 @@ _PAIRS = f"""WITH {PANEL_SQL}, pairs AS (SELECT d.station, d.index_name AS drive
 
 
 def _profile(spark, sf_dir):
-    panel = panel_of(spark, sf_dir, (1,))
-    pairs = lagcorr.index_driver_pairs(panel, K, "SPLI")
+    pairs = lagcorr.index_driver_pairs(panel_of(spark, sf_dir, (1,)), K, "SPLI")
     return lagcorr.cross_correlation(pairs, ["station", "driver"], "month", "value", "response")
 
 
@@ -307,22 +310,36 @@ def best_recharge_lag(spark, sf_dir):
     return lagcorr.best_lag(_profile(spark, sf_dir), ["station", "driver"]).withColumn("r", r6("r"))
 
 
-_RAW_AGG = {"radiation": "sum", "et0": "sum", "cloud": "mean", "wind": "mean", "soil_temp": "mean", "p_cum": "last"}
-_RAW = f"""WITH {MERGED}, md AS (SELECT *, SUM(precip) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS s30,
-  COUNT(precip) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS n30 FROM merged),
-me AS (SELECT *, CASE WHEN n30 = 30 THEN s30 END AS p_cum FROM md), {months('me')},
-w AS (SELECT s.station, s.month, AVG(level) AS response, COALESCE(SUM(radiation), 0) AS radiation, COALESCE(SUM(et0), 0) AS et0, AVG(cloud) AS cloud, AVG(wind) AS wind,
-  AVG(soil_temp) AS soil_temp, arg_max(p_cum, t) FILTER (p_cum IS NOT NULL) AS p_cum
-  FROM cal_m s LEFT JOIN me m ON m.station = s.station AND CAST(date_trunc('month', m.t) AS DATE) = s.month GROUP BY 1, 2),
-pairs AS (SELECT station, month, driver, value, response FROM w UNPIVOT INCLUDE NULLS (value FOR driver IN (radiation, et0, cloud, wind, soil_temp, p_cum))),
+# the fixed map of raw drivers under the panel's column names
+_PANEL_NAME = {"shortwave_radiation_sum": "radiation", "et0_fao_evapotranspiration": "et0", "cloud_cover_mean": "cloud",
+               "wind_speed_10m_mean": "wind", "soil_temperature_0_to_100cm_mean": "soil_temp"}
+_RAW_AGG = {_PANEL_NAME.get(c, c): how for c, how in schemas.DRIVER_AGG.items()}
+
+
+def _rolled_driver(name: str, source: str, n: int, how: str) -> str:
+    w = f"(PARTITION BY station ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN COUNT({source}) OVER {w} = {n} THEN {how}({source}) OVER {w} END AS {name}"
+
+
+_ROLLED = [("P_cum_30d", "precip", 30, "SUM"), ("P_cum_90d", "precip", 90, "SUM"), ("Peff_cum_30d", "Peff", 30, "SUM"),
+           ("Peff_cum_90d", "Peff", 90, "SUM"), ("Temperature_mean_90d", "soil_temp", 90, "AVG")]
+_MONTH_VALUE = {"sum": "COALESCE(SUM({c}), 0)", "mean": "AVG({c})", "last": "arg_max({c}, m.t) FILTER ({c} IS NOT NULL)"}
+_RAW = f"""WITH {MERGED}, mb AS (SELECT *, precip - et0 AS Peff FROM merged),
+md AS (SELECT *, {', '.join(_rolled_driver(*r) for r in _ROLLED)} FROM mb),
+me AS (SELECT * REPLACE (round_even(Temperature_mean_90d, 2) AS Temperature_mean_90d,
+  {', '.join(f"COALESCE({n}, FIRST_VALUE({n} IGNORE NULLS) OVER w) AS {n}" for n, *_ in _ROLLED[:4])}) FROM md
+  WINDOW w AS (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+mf AS (SELECT * REPLACE (COALESCE(Temperature_mean_90d, FIRST_VALUE(Temperature_mean_90d IGNORE NULLS) OVER w) AS Temperature_mean_90d) FROM me
+  WINDOW w AS (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), {months('mf')},
+w AS (SELECT s.station, s.month, AVG(level) AS response, {', '.join(f"{_MONTH_VALUE[how].format(c=c)} AS {c}" for c, how in _RAW_AGG.items())}
+  FROM cal_m s LEFT JOIN mf m ON m.station = s.station AND CAST(date_trunc('month', m.t) AS DATE) = s.month GROUP BY 1, 2),
+pairs AS (SELECT station, month, driver, value, response FROM w UNPIVOT INCLUDE NULLS (value FOR driver IN ({', '.join(_RAW_AGG)}))),
 {_ccf_sql('pairs', 'station, driver', 6)}"""
 
 
 @query("ccf_raw_drivers", f"{_RAW} SELECT station, driver, lag, {q6('r')} AS r FROM prof")
 def ccf_raw_drivers(spark, sf_dir):
-    from pyspark.sql import Window
-    w = Window.partitionBy("station").orderBy("t")
-    daily = panels.merged(spark, sf_dir).withColumn("p_cum", rolling.rolling_sum(F.col("precip"), 30, w))
+    daily = rolling.water_balance_features(panels.merged(spark, sf_dir), K, "t", "precip", "et0", "soil_temp")
     pairs = lagcorr.raw_driver_pairs(daily, K, "t", "level", _RAW_AGG)
     return lagcorr.cross_correlation(pairs, ["station", "driver"], "month", "value", "response", 6).withColumn("r", r6("r"))
 
@@ -345,16 +362,22 @@ merged AS (SELECT n.* EXCLUDE (level, t0, t1), n.level IS NOT NULL AS is_observe
   FROM ln n LEFT JOIN raw a ON a.station = n.station AND a.t = n.t0 LEFT JOIN raw b ON b.station = n.station AND b.t = n.t1)"""
 
 
-def _first_filled(column: str, n: int) -> str:
+ROLLED_FEATURES = ["P_cum_30d", "P_cum_90d", "Peff_cum_30d", "Peff_cum_90d", "Temperature_mean_30d", "Temperature_mean_90d"]
+
+
+def _first_filled(name: str) -> str:
+    source = "precip" if name.startswith("P_") else "Peff" if name.startswith("Peff") else "soil_temp"
+    n, how = int(name[-3:-1]), "AVG" if "mean" in name else "SUM"
     w = f"(PARTITION BY station ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return f"CASE WHEN COUNT({column}) OVER {w} = {n} THEN SUM({column}) OVER {w} END"
+    value = f"CASE WHEN COUNT({source}) OVER {w} = {n} THEN {how}({source}) OVER {w} END"
+    return f"{f'round_even({value}, 2)' if how == 'AVG' else value} AS {name}"
 
 
 _FEATURE_SQL = f"""WITH {_panel_sql(_CONFORMED)},
-f AS (SELECT *, {_first_filled('precip', 90)} AS p90, {_first_filled('Peff', 30)} AS e30 FROM mb),
+f AS (SELECT *, {', '.join(map(_first_filled, ROLLED_FEATURES))} FROM mb),
 z AS (SELECT f.*, {', '.join(f"(SELECT p.z FROM panel p WHERE p.station = f.station AND p.scale = 1 AND p.index_name = '{n}' AND p.month = CAST(date_trunc('month', f.t) AS DATE)) AS z_{n}" for n in NAMES)} FROM f)
 SELECT station AS code_bss, t AS date_index, is_observed, {q6('level', 3)} AS niveau_nappe_eau,
-  {q6('COALESCE(p90, FIRST_VALUE(p90 IGNORE NULLS) OVER w)', 3)} AS P_cum_90d, {q6('COALESCE(e30, FIRST_VALUE(e30 IGNORE NULLS) OVER w)', 3)} AS Peff_cum_30d,
+  {', '.join(f"{q6(f'COALESCE({n}, FIRST_VALUE({n} IGNORE NULLS) OVER w)', 3)} AS {n}" for n in ROLLED_FEATURES)},
   {', '.join(f"{q6(f'COALESCE(z_{n}, AVG(z_{n}) OVER (PARTITION BY station))')} AS {n}" for n in NAMES)}
 FROM z WINDOW w AS (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
 
@@ -362,8 +385,18 @@ FROM z WINDOW w AS (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECE
 @query("daily_feature_table", _FEATURE_SQL)
 def daily_feature_table(spark, sf_dir):
     named = panels.named(panels.merged(spark, sf_dir))
-    table = build_feature_table(named, ["code_bss"], "date_index")
+    return _feature_columns(build_feature_table(named, ["code_bss"], "date_index"))
+
+
+def _feature_columns(table):
     return table.select(
         "code_bss", "date_index", "is_observed",
-        *[r6(c, 3).alias(c) for c in ("niveau_nappe_eau", "P_cum_90d", "Peff_cum_30d")], *[r6(n).alias(n) for n in NAMES],
+        *[r6(c, 3).alias(c) for c in ("niveau_nappe_eau", *ROLLED_FEATURES)], *[r6(n).alias(n) for n in NAMES],
     )
+
+
+@query("feature_table_raw_readings", _FEATURE_SQL.replace(OBS, f"obs AS {FIRST_READING}"))
+def feature_table_raw_readings(spark, sf_dir):
+    """The feature table from readings as they land: several a day, some without a level."""
+    rows = panels.wx(spark, sf_dir).join(gappy_readings(spark, sf_dir), ["station", "t"], "left")
+    return _feature_columns(build_feature_table(panels.named(rows), ["code_bss"], "date_index", order=["seq"]))

@@ -38,23 +38,27 @@ def value_counts_desc(spark, sf_dir):
     return quality.value_counts(panels.readings(spark, sf_dir), ["station", "status"])
 
 
-@query("null_profile", f"""
-{with_(MERGED)} SELECT station, 'level' AS "column", COUNT(*) AS n_rows, COUNT(*) - COUNT(level) AS n_null, 100.0::DOUBLE * (COUNT(*) - COUNT(level)) / COUNT(*) AS pct_null FROM merged GROUP BY 1
-UNION ALL SELECT station, 'precip', COUNT(*), COUNT(*) - COUNT(precip), 100.0::DOUBLE * (COUNT(*) - COUNT(precip)) / COUNT(*) FROM merged GROUP BY 1""")
+_PROFILE = " UNION ALL ".join(
+    f"""SELECT station, '{c}' AS "column", COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_null, 100.0::DOUBLE * (COUNT(*) - COUNT({c})) / COUNT(*) AS pct_null
+  FROM merged GROUP BY 1""" for c in ("level", *WX_COLUMNS)
+)
+
+
+@query("null_profile", f"{with_(MERGED)} {_PROFILE}")
 def null_profile(spark, sf_dir):
-    return quality.null_profile(panels.merged(spark, sf_dir), ["level", "precip"], K)
+    return quality.null_profile(panels.merged(spark, sf_dir), ["level", *WX_COLUMNS], K)
 
 
 _DESCRIBE = " UNION ALL ".join(
     f"""SELECT station, '{c}' AS "column", COUNT({c}) AS n, {q6(f'AVG({c})', 4)} AS mean, {q6(f'STDDEV_SAMP({c})', 4)} AS std,
   CAST(MIN({c}) AS DOUBLE) AS min, {q6(f'quantile_cont({c}, 0.25)', 4)} AS q25, {q6(f'quantile_cont({c}, 0.5)', 4)} AS q50,
-  {q6(f'quantile_cont({c}, 0.75)', 4)} AS q75, CAST(MAX({c}) AS DOUBLE) AS max FROM merged GROUP BY 1""" for c in ("level", "precip", "soil_temp")
+  {q6(f'quantile_cont({c}, 0.75)', 4)} AS q75, CAST(MAX({c}) AS DOUBLE) AS max FROM merged GROUP BY 1""" for c in ("level", *WX_COLUMNS)
 )
 
 
 @query("describe_exact", f"{with_(MERGED)} {_DESCRIBE}")
 def describe_exact(spark, sf_dir):
-    rows = quality.describe(panels.merged(spark, sf_dir), K, ["level", "precip", "soil_temp"])
+    rows = quality.describe(panels.merged(spark, sf_dir), K, ["level", *WX_COLUMNS])
     return rows.withColumns({c: r6(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
@@ -73,7 +77,7 @@ def _corr_sql(a: str, b: str, src: str) -> str:
     return f"""(SELECT covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0) FROM {src} WHERE {both})"""
 
 
-_CORR_COLUMNS = ["level", "precip", "et0", "soil_temp", "radiation"]
+_CORR_COLUMNS = ["level", *WX_COLUMNS]
 _MATRIX = " UNION ALL ".join(
     f"SELECT '{a}' AS var1, '{b}' AS var2, {_corr_sql(a, b, 'merged')} AS r" for a in _CORR_COLUMNS for b in _CORR_COLUMNS
 )
@@ -99,13 +103,13 @@ def collinear_report(spark, sf_dir):
 
 _WITH = " UNION ALL ".join(
     f"SELECT station, '{c}' AS \"column\", covar_samp({c}, level) / nullif(stddev_samp({c}) FILTER (level IS NOT NULL) * stddev_samp(level), 0) AS r FROM merged GROUP BY 1"
-    for c in ("precip", "et0", "soil_temp")
+    for c in WX_COLUMNS
 )
 
 
 @query("corr_with_target", f"{with_(MERGED)} SELECT station, \"column\", {q6('r')} AS r FROM ({_WITH})")
 def corr_with_target(spark, sf_dir):
-    rows = quality.corr_with(panels.merged(spark, sf_dir), ["precip", "et0", "soil_temp"], "level", K)
+    rows = quality.corr_with(panels.merged(spark, sf_dir), WX_COLUMNS, "level", K)
     return rows.withColumn("r", r6("r"))
 
 
@@ -121,18 +125,22 @@ def duplicate_dates(spark, sf_dir):
     return quality.duplicate_dates(panels.readings(spark, sf_dir), K, "t")
 
 
-@query("kpis", f"""WITH {SPLI}, {_events_sql('spli', -1.5, 'below', 1)}
+@query("kpis", f"""WITH {SPLI}, {_events_sql('spli', -1.0, 'below', 1)}
 SELECT o.station, COUNT(*) AS n_records, MIN(o.t) AS first_day, MAX(o.t) AS last_day,
   (SELECT COUNT(z) FROM spli s WHERE s.station = o.station) AS n_months, (SELECT COUNT(*) FROM ev e WHERE e.station = o.station) AS n_events
 FROM obs o GROUP BY 1""")
 def kpis(spark, sf_dir):
-    return analysis_extract(reuse(panels.obs(spark, sf_dir)), K, "t", "level")
+    return analysis_extract(reuse(panels.obs(spark, sf_dir)), K, "t", "level", threshold=-1.0)
+
+
+_SCATTER = " UNION ALL ".join(
+    f"SELECT station, t, level, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM merged WHERE level IS NOT NULL AND {c} IS NOT NULL" for c in WX_COLUMNS
+)
 
 
-@query("level_feature_pairs", f"""{with_(MERGED)} SELECT station, t, level, 'precip' AS feature, precip AS value FROM merged WHERE level IS NOT NULL
-UNION ALL SELECT station, t, level, 'tmax', tmax FROM merged WHERE level IS NOT NULL""")
+@query("level_feature_pairs", f"{with_(MERGED)} {_SCATTER}")
 def level_feature_pairs(spark, sf_dir):
-    return pairs_of(panels.merged(spark, sf_dir), K, "t", "level", ["precip", "tmax"])
+    return pairs_of(panels.merged(spark, sf_dir), K, "t", "level", WX_COLUMNS)
 
 
 @query("recent_window", f"{with_(OBS)} SELECT station, t, level FROM obs o WHERE t >= (SELECT MAX(t) - 220 FROM obs p WHERE p.station = o.station)")
@@ -142,10 +150,10 @@ def recent_window(spark, sf_dir):
 
 @query("split_overlap", """SELECT COUNT(*) AS n_overlap FROM (
   SELECT o_orderpriority, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'F'
-  INTERSECT SELECT o_orderpriority, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'O')""")
+  INTERSECT SELECT o_orderpriority, CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus <> 'F')""")
 def split_overlap(spark, sf_dir):
     rows = panels.readings(spark, sf_dir)
-    return joins.overlap_count(rows.where("status = 'F'"), rows.where("status = 'O'"), ["station", "t"])
+    return joins.overlap_count(rows.where("status = 'F'"), rows.where("status <> 'F'"), ["station", "t"])
 
 
 @query("aligned_months", f"""WITH {SPLI}, r AS (SELECT o_orderpriority AS station, CAST(date_trunc('month', l_shipdate) AS DATE) AS month,

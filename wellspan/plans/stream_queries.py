@@ -49,15 +49,17 @@ def stream_sliding_30d(spark, sf_dir):
 
 @query("stream_upsert_last", """
 SELECT user_id, t, event_id, value FROM (SELECT user_id, CAST(ts AS DATE) AS t, event_id, value,
-  ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1""")
+  ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id % 2 DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def stream_upsert_last(spark, sf_dir):
-    """Latest reading per user and day, merged batch by batch; run twice, the second run adds nothing."""
-    reader = spark.readStream.schema(jobs.T.StructType(jobs.EVENT_FIELDS)).parquet(_landed(sf_dir))
-    rows = reader.select("user_id", F.to_date("ts").alias("t"), "event_id", "value")
+    """Latest reading per user and day. The events land as two deliveries, merged one after the other."""
+    landed = scratch_path(spark, "landed")
+    events = spark.read.schema(jobs.T.StructType(jobs.EVENT_FIELDS)).parquet(_landed(sf_dir))
     path, checkpoint = scratch_path(spark, "history"), scratch_path(spark, "history-progress")
-    for _ in range(2):
+    for part in (0, 1):
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(landed)
+        rows = spark.readStream.schema(events.schema).parquet(landed).select("user_id", F.to_date("ts").alias("t"), "event_id", "value")
         jobs.upsert_stream(rows, path, checkpoint, "user_id", "t", ["event_id"])
-    return spark.read.parquet(path).select("user_id", "t", "event_id", "value")
+    return jobs.read_history(spark, path, rows.schema).select("user_id", "t", "event_id", "value")
 
 
 @query("stream_high_water_mark", "SELECT user_id, MAX(CAST(ts AS DATE)) AS last_date FROM events GROUP BY 1")
@@ -66,21 +68,21 @@ def stream_high_water_mark(spark, sf_dir):
     rows = reader.select("user_id", F.to_date("ts").alias("t"), "event_id", "value")
     path = scratch_path(spark, "history")
     jobs.upsert_stream(rows, path, scratch_path(spark, "history-progress"), "user_id", "t", ["event_id"])
-    return jobs.high_water_mark(spark, path, "user_id", "t")
+    return jobs.high_water_mark(spark, path, rows.schema, "user_id", "t")
 
 
 @query("stream_event_runs", f"""
 WITH d AS (SELECT event_type AS station, CAST(ts AS DATE) AS t, AVG(value) AS m FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY 1, 2),
-n AS (SELECT *, m > 10 AS hit, ROW_NUMBER() OVER (PARTITION BY station ORDER BY t) AS rn, MAX(t) OVER (PARTITION BY station) AS last_day FROM d),
+n AS (SELECT *, m > 50 AS hit, ROW_NUMBER() OVER (PARTITION BY station ORDER BY t) AS rn, MAX(t) OVER (PARTITION BY station) AS last_day FROM d),
 g AS (SELECT *, rn - ROW_NUMBER() OVER (PARTITION BY station, hit ORDER BY t) AS grp FROM n)
-SELECT station, MIN(t) AS start, MAX(t) AS "end", COUNT(*) AS duration, {q6('MAX(m)')} AS peak, {q6('SUM(m - 10)')} AS severity
+SELECT station, MIN(t) AS start, MAX(t) AS "end", COUNT(*) AS duration, {q6('MAX(m)')} AS peak, {q6('SUM(m - 50)')} AS severity
 FROM g WHERE hit GROUP BY station, grp, last_day HAVING MAX(t) < last_day""")
 def stream_event_runs(spark, sf_dir):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = jobs.run_to_files(jobs.event_runs_stream(_stream(spark, sf_dir), 10.0), "runs")
+        out = jobs.run_to_files(jobs.event_runs_stream(_stream(spark, sf_dir), 50.0), "runs")
     finally:
         spark.conf.set(provider, before)
     return out.withColumns({"peak": r6("peak"), "severity": r6("severity")})

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wellspan import schemas
 from wellspan.functions.dates import as_date
+from wellspan.operators.clean import nan_to_null
 
 
 def read_obs_pages(
@@ -23,8 +24,8 @@ def read_obs_pages(
     pages = spark.read.schema(schemas.page_schema(schema)).option("multiLine", multi_line).json(path)
     if with_source:
         pages = pages.withColumn("source_file", F.col("_metadata.file_path"))
-        return pages.select("source_file", F.inline("data"))
-    return pages.select(F.inline("data"))
+        return nan_to_null(pages.select("source_file", F.inline("data")))
+    return nan_to_null(pages.select(F.inline("data")))
 
 
 def read_weather_docs(
@@ -37,7 +38,7 @@ def read_weather_docs(
     kinds = variables or schemas.WEATHER_VARIABLES
     docs = spark.read.schema(schemas.weather_doc_schema(kinds)).option("multiLine", multi_line).json(path)
     columns = [F.col("daily.time").alias("time")] + [F.col(f"daily.{v}").alias(v) for v in kinds]
-    return (
+    return nan_to_null(
         docs.select("code_bss", "latitude", "longitude", F.arrays_zip(*columns).alias("days"))
         .select("code_bss", "latitude", "longitude", F.inline("days"))
         .select(

@@ -6,17 +6,19 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from wellspan.operators.clean import nan_to_null, sortable
+
 
 def read_zone(
     spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    """Zone table; CSV needs a declared schema, empty fields become NULL."""
+    """Zone table; CSV needs a declared schema, empty fields and NaN become NULL."""
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV zone needs a schema")
-        return spark.read.schema(schema).option("header", True).csv(path)
+        return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.format(fmt).load(path)
+    return nan_to_null(reader.format(fmt).load(path))
 
 
 def write_zone(
@@ -58,8 +60,11 @@ def load_history(spark: SparkSession, *paths: str) -> tuple[DataFrame, ...]:
 
 
 def preview(df: DataFrame, t: str = "date", n: int = 50) -> DataFrame:
-    """The last ``n`` rows by date, date shown as text (a top-n, never a full sort)."""
-    return df.orderBy(F.col(t).desc()).limit(n).withColumn(t, F.date_format(t, "yyyy-MM-dd"))
+    """The last ``n`` rows by date, date shown as text (a top-n, never a full sort).
+
+    Rows of one day are taken in the order of their other columns.
+    """
+    return df.orderBy(F.col(t).desc(), *sortable(df, [t])).limit(n).withColumn(t, F.date_format(t, "yyyy-MM-dd"))
 
 
 def forecast_record(forecast: DataFrame, last: DataFrame, keys: list[str]) -> DataFrame:

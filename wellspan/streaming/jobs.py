@@ -8,6 +8,7 @@ shared storage; a batch that is written twice replaces itself.
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wellspan.operators.clean import dedupe_last
-from wellspan.session import scratch_path
+from wellspan.session import materialize, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -86,53 +87,95 @@ def sliding_sum_stream(stream: DataFrame, span: str = "30 days", step: str = "1
 # --- keep-last history -------------------------------------------------------------------
 
 BUCKETS = 64
+POINTER = "_current"
 
 
-def history_layout(df: DataFrame, key: str, t: str) -> DataFrame:
-    """Partition columns of a history table: year and a hash bucket of the station.
+def history_layout(df: DataFrame, key: str, t: str, buckets: int = BUCKETS) -> DataFrame:
+    """Partition columns of a history table: month and a hash bucket of the station.
 
     The number of folders depends on neither the number of stations nor the size of one.
     """
     return df.withColumns({
-        "year": F.year(t), "bucket": F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"),
+        "month": F.date_format(t, "yyyy-MM"), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"),
     })
 
 
-def merge_batch(batch: DataFrame, path: str, key: str, t: str, order: list[str]) -> None:
-    """Keep-last merge of one batch into the history table, touched partitions only.
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and a maker of its paths."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
-    Written with dynamic partition overwrite through a staging folder, so a lost task or a
-    repeated batch leaves the table either before or after the merge.
+
+def _versions(spark: SparkSession, path: str) -> dict[tuple[str, int], str]:
+    """The folder that is current for each (month, bucket), from the newest pointer file.
+
+    Pointers are numbered files, written whole under another name and then renamed, so a reader sees
+    the table before or after a merge. Their length is that of the folder list, not of the table.
+    """
+    fs, place = _files(spark, path)
+    if not fs.exists(place(path)):
+        return {}
+    found = sorted(s.getPath().getName() for s in fs.listStatus(place(path)) if s.getPath().getName().startswith(POINTER + "-"))
+    if not found:
+        return {}
+    stream = fs.open(place(f"{path}/{found[-1]}"))
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {(m, int(b)): v for m, b, v in (line.split(" ") for line in text.splitlines())}
+
+
+def read_history(spark: SparkSession, path: str, schema: T.StructType, only: list[tuple[str, int]] | None = None) -> DataFrame:
+    """The current rows of a history table, or of some of its folders; other folders aren't opened."""
+    current = _versions(spark, path)
+    folders = [f"{path}/{v}/month={m}/bucket={b}" for (m, b), v in sorted(current.items()) if only is None or (m, b) in only]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*folders)
+
+
+def merge_batch(batch: DataFrame, path: str, key: str, t: str, order: list[str], buckets: int = BUCKETS) -> None:
+    """Keep-last merge of one batch into the history table; only folders that the batch touches are read.
+
+    Touched folders are written anew in a version folder of their own, and the table changes when the
+    next pointer file appears. A driver or task lost at any moment leaves all older rows in place, and
+    a batch that is merged again gives the same rows.
     """
     spark = batch.sparkSession
     keys = [key, t]
-    new = dedupe_last(history_layout(batch, key, t), [*keys, "year", "bucket"], order)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    merged = new
-    if exists:
-        touched = new.select("year", "bucket").distinct()
-        old = spark.read.schema(new.schema).parquet(path).join(touched, ["year", "bucket"], "left_semi")
-        both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-        merged = dedupe_last(both, [*keys, "year", "bucket"], ["_batch", *order]).drop("_batch")
-    (
-        merged.hint("rebalance", "year", "bucket").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("year", "bucket").parquet(path)
-    )
-
-
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, t: str, order: list[str]) -> None:
+    new = materialize(history_layout(dedupe_last(batch, keys, order), key, t, buckets), "batch")
+    touched = [(r["month"], r["bucket"]) for r in new.select("month", "bucket").distinct().collect()]  # folders, not rows
+    if not touched:
+        return
+    old = history_layout(read_history(spark, path, batch.schema, touched), key, t, buckets)
+    both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
+    merged = dedupe_last(both, [*keys, "month", "bucket"], ["_batch", *order]).drop("_batch")
+    version = f"v-{uuid.uuid4().hex}"
+    merged.hint("rebalance", "month", "bucket").write.partitionBy("month", "bucket").parquet(f"{path}/{version}")
+    current = _versions(spark, path) | {folder: version for folder in touched}
+    fs, place = _files(spark, path)
+    numbers = [int(s.getPath().getName().rpartition("-")[2]) for s in fs.listStatus(place(path)) if s.getPath().getName().startswith(POINTER + "-")]
+    hidden, final = f"{path}/.{version}", f"{path}/{POINTER}-{max(numbers, default=0) + 1:012d}"
+    out = fs.create(place(hidden), True)
+    out.write(bytearray("".join(f"{m} {b} {v}\n" for (m, b), v in sorted(current.items())), "utf-8"))
+    out.close()
+    if not fs.rename(place(hidden), place(final)):
+        raise RuntimeError(f"{final} exists: two jobs merge into one table")
+
+
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, t: str, order: list[str], buckets: int = BUCKETS) -> None:
     """Merge all newly landed readings into the history table at ``path``."""
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, path, key, t, order))
+        stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, path, key, t, order, buckets))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def high_water_mark(spark: SparkSession, path: str, key: str, t: str) -> DataFrame:
+def high_water_mark(spark: SparkSession, path: str, schema: T.StructType, key: str, t: str) -> DataFrame:
     """Last loaded date per station of a history table."""
-    return spark.read.parquet(path).groupBy(key).agg(F.max(t).alias("last_date"))
+    return read_history(spark, path, schema).groupBy(key).agg(F.max(t).alias("last_date"))
 
 
 # --- threshold runs with state -----------------------------------------------------------
