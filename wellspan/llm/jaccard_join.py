@@ -13,8 +13,9 @@ one component need not be listed.
 3. *Token-group matrix.* Each group (its members of one component) stores the union of its tokens. Of a
    group's union, the tokens that occur in a group of another component bound the overlap of any member
    with any document outside. Groups whose bound can't reach 80 % of their smallest member stay closed.
-4. *Opened groups.* Members of the others are compared exactly: each document's rarest tokens, as many
-   as make it impossible to link without sharing one, are joined with those of other components.
+4. *Opened groups.* Members of the others are grouped anew, small components by min-hash. Two of these
+   groups are opened for each other if the tokens that their unions share could cover 80 % of a member of
+   either. Each member is bounded against the other group's union, and compared exactly with its members.
 
 The matrix is sent between tasks as packed blocks, a few bytes a token; nothing is collected to the
 driver, and no step lists the pairs of a group of copies.
@@ -81,10 +82,11 @@ BLOCK = "p int, kind int, a binary, b binary, c binary"
 _BLOCK = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def _send(owners: list[int], worlds: list[int], sets: list[np.ndarray], parts: int) -> Iterator[tuple]:
+def _send(owners: list[int], worlds: list[int], sets: list[np.ndarray], parts: int, whole: bool) -> Iterator[tuple]:
     """Rows (p, kind, a, b, c) for one chunk of sets. kind 0: token deltas, owner, world; kind 1: owner, count.
 
-    ``worlds``: a token counts as shared if it occurs in two worlds (documents, or components).
+    ``worlds``: a token counts as shared if it occurs in two worlds (documents, or components). With ``whole``
+    all postings are sent, none is counted here.
     """
     lengths = np.array([len(s) for s in sets], np.int64)
     t = np.concatenate(sets) >> np.uint64(64 - BITS)
@@ -96,6 +98,7 @@ def _send(owners: list[int], worlds: list[int], sets: list[np.ndarray], parts: i
     first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     sizes = np.diff(np.append(first, len(t)))
     mixed = np.add.reduceat((w != np.repeat(w[first], sizes)).astype(np.int64), first) > 0
+    mixed &= not whole
     in_mixed = np.repeat(mixed, sizes)
     counts = np.bincount(at[in_mixed], minlength=len(sets))
     some = np.flatnonzero(counts)
@@ -147,7 +150,7 @@ def _receive(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return who, np.bincount(back, np.concatenate(counts), len(who)).astype(np.int64)
 
 
-def _blocks(units: Iterator[tuple[int, int, np.ndarray, tuple]], parts: int, facts: bool) -> Iterator[pa.RecordBatch]:
+def _blocks(units: Iterator[tuple[int, int, np.ndarray, tuple]], parts: int, facts: bool, whole: bool = False) -> Iterator[pa.RecordBatch]:
     """``units``: owner, world (None: the owner), tokens, and (n, two halves of a digest) if ``facts``."""
     owners, worlds, sets, more, size = [], [], [], [], 0
 
@@ -159,7 +162,7 @@ def _blocks(units: Iterator[tuple[int, int, np.ndarray, tuple]], parts: int, fac
         if full:
             o = [owners[i] for i in full]
             w = o if worlds[0] is None else [worlds[i] for i in full]
-            rows += _send(o, w, [sets[i] for i in full], parts)
+            rows += _send(o, w, [sets[i] for i in full], parts, whole)
         for x in (owners, worlds, sets, more):
             x.clear()
         return _batch(rows)
@@ -185,7 +188,7 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _parts(df: DataFrame) -> int:
-    return min(60_000, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(60_000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -362,57 +365,117 @@ def _open_groups(sets: DataFrame) -> DataFrame:
     return bound.join(least, "gid").where(F.col("c") * 100 >= F.col("n") * PERCENT).select("gid")
 
 
+def _regrouped(members: DataFrame) -> DataFrame:
+    """Members in groups of about ``GROUP``: those of a large world together, all others by min-hash."""
+    large = members.groupBy("world").count().where(F.col("count") >= GROUP // 2).select("world", F.lit(True).alias("large"))
+    keyed = members.join(large, "world", "left").withColumn("key", F.when(F.col("large"), F.xxhash64("world")).otherwise(F.col("g1")))
+    return _dealt(keyed.select("key", "world", "id", "tokens"), "key").select(
+        F.xxhash64("key", "block").alias("gid"), "world", "id", "tokens")
+
+
+GROUPS = "gid bigint, lo bigint, hi bigint, least bigint, most bigint, ids binary, worlds binary, sizes binary, tokens binary"
+_GROUPS = pa.schema([*[(c, pa.int64()) for c in ("gid", "lo", "hi", "least", "most")], *[(c, pa.binary()) for c in ("ids", "worlds", "sizes", "tokens")]])
+
+
+def _packed_groups(members: DataFrame) -> DataFrame:
+    """One row per group: its members' ids, worlds, sizes and tokens one after the other."""
+    def run(batches):
+        for (gid,), rows in _runs(batches, 1):
+            worlds, ids = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
+            sizes = np.array([len(r[2]) // 8 for r in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
+                (gid, worlds.min(), worlds.max(), sizes.min(), sizes.max(), ids.tobytes(), worlds.tobytes(), sizes.tobytes(), b"".join(r[2] for r in rows)),
+                _GROUPS)], schema=_GROUPS)
+
+    return _together(members, "gid").mapInArrow(run, GROUPS)
+
+
+def _group_pairs(groups: DataFrame) -> DataFrame:
+    """(a, b, c): pairs of groups, a < b, and how many tokens their unions share."""
+    parts = _parts(groups)
+
+    def send(batches):
+        def units():
+            for batch in batches:
+                for gid, t in zip(batch.column("gid").to_pylist(), batch.column("tokens").to_pylist()):
+                    yield gid, None, np.unique(_as_tokens(t)), ()
+
+        yield from _blocks(units(), parts, False, whole=True)
+
+    def receive(found: pa.Table) -> pa.Table:
+        t = np.concatenate([np.cumsum(unpack(a, np.uint64)) for a in found.column("a").to_pylist()])
+        gids, g = np.unique(np.concatenate([unpack(b) for b in found.column("b").to_pylist()]), return_inverse=True)
+        order = np.lexsort((g, t))
+        t, g = t[order], g[order]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        sizes = np.diff(np.append(first, len(t)))
+        codes, counts = [], []
+        for size in np.unique(sizes[sizes > 1]):
+            starts = first[sizes == size]
+            i, j = np.triu_indices(size, 1)
+            step = max(1, 2_000_000 // len(i))
+            for at in range(0, len(starts), step):
+                rows = g[starts[at:at + step, None] + np.arange(size)]
+                code, n = np.unique(rows[:, i].astype(np.int64) * len(gids) + rows[:, j], return_counts=True)
+                codes.append(code)
+                counts.append(n)
+        code, back = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_inverse=True)
+        c = np.bincount(back, np.concatenate([np.zeros(0, np.int64), *counts]), len(code)).astype(np.int64)
+        return pa.table([pa.array(gids[code // len(gids)]), pa.array(gids[code % len(gids)]), pa.array(c)], names=["a", "b", "c"])
+
+    return groups.select("gid", "tokens").mapInArrow(send, BLOCK).groupBy("p").applyInArrow(
+        receive, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def open_group(queries: list[np.ndarray], group: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (query, member) by number. A query whose overlap with the group's union is too small is not compared."""
+    tokens = np.concatenate(group)
+    member = np.repeat(np.arange(len(group)), [len(m) for m in group])
+    order = np.argsort(tokens)
+    tokens, member = tokens[order], member[order]
+    sizes = np.array([len(m) for m in group], np.int64)
+    out = []
+    for q, own in enumerate(queries):
+        low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        n = high - low
+        if (n > 0).sum() < needed(len(own)):
+            continue
+        at = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        both = np.bincount(member[at], minlength=len(group))
+        out += [(q, int(m)) for m in np.flatnonzero(100 * both >= PERCENT * (len(own) + sizes - both))]
+    return out
+
+
 def _links_across(members: DataFrame) -> DataFrame:
-    """Edges between members (gid, world, id, n, tokens) of different worlds."""
-    def explode(batches):
-        for batch in batches:
-            for gid, world, i, n, t in zip(*(batch.column(c).to_pylist() for c in ("gid", "world", "id", "n", "tokens"))):
-                tokens = _as_tokens(t).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(tokens), x, np.int64)) for x in (gid, world, i, n)], pa.array(tokens)],
-                                                 ["gid", "world", "id", "n", "token"])
-
-    rows = members.mapInArrow(explode, "gid bigint, world bigint, id bigint, n bigint, token bigint")
-    df = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("world").alias("a"), F.max("world").alias("b")).where("a <> b").select("token", "df")
-    shared = rows.join(df, "token")
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("id", "gid")  # one document's tokens
-    must = F.ceil(F.col("n") * PERCENT / F.lit(100.0))
-    prefix = shared.select("*", F.count("*").over(own).alias("c"), F.row_number().over(own.orderBy("df", "token")).alias("at")).where(
-        F.col("at") <= F.col("c") - must + 1)
-    prefix = materialize(prefix.select("gid", "world", "id", "n", "token"), "prefix")
-    matrix = prefix.groupBy("token", "gid", "world").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    queries = prefix.select("token", "id", "n", F.col("world").alias("own")).join(matrix, "token").where(
-        (F.col("own") < F.col("world")) & (F.col("n") * 100 >= F.col("least") * PERCENT) & (F.col("most") * 100 >= F.col("n") * PERCENT)
-    ).select("gid", "id").distinct()
-    queries = materialize(queries, "queries")
-    salts = queries.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(256.0)).cast("bigint").alias("salts"))
-    asked = queries.join(salts, "gid").join(members.select("id", "tokens"), "id").select(
-        "gid", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.lit(1).alias("asks"), "id", "tokens")
-    opened = members.join(salts, "gid").select(
-        "gid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("asks"), "id", "tokens")
+    """Edges between members (world, id, g1, tokens) of different worlds."""
+    groups = materialize(_packed_groups(_regrouped(members)), "groups")
+    facts = groups.select("gid", "lo", "hi", "least", "most")
+    a, b = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "ab")
+    able = (
+        (F.col("c") * 100 >= F.greatest("a_least", "b_least") * PERCENT)
+        & (F.col("a_most") * 100 >= F.col("b_least") * PERCENT) & (F.col("b_most") * 100 >= F.col("a_least") * PERCENT)
+        & ((F.col("a_lo") != F.col("a_hi")) | (F.col("b_lo") != F.col("b_hi")) | (F.col("a_lo") != F.col("b_lo"))))
+    pairs = _group_pairs(groups).join(a, F.col("a") == F.col("a_gid")).join(b, F.col("b") == F.col("b_gid")).where(able).select("a", "b")
+    inside = facts.where("lo <> hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    whole = ("ids", "worlds", "sizes", "tokens")
+    sides = [groups.select(F.col("gid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in whole]) for side in "ab"]
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    opened = materialize(pairs.unionByName(inside), "pairs").repartition(n, F.xxhash64("a", "b"))
+    opened = opened.join(sides[0], "a").join(sides[1], "b").select(*[f"{side}_{c}" for side in "ab" for c in whole])
 
     def verify(batches):
-        key, group, union = None, [], None
+        def read(row):
+            ids, worlds, sizes = (np.frombuffer(x, np.int64) for x in row[:3])
+            return ids, worlds, np.split(_as_tokens(row[3]), np.cumsum(sizes)[:-1])
+
         for batch in batches:
-            edges = []
-            for gid, salt, asks, i, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if (gid, salt) != key:
-                    key, group, union = (gid, salt), [], None
-                tokens = _as_tokens(t)
-                if not asks:
-                    group.append((i, tokens))
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate([m for _, m in group])) if group else tokens[:0]
-                if len(np.intersect1d(tokens, union, assume_unique=True)) >= needed(len(tokens)):
-                    edges += [(i, j) for j, m in group if linked(tokens, m)]
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["u", "v"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                (ids, worlds, sets), (other_ids, other_worlds, others) = read(row[:4]), read(row[4:])
+                edges = {(int(ids[q]), int(other_ids[m])) for q, m in open_group(sets, others) if worlds[q] != other_worlds[m]}
+                if edges:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["u", "v"])
 
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return asked.unionByName(opened).repartition(n, "gid", "salt").sortWithinPartitions("gid", "salt", "asks").mapInArrow(
-        verify, "u bigint, v bigint")
+    return opened.mapInArrow(verify, "u bigint, v bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -429,12 +492,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     sets = materialize(_sets(rows.where("text IS NOT NULL"), wanted, k), "sets")
     edges = materialize(same.unionByName(_links_inside(sets, "g1")).unionByName(_links_inside(sets, "g2")), "links")
     roots = components(edges)
-    placed = sets.select("id", "n", "tokens").join(roots, "id", "left").select(
-        F.coalesce("root", "id").alias("world"), "id", "n", "tokens")
-    members = _dealt(placed, "world").select(F.xxhash64("world", "block").alias("gid"), "world", "id", "n", "tokens")
+    placed = sets.select("id", "n", "g1", "tokens").join(roots, "id", "left").select(
+        F.coalesce("root", "id").alias("world"), "id", "n", "g1", "tokens")
+    members = _dealt(placed, "world").select(F.xxhash64("world", "block").alias("gid"), "world", "id", "n", "g1", "tokens")
     opened = materialize(members.join(_open_groups(members), "gid", "left_semi"), "opened")
     if not opened.isEmpty():
-        roots = components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(_links_across(opened)))
+        roots = components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(_links_across(opened.select("world", "id", "g1", "tokens"))))
     out = facts.join(roots, "id", "left").select(
         F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out.unionByName(_without_key(rows, k).select(F.lit(None).cast(kind).alias(key), "n_shingles", "component_id"))
