@@ -1,0 +1,636 @@
+"""The text operators against plain versions, and on awkward rows."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from wellspan.llm import bpe, chat, jaccard_join, lang_id, packing, pii, quality, secret_scan, toxicity, winnow
+from wellspan.llm import queries as registered
+
+SF = "/root/testdata/sf0.001"
+CLASH = ["score", "predicted", "lang_pred", "ids", "n_tokens", "decoded", "secrets", "personal", "kept", "ratio", "_range", "_guest", "p", "g", "u", "v"]
+LONG_WORDS = " ".join(f"w{i % 997}x{i // 997}" for i in range(20_000))
+AWKWARD = [(1, None), (2, ""), (3, "  \n\t "), (4, "a"), (5, "x" * 100_000), (6, LONG_WORDS), (7, "same text in two rows"),
+           (8, "same text in two rows"), (8, "same text in two rows"), (None, "a row without key"), (9, "日本語 ſK İ \u0000 é̀ 😀"), (10, "token = abcdef123456")]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    df = spark.createDataFrame(AWKWARD, "doc_id bigint, text string")
+    return df.withColumns({c: F.lit("theirs") for c in CLASH})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def rank_file():
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+# --- language ----------------------------------------------------------------------------
+
+def brute_sum(word, p, number, other):
+    """Probability of all segmentations by recursion."""
+    word = lang_id.MARK + word
+
+    def rest(i):
+        if i == len(word):
+            return 1.0
+        total = 0.0
+        for j in range(i + 1, min(len(word), i + lang_id.LONGEST) + 1):
+            n = number.get(word[i:j], other if j == i + 1 else 0)
+            total += p[n] * rest(j) if n else 0.0
+        return total
+
+    return rest(0)
+
+
+def test_forward_sums_all_segmentations():
+    pieces = sorted([lang_id.MARK, "a", "b", "ab", "ba", lang_id.MARK + "a", "aba"])
+    lattice = lang_id.Lattice(pieces)
+    p = np.random.default_rng(0).uniform(0.01, 0.2, (lattice.size, 1))
+    p[0] = 0.0
+    words = ["abab", "bbba", "abca", "a"]
+    got = lattice.log_likelihood(words, p)[:, 0]
+    assert np.allclose(got, [np.log(brute_sum(w, p[:, 0], lattice.number, lattice.size - 1)) for w in words])
+
+
+def test_expectation_maximisation_raises_the_likelihood():
+    pieces = lang_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    words = {"running": 5, "runner": 3, "sing": 4, "singing": 7}
+    lattice = lang_id.Lattice(pieces)
+    values = []
+    for rounds in (1, 2, 4):
+        m = lang_id.LanguageModel.fit(pieces, {"en": words}, rounds)
+        values.append(sum(n * lattice.log_likelihood([w], m.p)[0, 0] for w, n in words.items()))
+    assert values[0] < values[1] < values[2]
+
+
+def test_language_of_held_out_documents(spark):
+    out = registered.QUERIES["op1_language_id"](spark, SF).toPandas()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()
+    both = out.merge(docs, on="doc_id")
+    assert len(out) == len(docs) and both.score.between(0, 1).all()
+    assert ((zlib.crc32(str(i).encode()) % 3 == 1) == h for i, h in zip(out.doc_id, out.held_out))
+    held = both[both.held_out]
+    assert (held.lang == held.lang_pred).mean() > 0.97
+
+
+def test_language_of_awkward_rows(spark, awkward, empty):
+    model = lang_id.LanguageModel.fit(sorted("abcdefghijklmnopqrstuvwxyz"), {"en": {"same": 3, "text": 2}, "xx": {"qq": 5}})
+    got = {(r.doc_id, r.lang_pred) for r in lang_id.predict(awkward, model).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und"), (7, "en"), (8, "en")} <= got
+    assert lang_id.keep(awkward, model).columns == awkward.columns
+    none = lang_id.fit(empty, public_tokenizers.path("piece_bpe_32k.model"))
+    assert none.langs == [] and {r.lang_pred for r in lang_id.predict(awkward, none).collect()} == {"und"}
+    assert lang_id.keep(empty, none).count() == 0
+
+
+# --- byte-level BPE ----------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec.open(rank_file(), public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def reference(codec):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(codec.tokens)}, special_tokens={})
+
+
+@pytest.mark.parametrize("alphabet", ["abc  \n\t'sré日本語テ½²٣ \x1c\x85\xa0😀A1.,!ſK​", "".join(map(chr, range(256))), "the int 's  \n"])
+def test_ids_equal_the_library(codec, reference, alphabet):
+    r = random.Random(2)
+    for _ in range(800):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 60)))
+        packed = codec.encode(text)
+        assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(text)
+        assert codec.decode(packed) == text.encode()
+
+
+def test_long_run_without_break(codec):
+    text = "ab" * 50_000
+    assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_perfect_hash_is_minimal(codec):
+    hits = {codec.perfect(codec.hash(t)) for t in codec.tokens}
+    assert hits == set(range(len(codec.tokens))) and codec.perfect.size == len(codec.tokens)
+    assert all(codec.tokens[codec.perfect(codec.hash(t))] == t for t in codec.tokens[:500])
+    assert codec.tokens[codec.perfect(codec.hash(b"surely no token"))] != b"surely no token"
+    for few in ([], [b"a"], [b"a", b"b", b"c"]):
+        small = bpe.PerfectHash(few)
+        assert {small(codec.hash(k)) for k in few} == set(range(len(few)))
+
+
+def test_bpe_query_and_awkward_rows(spark, awkward, empty, reference):
+    out = {r.doc_id: r for r in registered.QUERIES["op2_byte_bpe"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(out) == len(docs)
+    for d in docs:
+        ids = reference.encode_ordinary(d.text)
+        want = (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(d.text.encode()).hexdigest())
+        assert (out[d.doc_id].n_tokens, out[d.doc_id].ids_sha256, out[d.doc_id].decoded_sha256) == want
+    for df in (awkward, empty):
+        coded = bpe.encode(df, rank_file(), public_tokenizers.PATTERN)
+        back = bpe.decode(coded, rank_file(), public_tokenizers.PATTERN)
+        assert back.where(F.col("decoded").cast("string") != F.coalesce("text", F.lit(""))).count() == 0 and back.count() == df.count()
+
+
+# --- secrets -----------------------------------------------------------------------------
+
+def plain_secrets(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        out += [(m.start(), 0, m.end())] if len(m[2]) >= 6 else []
+    for m in re.finditer(r"AKIA[A-Z0-9]+", text):
+        out += [(m.start(), 1, m.end())] if len(m[0]) >= 20 else []
+    for m in re.finditer(r"[0-9a-f]+", text):
+        out += [(m.start(), 2, m.end())] if len(m[0]) >= 24 else []
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def words():
+    return secret_scan.read_dictionary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def test_base_secrets_equal_the_patterns(words):
+    r = random.Random(3)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "=", ":", " ", '"', "'", "abcdef0123456789abcdef01", "AKIA",
+             "ABCDEFGHIJKLMNOP12", "xyz", "ſecret", "K", "é", "\n", "passwd", " is "]
+    for _ in range(5000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        got = [(s, secret_scan.KINDS.index(k), e) for k, s, e, _, _ in secret_scan.scan(text, words, 40) if k != "guess"]
+        assert got == plain_secrets(text)
+
+
+def test_guess_cost(words):
+    def bits(v):
+        return secret_scan.guess_bits(v, words)
+
+    easy = ["required", "hunter2", "qwertyuiop", "aaaaaaaaaaaa", "1987-04-12", "abcabcabcabc"]
+    hard = ["xK9#mQ2$vL7pR4", "e3b3ed3cc8548923d6"]
+    assert max(map(bits, easy)) < 30 < 60 < min(map(bits, hard))
+    assert bits("zq" * 50_000) < 40  # long, and cheap
+    for v in easy + hard:  # the dynamic programme never beats its own parts put together
+        assert bits(v + v[::-1]) <= bits(v) + bits(v[::-1]) + 1e-9
+    kinds = [k for k, *_ in secret_scan.scan("the password is required, but passphrase: xK9#mQ2$vL7pR4", words, 40)]
+    assert kinds == ["guess"]
+
+
+def test_secret_query_and_redaction(spark, words, awkward, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    out = {r.doc_id: r for r in registered.QUERIES["op3_secret_scan"](spark, SF).collect()}
+    for d in docs:
+        base = plain_secrets(d.text)
+        line = ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        r = out[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(line.split(",")) <= set(r.spans.split(","))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+    masked = secret_scan.find(awkward, words, redacted="text")
+    rows = {r.doc_id: r.text for r in masked.collect()}
+    assert rows[10] == "token = [SECRET]" and rows[1] is None and rows[6] == LONG_WORDS and masked.count() == len(AWKWARD)
+    assert secret_scan.find(empty, words).count() == 0
+
+
+# --- fingerprints ------------------------------------------------------------------------
+
+def plain_winnow(grams, w):
+    """Places of the smallest gram, the rightmost of equal ones, of every window."""
+    if not grams:
+        return []
+    w = min(w, len(grams))
+    out = []
+    for i in range(len(grams) - w + 1):
+        at = max(range(i, i + w), key=lambda j: (-grams[j], j))
+        if not out or out[-1] != at:
+            out.append(at)
+    return out
+
+
+def test_winnowing_equals_the_plain_version(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choice("ab") for _ in range(r.randint(1, 7))) for _ in range(r.randint(0, 40)))) for i in range(60)]
+    df = winnow.with_fingerprint(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", "fp")
+    units = df.select("text", "fp", F.expr(f"transform(regexp_extract_all(text, '\\\\S{{1,{winnow.UNIT}}}', 0), u -> pmod(xxhash64(u), {winnow.PRIME}))").alias("h"))
+    for x in units.collect():
+        h, k = x.h, winnow.K
+        got = [(c >> 32, winnow.LOW - (c & winnow.LOW)) for c in x.fp]
+        if len(h) >= k:
+            grams = [sum(h[i + j] * pow(winnow.BASE, k - 1 - j, winnow.PRIME) for j in range(k)) % winnow.PRIME for i in range(len(h) - k + 1)]
+            assert got == [(grams[i], i) for i in plain_winnow(grams, winnow.WINDOW)]
+        else:
+            assert [p for _, p in got] == ([0] if h else [])
+
+
+def test_any_long_common_run_has_a_common_hash(spark):
+    r = random.Random(6)
+
+    def text(n):
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(winnow.UNIT)) for _ in range(n))
+
+    run = text(winnow.WINDOW + winnow.K - 1)
+    df = spark.createDataFrame([(i, f"{text(20)} {run} {text(20)}", f"{text(9)} {run} {text(30)}") for i in range(30)], "i int, a string, b string")
+    df = winnow.with_fingerprint(winnow.with_fingerprint(df, "a", "fa"), "b", "fb")
+    assert df.where(F.size(F.array_intersect(winnow.hashes("fa"), winnow.hashes("fb"))) == 0).count() == 0
+
+
+def test_edited_texts_and_next_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    out = registered.QUERIES["op4_winnow"](spark, SF)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = {r.doc_id: r for r in out.collect()}
+    for d, following in zip(docs, docs[1:] + docs[:1]):
+        half = len(d.text) // 2
+        edited = d.text[:len(d.text) - half] + following.text[:half]
+        assert (got[d.doc_id].n_chars, got[d.doc_id].edited_sha256) == (len(d.text), hashlib.sha256(edited.encode()).hexdigest())
+    assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
+    by_text = {}
+    for d in docs:
+        assert by_text.setdefault(d.text, got[d.doc_id].fingerprint) == got[d.doc_id].fingerprint
+
+
+def test_next_of_awkward_rows(spark, awkward, empty):
+    def run(df, next_of):
+        return winnow.with_fingerprint(df, "text", "fp").withColumn("next_id", next_of("doc_id"))
+
+    rows = winnow.with_next(awkward.select("doc_id", "text"), "doc_id", "text", run).collect()
+    assert len(rows) == len(AWKWARD) and {r.doc_id: r.next_id for r in rows if r.doc_id not in (8, None)} == {
+        1: 2, 2: 3, 3: 4, 4: 5, 5: 6, 6: 7, 7: 8, 9: 10, 10: 1}
+    assert all(r.fp == [] for r in rows if r.doc_id in (1, 2, 3))
+    assert winnow.with_next(empty.select("doc_id", "text"), "doc_id", "text", run).count() == 0
+    one = spark.createDataFrame([(5, "only")], "doc_id bigint, text string")
+    assert [r.next_id for r in winnow.with_next(one, "doc_id", "text", run).collect()] == [5]
+
+
+# --- personal data -----------------------------------------------------------------------
+
+def plain_personal(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        out += [("card", *m.span())] if 13 <= len(digits) <= 19 and pii.luhn(digits) else []
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+def test_base_personal_data_equals_the_patterns():
+    r = random.Random(5)
+    parts = ["a", "B", "1", "23", "4.5", ".", "@", "mail", "-", "+", "%", "_", " ", "  ", "4111111111111111", "255", "256", "001", "é",
+             "(", ")", "+1 (708) 555-4315", "x@y.z"]
+    for _ in range(15_000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 16)))
+        assert pii.base_spans(text) == plain_personal(text)
+    assert pii.base_spans("9" * 300_000) == [] and len(pii.base_spans("a@b.c " * 20_000)) == 20_000
+
+
+def test_gradients_of_the_tagger():
+    tagger = pii.Tagger(hidden=3)
+    tagger.w = {k: v.astype(np.float64) for k, v in tagger.w.items()}
+    r = np.random.default_rng(0)
+    ids, gold = r.integers(0, pii.N_SYMBOLS, (7, 4)), r.integers(0, pii.TAGS, (7, 4))
+    _, grads = tagger.gradients(ids, gold)
+    for name, w in tagger.w.items():
+        for _ in range(5):
+            at = tuple(r.integers(0, s) for s in w.shape)
+            old = w[at]
+            w[at] = old + 1e-6
+            up = tagger.gradients(ids, gold)[0]
+            w[at] = old - 1e-6
+            down = tagger.gradients(ids, gold)[0]
+            w[at] = old
+            assert grads[name][at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_viterbi_and_marginals_against_all_sequences():
+    from itertools import product
+
+    r = np.random.default_rng(1)
+    e, a = r.standard_normal((4, 1, 3)), r.standard_normal((3, 3))
+    scores = {s: sum(e[t, 0, s[t]] for t in range(4)) + sum(a[s[t], s[t + 1]] for t in range(3)) for s in product(range(3), repeat=4)}
+    assert tuple(pii.viterbi(e, a)[:, 0]) == max(scores, key=scores.get)
+    alpha, beta, z = pii.forward_backward(e, a)
+    total = np.exp(list(scores.values())).sum()
+    assert z[0] == pytest.approx(np.log(total))
+    share = sum(np.exp(v) for s, v in scores.items() if s[2] == 1) / total
+    assert np.exp(alpha[2, 0, 1] + beta[2, 0, 1] - z[0]) == pytest.approx(share)
+
+
+def test_tagger_learns_and_goes_beyond_the_patterns(spark, awkward, empty):
+    r = random.Random(7)
+
+    def word():
+        return "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+
+    def text(_):
+        bits = [word() for _ in range(r.randint(5, 30))]
+        kind = r.randint(0, 4)
+        bits.insert(r.randint(0, len(bits)), [
+            f"{word()}.{r.randint(10, 99)}@{word()}.com", ".".join(str(r.randint(1, 255)) for _ in range(4)),
+            f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}", f"version {r.randint(1, 9)}.{r.randint(0, 9)}", "4111111111111111"][kind])
+        return " ".join(bits)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(900)], "doc_id bigint, text string")
+    tagger = pii.fit(docs)
+    held = [text(i) for i in range(300)]
+    found = pii.added_spans(held, [[] for _ in held], tagger)
+    base = [pii.base_spans(t) for t in held]
+    assert sum(len(set(b) & set(f)) for b, f in zip(base, found)) > 0.85 * sum(map(len, base))
+    assert sum(map(len, pii.added_spans(held, base, tagger))) <= 3
+    t = f"{word()} {word()} 1 (416) 555-2113 {word()} {word()}"
+    assert pii.base_spans(t) == [] and [k for k, *_ in pii.added_spans([t], [[]], tagger)[0]] == ["phone"]
+    out = {r.doc_id: r.personal for r in pii.find(awkward, tagger).collect()}
+    assert out[1] == out[2] == out[5] == [] and pii.find(empty, pii.fit(empty)).count() == 0
+
+
+def test_personal_data_query(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    out = {r.doc_id: r for r in registered.QUERIES["op5_personal_data"](spark, SF).collect()}
+    for d in docs:
+        base = plain_personal(d.text)
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        r = out[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(filter(None, line.split(","))) <= set(r.spans.split(","))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for x, *_ in base) for k in pii.KINDS)
+
+
+# --- Jaccard join ------------------------------------------------------------------------
+
+def plain_join(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    inverse = {}
+    for i, s in sets.items():
+        for g in s:
+            inverse.setdefault(g, []).append(i)
+    for i, s in sets.items():
+        common = {}
+        for g in s:
+            for j in inverse[g]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def near_copies(seed, groups, members, words, edits, shared=""):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(groups):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(words)]
+        for _ in range(members):
+            t = list(base)
+            for _ in range(r.randint(0, edits)):
+                t[r.randrange(words)] = f"e{r.randint(0, 10**6)}"
+            rows.append(" ".join(t) + shared)
+    r.shuffle(rows)
+    return list(enumerate(rows, 100))
+
+
+@pytest.mark.parametrize("rows", [
+    near_copies(1, 40, 6, 60, 3), near_copies(2, 3, 150, 100, 4, " and one common line of nine words in all"),
+    near_copies(3, 60, 4, 8, 1), near_copies(4, 30, 5, 200, 9, " " + LONG_WORDS[:700])])
+def test_components_equal_brute_force(spark, rows):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == plain_join(rows)
+
+
+def test_links_across_groups_are_found(spark, monkeypatch):
+    """With groups that hold nobody but copies, every link has to come from the matrix."""
+    monkeypatch.setattr(jaccard_join, "_links_inside", lambda sets, group: sets.limit(0).selectExpr("id AS u", "id AS v"))
+    rows = near_copies(5, 25, 5, 80, 3, " a line that all of these documents have")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == plain_join(rows)
+
+
+def test_join_of_awkward_rows(spark, awkward, empty):
+    rows = jaccard_join.join(awkward).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
+    assert len(rows) == len(AWKWARD) and got[None] == (1, None) and got[1] == (0, 1) and got[3] == (0, 3) and got[8] == (1, 7) and got[6][1] == 6
+    kept = jaccard_join.keep_one(awkward)
+    assert kept.columns == awkward.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 9, 10]
+    assert jaccard_join.join(empty).count() == 0
+
+
+def test_packed_numbers_come_back():
+    a = np.random.default_rng(0).integers(-2**62, 2**62, 1000)
+    assert (jaccard_join.unpack(jaccard_join.pack(a)) == a).all()
+    assert len(jaccard_join.unpack(jaccard_join.pack(a[:0]))) == 0
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
+    got = {r.id: r.root for r in jaccard_join.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {**{i: 0 for i in range(1, 201)}, 501: 500}
+
+
+# --- quality -----------------------------------------------------------------------------
+
+def plain_quality(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = {}
+    for i in range(len(w) - 4):
+        windows.setdefault(tuple(w[i:i + 5]), []).append(i)
+    repeated = {j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeated), len(w) < 10 or 100 * len(repeated) > 20 * len(w)
+
+
+def test_quality_counts_equal_the_plain_version(spark, awkward, empty):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice(["a ", "bé ", "c\n", "# ", "\n", "the end of it all ", "日本 ", "\x0b", "\x1c"]) for _ in range(r.randint(0, 60)))) for i in range(200)]
+    rows += [(-1 - n, t) for n, (_, t) in enumerate(AWKWARD)]
+    got = {r.doc_id: tuple(r)[2:8] for r in quality.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: plain_quality(t or "") for i, t in rows}
+    assert quality.score(awkward).count() == len(AWKWARD) and quality.score(empty).count() == 0
+
+
+def test_compression_bands(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    prose = " ".join(r.choice(words) for _ in range(3000))
+    noise = " ".join("".join(chr(r.randint(33, 126)) for _ in range(9)) for _ in range(2000))
+    one_letter = " ".join("ab" * 40 + str(i) for i in range(400))
+    half = prose[:9000] + " " + " ".join("".join(chr(r.randint(33, 126)) for _ in range(9)) for _ in range(3000))
+    rows = [(1, prose), (2, noise), (3, one_letter), (4, half), (5, prose[:300])]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (False, True)}
+
+
+# --- chat --------------------------------------------------------------------------------
+
+def test_perspectives(spark):
+    turns = [("c", 0, "system", "be kind"), ("c", 1, "ann", "hi"), ("c", 2, "bob", "hello"), ("c", 3, "ann", None), (None, 0, None, "lost"), ("s", 0, "system", "only")]
+    df = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string").withColumn("segment", F.lit("theirs"))
+    rows = chat.rotate(df).orderBy("conv_id", "perspective", "position").collect()
+    views = {}
+    for r in rows:
+        views.setdefault((r.conv_id, r.perspective), []).append(r)
+    assert set(views) == {("c", "ann"), ("c", "bob"), (None, "unknown")}
+    whole = "".join(r.segment for r in views["c", "bob"])
+    assert whole == ("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n"
+                     "<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user name=ann\n<|im_end|>\n")
+    for view in views.values():
+        text = "".join(r.segment for r in view)
+        for r in view:
+            assert text[r.char_start:r.char_end] == r.segment and r.trained == (r.speaker == r.perspective)
+            assert r.mask_start is None or text[r.mask_start:r.mask_end].endswith("<|im_end|>")
+    assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_long_conversation_over_blocks(spark):
+    rows = [(1, t, "ab"[t % 2], "x" * (t % 5)) for t in range(3000)] + [(1, 5, "b", "x")] * 2
+    out = chat.rotate(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).where("perspective = 'a'").orderBy("position").collect()
+    assert [r.position for r in out] == list(range(3002)) and all(a.char_end == b.char_start for a, b in zip(out, out[1:])) and out[0].char_start == 0
+
+
+def test_chat_query_equals_its_sql(spark):
+    from compare import compare, duck
+
+    assert compare(registered.QUERIES["op8_perspectives"](spark, SF), duck(SF), registered.SQL["op8_perspectives"]) == []
+
+
+# --- toxicity ----------------------------------------------------------------------------
+
+def test_non_negative_risk_and_its_gradient():
+    r = np.random.default_rng(3)
+    g, positive = r.standard_normal(30), np.arange(30) < 8
+
+    def risk(x):
+        return nn(x)[0]
+
+    def nn(x):
+        return toxicity.nn_risk_gradient(x, positive, 0.1)
+
+    grad = nn(g)[1]
+    for i in range(30):
+        e = np.zeros(30)
+        e[i] = 1e-6
+        assert grad[i] == pytest.approx((risk(g + e) - risk(g - e)) / 2e-6, abs=1e-6)
+    # where the estimated risk on clean texts is negative, the step goes up that part
+    bad = np.where(positive, 6.0, -6.0)
+    p = 1 / (1 + np.exp(-bad))
+    assert np.allclose(toxicity.nn_risk_gradient(bad, positive, 0.5)[1], -np.where(positive, -0.5 / 8, 1 / 22) * p)
+
+
+def test_toxicity_from_positives_only(spark, awkward, empty):
+    r = random.Random(10)
+    vocabulary = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 8))) for _ in range(800)]
+
+    def text(bad):
+        return " ".join([r.choice(vocabulary) for _ in range(60)] + ["vilest", "nastyword"][:bad])
+
+    truth = [int(r.random() < 0.15) for _ in range(1200)]
+    docs = spark.createDataFrame([(i, text(2 * y)) for i, y in enumerate(truth)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(truth) if i < 700], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    out = {r.doc_id: r.predicted for r in toxicity.score(docs, model).collect()}
+    held = range(700, 1200)
+    assert np.mean([out[i] == truth[i] for i in held]) > 0.97
+    assert toxicity.keep(awkward, model).columns == awkward.columns and toxicity.keep(awkward, model).count() == len(AWKWARD)
+    none = toxicity.fit(empty, labels.limit(0))
+    scores = toxicity.score(awkward, none).collect()
+    assert len(scores) == len(AWKWARD) and all(0 <= s.score <= 1 for s in scores) and toxicity.score(empty, none).count() == 0
+    repeated = labels.unionByName(labels).unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id bigint, toxic int"))
+    assert toxicity.fit(docs, repeated).names == model.names
+
+
+def test_toxicity_query(spark):
+    out = registered.QUERIES["op9_toxicity"](spark, SF).toPandas()
+    assert out.score.between(0, 1).all() and ((out.score >= 0.5) == (out.predicted == 1)).all()
+    assert all((zlib.crc32(str(i).encode()) % 5 == 0) == h for i, h in zip(out.doc_id, out.held_out))
+
+
+# --- packing -----------------------------------------------------------------------------
+
+def check_packing(rows, capacity):
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in bins.values():
+        pieces.sort()
+        assert pieces[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(pieces, pieces[1:])) and sum(n for _, n in pieces) <= capacity
+    return len(bins)
+
+
+def test_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    rows = registered.QUERIES["op10_best_fit"](spark, SF).collect()
+    want = {}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = np.array([*tokenizer.encode(d.text, add_special_tokens=False).ids, 1], "<u4")
+        for n in range(0, len(ids), 4096):
+            want[d.doc_id, n // 4096] = (n, len(ids[n:n + 4096]), zlib.crc32(ids[n:n + 4096].tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    total = sum(r.length for r in rows)
+    assert check_packing(rows, 4096) <= 1.03 * total / 4096 + 1
+
+
+def test_word_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    definition = open(public_tokenizers.path("word_bpe_49k.json")).read()
+    own, library = packing.WordTokenizer(definition), Tokenizer.from_str(definition)
+    library.encode_special_tokens = True
+    r = random.Random(11)
+    for alphabet in ("".join(map(chr, range(256))), "abc  \n\t'sré日本語½²٣́\xa0😀A1.,!ſKİΣ", "don't 'll 12é ", "<|endoftext|> a"):
+        for _ in range(800):
+            text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+            assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_best_fit_takes_the_fullest_bin():
+    assert packing.best_fit([5, 7, 3, 2, 10], 10) == [[4], [1, 2], [0, 3]]
+    assert packing.best_fit([], 10) == []
+
+
+def test_tree_of_groups(spark):
+    r = random.Random(12)
+    rows = [(i, 0, 0, r.choice([r.randint(1, 60), r.randint(40, 100), 100]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    total = sum(x[3] for x in rows)
+    for options in ({"leaf_rows": 100, "fan_in": 3}, {"leaf_rows": 100, "fan_in": 3, "residual": 5}, {}):
+        out = packing.pack(df, capacity=100, **options).collect()
+        assert sorted((x.doc_id, x.length) for x in out) == sorted((x[0], x[3]) for x in rows)
+        assert check_packing(out, 100) <= 1.12 * total / 100
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_packing_of_awkward_rows(spark, awkward, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack_documents(awkward, path, 1).collect()
+    check_packing(rows, 4096)
+    assert {r.doc_id for r in rows} == {d for d, _ in AWKWARD} and sorted(r.length for r in rows if r.doc_id in (1, 2, 3)) == [1, 1, 1]
+    assert packing.pack_documents(empty, path, 1).count() == 0

@@ -25,32 +25,48 @@ BASE = 1_000_003
 LOW = (1 << 32) - 1
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` written, and computed, once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _pairs(a: Column, gap: int, f) -> Column:
     """``f`` of each element and the one ``gap`` places on."""
     n = F.greatest(F.size(a) - gap, F.lit(0))
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(gap + 1), n), f)
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, unit: int = UNIT, k: int = K, w: int = WINDOW) -> DataFrame:
-    """``df`` plus the array ``out`` of chosen grams in order of position, each hash * 2**32 + (2**32 - 1 - position)."""
-    tmp = f"_{out}"
-    df = df.withColumn(tmp, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{unit}}}"), F.lit(0)))
-    df = df.withColumn(tmp, F.when(F.size(tmp) >= k, F.col(tmp)).when(F.size(tmp) > 0, F.array(F.concat_ws(" ", tmp))).otherwise(F.col(tmp)))
-    df = df.withColumn(tmp, F.transform(tmp, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME))))
+def _joined(grams: Column, gap: int) -> Column:
+    """Hashes of runs twice as long, from hashes of runs of ``gap`` units."""
+    factor = F.lit(pow(BASE, gap, PRIME))
+    return _let(grams, lambda a: F.when(F.size(a) > 1, _pairs(a, gap, lambda x, y: (x * factor + y) % F.lit(PRIME))).otherwise(a))
+
+
+def _least(c: Column, gap: int) -> Column:
+    """Minima of windows twice as long; one of all if there are fewer."""
+    return _let(c, lambda a: F.when(F.size(a) > gap, _pairs(a, gap, lambda x, y: F.least(x, y)))
+                .when(F.size(a) > 1, F.array(F.array_min(a))).otherwise(a))
+
+
+def fingerprint(text: str, unit: int = UNIT, k: int = K, w: int = WINDOW) -> Column:
+    """Array of chosen grams in order of position, each hash * 2**32 + (2**32 - 1 - position)."""
+    units = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{unit}}}"), F.lit(0))
+    grams = _let(units, lambda u: F.when(F.size(u).between(1, k - 1), F.array(F.concat_ws(" ", u))).otherwise(u))
+    grams = F.transform(grams, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
     gap = 1
     while gap < k:
-        factor = F.lit(pow(BASE, gap, PRIME))
-        joined = _pairs(F.col(tmp), gap, lambda a, b: (a * factor + b) % F.lit(PRIME))
-        df = df.withColumn(tmp, F.when(F.size(tmp) > 1, joined).otherwise(F.col(tmp)))
+        grams = _joined(grams, gap)
         gap *= 2
-    df = df.withColumn(tmp, F.transform(tmp, lambda h, i: F.shiftleft(h, 32) + (F.lit(LOW) - i)))
+    chosen = F.transform(grams, lambda h, i: F.shiftleft(h, 32) + (F.lit(LOW) - i))
     gap = 1
     while gap < w:
-        # shorter than a window: one minimum of all
-        df = df.withColumn(tmp, F.when(F.size(tmp) > gap, _pairs(F.col(tmp), gap, lambda a, b: F.least(a, b)))
-                           .when(F.size(tmp) > 1, F.array(F.array_min(tmp))).otherwise(F.col(tmp)))
+        chosen = _least(chosen, gap)
         gap *= 2
-    return df.withColumn(out, F.array_distinct(tmp)).drop(tmp)
+    return F.array_distinct(chosen)
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, unit: int = UNIT, k: int = K, w: int = WINDOW) -> DataFrame:
+    return df.withColumn(out, fingerprint(text, unit, k, w))
 
 
 def hashes(fingerprint: str) -> Column:
