@@ -354,7 +354,7 @@ def index_checks(spark, sf_dir):
 
 
 # level on a straight line between known days, then the same features and indices on that
-_CONFORMED = f"""{OBS}, {WX}, raw AS (SELECT wx.*, obs.level FROM wx LEFT JOIN obs ON wx.station = obs.station AND wx.t = obs.t),
+_CONFORMED = f"""{OBS}, {WX}, raw AS (SELECT wx.* REPLACE (round_even(soil_temp * 16, 0) / 16 AS soil_temp), obs.level FROM wx LEFT JOIN obs ON wx.station = obs.station AND wx.t = obs.t),
 ln AS (SELECT *, MAX(CASE WHEN level IS NOT NULL THEN t END) OVER (PARTITION BY station ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0,
   MIN(CASE WHEN level IS NOT NULL THEN t END) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM raw),
 merged AS (SELECT n.* EXCLUDE (level, t0, t1), n.level IS NOT NULL AS is_observed,
@@ -384,10 +384,15 @@ FROM z WINDOW w AS (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECE
 
 @query("daily_feature_table", _FEATURE_SQL)
 def daily_feature_table(spark, sf_dir):
-    named = panels.named(panels.merged(spark, sf_dir))
+    named = panels.named(_sixteenths(panels.merged(spark, sf_dir)))
     return _feature_columns(build_feature_table(named, ["code_bss"], "date_index"))
 
 
+def _sixteenths(df):
+    """Temperatures whose sums are exact, so that two engines round a mean to the same hundredth."""
+    return df.withColumn("soil_temp", F.rint(F.col("soil_temp") * 16) / 16)
+
+
 def _feature_columns(table):
     return table.select(
         "code_bss", "date_index", "is_observed",
@@ -399,4 +404,4 @@ def _feature_columns(table):
 def feature_table_raw_readings(spark, sf_dir):
     """The feature table from readings as they land: several a day, some without a level."""
     rows = panels.wx(spark, sf_dir).join(gappy_readings(spark, sf_dir), ["station", "t"], "left")
-    return _feature_columns(build_feature_table(panels.named(rows), ["code_bss"], "date_index", order=["seq"]))
+    return _feature_columns(build_feature_table(panels.named(_sixteenths(rows)), ["code_bss"], "date_index", order=["seq"]))
