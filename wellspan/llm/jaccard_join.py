@@ -14,8 +14,8 @@ one component need not be listed.
    group's union, the tokens that occur in a group of another component bound the overlap of any member
    with any document outside. Groups whose bound can't reach 80 % of their smallest member stay closed.
 4. *Opened groups.* Members of the others are grouped anew, small components by min-hash. Two of these
-   groups are opened for each other if the tokens that their unions share could cover 80 % of a member of
-   either. Each member is bounded against the other group's union, and compared exactly with its members.
+   groups are opened for each other if their members' prefixes (rarest tokens, as many as no link can do
+   without) share a token. Each member is bounded against the other group's union, then compared exactly.
 
 The matrix is sent between tasks as packed blocks, a few bytes a token; nothing is collected to the
 driver, and no step lists the pairs of a group of copies.
@@ -365,40 +365,85 @@ def _open_groups(sets: DataFrame) -> DataFrame:
     return bound.join(least, "gid").where(F.col("c") * 100 >= F.col("n") * PERCENT).select("gid")
 
 
+def _prefixes(members: DataFrame) -> DataFrame:
+    """(id, prefix): each member's rarest tokens, as many as make it impossible to link without sharing one.
+
+    The order is by how many members have a token, then by token. Tokens of one member only come first
+    and can't be shared, so they aren't listed; a member that then has too few tokens left goes.
+    """
+    parts = _parts(members)
+    back = max(1, parts // 8)
+
+    def send(batches):
+        def units():
+            for batch in batches:
+                for i, n, t in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "tokens"))):
+                    yield i, n, _as_tokens(t), ()
+
+        yield from _blocks(units(), parts, False, whole=True)
+
+    def count(found: pa.Table) -> pa.Table:
+        t = np.concatenate([np.cumsum(unpack(a, np.uint64)) for a in found.column("a").to_pylist()])
+        o, n = (np.concatenate([unpack(x) for x in found.column(c).to_pylist()]) for c in ("b", "c"))
+        order = np.argsort(t)
+        t, o, n = t[order], o[order], n[order]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        df = np.repeat(sizes := np.diff(np.append(first, len(t))), sizes)
+        t, o, n, df = (x[df > 1] for x in (t, o, n, df))
+        q = (mix(o.view(np.uint64)) % np.uint64(back)).astype(np.int64)
+        rows = [(int(k), 0, pack(o[q == k]), pack(t[q == k]), pack(df[q == k] << 32 | n[q == k])) for k in np.unique(q)]
+        return pa.Table.from_batches([_batch(rows)] if rows else [], schema=_BLOCK)
+
+    def choose(found: pa.Table) -> pa.Table:
+        o, t, x = (np.concatenate([unpack(v) for v in found.column(c).to_pylist()]) for c in ("a", "b", "c"))
+        order = np.lexsort((t, x >> 32, o))
+        o, t, n = o[order], t[order], (x & 0xFFFFFFFF)[order]
+        first = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
+        c = np.diff(np.append(first, len(o)))
+        take = c - needed(n[first]) + 1
+        kept = [(int(o[f]), t[f:f + k].tobytes()) for f, k in zip(first.tolist(), take.tolist()) if k > 0]
+        ids, prefix = zip(*kept) if kept else ((), ())
+        return pa.table([pa.array(ids, pa.int64()), pa.array(prefix, pa.binary())], names=["id", "prefix"])
+
+    return members.mapInArrow(send, BLOCK).groupBy("p").applyInArrow(count, BLOCK).groupBy("p").applyInArrow(choose, "id bigint, prefix binary")
+
+
 def _regrouped(members: DataFrame) -> DataFrame:
     """Members in groups of about ``GROUP``: those of a large world together, all others by min-hash."""
     large = members.groupBy("world").count().where(F.col("count") >= GROUP // 2).select("world", F.lit(True).alias("large"))
     keyed = members.join(large, "world", "left").withColumn("key", F.when(F.col("large"), F.xxhash64("world")).otherwise(F.col("g1")))
-    return _dealt(keyed.select("key", "world", "id", "tokens"), "key").select(
-        F.xxhash64("key", "block").alias("gid"), "world", "id", "tokens")
+    return _dealt(keyed.select("key", "world", "id", "tokens", "prefix"), "key").select(
+        F.xxhash64("key", "block").alias("gid"), "world", "id", "tokens", "prefix")
 
 
-GROUPS = "gid bigint, lo bigint, hi bigint, least bigint, most bigint, ids binary, worlds binary, sizes binary, tokens binary"
-_GROUPS = pa.schema([*[(c, pa.int64()) for c in ("gid", "lo", "hi", "least", "most")], *[(c, pa.binary()) for c in ("ids", "worlds", "sizes", "tokens")]])
+GROUPS = "gid bigint, lo bigint, hi bigint, least bigint, most bigint, ids binary, worlds binary, sizes binary, tokens binary, prefix binary"
+_GROUPS = pa.schema([*[(c, pa.int64()) for c in ("gid", "lo", "hi", "least", "most")], *[(c, pa.binary()) for c in ("ids", "worlds", "sizes", "tokens", "prefix")]])
 
 
 def _packed_groups(members: DataFrame) -> DataFrame:
-    """One row per group: its members' ids, worlds, sizes and tokens one after the other."""
+    """One row per group: its members' ids, worlds, sizes and tokens one after the other, and the union of their prefixes."""
     def run(batches):
         for (gid,), rows in _runs(batches, 1):
             worlds, ids = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
             sizes = np.array([len(r[2]) // 8 for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(
-                (gid, worlds.min(), worlds.max(), sizes.min(), sizes.max(), ids.tobytes(), worlds.tobytes(), sizes.tobytes(), b"".join(r[2] for r in rows)),
+                (gid, worlds.min(), worlds.max(), sizes.min(), sizes.max(), ids.tobytes(), worlds.tobytes(), sizes.tobytes(), b"".join(r[2] for r in rows),
+                 np.unique(np.frombuffer(b"".join(r[3] for r in rows), np.int64)).tobytes()),
                 _GROUPS)], schema=_GROUPS)
 
     return _together(members, "gid").mapInArrow(run, GROUPS)
 
 
 def _group_pairs(groups: DataFrame) -> DataFrame:
-    """(a, b, c): pairs of groups, a < b, and how many tokens their unions share."""
+    """(a, b): pairs of groups, a < b, the unions of whose prefixes share a token."""
     parts = _parts(groups)
 
     def send(batches):
         def units():
             for batch in batches:
-                for gid, t in zip(batch.column("gid").to_pylist(), batch.column("tokens").to_pylist()):
-                    yield gid, None, np.unique(_as_tokens(t)), ()
+                for gid, t in zip(batch.column("gid").to_pylist(), batch.column("prefix").to_pylist()):
+                    # prefixes hold the upper bits only; _send cuts tokens to those
+                    yield gid, None, np.frombuffer(t, np.uint64) << np.uint64(64 - BITS), ()
 
         yield from _blocks(units(), parts, False, whole=True)
 
@@ -409,22 +454,36 @@ def _group_pairs(groups: DataFrame) -> DataFrame:
         t, g = t[order], g[order]
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         sizes = np.diff(np.append(first, len(t)))
-        codes, counts = [], []
+        codes = [np.zeros(0, np.int64)]
         for size in np.unique(sizes[sizes > 1]):
             starts = first[sizes == size]
             i, j = np.triu_indices(size, 1)
             step = max(1, 2_000_000 // len(i))
             for at in range(0, len(starts), step):
                 rows = g[starts[at:at + step, None] + np.arange(size)]
-                code, n = np.unique(rows[:, i].astype(np.int64) * len(gids) + rows[:, j], return_counts=True)
-                codes.append(code)
-                counts.append(n)
-        code, back = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_inverse=True)
-        c = np.bincount(back, np.concatenate([np.zeros(0, np.int64), *counts]), len(code)).astype(np.int64)
-        return pa.table([pa.array(gids[code // len(gids)]), pa.array(gids[code % len(gids)]), pa.array(c)], names=["a", "b", "c"])
+                codes.append(np.unique(rows[:, i].astype(np.int64) * len(gids) + rows[:, j]))
+        code = np.unique(np.concatenate(codes))
+        return pa.table([pa.array(gids[code // len(gids)]), pa.array(gids[code % len(gids)])], names=["a", "b"])
+
+    return groups.select("gid", "prefix").mapInArrow(send, BLOCK).groupBy("p").applyInArrow(receive, "a bigint, b bigint").distinct()
+
+
+def spanning(edges) -> list[tuple[int, int]]:
+    """As many of the edges as connect the same vertices."""
+    root: dict[int, int] = {}
 
-    return groups.select("gid", "tokens").mapInArrow(send, BLOCK).groupBy("p").applyInArrow(
-        receive, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    out = []
+    for u, v in edges:
+        a, b = find(u), find(v)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((u, v))
+    return out
 
 
 def open_group(queries: list[np.ndarray], group: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -447,17 +506,17 @@ def open_group(queries: list[np.ndarray], group: list[np.ndarray]) -> list[tuple
 
 
 def _links_across(members: DataFrame) -> DataFrame:
-    """Edges between members (world, id, g1, tokens) of different worlds."""
-    groups = materialize(_packed_groups(_regrouped(members)), "groups")
+    """Edges between worlds of members (world, id, n, g1, tokens) that link."""
+    prefixes = materialize(_prefixes(members), "prefixes")
+    groups = materialize(_packed_groups(_regrouped(members.join(prefixes, "id"))), "groups")
     facts = groups.select("gid", "lo", "hi", "least", "most")
     a, b = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "ab")
     able = (
-        (F.col("c") * 100 >= F.greatest("a_least", "b_least") * PERCENT)
-        & (F.col("a_most") * 100 >= F.col("b_least") * PERCENT) & (F.col("b_most") * 100 >= F.col("a_least") * PERCENT)
+        (F.col("a_most") * 100 >= F.col("b_least") * PERCENT) & (F.col("b_most") * 100 >= F.col("a_least") * PERCENT)
         & ((F.col("a_lo") != F.col("a_hi")) | (F.col("b_lo") != F.col("b_hi")) | (F.col("a_lo") != F.col("b_lo"))))
     pairs = _group_pairs(groups).join(a, F.col("a") == F.col("a_gid")).join(b, F.col("b") == F.col("b_gid")).where(able).select("a", "b")
     inside = facts.where("lo <> hi").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    whole = ("ids", "worlds", "sizes", "tokens")
+    whole = ("worlds", "sizes", "tokens")
     sides = [groups.select(F.col("gid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in whole]) for side in "ab"]
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     opened = materialize(pairs.unionByName(inside), "pairs").repartition(n, F.xxhash64("a", "b"))
@@ -465,13 +524,13 @@ def _links_across(members: DataFrame) -> DataFrame:
 
     def verify(batches):
         def read(row):
-            ids, worlds, sizes = (np.frombuffer(x, np.int64) for x in row[:3])
-            return ids, worlds, np.split(_as_tokens(row[3]), np.cumsum(sizes)[:-1])
+            worlds, sizes = (np.frombuffer(x, np.int64) for x in row[:2])
+            return worlds, np.split(_as_tokens(row[2]), np.cumsum(sizes)[:-1])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                (ids, worlds, sets), (other_ids, other_worlds, others) = read(row[:4]), read(row[4:])
-                edges = {(int(ids[q]), int(other_ids[m])) for q, m in open_group(sets, others) if worlds[q] != other_worlds[m]}
+                (worlds, sets), (other_worlds, others) = read(row[:3]), read(row[3:])
+                edges = spanning((int(worlds[q]), int(other_worlds[m])) for q, m in open_group(sets, others))
                 if edges:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["u", "v"])
 
@@ -497,9 +556,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     members = _dealt(placed, "world").select(F.xxhash64("world", "block").alias("gid"), "world", "id", "n", "g1", "tokens")
     opened = materialize(members.join(_open_groups(members), "gid", "left_semi"), "opened")
     if not opened.isEmpty():
-        roots = components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(_links_across(opened.select("world", "id", "g1", "tokens"))))
-    out = facts.join(roots, "id", "left").select(
-        F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+        # worlds that link become one; a world is named by its smallest id
+        merged = components(_links_across(opened.select("world", "id", "n", "g1", "tokens"))).select(
+            F.col("id").alias("world"), F.col("root").alias("final"))
+    else:
+        merged = roots.limit(0).select(F.col("id").alias("world"), F.col("root").alias("final"))
+    placed = facts.select("id", "n").join(roots, "id", "left").withColumn("world", F.coalesce("root", "id"))
+    out = placed.join(merged, "world", "left").select(
+        F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("final", "world").alias("component_id"))
     return out.unionByName(_without_key(rows, k).select(F.lit(None).cast(kind).alias(key), "n_shingles", "component_id"))
 
 
