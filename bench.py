@@ -25,7 +25,8 @@ HEADLINE = [
     "heatwave_days", "compound_dry_hot", "ccf_drivers", "best_recharge_lag", "classical_decomposition",
     "robust_decomposition", "corr_matrix_long", "exact_quantiles_prices", "daily_feature_table",
     "train_frame_h14", "walk_forward_folds", "cv_summary", "ols_lagged_backtest", "additive_backtest",
-    "stream_daily_mean",
+    "stream_daily_mean", "holt_winters_grid", "grid_select_score", "refit_forecast_index", "gbt_backtest",
+    "feature_table_raw_readings", "stream_upsert_last",
 ]
 
 
