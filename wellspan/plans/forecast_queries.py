@@ -311,12 +311,39 @@ def ar_diff_forecast(spark, sf_dir):
     return out.withColumns({"phi": r6("phi"), "yhat": r6("yhat", 3)})
 
 
-@query("holt_winters_grid")
+_HW_GRID = {"alpha": [0.2, 0.5, 0.9], "beta": [0.01, 0.2], "gamma": [0.01, 0.2], "phi": [0.9, 0.98]}
+
+
+def _holt_winters_sql(period: int, horizon: int) -> str:
+    """The recursion day by day, one row per station and grid point; a row replaces its predecessor."""
+    grid = ", ".join(f"(SELECT UNNEST({v!r})::DOUBLE AS {k})" for k, v in _HW_GRID.items())
+    level = "alpha * (d.y - s[1]) + (1 - alpha) * (l + phi * b)"
+    keys = "station, alpha, beta, gamma, phi"
+    return f"""WITH RECURSIVE {INTERPOLATED}, num AS (SELECT station, t, y, ROW_NUMBER() OVER (PARTITION BY station ORDER BY t) AS k FROM dense WHERE y IS NOT NULL),
+base AS (SELECT station, COUNT(*) AS n, MAX(t) AS last_train, AVG(y) FILTER (k <= {period}) AS m1, AVG(y) FILTER (k > {period} AND k <= 2 * {period}) AS m2,
+  list(y ORDER BY k) FILTER (k <= {period}) AS y1 FROM num GROUP BY 1),
+rec({keys}, k, l, b, s, sse) USING KEY ({keys}) AS (
+  SELECT {keys}, {period}::BIGINT, m1, (m2 - m1) / {period}, list_transform(y1, lambda x: x - m1), 0::DOUBLE FROM base, {grid} WHERE n >= 2 * {period}
+  UNION
+  SELECT r.station, alpha, beta, gamma, phi, r.k + 1, {level}, beta * (({level}) - l) + (1 - beta) * (phi * b),
+    list_append(s[2:], gamma * (d.y - l - phi * b) + (1 - gamma) * s[1]), sse + pow(d.y - (l + phi * b + s[1]), 2)
+  FROM rec r JOIN num d ON d.station = r.station AND d.k = r.k + 1),
+best AS (SELECT rec.*, base.n, base.last_train FROM rec JOIN base USING (station)
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY station ORDER BY sse, alpha, beta, gamma, phi) = 1)
+SELECT station, alpha, beta, gamma, phi, {q6(f'sqrt(sse / (n - {period}))', 3)} AS fit_rmse, CAST(h AS INTEGER) AS step, CAST(last_train + CAST(h AS INTEGER) AS DATE) AS ds,
+  {q6(f'l + phi * (1 - pow(phi, h)) / (1 - phi) * b + s[(h - 1) % {period} + 1]', 3)} AS yhat, CAST(NULL AS VARCHAR) AS reason
+FROM best, (SELECT range AS h FROM range(1, {horizon} + 1))
+UNION ALL SELECT station, NULL, NULL, NULL, NULL, NULL, CAST(h AS INTEGER), CAST(last_train + CAST(h AS INTEGER) AS DATE), NULL, n || ' values, two cycles have {2 * period}'
+FROM base, (SELECT range AS h FROM range(1, {horizon} + 1)) WHERE n < 2 * {period}"""
+
+
+@query("holt_winters_grid", _holt_winters_sql(365, 90))
 def holt_winters_grid(spark, sf_dir):
-    return smoothing.holt_winters_grid(
+    out = smoothing.holt_winters_grid(
         dense_levels(spark, sf_dir), K, "t", "level", 365, 90,
-        alphas=[0.2, 0.5, 0.9], betas=[0.01, 0.2], gammas=[0.01, 0.2], phis=[0.9, 0.98],
+        alphas=_HW_GRID["alpha"], betas=_HW_GRID["beta"], gammas=_HW_GRID["gamma"], phis=_HW_GRID["phi"],
     )
+    return out.withColumns({c: r6(c, 3) for c in ("fit_rmse", "yhat")})
 
 
 _HEALTH = f"""{MERGED}, {calendar('merged', extra=14)}, fr AS (SELECT c.station, c.t, m.level AS y, m.radiation, w.radiation AS r1, w.et0 AS r2,
