@@ -11,10 +11,11 @@ from wellspan.operators.clean import conform_daily, with_water_balance
 from wellspan.plans.registry import (
     MERGED, MONTHLY_LEVEL, OBS, SPLI, WX, calendar, months, ppf_sql, q6, query, r6, score_sql, with_,
 )
+from wellspan.plans import daily_build
 from wellspan.plans.daily_queries import FIRST_READING, gappy_readings
 from wellspan.plans.features import feature_table as build_feature_table
 from wellspan.plans.reports import drought_report as build_drought_report
-from wellspan.session import reuse
+from wellspan.session import reuse, scratch_path
 from wellspan.sources import panels
 
 K = ["station"]
@@ -400,6 +401,39 @@ def _feature_columns(table):
     )
 
 
+def _deliveries(spark, sf_dir):
+    """Readings as two deliveries under the feed's names: open orders come later."""
+    rows = panels.readings(spark, sf_dir).withColumnsRenamed({"station": "code_bss", "t": "date_index", "level": "niveau_nappe_eau"})
+    return [rows.where("status <> 'O'").drop("status"), rows.where("status = 'O'").drop("status")]
+
+
+_LAST_READING = """obs AS (SELECT o_orderpriority AS station, CAST(o_orderdate AS DATE) AS t, o_totalprice AS level FROM orders
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY o_orderpriority, CAST(o_orderdate AS DATE) ORDER BY o_orderstatus = 'O' DESC, o_orderkey DESC) = 1)"""
+
+
+@query("daily_build_two_deliveries", _FEATURE_SQL.replace(OBS, _LAST_READING))
+def daily_build_two_deliveries(spark, sf_dir):
+    weather = panels.named(_sixteenths(panels.wx(spark, sf_dir)))
+    return _feature_columns(daily_build.daily_build(
+        _deliveries(spark, sf_dir), weather, scratch_path(spark, "build"), "code_bss", "date_index", ["seq"], buckets=2))
+
+
+@query("daily_build_next_chunks", """
+WITH s AS (SELECT o_orderpriority AS code_bss, MAX(CAST(o_orderdate AS DATE)) AS e,
+  MAX(CAST(o_orderdate AS DATE)) FILTER (year(o_orderdate) < 2000) AS last_date FROM orders GROUP BY 1),
+r AS (SELECT code_bss, e, COALESCE(CAST(last_date + INTERVAL 1 DAY AS DATE), DATE '1990-01-01') AS b FROM s)
+SELECT code_bss, CAST(y AS INTEGER) AS year, greatest(b, make_date(y, 1, 1)) AS chunk_start, least(e, make_date(y, 12, 31)) AS chunk_end
+FROM (SELECT *, UNNEST(range(year(b), year(e) + 1)) AS y FROM r WHERE b <= e)""")
+def daily_build_next_chunks(spark, sf_dir):
+    """After a delivery of the years before 2000: what is left to fetch, up to the last day of each station."""
+    first, second = _deliveries(spark, sf_dir)
+    path = scratch_path(spark, "build")
+    readings = first.unionByName(second)
+    daily_build.load([readings.where(F.year("date_index") < 2000)], path, "code_bss", "date_index", ["seq"], buckets=2)
+    ends = readings.groupBy("code_bss").agg(F.max("date_index").alias("last_known"))
+    return daily_build.next_chunks(ends, path, first.schema, "code_bss", "date_index", F.lit("1990-01-01").cast("date"), "last_known")
+
+
 @query("feature_table_raw_readings", _FEATURE_SQL.replace(OBS, f"obs AS {FIRST_READING}"))
 def feature_table_raw_readings(spark, sf_dir):
     """The feature table from readings as they land: several a day, some without a level."""
