@@ -218,8 +218,9 @@ def _together(df: DataFrame, *keys: str) -> DataFrame:
 # --- step 1 ------------------------------------------------------------------------------
 
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (id, n, d1, d2, NULL) for each document and (id, NULL, NULL, NULL, shared tokens) for some."""
+    """Rows (id, n, d1, d2) for each document, and rows (q, a, b) of packed ids and partial counts of shared tokens."""
     parts = _parts(docs)
+    back = max(1, parts // 8)
 
     def send(batches):
         from xxhash import xxh3_64_intdigest
@@ -235,7 +236,7 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
 
         yield from _blocks(units(), parts, True)
 
-    out = pa.schema([(c, pa.int64()) for c in ("id", "n", "d1", "d2", "c")])
+    out = pa.schema([*[(c, pa.int64()) for c in ("id", "n", "d1", "d2")], ("q", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 
     def receive(found: pa.Table) -> pa.Table:
         kinds = np.array(found.column("kind").to_pylist())
@@ -245,12 +246,25 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
         more = [unpack(b).reshape(-1, 3) for b in own.column("b").to_pylist()]
         ids = np.concatenate([np.zeros(0, np.int64), *ids])
         more = np.concatenate([np.zeros((0, 3), np.int64), *more])
-        none = pa.nulls(len(who), pa.int64())
+        q = (mix(who.view(np.uint64)) % np.uint64(back)).astype(np.int64)
+        packed = [(int(k), pack(who[q == k]), pack(counts[q == k])) for k in np.unique(q)]
+        none = pa.nulls(len(packed), pa.int64())
         return pa.concat_tables([
-            pa.table([pa.array(ids), *[pa.array(more[:, j]) for j in range(3)], pa.nulls(len(ids), pa.int64())], schema=out),
-            pa.table([pa.array(who), none, none, none, pa.array(counts)], schema=out)])
+            pa.table([pa.array(ids), *[pa.array(more[:, j]) for j in range(3)], *[pa.nulls(len(ids), f.type) for f in list(out)[4:]]], schema=out),
+            pa.table([none] * 4 + [pa.array(c, f.type) for c, f in zip(zip(*packed) if packed else ((), (), ()), list(out)[4:])], schema=out)])
+
+    return docs.mapInArrow(send, BLOCK).groupBy("p").applyInArrow(
+        receive, "id bigint, n bigint, d1 bigint, d2 bigint, q int, a binary, b binary")
+
+
+def _shared(found: DataFrame) -> DataFrame:
+    """(id, c): how many of a document's tokens another one has, from the packed partial counts."""
+    def total(part: pa.Table) -> pa.Table:
+        ids, counts = (np.concatenate([unpack(x) for x in part.column(c).to_pylist()]) for c in ("a", "b"))
+        who, back = np.unique(ids, return_inverse=True)
+        return pa.table([pa.array(who), pa.array(np.bincount(back, counts, len(who)).astype(np.int64))], names=["id", "c"])
 
-    return docs.mapInArrow(send, BLOCK).groupBy("p").applyInArrow(receive, "id bigint, n bigint, d1 bigint, d2 bigint, c bigint")
+    return found.where("q IS NOT NULL").select("q", "a", "b").groupBy("q").applyInArrow(total, "id bigint, c bigint")
 
 
 # --- step 2 ------------------------------------------------------------------------------
@@ -543,7 +557,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     found = materialize(_facts(rows.where("id IS NOT NULL"), k), "facts")
     facts = found.where("n IS NOT NULL").select("id", "n", "d1", "d2")
-    shared = found.where("c IS NOT NULL").groupBy("id").agg(F.sum("c").alias("c"))
+    shared = _shared(found)
     classes = facts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     same = facts.join(classes.where("rep <> last"), ["n", "d1", "d2"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     wanted = classes.select(F.col("rep").alias("id"), "n", "d1", "d2").join(shared, "id").where(
