@@ -205,6 +205,27 @@ def test_secret_query_and_redaction(spark, words, awkward, empty):
     assert secret_scan.find(empty, words).count() == 0
 
 
+def random_values(alphabet, length, n=1000):
+    r = random.Random(13)
+    return ["".join(r.choice(alphabet) for _ in range(length)) for _ in range(n)]
+
+
+def test_short_random_values_are_found(spark, words):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    given = ["xK9#mQ2p", "q7#Zr@4w", "x8kq2mzp", "пароль7#k", "日本語のキー9x"]
+    plain = ["required", "hunter2", "password123", "incorrect", "unspecified", "letmein", "1987-04-12"]
+    for alphabet, length, most in ((letters + letters.upper() + "0123456789!@#$%^&*", 8, 20), ("0123456789", 12, 30), (letters, 8, 120)):
+        values = random_values(alphabet, length)
+        assert sum(secret_scan.guess_bits(v, words) < 30 for v in values) <= most
+    rows = [(i, f"pwd: {v}\nnext") for i, v in enumerate(given + plain)]
+    masked = secret_scan.find(spark.createDataFrame(rows, "doc_id bigint, text string"), words, redacted="masked")
+    got = {r.doc_id: r for r in masked.collect()}
+    for i, (v, (_, text)) in enumerate(zip(given + plain, rows)):
+        guesses = [(s.start, s.end) for s in got[i].secrets if s.kind == "guess"]
+        assert guesses == ([(5, 5 + len(v))] if i < len(given) else [])
+        assert i >= len(given) or got[i].masked == "pwd: [SECRET]\nnext"
+
+
 # --- fingerprints ------------------------------------------------------------------------
 
 def plain_winnow(grams, w):

@@ -26,9 +26,11 @@ from wellspan.llm.common import map_batches, table, texts
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # whole runs: a shorter run can't hold a match
+BLANKS = r"\x00-\x20\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # and control characters
 CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|login|bearer)"""
-    r"""["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+(?:is|was)\x20+|(?<=bearer)\x20+)["'`]?([!-~]{6,})""", re.I | re.A)
+    r"""["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+(?:is|was)\x20+|(?<=bearer)\x20+)["'`]?"""
+    rf"""([^{BLANKS}]{{6,}})""", re.I | re.A)
 # lower-case words one of which stands in every match of ASSIGN or CONTEXT
 HINTS = ("passw", "secret", "token", "key", "pass", "pwd", "credential", "login", "bearer")
 KINDS = ("assign", "access", "hex", "guess")
@@ -48,8 +50,17 @@ def _near() -> set[tuple[str, str]]:
 NEAR = _near()
 
 
-def brute_bits(c: str) -> float:
-    return math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33)
+def brute_bits(value: str) -> float:
+    """Cost of one character of ``value``: an attacker tries the whole alphabet that the value draws from."""
+    size, blocks = 0, set()
+    for c in set(value):
+        if c >= "\x80":
+            blocks.add(ord(c) >> 6)  # other scripts count by blocks of 64 code points
+        else:
+            blocks.add("digit" if c.isdigit() else "lower" if c.islower() else "upper" if c.isupper() else "symbol")
+    for b in blocks:
+        size += {"digit": 10, "lower": 26, "upper": 26, "symbol": 33}.get(b, 64)
+    return math.log2(size) if size else 0.0
 
 
 def read_dictionary(path: str, shortest: int = 3) -> dict[str, float]:
@@ -82,12 +93,12 @@ def guess_bits(value: str, words: dict[str, float]) -> float:
     best[0] = 0.0
     repeats = {u: _run_lengths(s, u, lambda a, b: a == b) for u in (1, 2, 3, 4)}
     walks = _run_lengths(s, 1, lambda a, b: (a, b) in NEAR or ord(b) - ord(a) in (1, -1) and a.isalnum() and b.isalnum())
-    brute = [brute_bits(c) + (c.isupper() and 0.5) for c in value]
+    brute = brute_bits(value)
     dates = {m.start(): m.end() for m in DATE.finditer(value)}
     for i in range(n):
         here = best[i]
-        if here + brute[i] < best[i + 1]:
-            best[i + 1] = here + brute[i]
+        if here + brute < best[i + 1]:
+            best[i + 1] = here + brute
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             w = words.get(s[i:j])
             if w is not None:
@@ -98,7 +109,7 @@ def guess_bits(value: str, words: dict[str, float]) -> float:
             times = runs[i] // u + 1
             if runs[i] and times >= (3 if u == 1 else 2):
                 j = i + times * u
-                cost = here + 1 + sum(brute[i:i + u]) + math.log2(times)
+                cost = here + 1 + u * brute + math.log2(times)
                 if cost < best[j]:
                     best[j] = cost
         if walks[i] >= 2:
@@ -153,7 +164,7 @@ _NAMES = ("kind", "start", "end", "value_start", "bits")
 
 
 def find(df: DataFrame, dictionary: dict[str, float], text: str = "text", out: str = "secrets",
-         least_bits: float = 40.0, redacted: str | None = None, mask: str = "[SECRET]") -> DataFrame:
+         least_bits: float = 30.0, redacted: str | None = None, mask: str = "[SECRET]") -> DataFrame:
     """``df`` plus the array ``out`` of spans; with ``redacted`` also the text whose values are masked."""
     added = [out, *([redacted] if redacted else [])]
     kept = [c for c in df.columns if c not in added or c == text]
