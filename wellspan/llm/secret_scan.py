@@ -4,7 +4,7 @@ The base patterns find assignments, access keys and hex strings. Besides, every
 credential word is split, by dynamic programming, into the cheapest sequence of dictionary words, dates,
 repeats, keyboard walks and brute-force characters. The cost is the logarithm (base 2) of the guesses an
 attacker needs. ``password is required`` costs little and is left alone; a value of ``least_bits`` or
-more that no base span touches is added with the kind ``guess``. The dictionary is a public vocabulary,
+more that base values don't cover wholly is added with the kind ``guess``. The dictionary is a public vocabulary,
 a word's cost its rank.
 
 Every text is scanned whole, in time linear in its length. Null and empty texts have no spans; repeated
@@ -31,6 +31,7 @@ CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|login|bearer)"""
     r"""["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+(?:is|was)\x20+|(?<=bearer)\x20+)["'`]?"""
     rf"""([^{BLANKS}]{{6,}})""", re.I | re.A)
+CLOSED = {q: re.compile(rf"((?:[^\\{q}]|\\.)*){q}(?:[,:;)}}\]]|$)", re.S) for q in "\"'`"}
 # lower-case words one of which stands in every match of ASSIGN or CONTEXT
 HINTS = ("passw", "secret", "token", "key", "pass", "pwd", "credential", "login", "bearer")
 KINDS = ("assign", "access", "hex", "guess")
@@ -137,11 +138,11 @@ def scan(text: str, words: dict[str, float], least_bits: float) -> list[tuple[st
         out += [("access", m.start(), m.end(), m.start(), -1.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     out += [("hex", m.start(), m.end(), m.start(), -1.0) for m in HEX.finditer(text)]
     if hinted:
-        taken = {k: [(s, e) for kind, s, e, _, _ in out if kind == k] for k in KINDS}
+        taken = {k: [(v, e) for kind, _, e, v, _ in out if kind == k] for k in KINDS}
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip("\"'`.,;:!?)]}>")
-            start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= LEAST["assign"] and not _touches(taken, start, end):
+            start, value = m.start(1), _unquoted(text[m.start(1) - 1], m[1]).rstrip("\"'`.,;:!?)]}>")
+            end = start + len(value)
+            if len(value) >= LEAST["assign"] and not _covered(taken, start, end):
                 bits = guess_bits(value, words)
                 if bits >= least_bits:
                     out.append(("guess", start, end, start, bits))
@@ -149,13 +150,22 @@ def scan(text: str, words: dict[str, float], least_bits: float) -> list[tuple[st
     return out
 
 
-def _touches(taken: dict[str, list[tuple[int, int]]], start: int, end: int) -> bool:
-    """Whether a span overlaps; those of one kind are in order and don't overlap each other."""
-    for spans in taken.values():
-        at = bisect.bisect_left(spans, (end, -1))
-        if at and spans[at - 1][1] > start:
-            return True
-    return False
+def _unquoted(before: str, value: str) -> str:
+    """A value that a quote opens goes up to the same quote if syntax follows that; else it is whole."""
+    closed = CLOSED[before].match(value) if before in CLOSED else None
+    return closed[1] if closed else value
+
+
+def _covered(taken: dict[str, list[tuple[int, int]]], start: int, end: int) -> bool:
+    """Whether the values of spans cover it wholly; those of one kind are in order and don't overlap each other."""
+    at = -1
+    while at < start < end:
+        at = start
+        for spans in taken.values():
+            i = bisect.bisect_right(spans, (start, 1 << 62))
+            if i and spans[i - 1][1] > start:
+                start = spans[i - 1][1]
+    return start >= end
 
 
 SPAN = "array<struct<kind: string, start: bigint, end: bigint, value_start: bigint, bits: double>>"
