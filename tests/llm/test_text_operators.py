@@ -521,6 +521,28 @@ def test_compression_bands(spark):
     assert got == {1: (False, True), 2: (False, False), 3: (False, False), 4: (False, False), 5: (False, True)}
 
 
+def test_noise_in_part_of_a_text_fails(spark):
+    r = random.Random(14)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(r.choice(words) for _ in range(n // 3))[:n]
+
+    def noise(n):
+        return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+
+    def lines(n):
+        return "\n".join("".join(r.choice("0123456789abcdef") for _ in range(64)) for _ in range(n // 65))
+
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(40_000))
+    bad = [letters, letters[:5000], lines(40_000), lines(6000), prose(12_600) + noise(8400), prose(4096) + noise(4090), prose(4096) + noise(900)]
+    clean = [prose(n) for n in (300, 1000, 3000, 4096, 4110, 5000, 8186, 21_000, 40_000)] + [prose(8192) + "xQ9", prose(60_000) + noise(3000)]
+    clean += [" ".join("".join(chr(r.randint(0x4E00, 0x4E00 + 800)) for _ in range(9)) for _ in range(400))]
+    rows = list(enumerate(bad + clean))
+    got = {x.doc_id: x.kept for x in quality.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [False] * len(bad) + [True] * len(clean)
+
+
 # --- chat --------------------------------------------------------------------------------
 
 def test_perspectives(spark):
