@@ -282,6 +282,26 @@ def test_any_long_common_run_has_a_common_hash(spark):
     assert df.where(F.size(F.array_intersect(winnow.hashes("fa"), winnow.hashes("fb"))) == 0).count() == 0
 
 
+def test_runs_are_found_wherever_they_start(spark):
+    r = random.Random(15)
+
+    def text(n, alphabet):
+        return "".join(r.choice(alphabet) for _ in range(n))
+
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 500))) + "😀é"
+    rows = []
+    for i in range(30):
+        run = text(winnow.WINDOW + winnow.K - 1, wide)
+        rows.append((i, text(100 + i, wide) + run + text(50, wide), text(i, wide) + run[:9] + " \n" + run[9:] + text(80, wide)))
+    long = text(3000, wide)
+    rows.append((99, long, "x" + long))
+    df = spark.createDataFrame(rows, "id bigint, a string, b string")
+    df = winnow.with_fingerprint(winnow.with_fingerprint(df, "a", "fa"), "b", "fb").select(
+        "id", winnow.hashes("fa").alias("fa"), winnow.hashes("fb").alias("fb")).withColumn("like", winnow.likeness("fa", "fb"))
+    got = {x.id: x["like"] for x in df.collect()}
+    assert min(got.values()) > 0 and got[99] > 0.98
+
+
 def test_edited_texts_and_next_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     out = registered.QUERIES["op4_winnow"](spark, SF)

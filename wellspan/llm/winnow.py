@@ -1,10 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is read as units of up to ``UNIT`` non-blank characters, counted from the start of each word, so
-that an edit shifts the units of its own word only and spacing doesn't matter. Every ``k`` units in a row
-are hashed (a polynomial modulo a prime, put together from halves: the value a rolling hash has). Of every
-``w`` hashes in a row the smallest is chosen, the rightmost of equal ones, and kept with its position.
-Any run of ``w + k - 1`` equal units in two texts therefore gives both a common hash.
+A text is read as its characters without blanks, so that spacing doesn't matter and an edit shifts nothing
+but itself. Every ``k`` characters in a row are hashed (a polynomial modulo a prime, put together from parts:
+the value a rolling hash has). Of every ``w`` hashes in a row the smallest is chosen, the rightmost of equal
+ones, and kept with its position. Any run of ``w + k - 1`` equal characters in two texts, wherever it starts,
+therefore gives both a common hash. With ``unit`` above 1 the same holds for units of so many characters,
+counted from the start of each word.
 
 A text with fewer than ``k`` units is one gram; a null, empty or blank text has an empty fingerprint.
 Equal texts have equal fingerprints. The likeness of two fingerprints is the Jaccard similarity of their
@@ -17,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wellspan.llm.common import table
 
-UNIT = 3
-K = 4  # a power of two
-WINDOW = 8  # a power of two
+UNIT = 1
+K = 12
+WINDOW = 24
+BLANKS = " \t\n\x0b\f\r"  # what \s means
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
 LOW = (1 << 32) - 1
@@ -36,32 +38,55 @@ def _pairs(a: Column, gap: int, f) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(gap + 1), n), f)
 
 
-def _joined(grams: Column, gap: int) -> Column:
-    """Hashes of runs twice as long, from hashes of runs of ``gap`` units."""
+def _joined(left: Column, right: Column, size: int, gap: int) -> Column:
+    """Hashes of runs of ``size`` units in ``left``, each followed by a run of ``gap`` units in ``right``."""
     factor = F.lit(pow(BASE, gap, PRIME))
-    return _let(grams, lambda a: F.when(F.size(a) > 1, _pairs(a, gap, lambda x, y: (x * factor + y) % F.lit(PRIME))).otherwise(a))
+    n = F.greatest(F.size(right) - size, F.lit(0))
+    return F.when(F.size(right) > 1, F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(size + 1), n), lambda x, y: (x * factor + y) % F.lit(PRIME))).otherwise(left)
+
+
+def _grams(units: Column, k: int) -> Column:
+    """Hashes of all runs of ``k`` units: runs of powers of two, put together by the binary digits of ``k``."""
+
+    def step(whole: Column | None, length: int, a: Column, gap: int) -> Column:
+        # ``whole`` has the runs of ``length`` units, the digits of k below ``gap``; ``a`` those of ``gap`` units
+        def use(a: Column) -> Column:
+            if not k & gap:
+                return step(whole, length, _joined(a, a, gap, gap), 2 * gap)
+            # the longer run goes first
+            joined = a if whole is None else _joined(a, whole, gap, length)
+            if length + gap == k:
+                return joined
+            return _let(joined, lambda j: step(j, length + gap, _joined(a, a, gap, gap), 2 * gap))
+
+        return _let(a, use)
+
+    return step(None, 0, units, 1)
 
 
 def _least(c: Column, gap: int) -> Column:
-    """Minima of windows twice as long; one of all if there are fewer."""
+    """Minima of windows ``gap`` longer; one of all if there are fewer."""
     return _let(c, lambda a: F.when(F.size(a) > gap, _pairs(a, gap, lambda x, y: F.least(x, y)))
                 .when(F.size(a) > 1, F.array(F.array_min(a))).otherwise(a))
 
 
+def _units(text: Column, unit: int) -> Column:
+    if unit > 1:
+        return F.regexp_extract_all(text, F.lit(rf"\S{{1,{unit}}}"), F.lit(0))
+    return _let(F.translate(text, BLANKS, ""), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")))
+
+
 def fingerprint(text: str, unit: int = UNIT, k: int = K, w: int = WINDOW) -> Column:
     """Array of chosen grams in order of position, each hash * 2**32 + (2**32 - 1 - position)."""
-    units = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{unit}}}"), F.lit(0))
+    units = _units(F.coalesce(F.col(text), F.lit("")), unit)
     grams = _let(units, lambda u: F.when(F.size(u).between(1, k - 1), F.array(F.concat_ws(" ", u))).otherwise(u))
-    grams = F.transform(grams, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
-    gap = 1
-    while gap < k:
-        grams = _joined(grams, gap)
-        gap *= 2
+    grams = _grams(F.transform(grams, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME))), k)
     chosen = F.transform(grams, lambda h, i: F.shiftleft(h, 32) + (F.lit(LOW) - i))
-    gap = 1
-    while gap < w:
+    length = 1
+    while length < w:
+        gap = min(length, w - length)  # windows of ``length`` may overlap
         chosen = _least(chosen, gap)
-        gap *= 2
+        length += gap
     return F.array_distinct(chosen)
 
 
