@@ -688,6 +688,22 @@ def test_word_ids_equal_the_library():
             assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_marker_texts_equal_an_unchanged_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    given = ["end of text <|endoftext|> next <|startoftext|> go", "<|endoftext|>", "<|ENDOFTEXT|> a", "é<|startoftext|>É", "日本<|endoftext|>語 a", "no marker"]
+    r = random.Random(16)
+    given += ["".join(r.choice(["<|endoftext|>", "<|startoftext|>", "a", "é ", " ", "<|", "Don't", "日"]) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    rows = list(enumerate(given))
+    found = packing.pieces(spark.createDataFrame(rows, "doc_id bigint, text string"), path, 1).collect()
+    got = {x.doc_id: (x.start, x.length, x.ids_crc32) for x in found}
+    for i, text in rows:
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (0, len(ids), zlib.crc32(ids.tobytes())), repr(text)
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit([5, 7, 3, 2, 10], 10) == [[4], [1, 2], [0, 3]]
     assert packing.best_fit([], 10) == []

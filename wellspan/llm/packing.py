@@ -41,14 +41,16 @@ class WordTokenizer:
 
     Its words are independent of each other. Texts of Latin-1 code points are cut into words here and
     each word's ids, which the library's model gives, are remembered; all other texts, whose
-    normalisation is the library's business, go through the library whole.
+    normalisation is the library's business, and those that contain one of the file's added tokens go
+    through the library whole.
     """
 
     def __init__(self, definition: str, remember: int = 300_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(definition)
-        self.whole.encode_special_tokens = True
+        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, special))) if special else None
         self.tokenize = self.whole.model.tokenize
         self.letters = byte_letters()
         self.memo = Memo(self._word, remember)
@@ -59,7 +61,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if is_latin(text):
+        if is_latin(text) and not (self.added and self.added.search(text)):
             # lower case of a Latin-1 text stays in Latin-1
             out = b"".join(map(self.memo.__getitem__, LATIN_WORDS.findall(text.lower())))
             self.memo.trim()
