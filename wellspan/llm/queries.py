@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wellspan.llm import bpe, chat, jaccard_join, lang_id, packing, pii, quality, secret_scan, toxicity, winnow
+from wellspan.llm import bpe, chat, jaccard_join, lang_id, mixing, packing, pii, quality, runs, secret_scan, toxicity, whitening, winnow
 from wellspan.llm.common import table
 
 
@@ -33,5 +33,8 @@ QUERIES = {
     "op8_perspectives": chat.op8_perspectives,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_best_fit": packing.op10_best_fit,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_source_mix": mixing.op12_source_mix,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
-SQL: dict[str, str] = {"op8_perspectives": chat.OP8_SQL}
+SQL: dict[str, str] = {"op8_perspectives": chat.OP8_SQL, "op12_source_mix": mixing.OP12_SQL}
