@@ -143,13 +143,12 @@ def test_additive_model_beats_climatology_and_is_calibrated(spark):
     rows = [("a", day(i), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
     daily = spark.createDataFrame(rows, "k string, t date, x double, level double")
     train = frames.train_frame(daily, K, "t", "level", ["x"], 14)
-    basis = models.additive_basis(train, K, ["x_lag14"])
     cut = folds.rolling_cutoffs(train, K, "ds", 14, 45)
     configs = [{"changepoint_prior_scale": c, "seasonality_prior_scale": 10.0, "changepoint_range": 0.8} for c in (0.01, 0.3)]
-    fitted = models.fit_additive(basis, cut, K, configs, 1)
+    fitted = models.fit_additive(train, cut, K, ["x_lag14"], configs)
     counts = {r.cutoff: r.n_train for r in fitted.where("config_id = 0").collect()}
     assert all(n == (c - day(14)).days + 1 for c, n in counts.items())
-    cv = models.backtest_additive(basis, fitted, cut, K, 14).toPandas()
+    cv = models.backtest_additive(train, cut, K, ["x_lag14"], configs, 14).toPandas()
     assert set(cv.config_id) == {0, 1} and len(cv) == 2 * 14 * len(counts)
     err = np.sqrt(((cv.y - cv.yhat) ** 2).mean())
     assert err < 0.2
@@ -160,12 +159,13 @@ def test_one_gram_pass_equals_a_fit_on_the_fold_alone(spark):
     """A fold of the shared pass has the coefficients of a fit that only ever saw its rows."""
     x, y = seasonal_rows(900, 3)
     df = frame(spark, y)
-    basis = models.additive_basis(df, K, [])
     cut = spark.createDataFrame([("a", day(600)), ("a", day(899))], "k string, cutoff date")
     config = [{"changepoint_prior_scale": 0.1, "seasonality_prior_scale": 1.0, "changepoint_range": 0.8}]
-    both = {r.cutoff: r for r in models.fit_additive(basis, cut, K, config, 0).collect()}
-    alone = models.fit_additive(basis.where(F.col("ds") <= F.lit(day(600))), cut.limit(1), K, config, 0).first()
-    assert np.allclose(both[day(600)].coef, alone.coef, atol=1e-6)
+    both = {r.cutoff: r for r in models.fit_additive(df, cut, K, [], config).collect()}
+    alone = models.fit_additive(df.where(F.col("ds") <= F.lit(day(600))), cut.where(F.col("cutoff") == F.lit(day(600))), K, [], config).first()
+    n = len(alone.coef)  # the shared pass has knots beyond the first cutoff, which its fold doesn't use
+    assert np.allclose(np.r_[both[day(600)].coef[:33], both[day(600)].coef[-20:]], alone.coef, atol=1e-6) and n == 53
+    assert not any(both[day(600)].coef[33:-20])
     assert both[day(600)].n_train == 601 and both[day(899)].n_train == 900
 
 
@@ -229,3 +229,73 @@ def test_boosted_trees_learn_a_step(spark):
     out = models.gbt_backtest(frames.holdout(df, K, "t", ["x", "y"], 30), K, "t", ["x"], "y", n_estimators=5, colsample=1.0)
     m = {r.split: r for r in metrics.regression_metrics(out, ["split"]).collect()}
     assert m["test"].n == 30 and m["test"].r2 > 0.8
+
+
+def direct_additive(t, y, regs, cutoff, config):
+    """The same model fitted directly on the training rows alone: ridge on columns standardised over them."""
+    seen = t <= cutoff
+    x = models._basis(t, int(t.min()), int(cutoff - t.min()), 31, (regs - regs[seen].mean(0)) / regs[seen].std(0))
+    share = np.r_[np.arange(1, 32) / 32 <= config["changepoint_range"]]
+    x = x[:, np.r_[True, True, share, np.ones(x.shape[1] - 33, bool)]]
+    scale = np.abs(y[seen]).max()
+    prior = np.r_[5, 5, np.full(share.sum(), config["changepoint_prior_scale"]), np.full(20, config["seasonality_prior_scale"]), np.full(regs.shape[1], 10.0)]
+
+    def ridge(weights):
+        a = np.vstack([x[seen], np.diag(np.sqrt(weights))])
+        return np.linalg.lstsq(a, np.r_[y[seen] / scale, np.zeros(len(weights))], rcond=None)[0]
+
+    loose = y[seen] / scale - x[seen] @ ridge(np.full(x.shape[1], 1e-9))
+    return x @ ridge((loose @ loose) / seen.sum() / prior**2) * scale
+
+
+def test_a_fold_equals_a_direct_fit_on_its_rows_alone(spark):
+    """Later rows, ten times as large and spread, change nothing before their fold."""
+    x, y = seasonal_rows(1000, 7)
+    x[850:], y[850:] = x[850:] * 10 + 50, y[850:] * 10
+    t = np.arange(1000) + (D0 - dt.date(1970, 1, 1)).days
+    df = spark.createDataFrame([("a", day(i), float(v), float(r)) for i, (v, r) in enumerate(zip(y, x))], "k string, ds date, y double, x double")
+    cut = spark.createDataFrame([("a", day(c)) for c in (700, 800)], "k string, cutoff date")
+    config = {"changepoint_prior_scale": 0.3, "seasonality_prior_scale": 1.0, "changepoint_range": 0.8}
+    cv = models.backtest_additive(df, cut, K, ["x"], [config], 30).toPandas()
+    first = cv[cv.cutoff == day(700)].sort_values("ds")
+    assert np.allclose(first.yhat, direct_additive(t, y, x[:, None], t[700], config)[701:731], rtol=1e-7)
+    later = df.where(F.col("ds") <= F.lit(day(840)))
+    again = models.backtest_additive(later, cut, K, ["x"], [config], 30).toPandas()
+    both = cv.merge(again, on=["cutoff", "ds"])
+    assert len(both) == 60 and np.allclose(both.yhat_x, both.yhat_y, rtol=1e-9) and np.allclose(both.yhat_lower_x, both.yhat_lower_y, rtol=1e-9)
+
+
+def test_sweep_sums_equal_the_sums_of_the_backtest(spark):
+    x, y = seasonal_rows(900, 4)
+    rows = [(k, day(i), float(v) * s, float(r)) for k, s in (("a", 1), ("b", 0)) for i, (v, r) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows, "k string, ds date, y double, x double").withColumn("h", F.lit(14))
+    by = ["k", "h"]
+    cut = folds.rolling_cutoffs(df, by, "ds", F.col("h"), 45)
+    configs = [{"changepoint_prior_scale": c, "seasonality_prior_scale": 1.0, "changepoint_range": r} for c in (0.05, 0.3) for r in (0.8, 0.95)]
+    cv = models.backtest_additive(df, cut, by, ["x"], configs, "h")
+    want = metrics.horizon_sums(cv, [*by, "config_id"]).toPandas().sort_values(["k", "config_id", "horizon"])
+    got = models.sweep_sums(df, cut, by, ["x"], configs, "h").toPandas().sort_values(["k", "config_id", "horizon"])[want.columns]
+    assert len(want) == 2 * 4 * 14
+    for c in want.columns[3:]:
+        assert np.allclose(want[c].astype(float), got[c].astype(float), equal_nan=True), c
+
+
+def test_stations_without_rows_or_cutoffs(spark):
+    _, y = seasonal_rows(400, 2)
+    df = frame(spark, y).unionByName(frame(spark, y, "no cutoff")).unionByName(frame(spark, [float("nan")] * 3, "no level").replace(float("nan"), None))
+    cut = spark.createDataFrame([("a", day(300)), ("no level", day(2)), ("no rows", day(2))], "k string, cutoff date")
+    config = [{"changepoint_prior_scale": 0.1, "seasonality_prior_scale": 1.0, "changepoint_range": 0.8}]
+    got = {r.k: r.error for r in models.fit_additive(df, cut, K, [], config).collect()}
+    assert got == {"a": None, "no level": "no training rows", "no rows": "no training rows"}
+    assert {r.k for r in models.backtest_additive(df, cut, K, [], config, 14).collect()} == {"a"}
+
+
+def test_intervals_from_backtest_errors(spark):
+    rows = [("a", day(c), day(c + h), h, 10.0 + e * h, 10.0) for c, e in enumerate((-2.0, -1.0, 0.0, 1.0, 3.0)) for h in (1, 2)]
+    cv = spark.createDataFrame(rows, "k string, cutoff date, ds date, horizon int, y double, yhat double")
+    fc = spark.createDataFrame([("a", day(100 + i), None, 7.0, 1.0, 0, day(100), 90) for i in range(4)],
+                               "k string, ds date, y double, yhat double, sigma double, config_id int, cutoff date, n_train bigint")
+    got = {r.horizon: r for r in models.with_tested_interval(fc, models.error_quantiles(cv, K, 0.5), K, 0.5).collect()}
+    assert (got[1].yhat_lower, got[1].yhat_upper, got[1].n_errors, got[1].interval_from) == (6.0, 8.0, 5, "backtest")
+    assert (got[2].yhat_lower, got[2].yhat_upper) == (5.0, 9.0)
+    assert got[0].interval_from == got[3].interval_from == "fit" and got[3].yhat_upper == pytest.approx(7 + models.interval_z(0.5))

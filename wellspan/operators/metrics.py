@@ -47,8 +47,13 @@ def _horizon_table(cv: DataFrame, by: list[str], window: float) -> DataFrame:
     up to them are left out. The windows run on one row per horizon. ``_pooled`` repeats the
     numbers over all rows of the group, so the backtest rows are read once.
     """
+    return _horizon_curve(horizon_sums(cv, by), by, window)
+
+
+def horizon_sums(cv: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, error sums, rows inside the interval, and mean and squared spread of the target, by days ahead."""
     y, p = F.col("y"), F.col("yhat")
-    per_day = cv.groupBy(*by, F.date_diff("ds", "cutoff").alias("horizon")).agg(
+    return cv.groupBy(*by, F.date_diff("ds", "cutoff").alias("horizon")).agg(
         F.count(F.lit(1)).alias("_m"),
         F.sum((y - p) * (y - p)).alias("_se"),
         F.sum(F.abs(y - p)).alias("_ae"),
@@ -57,8 +62,11 @@ def _horizon_table(cv: DataFrame, by: list[str], window: float) -> DataFrame:
         F.avg("y").alias("_y_mean"),
         (F.var_pop("y") * F.count(F.lit(1))).alias("_y_ss"),
     )
+
+
+def _horizon_curve(sums: DataFrame, by: list[str], window: float) -> DataFrame:
     everything = Window.partitionBy(*by)
-    per_day = per_day.withColumn(
+    per_day = sums.withColumn(
         "_grand", F.sum(F.col("_y_mean") * F.col("_m")).over(everything) / F.sum("_m").over(everything)
     )
     off = F.col("_y_mean") - F.col("_grand")
@@ -68,21 +76,21 @@ def _horizon_table(cv: DataFrame, by: list[str], window: float) -> DataFrame:
         (F.sum("_inside").over(everything) / F.sum("_m").over(everything)).alias("coverage"),
         F.sum("_m").over(everything).alias("n"),
     )
-    sums = ["_se", "_ae", "_ape", "_inside"]
+    parts = ["_se", "_ae", "_ape", "_inside"]
     w = Window.partitionBy(*by).orderBy("horizon")
     total = F.sum("_m").over(Window.partitionBy(*by))
     curve = per_day.withColumns({
         "_c_end": F.sum("_m").over(w),
         "_k": F.greatest(F.floor(total * F.lit(window)), F.lit(1)),
         "_pooled": pooled,
-        **{f"{s}_end": F.sum(s).over(w) for s in sums},
+        **{f"{s}_end": F.sum(s).over(w) for s in parts},
     })
     start_at, want_at = F.col("_c_end") - F.col("_m"), F.col("_c_end") - F.col("_k")
     segment = F.struct(
         "_m", start_at.alias("_c0"),
-        *[F.struct((F.col(f"{s}_end") - F.col(s)).alias("_s0"), F.col(s).alias("_rise")).alias(s) for s in sums],
+        *[F.struct((F.col(f"{s}_end") - F.col(s)).alias("_s0"), F.col(s).alias("_rise")).alias(s) for s in parts],
     )
-    wanted = F.struct("horizon", "_k", "_pooled", *[F.col(f"{s}_end").alias(s) for s in sums])
+    wanted = F.struct("horizon", "_k", "_pooled", *[F.col(f"{s}_end").alias(s) for s in parts])
     # each horizon as a piece of the curve and as a question to it, from the same row
     both = curve.withColumns({"_piece": segment, "_ask": wanted}).select(*by, F.inline(F.array(
         F.struct(
@@ -119,13 +127,15 @@ def coverage(cv: DataFrame, by: list[str]) -> DataFrame:
 
 def cv_summary(
     cv: DataFrame, std_y: DataFrame, by: list[str], keys: list[str],
-    window: float = 0.1, target_coverage: float | None = None,
+    window: float = 0.1, target_coverage: float | None = None, summed: bool = False,
 ) -> DataFrame:
     """One row per group: means over horizons, pooled R2, scale-free ratios and degradation.
 
-    ``std_y``: keys and ``std_y``, the spread of the training target.
+    ``std_y``: keys and ``std_y``, the spread of the training target. ``summed`` says that ``cv`` holds
+    the sums of :func:`horizon_sums` rather than backtest rows.
     """
-    over_h = _horizon_table(cv, by, window).groupBy(*by).agg(
+    table = _horizon_curve(cv, by, window) if summed else _horizon_table(cv, by, window)
+    over_h = table.groupBy(*by).agg(
         F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("mape").alias("mape"),
         F.min_by("rmse", "horizon").alias("_first"), F.max_by("rmse", "horizon").alias("_last"),
         F.max("_pooled").alias("_pooled"),

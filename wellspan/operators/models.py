@@ -1,9 +1,9 @@
 """Learned forecasters: linear and additive regression from Gram matrices, boosted trees.
 
-Least squares only needs sums of products. Tasks compute them where the rows already are, per
-(group, segment); what shuffles is a few small matrices per station instead of its rows. A model
-for a cutoff uses the sum of all segments up to it, so every fold and every configuration of a
-sweep comes from one pass over the data.
+Least squares only needs sums of products. Pooled fits compute them where the rows already are and
+shuffle a matrix per task. The additive forecaster meets its station's rows once: a model for a cutoff
+uses the sum of all segments up to it, so every fold and every configuration of a sweep comes from one
+pass over them.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from wellspan.operators.folds import test_rows
 from wellspan.session import spread
 
 # The small task functions below travel with the job, so executors need no copy of this package.
@@ -122,158 +121,349 @@ def predict_linear(df: DataFrame, models: DataFrame, by: list[str], features: li
     return df.join(models.select(*by, "coef", "n_train"), by).withColumn(out, dot(x, F.col("coef"))).drop("coef")
 
 
-def additive_basis(frame: DataFrame, keys: list[str], regressors: list[str], ds: str = "ds") -> DataFrame:
-    """Adds ``x`` (basis), ``y_scale`` and the station's span to a modelling frame.
+# --- additive model -----------------------------------------------------------------------
+#
+# A station's daily rows are bounded by the calendar. They meet its cutoffs in one task, which adds up a
+# Gram matrix for each segment between cutoffs; the running sums are the folds. Scale and centre of a fold
+# come from the moments its own matrix holds, so no fold has seen a day after its cutoff.
 
-    Order of ``x``: intercept, slope, trend hinges at equally spaced knots, yearly Fourier pairs,
-    regressors scaled by the station's own mean and spread. Time runs from 0 to 1 over the rows
-    with a known target, and goes on beyond 1 in the future.
+_MODEL = [
+    T.StructField("cutoff", T.DateType()), T.StructField("config_id", T.IntegerType()),
+    T.StructField("first_day", T.DateType()), T.StructField("unit_days", T.IntegerType()),
+    T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("sigma", T.DoubleType()),
+    T.StructField("n_train", T.LongType()), T.StructField("error", T.StringType()),
+]
+
+
+def _basis(days: np.ndarray, first: int, unit: int, n_knots: int, regressors: np.ndarray) -> np.ndarray:
+    """Intercept, slope, trend hinges, yearly Fourier pairs, regressors; time counts ``unit`` days from ``first``."""
+    time = (days - first) / unit
+    knots = np.arange(1, n_knots + 1) / (KNOTS + 1)
+    angle = days[:, None] * (2 * np.pi / YEAR_DAYS) * np.arange(1, FOURIER_ORDER + 1)
+    waves = np.stack([np.sin(angle), np.cos(angle)], axis=2).reshape(len(days), -1)
+    return np.column_stack([np.ones(len(days)), time, np.maximum(time[:, None] - knots, 0.0), waves, regressors])
+
+
+def _prior_scales(config: dict, reach: float, n_knots: int, n_regressors: int) -> np.ndarray:
+    """Prior scales of the coefficients when time runs from 0 to ``reach`` over the training rows."""
+    return np.concatenate([
+        [5.0, 5.0 / reach], np.full(n_knots, config["changepoint_prior_scale"] / reach),
+        np.full(2 * FOURIER_ORDER, config["seasonality_prior_scale"]), np.full(n_regressors, REGRESSOR_PRIOR),
+    ])
+
+
+def _fit_folds(days: np.ndarray, y: np.ndarray, regressors: np.ndarray, cutoffs: np.ndarray, configs: list[dict]) -> list[dict]:
+    """A model for every cutoff and configuration, coefficients for raw regressors and levels.
+
+    Knots stand at equal distances, ``KNOTS`` of them up to the first cutoff and on in the same step; a
+    fold uses those within ``changepoint_range`` of its training span. Penalties are noise variance over
+    squared prior scale; the noise comes from a nearly unpenalised first fit.
     """
-    w = Window.partitionBy(*keys)
-    known = F.when(F.col("y").isNotNull(), F.col(ds))
-    rows = frame.withColumns({
-        "first_day": F.min(known).over(w), "last_day": F.max(known).over(w),
-        "y_scale": F.max(F.abs("y")).over(w),
-        **{f"_m_{r}": F.avg(r).over(w) for r in regressors},
-        **{f"_s_{r}": F.stddev_pop(r).over(w) for r in regressors},
-    })
-    span = F.greatest(F.date_diff("last_day", "first_day"), F.lit(1))
-    time = F.date_diff(F.col(ds), F.col("first_day")) / span
-    rows = rows.withColumn("_t", time).withColumn(
-        "_angle", F.date_diff(F.col(ds), F.lit("1970-01-01").cast("date")) * F.lit(2 * np.pi / YEAR_DAYS)
-    )
-    hinges = [F.greatest(F.col("_t") - F.lit(j / (KNOTS + 1)), F.lit(0.0)) for j in range(1, KNOTS + 1)]
-    waves = [f(F.col("_angle") * k) for k in range(1, FOURIER_ORDER + 1) for f in (F.sin, F.cos)]
-    scaled = [
-        F.coalesce(F.try_divide(F.col(r) - F.col(f"_m_{r}"), F.col(f"_s_{r}")), F.lit(0.0)) for r in regressors
-    ]
-    x = F.array(F.lit(1.0), F.col("_t"), *hinges, *waves, *scaled)
-    helpers = ["_t", "_angle"] + [f"_{a}_{r}" for r in regressors for a in "ms"]
-    return rows.withColumn("x", x).drop(*helpers)
+    cutoffs = np.unique(cutoffs)
+    seen = days <= cutoffs[-1]
+    days, y, regressors = days[seen], y[seen], regressors[seen]
+    blank = {"coef": None, "sigma": None, "first_day": None, "unit_days": None}
+    if not len(days):
+        return [{"cutoff": c, "config_id": i, "n_train": 0, "error": "no training rows", **blank} for c in cutoffs for i in range(len(configs))]
+    first = int(days.min())
+    unit = max(int(cutoffs[0]) - first, 1)
+    n_knots = max(int(np.ceil((int(cutoffs[-1]) - first) / unit * (KNOTS + 1))) - 1, 0)
+    r = regressors.shape[1]
+    p = 2 + n_knots + 2 * FOURIER_ORDER + r
+    # numerical conditioning only, by rows that every fold trains on; each fold rescales by its own moments
+    early = regressors[days <= cutoffs[0]]
+    centre0 = early.mean(axis=0) if len(early) else np.zeros(r)
+    spread0 = early.std(axis=0) if len(early) else np.ones(r)
+    spread0 = np.where(spread0 > 0, spread0, 1.0)
+    rows = np.column_stack([_basis(days, first, unit, n_knots, (regressors - centre0) / spread0), y])
+    segment = np.searchsorted(cutoffs, days, "left")
+    gram, n, peak, out = np.zeros((p + 1, p + 1)), 0, 0.0, []
+    for k, cutoff in enumerate(cutoffs):
+        mine = rows[segment == k]
+        gram, n = gram + mine.T @ mine, n + len(mine)
+        peak = max(peak, float(np.abs(mine[:, -1]).max(initial=0.0)))
+        head = {"cutoff": cutoff, "n_train": n}
+        if not n:
+            out += [{**head, "config_id": i, "error": "no training rows", **blank} for i in range(len(configs))]
+            continue
+        scale = peak or 1.0
+        mean = gram[0, p - r:p] / n
+        spread = np.sqrt(np.maximum(np.diag(gram)[p - r:p] / n - mean**2, 0.0))
+        varies = spread > 1e-9 * np.sqrt(np.maximum(np.diag(gram)[p - r:p] / n, 1.0))
+        change = np.eye(p + 1)  # to columns standardised over the fold
+        at = np.arange(p - r, p)
+        safe = np.where(varies, spread, 1.0)
+        change[at, at], change[at, 0], change[p, p] = 1 / safe, -mean / safe, 1 / scale
+        own = change @ gram @ change.T
+        reach = max((int(cutoff) - first) / unit, 1e-9)
+        knots = np.arange(1, n_knots + 1) / (KNOTS + 1)
+        for share in sorted({c["changepoint_range"] for c in configs}):
+            members = [i for i, c in enumerate(configs) if c["changepoint_range"] == share]
+            keep = np.ones(p, bool)
+            keep[2:2 + n_knots] = knots <= reach * share
+            keep[p - r:] = varies
+            index = np.append(np.flatnonzero(keep), p)
+            part, size = own[np.ix_(index, index)], int(keep.sum())
+            try:
+                _, loose = _solve(part, size, np.full((1, size), 1e-9))
+                noise = max(loose[0] / n, 1e-12)
+                priors = np.array([_prior_scales(configs[i], reach, n_knots, r) for i in members])[:, keep]
+                betas, rss = _solve(part, size, noise / priors**2)
+            except np.linalg.LinAlgError as failure:
+                out += [{**head, "config_id": i, "error": str(failure), **blank} for i in members]
+                continue
+            coefs = np.zeros((len(members), p))
+            coefs[:, keep] = betas
+            coefs = scale * coefs @ change[:p, :p]
+            coefs[:, p - r:] /= spread0
+            coefs[:, 0] -= coefs[:, p - r:] @ centre0
+            out += [{**head, "config_id": i, "coef": c, "sigma": scale * float(np.sqrt(q / n)), "first_day": first, "unit_days": unit, "error": None}
+                    for i, c, q in zip(members, coefs, rss)]
+    return out
+
+
+def _predict(model: dict, days: np.ndarray, regressors: np.ndarray) -> np.ndarray:
+    n_knots = len(model["coef"]) - 2 - 2 * FOURIER_ORDER - regressors.shape[1]
+    return _basis(days, model["first_day"], model["unit_days"], n_knots, regressors) @ model["coef"]
+
+
+def _days(column: pa.ChunkedArray) -> np.ndarray:
+    return column.cast(pa.int32()).to_numpy().astype(np.int64)
+
+
+def _numbers(table: pa.Table, columns: list[str]) -> np.ndarray:
+    if not columns:
+        return np.empty((table.num_rows, 0))
+    return np.column_stack([np.asarray(table.column(c).to_numpy(), dtype=float) for c in columns])
 
 
-def with_segments(rows: DataFrame, cutoffs: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row gets ``segment``, the first cutoff not before its day (NULL after the last one).
+def _by_station(frame: DataFrame, other: DataFrame, by: list[str], regressors: list[str], out: list[T.StructField], step) -> DataFrame:
+    """``step(days, y, regressors, other)`` for each group's complete rows in order of day, beside its rows of ``other``.
 
-    Cutoffs per station are few; they travel as one array per station.
+    Returns a dict of columns, whose group keys are added.
     """
-    marks = cutoffs.groupBy(*keys).agg(F.array_sort(F.collect_set("cutoff")).alias("_cuts"))
-    return rows.join(marks, keys, "left").withColumn(
-        "segment", F.get(F.filter("_cuts", lambda c: c >= F.col("ds")), F.lit(0))
-    ).drop("_cuts")
+    rows = frame.select(*by, "ds", F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in regressors])
+    rows = rows.dropna(subset=regressors) if regressors else rows
+    schema = T.StructType([frame.schema[c] for c in by] + out)
+    arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in out])
+    names, regs = list(by), list(regressors)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("ds")
+        keys = (left if left.num_rows else right).select(names).slice(0, 1)
+        found = step(_days(left.column("ds")), np.asarray(left.column("y").to_numpy(), dtype=float), _numbers(left, regs), right)
+        table = pa.table(found, schema=arrow)
+        for i, c in enumerate(names):
+            table = table.add_column(i, c, keys.column(c).take(pa.array(np.zeros(table.num_rows, np.int64))))
+        return table
+
+    # both sides may come from one table, so one gets columns of its own
+    other = other.select(*[F.col(c).alias(c) for c in other.columns])
+    # few bytes and much work: explicit counts keep adaptive execution from merging the groups
+    return spread(rows, *by).groupBy(*by).cogroup(spread(other, *by).groupBy(*by)).applyInArrow(run, schema)
+
+
+_ARROW = {
+    "date": pa.date32(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(),
+    "array<double>": pa.list_(pa.float64()),
+}
+
+
+def _columns(records: list[dict], fields: list[T.StructField]) -> dict:
+    """Records as Arrow columns; days since 1970 become dates."""
+    out = {}
+    for f in fields:
+        values, kind = [r[f.name] for r in records], _ARROW[f.dataType.simpleString()]
+        if kind == pa.date32():
+            out[f.name] = pa.array([None if v is None else int(v) for v in values], pa.int32()).cast(kind)
+        else:
+            out[f.name] = pa.array(values, kind)
+    return out
+
+
+def _configs_of(table: pa.Table, configs: list[dict] | None) -> list[dict]:
+    """The grid, or without one the group's own parameters, columns of ``table``."""
+    if configs is not None:
+        return configs
+    row = table.slice(0, 1).to_pylist()[0]
+    return [{c: float(row[c]) for c in ("changepoint_prior_scale", "seasonality_prior_scale", "changepoint_range")}]
 
 
 def fit_additive(
-    basis: DataFrame, cutoffs: DataFrame, by: list[str], configs: list[dict], n_regressors: int,
+    frame: DataFrame, cutoffs: DataFrame, by: list[str], regressors: list[str], configs: list[dict] | None,
 ) -> DataFrame:
-    """Additive models for every (group, cutoff, configuration).
+    """Additive models for every (group, cutoff, configuration): trend hinges, yearly season, regressors.
 
-    ``basis``: output of :func:`additive_basis` with ``y``; ``cutoffs``: ``by`` and ``cutoff``.
-    Penalties are noise variance over squared prior scale, per block; the noise comes from a
-    nearly unpenalised first fit. Knots after ``changepoint_range`` of the training span are left
-    out. A configuration that cannot be solved gives a row with ``error`` set.
+    ``frame``: ``by``, ``ds``, ``y``, regressors; ``cutoffs``: ``by`` and ``cutoff``, and the parameters of
+    the group if ``configs`` is None. A model uses the rows up to its cutoff that have a level and all
+    regressors, and nothing else. One that cannot be solved gives a row with ``error`` set.
     """
-    rows = with_segments(basis.where(F.col("y").isNotNull()), cutoffs, by).where(F.col("segment").isNotNull())
-    vector = F.concat("x", F.array(F.try_divide(F.col("y"), F.col("y_scale"))))
-    span = ["first_day", "last_day"]
-    partial = partial_grams(rows.withColumn("v", vector), [*by, *span, "segment"], "v")
-    p = 2 + KNOTS + 2 * FOURIER_ORDER + n_regressors
-    schema = T.StructType([basis.schema[c] for c in by] + [
-        T.StructField("cutoff", T.DateType()), T.StructField("config_id", T.IntegerType()),
-        T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("sigma", T.DoubleType()),
-        T.StructField("n_train", T.LongType()), T.StructField("error", T.StringType()),
-    ])
-    arrow_by = list(by)
-    knots = np.arange(1, KNOTS + 1) / (KNOTS + 1)
 
-    def prior_scales(config: dict, reach: float) -> np.ndarray:
-        return np.concatenate([
-            [5.0, 5.0 / reach], np.full(KNOTS, config["changepoint_prior_scale"] / reach),
-            np.full(2 * FOURIER_ORDER, config["seasonality_prior_scale"]),
-            np.full(n_regressors, REGRESSOR_PRIOR),
-        ])
-
-    def solve(table: pa.Table) -> pa.Table:
-        grams, counts = _stack(table), np.asarray(table.column("n"))
-        segments = np.array(table.column("segment").to_pylist())
-        first, last = table.column("first_day")[0].as_py(), table.column("last_day")[0].as_py()
-        days = max((last - first).days, 1)
-        out: dict[str, list] = {k: [] for k in ("cutoff", "config_id", "coef", "sigma", "n_train", "error")}
-        for cutoff in sorted(set(segments)):
-            seen = segments <= cutoff
-            gram, n = grams[seen].sum(axis=0), int(counts[seen].sum())
-            reach = max((cutoff - first).days / days, 1e-9)
-            for share in sorted({c["changepoint_range"] for c in configs}):
-                members = [i for i, c in enumerate(configs) if c["changepoint_range"] == share]
-                keep = np.ones(p, bool)
-                keep[2:2 + KNOTS] = knots <= reach * share
-                index = np.append(np.flatnonzero(keep), p)
-                part, size = gram[np.ix_(index, index)], int(keep.sum())
-                coefs, sigmas, error = np.zeros((len(members), p)), np.zeros(len(members)), None
-                try:
-                    _, loose = _solve(part, size, np.full((1, size), 1e-9))
-                    noise = max(loose[0] / max(n, 1), 1e-12)
-                    priors = np.array([prior_scales(configs[i], reach) for i in members])[:, keep]
-                    coefs[:, keep], rss = _solve(part, size, noise / priors**2)
-                    sigmas = np.sqrt(rss / max(n, 1))
-                except np.linalg.LinAlgError as failure:
-                    error = str(failure)
-                for i, beta, sigma in zip(members, coefs, sigmas):
-                    out["cutoff"].append(cutoff)
-                    out["config_id"].append(i)
-                    out["coef"].append(beta if error is None else None)
-                    out["sigma"].append(float(sigma) if error is None else None)
-                    out["n_train"].append(n)
-                    out["error"].append(error)
-        size = len(out["cutoff"])
-        head = {c: table.column(c).take(pa.array([0] * size)) for c in arrow_by}
-        return pa.table({
-            **head, "cutoff": pa.array(out["cutoff"], pa.date32()),
-            "config_id": pa.array(out["config_id"], pa.int32()),
-            "coef": pa.array(out["coef"], pa.list_(pa.float64())),
-            "sigma": pa.array(out["sigma"], pa.float64()),
-            "n_train": pa.array(out["n_train"], pa.int64()), "error": pa.array(out["error"], pa.string()),
-        })
-
-    return spread(partial, *by).groupBy(*by).applyInArrow(solve, schema)
-
-
-def _interval(rows: DataFrame, width: float) -> DataFrame:
-    yhat = dot(F.col("x"), F.col("coef")) * F.col("y_scale")
-    half = F.col("sigma") * F.col("y_scale") * F.lit(interval_z(width))
-    return rows.withColumn("yhat", yhat).withColumns({
-        "yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half,
-    })
+    def step(days, y, regs, marks):
+        if not marks.num_rows:
+            return _columns([], _MODEL)
+        known = ~np.isnan(y)
+        return _columns(_fit_folds(days[known], y[known], regs[known], _days(marks.column("cutoff")), _configs_of(marks, configs)), _MODEL)
+
+    return _by_station(frame, cutoffs, by, regressors, _MODEL, step)
+
+
+_FOLD_ROW = [
+    T.StructField("config_id", T.IntegerType()), T.StructField("cutoff", T.DateType()), T.StructField("ds", T.DateType()),
+    T.StructField("horizon", T.IntegerType()), T.StructField("y", T.DoubleType()), T.StructField("yhat", T.DoubleType()),
+    T.StructField("yhat_lower", T.DoubleType()), T.StructField("yhat_upper", T.DoubleType()),
+]
+
+
+def _tested(days, y, regs, marks, configs, h):
+    """For each cutoff with test rows: the places of these, all models that could be solved, predictions by model."""
+    cutoffs = _days(marks.column("cutoff"))
+    known = ~np.isnan(y)
+    days, y, regs = days[known], y[known], regs[known]
+    ahead = h if isinstance(h, int) else int(marks.column(h)[0].as_py())
+    fitted: dict[int, list[dict]] = {}
+    for m in _fit_folds(days, y, regs, cutoffs, configs):
+        if m["error"] is None:
+            fitted.setdefault(int(m["cutoff"]), []).append(m)
+    for cutoff, models in sorted(fitted.items()):
+        rows = np.flatnonzero((days > cutoff) & (days <= cutoff + ahead))
+        if len(rows):
+            one = models[0]
+            n_knots = len(one["coef"]) - 2 - 2 * FOURIER_ORDER - regs.shape[1]
+            x = _basis(days[rows], one["first_day"], one["unit_days"], n_knots, regs[rows])
+            yield cutoff, days[rows], y[rows], models, x @ np.array([m["coef"] for m in models]).T
 
 
 def backtest_additive(
-    basis: DataFrame, models: DataFrame, cutoffs: DataFrame, by: list[str], h: int | Column, width: float = 0.8
+    frame: DataFrame, cutoffs: DataFrame, by: list[str], regressors: list[str], configs: list[dict], h: int | str, width: float = 0.8,
 ) -> DataFrame:
-    """Predictions of every fold and configuration over its ``h`` test days."""
-    rows = test_rows(basis.where(F.col("y").isNotNull()), cutoffs, by, h)
-    fitted = models.where(F.col("error").isNull()).select(*by, "cutoff", "config_id", "coef", "sigma")
-    return _interval(rows.join(fitted, [*by, "cutoff"]), width).select(
-        *by, "config_id", "cutoff", "ds", "horizon", "y", "yhat", "yhat_lower", "yhat_upper"
-    )
-
+    """Predictions of every fold and configuration over its test days, the ``h`` days after its cutoff.
 
-def score(
-    basis: DataFrame, models: DataFrame, by: list[str], width: float = 0.8, interval: str = "residual"
+    ``h`` is a number or the key column that holds it. Fits and predictions of a station are one task; all
+    configurations of a fold are one matrix product.
+    """
+    z = interval_z(width)
+
+    def step(days, y, regs, marks):
+        out: dict[str, list] = {f.name: [] for f in _FOLD_ROW}
+        for cutoff, at, seen, models, yhat in (_tested(days, y, regs, marks, configs, h) if marks.num_rows else ()):
+            half = z * np.array([m["sigma"] for m in models])
+            size = yhat.size
+            out["config_id"].append(np.tile([m["config_id"] for m in models], len(at)))
+            out["cutoff"].append(np.full(size, cutoff))
+            out["ds"].append(np.repeat(at, len(models)))
+            out["horizon"].append(np.repeat(at - cutoff, len(models)))
+            out["y"].append(np.repeat(seen, len(models)))
+            for name, v in (("yhat", yhat), ("yhat_lower", yhat - half), ("yhat_upper", yhat + half)):
+                out[name].append(v.ravel())
+        whole = {k: np.concatenate(v) if v else np.empty(0) for k, v in out.items()}
+        return {f.name: pa.array(whole[f.name].astype(np.int32)).cast(_ARROW[f.dataType.simpleString()]) if f.dataType.simpleString() in ("date", "int")
+                else pa.array(whole[f.name], pa.float64()) for f in _FOLD_ROW}
+
+    return _by_station(frame, cutoffs, by, regressors, _FOLD_ROW, step)
+
+
+_SUMS = [
+    T.StructField("config_id", T.IntegerType()), T.StructField("horizon", T.IntegerType()), T.StructField("_m", T.LongType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("_se", "_ae", "_ape", "_inside", "_y_mean", "_y_ss")],
+]
+
+
+def sweep_sums(
+    frame: DataFrame, cutoffs: DataFrame, by: list[str], regressors: list[str], configs: list[dict], h: int | str, width: float = 0.8,
 ) -> DataFrame:
-    """Batch scoring of a frame, one model per group.
+    """The error sums of :func:`backtest_additive` by configuration and days ahead, as ``metrics.horizon_sums`` has them.
 
-    The interval is either the residual quantiles of the group's own history or the fitted noise.
+    They are added up in the task that predicts, so a sweep hands on a row for each configuration and day
+    ahead instead of one for each prediction.
+    """
+    z = interval_z(width)
+
+    def step(days, y, regs, marks):
+        blocks: dict[tuple[int, int], list[tuple]] = {}
+        for cutoff, at, seen, models, yhat in (_tested(days, y, regs, marks, configs, h) if marks.num_rows else ()):
+            for m, column in zip(models, yhat.T):
+                for d, v, f in zip(at - cutoff, seen, column):
+                    blocks.setdefault((m["config_id"], int(d)), []).append((v, f, z * m["sigma"]))
+        records = []
+        for (config, horizon), rows in sorted(blocks.items()):
+            v, f, half = np.array(rows).T
+            off = np.abs(v - f)
+            apes = off[v != 0] / np.abs(v[v != 0])
+            records.append({
+                "config_id": config, "horizon": horizon, "_m": len(v), "_se": float(off @ off), "_ae": float(off.sum()),
+                "_ape": float(apes.sum()) if len(apes) else None, "_inside": float(((v >= f - half) & (v <= f + half)).sum()),
+                "_y_mean": float(v.mean()), "_y_ss": float(((v - v.mean()) ** 2).sum()),
+            })
+        return _columns(records, _SUMS)
+
+    return _by_station(frame, cutoffs, by, regressors, _SUMS, step)
+
+
+_SCORED = [T.StructField("ds", T.DateType()), T.StructField("y", T.DoubleType()), T.StructField("yhat", T.DoubleType()), T.StructField("sigma", T.DoubleType()),
+           T.StructField("config_id", T.IntegerType()), T.StructField("cutoff", T.DateType()), T.StructField("n_train", T.LongType())]
+
+
+def predictions(frame: DataFrame, models: DataFrame, by: list[str], regressors: list[str]) -> DataFrame:
+    """Batch scoring of a frame, one model per group and one matrix product each.
+
+    Every row carries what its model was fitted on: ``config_id``, ``cutoff``, ``n_train``. Groups without a
+    model give no rows; rows that lack a regressor have no prediction and are left out.
     """
-    rows = _interval(basis.join(models.select(*by, "coef", "sigma"), by), width)
+
+    def step(days, y, regs, fitted):
+        if not fitted.num_rows or not len(days):
+            return _columns([], _SCORED)
+        m = fitted.slice(0, 1).to_pylist()[0]
+        model = {"coef": np.array(m["coef"]), "first_day": _days(fitted.column("first_day"))[0], "unit_days": m["unit_days"]}
+        size = len(days)
+        return {
+            "ds": pa.array(days.astype(np.int32)).cast(pa.date32()), "y": pa.array([None if np.isnan(v) else v for v in y], pa.float64()),
+            "yhat": pa.array(_predict(model, days, regs)), "sigma": pa.array(np.full(size, m["sigma"])),
+            "config_id": pa.array([m["config_id"]] * size, pa.int32()), "cutoff": pa.array([m["cutoff"]] * size, pa.date32()),
+            "n_train": pa.array([m["n_train"]] * size, pa.int64()),
+        }
+
+    usable = models.where(F.col("error").isNull())
+    return _by_station(frame, usable, by, regressors, _SCORED, step)
+
+
+def score(frame: DataFrame, models: DataFrame, by: list[str], regressors: list[str], width: float = 0.8, interval: str = "residual") -> DataFrame:
+    """:func:`predictions` with intervals from the quantiles of the group's own residuals, or from the fitted noise."""
+    rows = predictions(frame, models, by, regressors)
     if interval == "residual":
         w = Window.partitionBy(*by)
         resid = F.col("y") - F.col("yhat")
-        rows = rows.withColumns({
-            "yhat_lower": F.col("yhat") + F.percentile(resid, (1 - width) / 2).over(w),
-            "yhat_upper": F.col("yhat") + F.percentile(resid, (1 + width) / 2).over(w),
-        })
-    return rows.select(*by, "ds", "y", "yhat", "yhat_lower", "yhat_upper")
+        lower, upper = F.percentile(resid, (1 - width) / 2).over(w), F.percentile(resid, (1 + width) / 2).over(w)
+    else:
+        upper = F.col("sigma") * F.lit(interval_z(width))
+        lower = -upper
+    return rows.withColumns({"yhat_lower": F.col("yhat") + lower, "yhat_upper": F.col("yhat") + upper})
+
+
+def error_quantiles(cv: DataFrame, by: list[str], width: float = 0.8) -> DataFrame:
+    """Quantiles of out-of-sample errors by days ahead: ``low``, ``high`` and the number of folds behind them."""
+    error = F.col("y") - F.col("yhat")
+    return cv.groupBy(*by, "horizon").agg(
+        F.percentile(error, (1 - width) / 2).alias("low"), F.percentile(error, (1 + width) / 2).alias("high"), F.count(error).alias("n_errors"))
+
+
+def with_tested_interval(rows: DataFrame, quantiles: DataFrame, by: list[str], width: float = 0.8) -> DataFrame:
+    """Forecast rows with the interval that the errors of a backtest give for their days ahead.
+
+    ``rows``: output of :func:`predictions`. Days the model was fitted on, and days ahead that no fold
+    tested, have the fitted noise instead; ``interval_from`` says which.
+    """
+    half = F.col("sigma") * F.lit(interval_z(width))
+    ahead = rows.withColumn("horizon", F.greatest(F.date_diff("ds", "cutoff"), F.lit(0)))
+    joined = ahead.join(quantiles, [*by, "horizon"], "left")
+    return joined.select(
+        *[c for c in rows.columns if c != "sigma"], "horizon", (F.col("yhat") + F.coalesce("low", -half)).alias("yhat_lower"),
+        (F.col("yhat") + F.coalesce("high", half)).alias("yhat_upper"),
+        F.when(F.col("low").isNotNull(), F.lit("backtest")).otherwise(F.lit("fit")).alias("interval_from"), "n_errors")
+
 
+# --- boosted trees ------------------------------------------------------------------------
 
 def fit_gbt(
     train: DataFrame, features: list[str], target: str, n_estimators: int = 100, learning_rate: float = 0.1,

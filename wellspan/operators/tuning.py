@@ -11,7 +11,7 @@ from wellspan.functions.text import typed_params
 from wellspan.operators.folds import rolling_cutoffs, without_cutoffs
 from wellspan.operators.frames import lag_names, lagged_frame
 from wellspan.operators.metrics import cv_summary, select_score, top_configs
-from wellspan.operators.models import additive_basis, backtest_additive, fit_additive, score
+from wellspan.operators.models import fit_additive, score, sweep_sums
 from wellspan.session import reuse
 from wellspan.sources.feeds import union_frames
 
@@ -58,34 +58,33 @@ def tune(
     configs = configs or grid_configs()
     by = [*keys, "h"]
     frame = reuse(_lagged_all(daily, keys, t, y, columns, horizons).dropna(subset=["y", *columns]))
-    basis = additive_basis(frame, by, columns)
     cutoffs = rolling_cutoffs(frame, by, "ds", F.col("h"), period, fraction=fraction)
-    models = fit_additive(basis, cutoffs, by, configs, len(columns))
-    cv = backtest_additive(basis, models, cutoffs, by, F.col("h"))
+    sums = sweep_sums(frame, cutoffs, by, columns, configs, "h")
     spread = frame.groupBy(*by).agg(F.stddev_samp("y").alias("std_y"))
-    summary = cv_summary(cv, spread, [*by, "config_id"], by)
+    summary = cv_summary(sums, spread, [*by, "config_id"], by, summed=True)
     scored = select_score(summary, schemas.LAMBDA_DEGRADATION, schemas.LAMBDA_SPREAD)
-    failed = models.where(F.col("error").isNotNull()).groupBy(*by, "config_id").agg(F.min("error").alias("_error"))
     short = without_cutoffs(frame, by, "ds", F.col("h"), fraction=fraction).withColumnRenamed("reason", "_short")
     asked = frame.select(*by).distinct().select(*by, F.inline(_grid(configs)))
     found = F.lit(True).alias("_found")
-    rows = asked.join(scored.select("*", found), [*by, "config_id"], "left").join(failed, [*by, "config_id"], "left").join(short, by, "left")
-    error = F.when(F.col("_found").isNull(), F.coalesce("_error", "_short", F.lit("no test rows")))
-    return rows.withColumn("error", error).drop("_found", "_error", "_short").withColumnRenamed("h", "horizon")
+    rows = asked.join(scored.select("*", found), [*by, "config_id"], "left").join(short, by, "left")
+    error = F.when(F.col("_found").isNull(), F.coalesce("_short", F.lit("no fold could be solved and tested")))
+    return rows.withColumn("error", error).drop("_found", "_short").withColumnRenamed("h", "horizon")
 
 
 def refit_best(
     daily: DataFrame, keys: list[str], t: str, y: str, columns: list[str], h: int, results: DataFrame,
     configs: list[dict] | None = None, width: float = 0.8,
 ) -> DataFrame:
-    """Winning configuration per station refitted on all rows; forecast over history and ``h`` days."""
+    """Winning configuration per station refitted on all rows; forecast over history and ``h`` days.
+
+    Each row says which configuration, last training day and number of rows it comes from.
+    """
     configs = configs or grid_configs()
     frame = reuse(lagged_frame(daily, keys, t, y, columns, h).dropna(subset=lag_names(columns, h)))
-    basis = additive_basis(frame, keys, lag_names(columns, h))
     last = frame.where(F.col("y").isNotNull()).groupBy(*keys).agg(F.max("ds").alias("cutoff"))
-    models = fit_additive(basis, last, keys, configs, len(columns)).where(F.col("error").isNull())
+    models = fit_additive(frame, last, keys, lag_names(columns, h), configs)
     best = top_configs(results.where((F.col("horizon") == h) & F.col("error").isNull()), keys, 1).select(*keys, "config_id")
-    return score(basis, models.join(best, [*keys, "config_id"]), keys, width)
+    return score(frame, models.join(best, [*keys, "config_id"]), keys, lag_names(columns, h), width)
 
 
 def resolve_params(

@@ -12,12 +12,14 @@ from wellspan.operators.clean import conform_daily
 from wellspan.operators.decompose import decompose_robust
 from wellspan.operators.indices import pivot_panel
 from wellspan.operators.rolling import water_balance_features
+from wellspan.plans.additive_sql import additive_sql
 from wellspan.plans.baselines import naive_backtest
-from wellspan.plans.index_queries import PANEL_SQL, level_index, panel_of
+from wellspan.plans.index_queries import CONFORMED, FORECAST_POOL, PANEL_SQL, SEVERITY_LIMITS, first_filled, level_index, panel_of, sixteenths
 from wellspan.plans.quality_queries import INTERPOLATED, _robust_pass, dense_levels, robust_sql
-from wellspan.plans.registry import MERGED, OBS, SPLI, calendar, q6, query, r6, with_
+from wellspan.plans.registry import MERGED, OBS, SPLI, calendar, ppf_sql, q6, query, r6, with_
 from wellspan.session import reuse, scratch_path
 from wellspan.sources import panels, zones
+from wellspan.sources.feeds import union_frames
 
 K = ["station"]
 REGRESSORS = ["radiation", "et0", "soil_temp", "P_cum_90d", "Peff_cum_90d", "Temperature_mean_90d"]
@@ -26,11 +28,25 @@ SIMPLE = ["radiation", "et0", "soil_temp"]
 
 def model_daily(spark, sf_dir):
     """Conformed daily table with the six regressors of the forecaster."""
-    daily = conform_daily(panels.merged(spark, sf_dir), K, "t")
+    daily = conform_daily(sixteenths(panels.merged(spark, sf_dir)), K, "t")
     daily = water_balance_features(daily, K, "t", "precip", "et0", "soil_temp", windows=(90,))
     return daily.select("station", "t", "level", *REGRESSORS)
 
 
+_ROLLED = REGRESSORS[3:]
+DAILY = f"""{CONFORMED}, rolled AS (SELECT *, {', '.join(map(first_filled, _ROLLED))} FROM (SELECT *, precip - et0 AS Peff FROM merged)),
+daily AS (SELECT station, t, level, {', '.join(SIMPLE)}, {', '.join(f"COALESCE({c}, FIRST_VALUE({c} IGNORE NULLS) OVER w) AS {c}" for c in _ROLLED)} FROM rolled
+  WINDOW w AS (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+def lagged_sql(h: int, src: str = "daily", out: str = "fr") -> str:
+    """Complete rows of the lagged frame: history and ``h`` days beyond, regressors ``h`` days old."""
+    return f"""{calendar(src, f'{out}_cal', extra=h)},
+{out} AS (SELECT c.station, c.t AS ds, m.level AS y, {', '.join(f'w.{c}' for c in REGRESSORS)} FROM {out}_cal c
+  JOIN {src} w ON w.station = c.station AND w.t = c.t - {h} LEFT JOIN {src} m ON m.station = c.station AND m.t = c.t
+  WHERE {' AND '.join(f'w.{c} IS NOT NULL' for c in REGRESSORS)})"""
+
+
 # --- frames ------------------------------------------------------------------------------
 
 def _frame_sql(h: int, need_y: bool) -> str:
@@ -376,44 +392,133 @@ def series_health(spark, sf_dir):
 
 def _additive(spark, sf_dir, h, configs):
     frame = reuse(frames.train_frame(model_daily(spark, sf_dir), K, "t", "level", REGRESSORS, h))
-    basis = models.additive_basis(frame, K, frames.lag_names(REGRESSORS, h))
     cutoffs = folds.rolling_cutoffs(frame, K, "ds", h, schemas.CV_PERIOD_DAYS)
-    fitted = models.fit_additive(basis, cutoffs, K, configs, len(REGRESSORS))
-    return frame, models.backtest_additive(basis, fitted, cutoffs, K, h)
+    return models.backtest_additive(frame, cutoffs, K, frames.lag_names(REGRESSORS, h), configs, h)
+
+
+RETAINED = {"changepoint_prior_scale": 0.3, "seasonality_prior_scale": 0.1, "changepoint_range": 0.8}
+TREND_ONLY = {"changepoint_prior_scale": 0.05, "seasonality_prior_scale": 10.0, "changepoint_range": 0.8}
+_CV_COLUMNS = f"config_id, station, cutoff, ds, horizon, {', '.join(f'{q6(c, 2)} AS {n}' for c, n in (('y', 'y'), ('yhat', 'yhat'), ('lo', 'yhat_lower'), ('hi', 'yhat_upper')))}"
+
+
+def _rounded_cv(cv):
+    return cv.withColumns({c: r6(c, 2) for c in ("y", "yhat", "yhat_lower", "yhat_upper")})
 
 
-@query("additive_backtest")
+@query("additive_backtest", f"""WITH RECURSIVE {DAILY}, {lagged_sql(14, out='all_')}, fr AS (SELECT * FROM all_ WHERE y IS NOT NULL), {_cut_sql('fr', 14, 45, ds='ds')},
+{additive_sql('fr', 'cuts', REGRESSORS, [RETAINED], '14')} SELECT {_CV_COLUMNS} FROM cvi""")
 def additive_backtest(spark, sf_dir):
     """Retained configuration: changepoint 0.3, seasonality 0.1, range 0.8."""
-    config = {"changepoint_prior_scale": 0.3, "seasonality_prior_scale": 0.1, "changepoint_range": 0.8}
-    return _additive(spark, sf_dir, 14, [config])[1]
+    return _rounded_cv(_additive(spark, sf_dir, 14, [RETAINED]))
 
 
-@query("univariate_additive_backtest")
+@query("univariate_additive_backtest", f"""WITH RECURSIVE {INTERPOLATED}, fr AS (SELECT station, t AS ds, y FROM dense), {_cut_sql('fr', 14, 45, ds='ds')},
+{additive_sql('fr', 'cuts', [], [TREND_ONLY], '14')} SELECT {_CV_COLUMNS} FROM cvi""")
 def univariate_additive_backtest(spark, sf_dir):
     """Trend and season only."""
-    config = {"changepoint_prior_scale": 0.05, "seasonality_prior_scale": 10.0, "changepoint_range": 0.8}
     rows = reuse(dense_levels(spark, sf_dir).select("station", F.col("t").alias("ds"), F.col("level").alias("y")))
-    basis = models.additive_basis(rows, K, [])
     cutoffs = folds.rolling_cutoffs(rows, K, "ds", 14, schemas.CV_PERIOD_DAYS)
-    fitted = models.fit_additive(basis, cutoffs, K, [config], 0)
-    return models.backtest_additive(basis, fitted, cutoffs, K, 14)
+    return _rounded_cv(models.backtest_additive(rows, cutoffs, K, [], [TREND_ONLY], 14))
+
+
+def _sweep_sql(horizons: tuple[int, ...]) -> str:
+    """CTEs up to ``sm``, the summary of every (station|horizon, configuration)."""
+    columns = ", ".join(["ds", "y", *REGRESSORS])
+    frames_ = ",\n".join(lagged_sql(h, out=f"f{h}") for h in horizons)
+    union = " UNION ALL ".join(f"SELECT station || '|{h}' AS station, {columns} FROM f{h} WHERE y IS NOT NULL" for h in horizons)
+    parts = ", ".join(f"fr{h} AS (SELECT * FROM fr WHERE station LIKE '%|{h}'), {_cut_sql(f'fr{h}', h, 45, f'cuts{h}', 'ds')}" for h in horizons)
+    cuts = " UNION ALL ".join(f"SELECT * FROM cuts{h}" for h in horizons)
+    return f"""{DAILY}, {frames_}, fr AS MATERIALIZED ({union}), {parts}, cuts AS ({cuts}),
+{additive_sql('fr', 'cuts', REGRESSORS, tuning.grid_configs(), "CAST(split_part(c.station, '|', 2) AS INTEGER)", prefix='a_')},
+cv AS (SELECT *, config_id AS model FROM a_cvi), dense AS (SELECT station, y FROM fr), {_SUMMARY},
+tuned AS (SELECT split_part(station, '|', 1) AS station, CAST(split_part(station, '|', 2) AS INTEGER) AS horizon, model AS config_id, g.cps AS changepoint_prior_scale,
+  g.sps AS seasonality_prior_scale, g.share AS changepoint_range, sm.* EXCLUDE (station, model), {_SCORE} AS select_score FROM sm JOIN a_grid g ON g.config_id = sm.model),
+best AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY station, horizon ORDER BY select_score, config_id) AS INTEGER) AS place FROM tuned)"""
+
+
+_TUNED = ["rmse", "mae", "mape", "r2", "coverage", "std_y", "rmse_std_ratio", "rmse_mae", "horizon_degradation", "select_score"]
+_TUNED_SQL = f"""station, horizon, config_id, changepoint_prior_scale, seasonality_prior_scale, changepoint_range, n, {', '.join(f"{q6(c, 3)} AS {c}" for c in _TUNED)}"""
+
+
+def _sweep(spark, sf_dir):
+    return tuning.tune(reuse(model_daily(spark, sf_dir)), K, "t", "level", REGRESSORS, schemas.HORIZONS)
+
+
+def _tuned(results, *more):
+    return results.select("station", "horizon", "config_id", "changepoint_prior_scale", "seasonality_prior_scale", "changepoint_range", "n",
+                          *[r6(c, 3).alias(c) for c in _TUNED], *more)
 
 
-@query("grid_select_score")
+@query("tuning_results", f"WITH RECURSIVE {_sweep_sql(schemas.HORIZONS)} SELECT {_TUNED_SQL}, CAST(NULL AS VARCHAR) AS error FROM tuned")
+def tuning_results(spark, sf_dir):
+    """Every station, horizon and configuration of the sweep with its metrics."""
+    return _tuned(_sweep(spark, sf_dir), "error")
+
+
+@query("grid_select_score", f"WITH RECURSIVE {_sweep_sql(schemas.HORIZONS)} SELECT {_TUNED_SQL}, place FROM best WHERE place <= 5")
 def grid_select_score(spark, sf_dir):
     """The full sweep for both horizons, best five configurations each."""
-    daily = reuse(model_daily(spark, sf_dir))
-    results = tuning.tune(daily, K, "t", "level", REGRESSORS, schemas.HORIZONS)
-    return metrics.top_configs(results, ["station", "horizon"], 5)
+    return _tuned(metrics.top_configs(_sweep(spark, sf_dir), ["station", "horizon"], 5), "place")
+
 
+# the winner refitted on all rows, its days ahead beside the observed ones, the index of their months
+_REFIT = f"""{_sweep_sql((30,))}, ends_ AS (SELECT station, MAX(ds) AS cutoff FROM f30 WHERE y IS NOT NULL GROUP BY 1),
+{additive_sql('f30', 'ends_', REGRESSORS, tuning.grid_configs(), '30', prefix='b_')},
+won AS (SELECT s.* FROM b_scored s JOIN best b ON b.station = s.station AND b.config_id = s.config_id AND b.place = 1),
+both_ AS (SELECT station, t, level, 0 AS fc FROM daily WHERE level IS NOT NULL UNION ALL SELECT station, ds, yhat, 1 FROM won WHERE ds > cutoff), {FORECAST_POOL}, {ppf_sql('pooled', 'indexed')}"""
 
-@query("refit_forecast_index")
+
+@query("refit_forecast_index", f"""WITH RECURSIVE {_REFIT}, lim(b, incl, label) AS (VALUES {SEVERITY_LIMITS})
+SELECT s.station, s.month, {q6('s.z')} AS spli, {q6('s.mean_level', 2)} AS mean_level, obs_days, fc_days, CAST(day(last_day(s.month)) AS INTEGER) AS days_in_month,
+  CASE WHEN obs_days > 0 THEN 'blended' ELSE 'forecast-only' END AS mode, (SELECT arg_min(label, b) FROM lim WHERE s.z < b OR (incl AND s.z = b)) AS label FROM indexed s""")
 def refit_forecast_index(spark, sf_dir):
     """Sweep, refit of the winner, forecast and index of the forecast for 30 days."""
     from wellspan.plans.reports import forecast_job
     daily = reuse(model_daily(spark, sf_dir))
-    return forecast_job(daily, K, "t", "level", REGRESSORS, 30)["index"]
+    out = forecast_job(daily, K, "t", "level", REGRESSORS, 30)["index"]
+    return out.withColumns({"spli": r6("spli"), "mean_level": r6("mean_level", 2)})
+
+
+# --- forecasts of the retained configuration ----------------------------------------------
+
+_SCORED_SQL = f"""{DAILY}, {lagged_sql(14, out='f14')}, fr AS (SELECT * FROM f14 WHERE y IS NOT NULL), {_cut_sql('fr', 14, 45, ds='ds')},
+{additive_sql('fr', 'cuts', REGRESSORS, [RETAINED], '14', prefix='a_')}, ends_ AS (SELECT station, MAX(ds) AS cutoff FROM fr GROUP BY 1),
+{additive_sql('f14', 'ends_', REGRESSORS, [RETAINED], '14', prefix='b_')},
+q AS (SELECT station, horizon, quantile_cont(y - yhat, 0.1) AS low, quantile_cont(y - yhat, 0.9) AS high, COUNT(*) AS n_errors FROM a_cv GROUP BY 1, 2),
+forecast AS (SELECT s.*, greatest(CAST(s.ds - s.cutoff AS INTEGER), 0) AS horizon, q.n_errors, s.yhat + COALESCE(q.low, -{Z80!r}::DOUBLE * s.sigma) AS lo, s.yhat + COALESCE(q.high, {Z80!r}::DOUBLE * s.sigma) AS hi
+  FROM b_scored s LEFT JOIN q ON q.station = s.station AND q.horizon = s.ds - s.cutoff)"""
+
+
+def _scored_forecast(spark, sf_dir):
+    """The retained configuration fitted on all rows: history, 14 days ahead, intervals from its backtest."""
+    regs = frames.lag_names(REGRESSORS, 14)
+    frame = reuse(frames.future_frame(model_daily(spark, sf_dir), K, "t", "level", REGRESSORS, 14))
+    known = frame.where(F.col("y").isNotNull())
+    cutoffs = folds.rolling_cutoffs(known, K, "ds", 14, schemas.CV_PERIOD_DAYS)
+    errors = models.error_quantiles(models.backtest_additive(known, cutoffs, K, regs, [RETAINED], 14), K)
+    last = known.groupBy(*K).agg(F.max("ds").alias("cutoff"))
+    fitted = models.fit_additive(frame, last, K, regs, [RETAINED])
+    return models.with_tested_interval(models.predictions(frame, fitted, K, regs), errors, K)
+
+
+@query("scored_forecast", f"""WITH RECURSIVE {_SCORED_SQL} SELECT station, ds, config_id, cutoff, n AS n_train, horizon, n_errors, {q6('y', 2)} AS y, {q6('yhat', 2)} AS yhat,
+  {q6('lo', 2)} AS yhat_lower, {q6('hi', 2)} AS yhat_upper, CASE WHEN n_errors IS NULL THEN 'fit' ELSE 'backtest' END AS interval_from FROM forecast""")
+def scored_forecast(spark, sf_dir):
+    return _rounded_cv(_scored_forecast(spark, sf_dir))
+
+
+@query("forecast_interval_coverage", f"""WITH RECURSIVE {_SCORED_SQL} SELECT a.station, a.horizon, COUNT(*) AS n, {q6('AVG(CASE WHEN a.y >= a.yhat + q.low AND a.y <= a.yhat + q.high THEN 1.0 ELSE 0.0 END)')} AS coverage,
+  AVG(CASE WHEN a.y >= a.yhat + q.low AND a.y <= a.yhat + q.high THEN 1.0 ELSE 0.0 END) BETWEEN 0.5 AND 1 AS within_bounds FROM a_cv a JOIN q ON q.station = a.station AND q.horizon = a.horizon GROUP BY 1, 2""")
+def forecast_interval_coverage(spark, sf_dir):
+    """Share of backtest days inside the interval that their errors give, by days ahead."""
+    frame = reuse(frames.train_frame(model_daily(spark, sf_dir), K, "t", "level", REGRESSORS, 14))
+    cutoffs = folds.rolling_cutoffs(frame, K, "ds", 14, schemas.CV_PERIOD_DAYS)
+    cv = reuse(models.backtest_additive(frame, cutoffs, K, frames.lag_names(REGRESSORS, 14), [RETAINED], 14))
+    bounds = models.error_quantiles(cv, K).drop("n_errors")
+    rows = cv.drop("yhat_lower", "yhat_upper").join(bounds, [*K, "horizon"])
+    rows = rows.withColumns({"yhat_lower": F.col("yhat") + F.col("low"), "yhat_upper": F.col("yhat") + F.col("high")})
+    out = metrics.coverage(rows, [*K, "horizon"]).join(rows.groupBy(*K, "horizon").agg(F.count(F.lit(1)).alias("n")), [*K, "horizon"])
+    return out.withColumns({"within_bounds": F.col("coverage").between(0.5, 1), "coverage": r6("coverage")})
 
 
 @query("gbt_backtest")
@@ -473,25 +578,23 @@ def model_runs_registered(spark, sf_dir):
     )
 
 
-@query("tuning_sink_roundtrip", f"""WITH {_naive_sql(14)}, {_SUMMARY} SELECT station, model, {q6('rmse', 3)} AS rmse, 14 AS horizon FROM sm""")
+@query("tuning_sink_roundtrip", " UNION ALL ".join(f"SELECT * FROM (WITH {_naive_sql(h)}, {_SUMMARY} SELECT station, model, {q6('rmse', 3)} AS rmse, {h} AS horizon FROM sm)" for h in schemas.HORIZONS))
 def tuning_sink_roundtrip(spark, sf_dir):
-    rows = _summary(spark, sf_dir).select("station", "model", r6("rmse", 3).alias("rmse"), F.lit(14).alias("horizon"))
-    return zones.read_zone(spark, zones.write_tuning(rows, scratch_path(spark, "tuning")))
+    """Both horizons written as one table, a folder each; the root is the combined table."""
+    parts = [_summary(spark, sf_dir, h).select("station", "model", r6("rmse", 3).alias("rmse"), F.lit(h).alias("horizon")) for h in schemas.HORIZONS]
+    path = zones.write_tuning(union_frames(*parts), scratch_path(spark, "tuning"))
+    return zones.read_zone(spark, path)
 
 
-@query("forecast_records", f"""{with_(OBS)}, l AS (SELECT station, MAX(t) - 20 AS last_train FROM obs GROUP BY 1)
-SELECT l.station, strftime(l.last_train, '%Y-%m-%d') AS last_train, COUNT(*) AS n_points, strftime(MIN(o.t), '%Y-%m-%d') AS first_ds, {q6('arg_min(o.level, o.t)', 2)} AS first_yhat
-FROM l JOIN obs o ON o.station = l.station AND o.t > l.last_train GROUP BY 1, 2""")
+@query("forecast_records", f"""WITH RECURSIVE {_SCORED_SQL} SELECT station, strftime(cutoff, '%Y-%m-%d') AS last_train, strftime(ds, '%Y-%m-%d') AS ds, {q6('yhat', 2)} AS yhat, {q6('lo', 2)} AS yhat_lower, {q6('hi', 2)} AS yhat_upper,
+  COUNT(*) OVER (PARTITION BY station) AS n_points FROM forecast WHERE ds > cutoff""")
 def forecast_records(spark, sf_dir):
-    daily = reuse(panels.obs(spark, sf_dir))
-    last = daily.groupBy("station").agg(F.date_sub(F.max("t"), 20).alias("last_train"))
-    split = frames.split_forecast(daily.withColumnRenamed("t", "ds"), last, K).where("part = 'future'")
-    y = F.col("level")
-    fc = split.select("station", "ds", y.alias("yhat"), (y - 1).alias("yhat_lower"), (y + 1).alias("yhat_upper"))
-    records = zones.forecast_record(fc, last, K)
+    """The record of each station's forecast, read back point by point."""
+    scored = reuse(_scored_forecast(spark, sf_dir))
+    last = scored.groupBy(*K).agg(F.max("cutoff").alias("last_train"))
+    ahead = frames.split_forecast(scored.select(*K, "ds", "yhat", "yhat_lower", "yhat_upper"), last, K).where("part = 'future'")
+    records = zones.forecast_record(ahead, last, K)
     shape = "struct<last_train:string,points:array<struct<ds:string,yhat:double,yhat_lower:double,yhat_upper:double>>>"
     parsed = records.select("station", F.from_json("record", shape).alias("r"))
-    return parsed.select(
-        "station", "r.last_train", F.size("r.points").cast("long").alias("n_points"),
-        F.col("r.points")[0]["ds"].alias("first_ds"), r6(F.col("r.points")[0]["yhat"], 2).alias("first_yhat"),
-    )
+    points = parsed.select("station", "r.last_train", F.size("r.points").cast("long").alias("n_points"), F.inline("r.points"))
+    return points.withColumns({c: r6(c, 2) for c in ("yhat", "yhat_lower", "yhat_upper")})

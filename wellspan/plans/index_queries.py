@@ -126,6 +126,10 @@ def index_forward_filled_asof(spark, sf_dir):
     return joins.asof_month(daily, monthly, K, "t", ["z"]).select("station", "t", r6("z").alias("z"))
 
 
+# (bound, bound included, label)
+SEVERITY_LIMITS = """(-2.0, true, 'Extreme drought'), (-1.5, true, 'Severe drought'), (-1.0, true, 'Moderate drought'),   (1.0, false, 'Normal'), (1.5, false, 'Moderately wet'), (2.0, false, 'Very wet'),   (1e9, false, 'Extremely wet')"""
+
+
 @query("severity_labels", f"""WITH {SPLI}, lim(b, incl, label, color) AS (VALUES
   (-2.0, true, 'Extreme drought', '#67001f'), (-1.5, true, 'Severe drought', '#b2182b'), (-1.0, true, 'Moderate drought', '#ef8a62'),
   (1.0, false, 'Normal', '#4d4d4d'), (1.5, false, 'Moderately wet', '#67a9cf'), (2.0, false, 'Very wet', '#2166ac'),
@@ -144,12 +148,7 @@ def severity_labels(spark, sf_dir):
     )
 
 
-# forecast = the level of the same day one year earlier, for 60 days after the last one
-_FC = f"""{OBS}, last AS (SELECT station, MAX(t) - 45 AS last_train FROM obs GROUP BY 1),
-seen AS (SELECT o.station, o.t, o.level FROM obs o JOIN last l USING (station) WHERE o.t <= l.last_train),
-ahead AS (SELECT o.station, o.t, o.level * 0.97 AS level FROM obs o JOIN last l USING (station) WHERE o.t > l.last_train),
-both_ AS (SELECT *, 0 AS fc FROM seen UNION ALL SELECT *, 1 FROM ahead),
-m AS (SELECT station, CAST(date_trunc('month', t) AS DATE) AS month, AVG(level) AS mean_level,
+FORECAST_POOL = """m AS (SELECT station, CAST(date_trunc('month', t) AS DATE) AS month, AVG(level) AS mean_level,
    AVG(level) FILTER (fc = 0) AS hist, COUNT(*) FILTER (fc = 0) AS obs_days, COUNT(*) FILTER (fc = 1) AS fc_days FROM both_ GROUP BY 1, 2),
 tm AS (SELECT * FROM m WHERE fc_days > 0 AND (obs_days > 0 OR fc_days > 14)),
 pooled AS (SELECT tm.station, tm.month, tm.mean_level, tm.obs_days, tm.fc_days,
@@ -159,6 +158,14 @@ pooled AS (SELECT tm.station, tm.month, tm.mean_level, tm.obs_days, tm.fc_days,
   GROUP BY 1, 2, 3, 4, 5)"""
 
 
+# forecast = the level of the same day one year earlier, for 60 days after the last one
+_FC = f"""{OBS}, last AS (SELECT station, MAX(t) - 45 AS last_train FROM obs GROUP BY 1),
+seen AS (SELECT o.station, o.t, o.level FROM obs o JOIN last l USING (station) WHERE o.t <= l.last_train),
+ahead AS (SELECT o.station, o.t, o.level * 0.97 AS level FROM obs o JOIN last l USING (station) WHERE o.t > l.last_train),
+both_ AS (SELECT *, 0 AS fc FROM seen UNION ALL SELECT *, 1 FROM ahead),
+{FORECAST_POOL}"""
+
+
 @query("forecast_month_index", f"""WITH {_FC}, {ppf_sql('pooled', 'scored')}
 SELECT station, month, {q6('z')} AS spli, {q6('mean_level', 4)} AS mean_level, obs_days, fc_days,
   CAST(day(last_day(month)) AS INTEGER) AS days_in_month, CASE WHEN obs_days > 0 THEN 'blended' ELSE 'forecast-only' END AS mode FROM scored""")
@@ -355,7 +362,7 @@ def index_checks(spark, sf_dir):
 
 
 # level on a straight line between known days, then the same features and indices on that
-_CONFORMED = f"""{OBS}, {WX}, raw AS (SELECT wx.* REPLACE (round_even(soil_temp * 16, 0) / 16 AS soil_temp), obs.level FROM wx LEFT JOIN obs ON wx.station = obs.station AND wx.t = obs.t),
+CONFORMED = f"""{OBS}, {WX}, raw AS (SELECT wx.* REPLACE (round_even(soil_temp * 16, 0) / 16 AS soil_temp), obs.level FROM wx LEFT JOIN obs ON wx.station = obs.station AND wx.t = obs.t),
 ln AS (SELECT *, MAX(CASE WHEN level IS NOT NULL THEN t END) OVER (PARTITION BY station ORDER BY t ROWS UNBOUNDED PRECEDING) AS t0,
   MIN(CASE WHEN level IS NOT NULL THEN t END) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM raw),
 merged AS (SELECT n.* EXCLUDE (level, t0, t1), n.level IS NOT NULL AS is_observed,
@@ -366,7 +373,7 @@ merged AS (SELECT n.* EXCLUDE (level, t0, t1), n.level IS NOT NULL AS is_observe
 ROLLED_FEATURES = ["P_cum_30d", "P_cum_90d", "Peff_cum_30d", "Peff_cum_90d", "Temperature_mean_30d", "Temperature_mean_90d"]
 
 
-def _first_filled(name: str) -> str:
+def first_filled(name: str) -> str:
     source = "precip" if name.startswith("P_") else "Peff" if name.startswith("Peff") else "soil_temp"
     n, how = int(name[-3:-1]), "AVG" if "mean" in name else "SUM"
     w = f"(PARTITION BY station ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
@@ -374,8 +381,8 @@ def _first_filled(name: str) -> str:
     return f"{f'round_even({value}, 2)' if how == 'AVG' else value} AS {name}"
 
 
-_FEATURE_SQL = f"""WITH {_panel_sql(_CONFORMED)},
-f AS (SELECT *, {', '.join(map(_first_filled, ROLLED_FEATURES))} FROM mb),
+_FEATURE_SQL = f"""WITH {_panel_sql(CONFORMED)},
+f AS (SELECT *, {', '.join(map(first_filled, ROLLED_FEATURES))} FROM mb),
 z AS (SELECT f.*, {', '.join(f"(SELECT p.z FROM panel p WHERE p.station = f.station AND p.scale = 1 AND p.index_name = '{n}' AND p.month = CAST(date_trunc('month', f.t) AS DATE)) AS z_{n}" for n in NAMES)} FROM f)
 SELECT station AS code_bss, t AS date_index, is_observed, {q6('level', 3)} AS niveau_nappe_eau,
   {', '.join(f"{q6(f'COALESCE({n}, FIRST_VALUE({n} IGNORE NULLS) OVER w)', 3)} AS {n}" for n in ROLLED_FEATURES)},
@@ -385,11 +392,11 @@ FROM z WINDOW w AS (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECE
 
 @query("daily_feature_table", _FEATURE_SQL)
 def daily_feature_table(spark, sf_dir):
-    named = panels.named(_sixteenths(panels.merged(spark, sf_dir)))
+    named = panels.named(sixteenths(panels.merged(spark, sf_dir)))
     return _feature_columns(build_feature_table(named, ["code_bss"], "date_index"))
 
 
-def _sixteenths(df):
+def sixteenths(df):
     """Temperatures whose sums are exact, so that two engines round a mean to the same hundredth."""
     return df.withColumn("soil_temp", F.rint(F.col("soil_temp") * 16) / 16)
 
@@ -413,7 +420,7 @@ _LAST_READING = """obs AS (SELECT o_orderpriority AS station, CAST(o_orderdate A
 
 @query("daily_build_two_deliveries", _FEATURE_SQL.replace(OBS, _LAST_READING))
 def daily_build_two_deliveries(spark, sf_dir):
-    weather = panels.named(_sixteenths(panels.wx(spark, sf_dir)))
+    weather = panels.named(sixteenths(panels.wx(spark, sf_dir)))
     return _feature_columns(daily_build.daily_build(
         _deliveries(spark, sf_dir), weather, scratch_path(spark, "build"), "code_bss", "date_index", ["seq"], buckets=2))
 
@@ -438,4 +445,4 @@ def daily_build_next_chunks(spark, sf_dir):
 def feature_table_raw_readings(spark, sf_dir):
     """The feature table from readings as they land: several a day, some without a level."""
     rows = panels.wx(spark, sf_dir).join(gappy_readings(spark, sf_dir), ["station", "t"], "left")
-    return _feature_columns(build_feature_table(panels.named(_sixteenths(rows)), ["code_bss"], "date_index", order=["seq"]))
+    return _feature_columns(build_feature_table(panels.named(sixteenths(rows)), ["code_bss"], "date_index", order=["seq"]))
