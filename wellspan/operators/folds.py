@@ -93,11 +93,12 @@ def monthly_folds(df: DataFrame, keys: list[str], t: str, fraction: float = 0.8)
     return _number_folds(pool, keys, t)
 
 
-def folds_from(df: DataFrame, keys: list[str], t: str, start: dt.date) -> DataFrame:
-    """Walk-forward monthly folds from a fixed date on."""
+def folds_from(df: DataFrame, keys: list[str], t: str, start: dt.date, end: dt.date | None = None) -> DataFrame:
+    """Walk-forward monthly folds from a fixed date on, up to and with ``end``; a single month if both lie in it."""
     w = Window.partitionBy(*keys).orderBy(t)
     pos = df.select(*keys, t).withColumn("_pos", F.row_number().over(w))
-    return _number_folds(pos.where(F.col(t) >= F.lit(start)), keys, t)
+    asked = F.col(t) >= F.lit(start)
+    return _number_folds(pos.where(asked & (F.col(t) <= F.lit(end)) if end else asked), keys, t)
 
 
 def _number_folds(pool: DataFrame, keys: list[str], t: str) -> DataFrame:

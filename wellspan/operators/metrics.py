@@ -23,6 +23,28 @@ def regression_metrics(df: DataFrame, by: list[str], y: str = "y", yhat: str = "
     )
 
 
+def split_metrics(df: DataFrame, by: list[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """Fit on training rows and quality on test rows per group; ``split`` tells them apart.
+
+    R2 of both, RMSE, MAE, MAPE in percent, bias and target variance of the test rows.
+    """
+    train, test = F.col("split") == "train", F.col("split") == "test"
+    a, b = F.when(test, F.col(y)), F.when(test, F.col(yhat))
+    return df.groupBy(*by).agg(
+        F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"),
+        r_squared(F.when(train, F.col(y)), F.when(train, F.col(yhat))).alias("r2_train"), r_squared(a, b).alias("r2_test"),
+        rmse(a, b).alias("rmse"), F.avg(F.abs(a - b)).alias("mae"), (mape(a, b) * 100).alias("mape_pct"),
+        F.avg(b - a).alias("bias"), F.var_samp(a).alias("variance"),
+    )
+
+
+def with_fold_mean(per_fold: DataFrame, keys: list[str], fold: str) -> DataFrame:
+    """The folds, and a row without a fold that has the unweighted means of the metrics."""
+    numbers = ["r2_train", "r2_test", "rmse", "mae", "mape_pct", "bias", "variance"]
+    means = per_fold.groupBy(*keys).agg(F.sum("n_test").alias("n_test"), F.max("n_train").alias("n_train"), *[F.avg(c).alias(c) for c in numbers])
+    return per_fold.unionByName(means, allowMissingColumns=True)
+
+
 def fold_summary(metrics: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Unweighted mean and spread over folds."""
     aggs = [F.count(F.lit(1)).alias("n_folds")]

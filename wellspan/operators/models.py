@@ -8,16 +8,20 @@ pass over them.
 
 from __future__ import annotations
 
+import datetime as dt
 import sys
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark import cloudpickle, inheritable_thread_target
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from wellspan.session import spread
+from wellspan.operators import folds
+from wellspan.session import materialize, reuse, spread
+from wellspan.sources.feeds import union_frames
 
 # The small task functions below travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -92,33 +96,77 @@ def _solve(gram: np.ndarray, p: int, penalties: np.ndarray) -> tuple[np.ndarray,
     return betas, np.maximum(rss, 0.0)
 
 
-def dot(x: Column, beta: Column) -> Column:
-    return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+def _least_squares(gram: np.ndarray, p: int) -> tuple[np.ndarray, int]:
+    """Coefficients of the last columns of a Gram matrix on its first ``p``, and the rank of these.
 
-
-def fit_linear(df: DataFrame, by: list[str], features: list[str], target: str) -> DataFrame:
-    """Ordinary least squares per group: ``coef`` holds the intercept, then the features."""
-    rows = df.dropna(subset=[*features, target]).select(
-        *by, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(target).cast("double")).alias("v")
-    )
+    Columns are scaled to unit length and taken in the order of what is left of them (a pivoted Cholesky
+    factor); those that others explain get coefficient 0.
+    """
+    scale = np.sqrt(np.where(np.diag(gram)[:p] > 0, np.diag(gram)[:p], 1.0))
+    a, b = gram[:p, :p] / np.outer(scale, scale), gram[:p, p:] / scale[:, None]
+    left, chosen = np.diag(a).copy(), []
+    factor = np.zeros((p, p))
+    for k in range(p):
+        left[chosen] = -1.0
+        at = 0 if k == 0 else int(np.argmax(left))  # the intercept first
+        if left[at] < 1e-10:
+            break
+        factor[:, k] = (a[:, at] - factor[:, :k] @ factor[at, :k]) / np.sqrt(left[at])
+        chosen.append(at)
+        left = left - factor[:, k] ** 2
+    lower = factor[np.ix_(chosen, range(len(chosen)))]
+    coef = np.zeros((p, gram.shape[1] - p))
+    coef[chosen] = np.linalg.solve(lower.T, np.linalg.solve(lower, b[chosen]))
+    return coef / scale[:, None], len(chosen)
+
+
+def fit_linear(df: DataFrame, by: list[str], features: list[str], target: str | list[str]) -> DataFrame:
+    """Ordinary least squares per group: ``coef`` holds the intercept, then the features.
+
+    Several targets share one pass and one Gram matrix for each set of known targets: a row counts for the
+    targets it has. They come as rows told apart by ``target``. ``rank`` is the number of columns that
+    aren't explained by others; those that are have coefficient 0.
+    """
+    targets = [target] if isinstance(target, str) else list(target)
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    # unknown targets as 0 with a mark, by which the rows are summed apart
+    ys = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in targets]
+    mask = sum((F.col(c).isNotNull().cast("int") * F.lit(1 << i) for i, c in enumerate(targets)), F.lit(0))
+    rows = df.dropna(subset=features).select(*by, mask.alias("_known"), F.array(*x, *ys).alias("v")).where("_known > 0")
     schema = T.StructType([df.schema[c] for c in by] + [
-        T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("rss", T.DoubleType()),
-        T.StructField("n_train", T.LongType()),
+        T.StructField("target", T.StringType()), T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("rss", T.DoubleType()),
+        T.StructField("n_train", T.LongType()), T.StructField("rank", T.IntegerType()),
     ])
     arrow_by, p = list(by), len(features) + 1
 
     def solve(table: pa.Table) -> pa.Table:
-        betas, rss = _solve(_stack(table).sum(axis=0), p, np.zeros((1, p)))
-        n = int(np.asarray(table.column("n")).sum())
-        head = {c: table.column(c).slice(0, 1) for c in arrow_by}
-        return pa.table({**head, "coef": pa.array(list(betas), pa.list_(pa.float64())), "rss": rss, "n_train": [n]})
+        grams, counts, known = _stack(table), np.asarray(table.column("n")), np.asarray(table.column("_known"))
+        found: dict[str, list] = {c: [] for c in ("target", "coef", "rss", "n_train", "rank")}
+        for i, name in enumerate(targets):
+            mine = (known >> i) & 1 == 1
+            if not mine.any():
+                continue
+            gram = grams[mine].sum(axis=0)[np.ix_([*range(p), p + i], [*range(p), p + i])]
+            beta, rank = _least_squares(gram, p)
+            b = beta[:, 0]
+            rss = gram[p, p] - 2 * b @ gram[:p, p] + b @ gram[:p, :p] @ b
+            for c, v in zip(found, (name, b.tolist(), max(float(rss), 0.0), int(counts[mine].sum()), rank)):
+                found[c].append(v)
+        n = len(found["target"])
+        out = pa.table({**{c: table.column(c).take(pa.array([0] * n, pa.int64())) for c in arrow_by}, **found})
+        return out.cast(pa.schema([*(table.schema.field(c) for c in arrow_by), ("target", pa.string()), ("coef", pa.list_(pa.float64())),
+                                   ("rss", pa.float64()), ("n_train", pa.int64()), ("rank", pa.int32())]))
 
-    return spread(partial_grams(rows, by, "v"), *by).groupBy(*by).applyInArrow(solve, schema)
+    models = spread(partial_grams(rows, [*by, "_known"], "v"), *by).groupBy(*by).applyInArrow(solve, schema)
+    return models.drop("target") if isinstance(target, str) else models
 
 
 def predict_linear(df: DataFrame, models: DataFrame, by: list[str], features: list[str], out: str = "yhat") -> DataFrame:
-    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
-    return df.join(models.select(*by, "coef", "n_train"), by).withColumn(out, dot(x, F.col("coef"))).drop("coef")
+    """``df`` with the prediction of its group's model; with several targets a row for each of them."""
+    yhat = F.element_at("coef", 1)
+    for i, c in enumerate(features):
+        yhat = yhat + F.element_at("coef", i + 2) * F.col(c).cast("double")
+    return df.join(models.drop("rss", "rank"), by).withColumn(out, yhat).drop("coef")
 
 
 # --- additive model -----------------------------------------------------------------------
@@ -465,6 +513,15 @@ def with_tested_interval(rows: DataFrame, quantiles: DataFrame, by: list[str], w
 
 # --- boosted trees ------------------------------------------------------------------------
 
+ROWS_PER_TASK = 50_000
+
+
+def for_trees(df: DataFrame) -> DataFrame:
+    """``df`` in as few partitions as its rows need: a fit is hundreds of small jobs over the same rows."""
+    kept = reuse(df)
+    return kept.coalesce(1 + kept.count() // ROWS_PER_TASK)
+
+
 def fit_gbt(
     train: DataFrame, features: list[str], target: str, n_estimators: int = 100, learning_rate: float = 0.1,
     max_depth: int = 4, subsample: float = 0.8, colsample: float = 0.8, seed: int = 42,
@@ -492,7 +549,7 @@ def gbt_backtest(
     """
     w = Window.partitionBy(*keys)
     base = F.avg(F.when(F.col("split") == "train", F.col(target))).over(w)
-    rows = tagged.withColumn("_base", base).withColumn("_label", F.col(target) - F.col("_base"))
+    rows = for_trees(tagged.withColumn("_base", base).withColumn("_label", F.col(target) - F.col("_base")))
     model = fit_gbt(rows.where(F.col("split") == "train"), features, "_label", **params)
     return model.transform(rows).select(
         *keys, F.col(t).alias("ds"), "split", F.col(target).alias("y"),
@@ -500,6 +557,47 @@ def gbt_backtest(
     )
 
 
+def walk_forward_tags(rows: DataFrame, keys: list[str], t: str, fraction: float = 0.8, start: dt.date | None = None, end: dt.date | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the month and the calendar fold they are tested in (NULL before), and the folds of each station.
+
+    A fold is a calendar month after the initial share of a station's rows, or from ``start`` (up to ``end``)
+    on; it trains on the station's rows before the first one tested in it. Stations without the fold train on
+    their rows before the month.
+    """
+    plan = folds.folds_from(rows, keys, t, start, end) if start else folds.monthly_folds(rows, keys, t, fraction)
+    tagged = rows.withColumn("month", F.trunc(t, "MM")).join(plan.select(*keys, "month", "test_start", "test_end"), [*keys, "month"], "left")
+    tested = F.col(t).between(F.col("test_start"), F.col("test_end"))
+    return tagged.withColumn("fold_month", F.when(tested, F.col("month"))).drop("month", "test_start", "test_end"), plan
+
+
+def gbt_walk_forward(
+    rows: DataFrame, keys: list[str], t: str, features: list[str], target: str, fraction: float = 0.8,
+    start: dt.date | None = None, end: dt.date | None = None, at_a_time: int = 8, **params,
+) -> DataFrame:
+    """Boosted trees refitted for every calendar month on all earlier rows, and their predictions.
+
+    One model a month serves all stations: it learns the distance from each station's mean over its rows
+    before the month. The tagged rows are kept once for all months; ``at_a_time`` fits run side by side, so
+    that the small jobs of one fill the gaps of another. Returns a row for each prediction: keys, ``fold_month``,
+    ``ds``, ``split``, ``y``, ``yhat``.
+    """
+    tagged, plan = walk_forward_tags(rows.dropna(subset=[*features, target]).select(*keys, t, *features, target), keys, t, fraction, start, end)
+    tagged = reuse(tagged)
+    months = [r["month"] for r in plan.select("month").distinct().orderBy("month").collect()]  # months, not rows
+
+    def one(month: dt.date) -> DataFrame:
+        mine = F.col("fold_month") == F.lit(month)
+        began = F.min(F.when(mine, F.col(t))).over(Window.partitionBy(*keys))
+        split = F.when(mine, F.lit("test")).when(F.col(t) < F.coalesce(began, F.lit(month)), F.lit("train"))
+        part = tagged.withColumn("split", split).where(F.col("split").isNotNull())
+        return materialize(gbt_backtest(part, keys, t, features, target, **params).withColumn("fold_month", F.lit(month)), "gbt-fold")
+
+    with ThreadPoolExecutor(at_a_time) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), months))
+    tagged.unpersist()
+    return union_frames(*parts).select(*keys, "fold_month", "ds", "split", "y", "yhat")
+
+
 def expanding_line(rows: DataFrame, cutoffs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """One-regressor least squares on all rows up to each cutoff.
 

@@ -35,7 +35,7 @@ def grid_frame(spark: SparkSession, configs: list[dict]) -> DataFrame:
     return spark.range(1).select(F.inline(_grid(configs)))
 
 
-def _lagged_all(daily: DataFrame, keys: list[str], t: str, y: str, columns: list[str], horizons) -> DataFrame:
+def lagged_all(daily: DataFrame, keys: list[str], t: str, y: str, columns: list[str], horizons) -> DataFrame:
     """Lagged frames of all horizons as one table keyed by ``h``; a regressor keeps its own name."""
     parts = []
     for h in horizons:
@@ -57,7 +57,7 @@ def tune(
     """
     configs = configs or grid_configs()
     by = [*keys, "h"]
-    frame = reuse(_lagged_all(daily, keys, t, y, columns, horizons).dropna(subset=["y", *columns]))
+    frame = reuse(lagged_all(daily, keys, t, y, columns, horizons).dropna(subset=["y", *columns]))
     cutoffs = rolling_cutoffs(frame, by, "ds", F.col("h"), period, fraction=fraction)
     sums = sweep_sums(frame, cutoffs, by, columns, configs, "h")
     spread = frame.groupBy(*by).agg(F.stddev_samp("y").alias("std_y"))
@@ -117,9 +117,9 @@ def _text_map(columns: list[str]) -> Column:
 
 def model_runs(
     results: DataFrame, on: list[str], params: list[str], metrics: list[str], tags: list[str],
-    trained_to: str | None = None,
+    trained_to: str | None = None, keep: list[str] | None = None,
 ) -> DataFrame:
-    """Append-only run log rows: parameter, metric and tag maps.
+    """Append-only run log rows: parameter, metric and tag maps, and the columns to ``keep``.
 
     ``trained_to``, the last training day, tells runs of equal parameters on new data apart.
     """
@@ -130,7 +130,7 @@ def model_runs(
     )
     return results.select(
         *on, run_id.alias("run_id"), _text_map(params).alias("params"), numbers.alias("metrics"),
-        _text_map(tags).alias("tags"),
+        _text_map(tags).alias("tags"), *(keep or []),
     )
 
 

@@ -13,15 +13,15 @@ _LOOSE = "list_transform(range(1, p + 1), lambda i: CASE WHEN keep[i] THEN 1e-9:
 def _solve(src: str, out: str, weights: str) -> str:
     """CTEs that solve (gram + diag(weights)) b = right for every row of ``src`` (sys, p, gram, right, keep, n).
 
-    A step divides the first row by its first value, subtracts multiples of it from the others and drops the
-    first column; the first row goes last, so that after p steps the rows stand in their old order.
+    Step k divides row k by its first value, subtracts multiples of it from the others and drops the first
+    column, so that after p steps each row holds its part of the solution.
     """
-    return f"""{out}_rec(sys, k, p, m) USING KEY (sys) AS (
-  SELECT sys, 0, p, list_transform(gram, lambda r, i: list_append(list_transform(r, lambda v, j: v + CASE WHEN i = j THEN ({weights})[i] ELSE 0 END), "right"[i])) FROM {src}
+    return f"""{out}_rec(sys, i, k, p, r) USING KEY (sys, i) AS (
+  SELECT sys, i, 0, p, list_append(list_transform(gram[i], lambda v, j: v + CASE WHEN i = j THEN w[i] ELSE 0 END), "right"[i]) FROM (SELECT *, {weights} AS w, UNNEST(range(1, p + 1)) AS i FROM {src})
   UNION
-  SELECT sys, k + 1, p, list_append(list_transform(m[2:], lambda r: list_transform(r[2:], lambda v, j: v - m[1][j + 1] * (r[1] / m[1][1]))), list_transform(m[1][2:], lambda v: v / m[1][1]))
-  FROM {out}_rec WHERE k < p),
-{out} AS (SELECT s.*, list_transform(list_transform(r.m, lambda x: x[1]), lambda b, i: CASE WHEN s.keep[i] THEN b ELSE 0 END) AS beta FROM {out}_rec r JOIN {src} s USING (sys)),
+  SELECT a.sys, a.i, a.k + 1, a.p, CASE WHEN a.i = a.k + 1 THEN b.u ELSE list_transform(list_zip(a.r[2:], b.u), lambda z: z[1] - z[2] * a.r[1]) END
+  FROM {out}_rec a JOIN (SELECT sys, list_transform(r[2:], lambda v: v / r[1]) AS u FROM {out}_rec WHERE i = k + 1 AND k < p) b ON b.sys = a.sys),
+{out} AS (SELECT s.*, r.beta FROM (SELECT sys, list(r[1] ORDER BY i) AS beta FROM {out}_rec GROUP BY 1) r JOIN {src} s USING (sys)),
 {out}_rss AS (SELECT *, greatest(yy - 2 * list_dot_product(beta, "right") + list_dot_product(beta, list_transform(gram, lambda r: list_dot_product(r, beta))), 0) AS rss FROM {out})"""
 
 

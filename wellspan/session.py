@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def build_session(app: str = "wellspan", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,8 +50,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; never reused, so reruns cannot collide."""
-    return f"{shared_root(spark)}/wellspan/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; never reused, so reruns cannot collide.
+
+    All scratch of an application lies in one folder, which goes when its driver ends.
+    """
+    app = spark.sparkContext.applicationId
+    root = f"{shared_root(spark)}/wellspan/{app}"
+    if root not in _MARKED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MARKED.add(root)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def reuse(df):
