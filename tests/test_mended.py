@@ -74,18 +74,25 @@ def test_short_stations_are_named(spark):
     assert [(r.k, r.reason) for r in out] == [("short", "span of 0 days is shorter than the initial 0 and the horizon 5")]
 
 
-def test_merge_reads_touched_folders_only(spark, tmp_path):
+def test_merge_only_adds(spark, tmp_path):
     path = str(tmp_path / "history")
     schema = "k string, t date, seq int, x double"
-    first = spark.createDataFrame([(k, dt.date(2020, m, 1), 1, 1.0) for k in "abcdefgh" for m in (1, 2, 3)], schema)
-    jobs.merge_batch(first, path, "k", "t", ["seq"], buckets=4)
-    second = spark.createDataFrame([("a", dt.date(2020, 2, 1), 2, 5.0)], schema)
-    before = set(jobs.read_history(spark, path, first.schema).inputFiles())
-    jobs.merge_batch(second, path, "k", "t", ["seq"], buckets=4)
-    jobs.merge_batch(second, path, "k", "t", ["seq"], buckets=4)  # a repeated batch changes nothing
-    history = jobs.read_history(spark, path, first.schema)
-    assert history.count() == 24 and history.where("x = 5.0").count() == 1
-    kept = before & set(history.inputFiles())
-    assert kept and all("month=2020-02" in f for f in before - kept)
-    only = jobs.read_history(spark, path, first.schema, [("2020-02", 0)])
-    assert all("month=2020-02/bucket=0" in f for f in only.inputFiles())
+    first = spark.createDataFrame([(k, dt.date(2020, m, 1), s, float(s)) for k in "abcdefgh" for m in (1, 2, 3) for s in (0, 1)], schema)
+    read = lambda *months: jobs.read_history(spark, path, first.schema, "k", "t", ["seq"], *months)
+    assert read().count() == 0
+    jobs.merge_batch(first, path, "k", "t", ["seq"])
+    second = spark.createDataFrame([("a", dt.date(2020, 2, 1), 0, 5.0), ("new", dt.date(2020, 5, 1), 0, 7.0)], schema)
+    before = set(read().inputFiles())
+    jobs.merge_batch(second, path, "k", "t", ["seq"])
+    jobs.merge_batch(second, path, "k", "t", ["seq"])  # a repeated batch changes nothing
+    jobs.merge_batch(second.limit(0), path, "k", "t", ["seq"])
+    history = read()
+    assert history.columns == first.columns and history.count() == 25
+    assert {(r.k, r.x) for r in history.where("x >= 5").collect()} == {("a", 5.0), ("new", 7.0)}
+    assert before < set(history.inputFiles())  # nothing is written anew
+    assert read(["2020-02"]).count() == 8 and all("month=2020-02" in f for f in read(["2020-02"]).inputFiles())
+    folded = str(tmp_path / "folded")
+    jobs.compact_history(spark, path, folded, first.schema, "k", "t", ["seq"])
+    again = jobs.read_history(spark, folded, first.schema, "k", "t", ["seq"])
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, history.collect())) and all("batch=0" in f for f in again.inputFiles())
+    assert {r.k: r.last_date for r in jobs.high_water_mark(spark, path, first.schema, "k", "t").collect()}["new"] == dt.date(2020, 5, 1)

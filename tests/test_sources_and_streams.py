@@ -97,7 +97,7 @@ def test_upsert_stream_over_two_deliveries(spark, tmp_path):
     deliver()  # nothing new
     schema = "k string, t date, event_id bigint, value double"
     schema = spark.createDataFrame([], schema).schema
-    rows = {(r.k, r.t.day): r.value for r in jobs.read_history(spark, table, schema).collect()}
+    rows = {(r.k, r.t.day): r.value for r in jobs.read_history(spark, table, schema, "k", "t", ["event_id"]).collect()}
     assert rows == {("a", 1): 9.0, ("b", 2): 3.0, ("a", 3): 4.0}
     marks = {r.k: r.last_date.day for r in jobs.high_water_mark(spark, table, schema, "k", "t").collect()}
     assert marks == {"a": 3, "b": 2}

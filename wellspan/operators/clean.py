@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from wellspan import schemas
 from wellspan.functions.dates import day_of
@@ -48,8 +48,22 @@ def present_missing(df: DataFrame, columns: list[str]) -> tuple[list[str], list[
     return [c for c in columns if c in have], [c for c in columns if c not in have]
 
 
-def drop_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return df.dropna(subset=columns)
+def column_contract(tables: dict[str, tuple[DataFrame, T.StructType]], spark: SparkSession) -> DataFrame:
+    """What is there and what isn't, for each table and the columns it should have; reads metadata only.
+
+    One row for each expected or found column: ``status`` is ``present``, ``missing``, ``wrong type`` or
+    ``not asked for``.
+    """
+    rows = []
+    for name, (df, wanted) in tables.items():
+        found = {f.name: f.dataType.simpleString() for f in df.schema}
+        present, missing = present_missing(df, wanted.names)
+        for c in present:
+            kind = wanted[c].dataType.simpleString()
+            rows.append((name, c, kind, found[c], "present" if kind == found[c] else "wrong type"))
+        rows += [(name, c, wanted[c].dataType.simpleString(), None, "missing") for c in missing]
+        rows += [(name, c, None, kind, "not asked for") for c, kind in found.items() if c not in wanted.names]
+    return spark.createDataFrame(rows, "table_name string, column_name string, expected string, found string, status string")
 
 
 def between_dates(df: DataFrame, t: str, first: Column | None = None, last: Column | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
@@ -183,7 +182,3 @@ def index_checks(panel: DataFrame, keys: list[str], mean_tol: float = 0.15, lo:
     )
     ok = (F.abs("mean_z") < mean_tol) & (F.col("std_z") > lo) & (F.col("std_z") < hi)
     return g.withColumn("ok", F.coalesce(ok, F.lit(False)))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -59,10 +59,6 @@ def map_seasonal(daily: DataFrame, seasonal: DataFrame, keys: list[str], t: str)
     return daily.withColumn("moy", F.month(t)).join(seasonal, [*keys, "moy"], "left").drop("moy")
 
 
-def ring_days(df: DataFrame, doy: str, half: int = 15, out: str = "ring") -> DataFrame:
-    """Each row repeated for the ``2*half+1`` circle days it is near to, an equi-join key."""
-    return df.withColumn(out, F.explode(doy_ring(F.col(doy), half)))
-
 
 def compound_frame(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Outer concat of two month flags followed by dropping incomplete rows."""

@@ -228,11 +228,13 @@ def _fit_folds(days: np.ndarray, y: np.ndarray, regressors: np.ndarray, cutoffs:
     gram, n, peak, out = np.zeros((p + 1, p + 1)), 0, 0.0, []
     for k, cutoff in enumerate(cutoffs):
         mine = rows[segment == k]
-        gram, n = gram + mine.T @ mine, n + len(mine)
+        with np.errstate(all="ignore"):
+            gram, n = gram + mine.T @ mine, n + len(mine)
         peak = max(peak, float(np.abs(mine[:, -1]).max(initial=0.0)))
         head = {"cutoff": cutoff, "n_train": n}
-        if not n:
-            out += [{**head, "config_id": i, "error": "no training rows", **blank} for i in range(len(configs))]
+        if not n or not np.isfinite(gram).all():
+            reason = "sums of the training rows are not finite" if n else "no training rows"
+            out += [{**head, "config_id": i, "error": reason, **blank} for i in range(len(configs))]
             continue
         scale = peak or 1.0
         mean = gram[0, p - r:p] / n

@@ -54,6 +54,24 @@ def describe(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.array(*aggs).alias("_stats")).select(*keys, F.inline("_stats"))
 
 
+MOST_HOT = 1024
+
+
+def _with_cuts(rows: DataFrame, cuts: DataFrame, cell: list[str]) -> DataFrame:
+    """``rows`` with the ``_cuts`` of their cell.
+
+    Fewer than ``MOST_HOT`` cells can hold more than that part of all rows each. Their cuts are broadcast, so
+    no value is sent to the task of a large cell; only rows of small cells meet theirs by hashing.
+    """
+    total = cuts.agg(F.sum("_rows")).first()[0] or 0
+    hot = F.col("_rows") * F.lit(MOST_HOT) > F.lit(total)
+    found = rows.join(F.broadcast(cuts.where(hot).drop("_rows")), cell)
+    cold = cuts.where(~hot).drop("_rows")
+    if cold.isEmpty():
+        return found
+    return found.unionByName(rows.join(F.broadcast(cuts.where(hot).select(*cell)), cell, "left_anti").join(cold, cell))
+
+
 def exact_quantiles(
     df: DataFrame, column: str, probs: list[float], keys: list[str] = (), bins: int = 64, small: int = 10_000
 ) -> DataFrame:
@@ -92,8 +110,8 @@ def exact_quantiles(
         if largest <= small:
             break
         cuts = rows.groupBy(*cell).agg(
-            F.percentile_approx("v", [i / bins for i in range(1, bins)], 20 * bins).alias("_cuts"))
-        located = rows.join(cuts, cell).select(
+            F.percentile_approx("v", [i / bins for i in range(1, bins)], 20 * bins).alias("_cuts"), F.count(F.lit(1)).alias("_rows"))
+        located = _with_cuts(rows, materialize(cuts, "cuts"), cell).select(
             *cell, "before", "v", "c", F.size(F.filter(F.array_distinct("_cuts"), lambda x: x < F.col("v"))).alias("cell"))
         sums = located.groupBy(*cell, "before", "cell").agg(F.sum("c").alias("m"))
         upto = F.col("before") + F.sum("m").over(Window.partitionBy(*cell).orderBy("cell"))
@@ -197,8 +215,10 @@ def series_health(
     w = Window.partitionBy(*keys).orderBy(t)
     tail = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(t).desc())) <= h
     rows = gap_days(frame, keys, t).withColumn("_future", tail)
-    source = next(iter(lagged.items()))
-    rows = rows.withColumn("_expected", F.lag(source[1], h).over(w))
+    # a lagged value that is missing, or there, when its source says otherwise is an error without bound
+    off = [F.when(F.col(r).isNull() & F.lag(raw, h).over(w).isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.abs(F.col(r) - F.lag(raw, h).over(w)), F.lit(float("inf")))) for r, raw in lagged.items()]
+    rows = rows.withColumn("_off", F.array_max(F.array(*off)))
     usable = F.col(y).isNotNull()
     for r in regressors:
         usable = usable & F.col(r).isNotNull()
@@ -211,7 +231,7 @@ def series_health(
     g = rows.groupBy(*keys).agg(
         (F.count(F.lit(1)) - F.count_if(F.col("gap_days").isNull() | (F.col("gap_days") > 0))).alias("duplicates"),
         F.max("gap_days").alias("max_gap"),
-        F.max(F.abs(F.col(source[0]) - F.col("_expected"))).alias("lag_error"),
+        F.max("_off").alias("lag_error"),
         F.count_if(F.col("_future") & ~complete).alias("future_nulls"),
         F.count_if(F.col("_future") & F.col(y).isNotNull()).alias("future_targets"),
         F.count_if(~F.col("_usable")).alias("rows_lost"),

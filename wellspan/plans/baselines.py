@@ -14,12 +14,12 @@ def naive_backtest(dense: DataFrame, cutoffs: DataFrame, keys: list[str], h: int
 
     ``dense``: keys, ``ds``, ``y``, one row per day. Each baseline is an equi-join; the climatology
     is a running mean over the earlier years of a calendar month, looked up one year back, so it
-    never sees its own fold. The interval is ``z`` times the spread of the station's series.
+    never sees its own fold. The interval is ``z`` times the spread of the station's series up to the
+    cutoff, a running aggregate read off there.
     """
-    spread = F.stddev_samp("y").over(Window.partitionBy(*keys))
-    days = dense.withColumn("_sd", spread)
-    rows = test_rows(days, cutoffs, keys, h)
-    last = dense.select(*keys, F.col("ds").alias("cutoff"), F.col("y").alias("last_value"))
+    spread = F.stddev_samp("y").over(Window.partitionBy(*keys).orderBy("ds"))
+    rows = test_rows(dense, cutoffs, keys, h)
+    last = dense.select(*keys, F.col("ds").alias("cutoff"), F.col("y").alias("last_value"), spread.alias("_sd"))
     year_ago = dense.select(*keys, F.date_add("ds", 365).alias("ds"), F.col("y").alias("seasonal_naive"))
     sums = dense.groupBy(*keys, F.trunc("ds", "MM").alias("_month")).agg(
         F.sum("y").alias("_sum"), F.count("y").alias("_n")

@@ -83,11 +83,10 @@ def weather_clean_daily(spark, sf_dir):
 
 
 @query("weather_left_join_obs", f"""
-{with_(OBS, WX)} SELECT wx.station, wx.t, wx.precip, wx.soil_temp,
+{with_(OBS, WX)} SELECT wx.*,
   (SELECT o.level FROM obs o WHERE o.station = wx.station AND o.t = wx.t) AS level FROM wx""")
 def weather_left_join_obs(spark, sf_dir):
-    merged = joins.merge_obs(panels.wx(spark, sf_dir), panels.obs(spark, sf_dir), ["station", "t"])
-    return merged.select("station", "t", "precip", "soil_temp", "level")
+    return joins.merge_obs(panels.wx(spark, sf_dir), panels.obs(spark, sf_dir), ["station", "t"])
 
 
 @query("join_audit", f"""
@@ -99,10 +98,9 @@ def join_audit(spark, sf_dir):
 
 
 @query("obs_inner_weather", f"""
-{with_(OBS, WX)} SELECT o.station, o.t, o.level, w.precip FROM obs o, wx w WHERE o.station = w.station AND o.t = w.t""")
+{with_(OBS, WX)} SELECT o.level, w.* FROM obs o, wx w WHERE o.station = w.station AND o.t = w.t""")
 def obs_inner_weather(spark, sf_dir):
-    merged = joins.merge_obs(panels.wx(spark, sf_dir), panels.obs(spark, sf_dir), ["station", "t"], "inner")
-    return merged.select("station", "t", "level", "precip")
+    return joins.merge_obs(panels.wx(spark, sf_dir), panels.obs(spark, sf_dir), ["station", "t"], "inner")
 
 
 @query("last_dates_resume", """
@@ -354,15 +352,20 @@ def station_list_text(spark, sf_dir):
 SELECT o_orderpriority AS code_bss, CAST(o_orderkey AS VARCHAR) AS bss_id, CAST(o_orderdate AS DATE) AS date_mesure,
        o_totalprice AS niveau_nappe_eau, o_orderstatus AS statut FROM orders""")
 def observation_pages(spark, sf_dir):
+    path = scratch_path(spark, "pages")
+    observation_documents(spark, sf_dir).select("value").write.text(path)
+    return feeds.read_obs_pages(spark, path).select("code_bss", "bss_id", "date_mesure", "niveau_nappe_eau", "statut")
+
+
+def observation_documents(spark, sf_dir):
+    """Pages of up to 500 readings, as the observation feed lands them."""
     rows = raw_observations(spark, sf_dir)
     page = F.floor(F.col("timestamp_mesure") / 500)
     names = [f.name for f in schemas.OBSERVATION_SCHEMA]
     pages = rows.groupBy("code_bss", page.alias("page")).agg(F.collect_list(F.struct(*names)).alias("data"))
     following = F.lead("page").over(_by_station("code_bss", "page"))
     envelope = F.struct("data", F.concat(F.lit("page="), following.cast("string")).alias("next"))
-    path = scratch_path(spark, "pages")
-    pages.select(F.to_json(envelope).alias("value")).write.text(path)
-    return feeds.read_obs_pages(spark, path).select("code_bss", "bss_id", "date_mesure", "niveau_nappe_eau", "statut")
+    return pages.select("page", F.to_json(envelope).alias("value"))
 
 
 def _by_station(key, order):
@@ -372,6 +375,12 @@ def _by_station(key, order):
 @query("weather_documents", f"""
 {with_(WX)} SELECT station AS code_bss, t AS date, 45.0::DOUBLE AS latitude, 5.0::DOUBLE AS longitude, {_weather_sql(schemas.WEATHER_VARIABLES)} FROM wx""")
 def weather_documents(spark, sf_dir):
+    path = scratch_path(spark, "weather")
+    weather_document_rows(spark, sf_dir).select("value").write.text(path)
+    return feeds.read_weather_docs(spark, path)
+
+
+def weather_document_rows(spark, sf_dir):
     """One document per station and year with parallel arrays, as the weather feed lands them."""
     wx = raw_weather(spark, sf_dir)
     names = list(schemas.WEATHER_VARIABLES)
@@ -380,11 +389,8 @@ def weather_documents(spark, sf_dir):
         F.array_sort(F.collect_list(day)).alias("days")
     )
     daily = F.struct(*[F.col(f"days.{c}").alias(c) for c in ["time", *names]])
-    path = scratch_path(spark, "weather")
-    docs.select(
-        F.to_json(F.struct("code_bss", "latitude", "longitude", daily.alias("daily")), {"ignoreNullFields": "false"}).alias("value")
-    ).write.text(path)
-    return feeds.read_weather_docs(spark, path)
+    return docs.select(
+        "year", F.to_json(F.struct("code_bss", "latitude", "longitude", daily.alias("daily")), {"ignoreNullFields": "false"}).alias("value"))
 
 
 @query("station_master", """
@@ -425,10 +431,15 @@ def zone_parquet_by_year(spark, sf_dir):
     return zones.read_zone(spark, path).where("year >= 1999")
 
 
-@query("snapshot_roundtrip", f"{with_(OBS)} SELECT station, t, level, DATE '2024-05-06' AS snapshot_date FROM obs")
+@query("snapshot_roundtrip", f"""{with_(OBS, WX)} SELECT station, t, level, CAST(NULL AS DOUBLE) AS precip, DATE '2024-05-06' AS snapshot_date, 'levels' AS name FROM obs
+UNION ALL SELECT station, t, NULL, precip, DATE '2024-05-06', 'weather' FROM wx""")
 def snapshot_roundtrip(spark, sf_dir):
-    path = zones.write_snapshot(panels.obs(spark, sf_dir), scratch_path(spark, "snap"), "levels", dt.date(2024, 5, 6))
-    return zones.load_history(spark, path)[0]
+    """Both history tables written as dated snapshots and loaded again."""
+    prefix, day = scratch_path(spark, "snap"), dt.date(2024, 5, 6)
+    tables = {"levels": panels.obs(spark, sf_dir), "weather": panels.wx(spark, sf_dir).select("station", "t", "precip")}
+    paths = [zones.write_snapshot(df, prefix, name, day) for name, df in tables.items()]
+    loaded = zones.load_history(spark, *paths)
+    return feeds.union_frames(*[df.withColumn("name", F.lit(name)) for name, df in zip(tables, loaded)])
 
 
 @query("stations_union", """

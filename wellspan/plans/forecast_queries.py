@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from itertools import combinations
 
 from pyspark.sql import Window, functions as F
 
 from wellspan import schemas
 from wellspan.operators import folds, frames, metrics, models, quality, smoothing, tuning
-from wellspan.operators.clean import conform_daily
+from wellspan.operators.clean import conform_daily, select_regex
 from wellspan.operators.decompose import decompose_robust
 from wellspan.operators.indices import pivot_panel
-from wellspan.operators.rolling import water_balance_features
+from wellspan.operators.rolling import extend_and_lag, water_balance_features
 from wellspan.plans import retrain
 from wellspan.plans.additive_sql import additive_sql
 from wellspan.plans.baselines import naive_backtest
@@ -55,26 +56,55 @@ def lagged_sql(h: int, src: str = "daily", out: str = "fr") -> str:
 # --- frames ------------------------------------------------------------------------------
 
 def _frame_sql(h: int, need_y: bool) -> str:
-    lagged = ", ".join(f"w.{c} AS {c}_lag{h}" for c in SIMPLE)
-    y_filter = "WHERE m.level IS NOT NULL" if need_y else ""
-    return f"""{with_(MERGED, calendar('merged', extra=h))}
-SELECT c.station, c.t AS ds, m.level AS y, {lagged} FROM cal c
-JOIN merged w ON w.station = c.station AND w.t = c.t - {h} LEFT JOIN merged m ON m.station = c.station AND m.t = c.t {y_filter}"""
+    lagged = ", ".join(f"{q6(c, 3)} AS {c}_lag{h}" for c in REGRESSORS)
+    return f"""WITH {DAILY}, {lagged_sql(h)} SELECT station, ds, {q6('y', 3)} AS y, {lagged} FROM fr {'WHERE y IS NOT NULL' if need_y else ''}"""
+
+
+def _frame(make, spark, sf_dir, h):
+    frame = make(model_daily(spark, sf_dir), K, "t", "level", REGRESSORS, h)
+    return frame.withColumns({c: r6(c, 3) for c in ["y", *frames.lag_names(REGRESSORS, h)]})
 
 
 @query("train_frame_h14", _frame_sql(14, True))
 def train_frame_h14(spark, sf_dir):
-    return frames.train_frame(panels.merged(spark, sf_dir), K, "t", "level", SIMPLE, 14)
+    return _frame(frames.train_frame, spark, sf_dir, 14)
 
 
 @query("train_frame_h30", _frame_sql(30, True))
 def train_frame_h30(spark, sf_dir):
-    return frames.train_frame(panels.merged(spark, sf_dir), K, "t", "level", SIMPLE, 30)
+    return _frame(frames.train_frame, spark, sf_dir, 30)
 
 
 @query("future_frame_h14", _frame_sql(14, False))
 def future_frame_h14(spark, sf_dir):
-    return frames.future_frame(panels.merged(spark, sf_dir), K, "t", "level", SIMPLE, 14)
+    return _frame(frames.future_frame, spark, sf_dir, 14)
+
+
+@query("future_frame_h30", _frame_sql(30, False))
+def future_frame_h30(spark, sf_dir):
+    return _frame(frames.future_frame, spark, sf_dir, 30)
+
+
+@query("feature_target_split", f"""WITH {DAILY}, {lagged_sql(14)} SELECT side, "column", COUNT(*) AS n, {q6('AVG(v)', 3)} AS mean FROM (
+  {' UNION ALL '.join(f"SELECT 'feature' AS side, '{c}_lag14' AS \"column\", {c} AS v FROM fr WHERE y IS NOT NULL" for c in REGRESSORS)} UNION ALL SELECT 'target', 'y', y FROM fr WHERE y IS NOT NULL) GROUP BY 1, 2""")
+def feature_target_split(spark, sf_dir):
+    """What goes into a model and what it is to say, column by column."""
+    frame = reuse(frames.train_frame(model_daily(spark, sf_dir), K, "t", "level", REGRESSORS, 14))
+    sides = zip(("feature", "target"), frames.feature_target(frame, frames.lag_names(REGRESSORS, 14), "y"))
+    parts = [F.struct(F.lit(side).alias("side"), F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean")) for side, df in sides for c in df.columns]
+    return frame.agg(F.array(*parts).alias("p")).select(F.inline("p")).withColumn("mean", r6("mean", 3))
+
+
+_INDEX_COLUMNS = [n for n in NAMES if n.startswith("S") and n.endswith("I")]
+
+
+@query("index_columns_monthly_mean", f"""WITH {PANEL_SQL}, w AS (SELECT station, month, {', '.join(f"MAX(CASE WHEN index_name = '{n}' THEN z END) AS {n}" for n in _INDEX_COLUMNS)} FROM panel WHERE scale = 1 GROUP BY 1, 2)
+SELECT month, {', '.join(f"{q6(f'AVG({n})')} AS {n}" for n in _INDEX_COLUMNS)} FROM w GROUP BY 1""")
+def index_columns_monthly_mean(spark, sf_dir):
+    """Every index column, picked by its name pattern, averaged over stations by month."""
+    wide = pivot_panel(panel_of(spark, sf_dir, (1,)), K, NAMES, scale=1)
+    picked = select_regex(wide).columns
+    return wide.groupBy("month").agg(*[r6(F.avg(c)).alias(c) for c in picked])
 
 
 _MONTHLY_REGRESSORS = ["SSMI", "SPEI", "SPI", "SSTI"]
@@ -175,11 +205,11 @@ def naive_cv(spark, sf_dir, h=14):
 
 
 def _naive_sql(h: int) -> str:
-    base = "SELECT c.station, '{m}' AS model, c.cutoff, d.t AS ds, d.y, {yhat} AS yhat, s.sd FROM cuts c JOIN dense d ON d.station = c.station AND d.t > c.cutoff AND d.t <= c.cutoff + " + str(h) + " JOIN sd s ON s.station = c.station"
+    base = "SELECT c.station, '{m}' AS model, c.cutoff, d.t AS ds, d.y, {yhat} AS yhat, s.sd FROM cuts c JOIN dense d ON d.station = c.station AND d.t > c.cutoff AND d.t <= c.cutoff + " + str(h) + " JOIN sd s ON s.station = c.station AND s.cutoff = c.cutoff"
     last = base.format(m="last_value", yhat="(SELECT x.y FROM dense x WHERE x.station = c.station AND x.t = c.cutoff)")
     season = base.format(m="seasonal_naive", yhat="(SELECT x.y FROM dense x WHERE x.station = c.station AND x.t = d.t - 365)")
     clim = base.format(m="climatology", yhat="(SELECT AVG(x.y) FROM dense x WHERE x.station = c.station AND month(x.t) = month(d.t) AND year(x.t) < year(d.t))")
-    return f"""{INTERPOLATED}, {_cut_sql('dense', h, 45)}, sd AS (SELECT station, STDDEV_SAMP(y) AS sd FROM dense GROUP BY 1),
+    return f"""{INTERPOLATED}, {_cut_sql('dense', h, 45)}, sd AS (SELECT c.station, c.cutoff, STDDEV_SAMP(d.y) AS sd FROM cuts c JOIN dense d ON d.station = c.station AND d.t <= c.cutoff GROUP BY 1, 2),
 cv AS (SELECT *, date_diff('day', cutoff, ds) AS horizon, yhat - {Z80!r}::DOUBLE * sd AS lo, yhat + {Z80!r}::DOUBLE * sd AS hi
   FROM ({last} UNION ALL {season} UNION ALL {clim}) WHERE yhat IS NOT NULL)"""
 
@@ -414,29 +444,28 @@ def holt_winters_grid(spark, sf_dir):
     return out.withColumns({c: r6(c, 3) for c in ("fit_rmse", "yhat")})
 
 
-_HEALTH = f"""{MERGED}, {calendar('merged', extra=14)}, fr AS (SELECT c.station, c.t, m.level AS y, m.radiation, w.radiation AS r1, w.et0 AS r2,
+_LAGGED = [f"{c}_lag14" for c in REGRESSORS]
+_OK = " AND ".join(f"{c} IS NOT NULL" for c in _LAGGED)
+_HEALTH = f"""{DAILY}, {calendar('daily', extra=14)}, fr AS (SELECT c.station, c.t, m.level AS y, {', '.join(f'w.{c} AS {c}_lag14' for c in REGRESSORS)},
    ROW_NUMBER() OVER (PARTITION BY c.station ORDER BY c.t DESC) AS back
-  FROM cal c LEFT JOIN merged w ON w.station = c.station AND w.t = c.t - 14 LEFT JOIN merged m ON m.station = c.station AND m.t = c.t),
-u AS (SELECT *, y IS NOT NULL AND r1 IS NOT NULL AND r2 IS NOT NULL AS ok FROM fr),
-g AS (SELECT station, COUNT(*) FILTER (back <= 14 AND (r1 IS NULL OR r2 IS NULL)) AS fn, COUNT(*) FILTER (back <= 14 AND y IS NOT NULL) AS fy,
-  COUNT(*) FILTER (NOT ok) AS lost, COUNT(*) FILTER (ok) AS n, corr(r1, r2) FILTER (ok) AS c12, greatest(abs(corr(r1, y) FILTER (ok)), abs(corr(r2, y) FILTER (ok))) AS best FROM u GROUP BY 1)"""
+  FROM cal c LEFT JOIN daily w ON w.station = c.station AND w.t = c.t - 14 LEFT JOIN daily m ON m.station = c.station AND m.t = c.t),
+  u AS (SELECT *, y IS NOT NULL AND {_OK} AS ok FROM fr),
+  g AS (SELECT station, COUNT(*) FILTER (back <= 14 AND NOT ({_OK})) AS fn, COUNT(*) FILTER (back <= 14 AND y IS NOT NULL) AS fy,
+  COUNT(*) FILTER (NOT ok) AS lost, COUNT(*) FILTER (ok) AS n, {' + '.join(f'CASE WHEN abs(corr({a}, {b}) FILTER (ok)) > 0.9 THEN 1 ELSE 0 END' for a, b in combinations(_LAGGED, 2))} AS near,
+  {' + '.join(f'CASE WHEN COALESCE(STDDEV_SAMP({c}) FILTER (ok), 0) = 0 THEN 1 ELSE 0 END' for c in _LAGGED)} AS dead, greatest({', '.join(f'abs(corr({c}, y) FILTER (ok))' for c in _LAGGED)}) AS best FROM u GROUP BY 1)"""
 
 
 @query("series_health", f"""WITH {_HEALTH}, c AS (
   SELECT station, 'duplicate_days' AS "check", 0::DOUBLE AS value, true AS ok FROM g UNION ALL SELECT station, 'max_gap_days', 1, true FROM g
   UNION ALL SELECT station, 'lag_error', 0, true FROM g UNION ALL SELECT station, 'future_null_regressors', fn, fn = 0 FROM g
   UNION ALL SELECT station, 'future_targets', fy, fy = 0 FROM g UNION ALL SELECT station, 'rows_lost', lost, n > 0 FROM g
-  UNION ALL SELECT station, 'rows_per_regressor', n / 2, n / 2 >= 10 FROM g UNION ALL SELECT station, 'constant_regressors', 0, true FROM g
-  UNION ALL SELECT station, 'collinear_pairs', CASE WHEN abs(c12) > 0.9 THEN 1 ELSE 0 END, abs(c12) <= 0.9 FROM g
-  UNION ALL SELECT station, 'best_target_r', best, best > 0 FROM g)
+  UNION ALL SELECT station, 'rows_per_regressor', n / 6, n / 6 >= 10 FROM g UNION ALL SELECT station, 'constant_regressors', dead, dead = 0 FROM g
+  UNION ALL SELECT station, 'collinear_pairs', near, near = 0 FROM g UNION ALL SELECT station, 'best_target_r', best, best > 0 FROM g)
 SELECT station, "check", {q6('value')} AS value, ok FROM c""")
 def series_health(spark, sf_dir):
-    from wellspan.operators.rolling import extend_and_lag
-    frame = extend_and_lag(panels.merged(spark, sf_dir).select("station", "t", "level", "radiation", "et0"), K, "t", ["radiation", "et0"], 14)
-    out = quality.series_health(
-        frame, K, "t", "level", ["radiation_lag14", "et0_lag14"],
-        {"radiation_lag14": "radiation", "et0_lag14": "et0"}, 14,
-    )
+    """The checks over all six regressors."""
+    frame = extend_and_lag(model_daily(spark, sf_dir), K, "t", REGRESSORS, 14)
+    out = quality.series_health(frame, K, "t", "level", _LAGGED, dict(zip(_LAGGED, REGRESSORS)), 14)
     return out.withColumn("value", r6("value"))
 
 

@@ -422,7 +422,7 @@ _LAST_READING = """obs AS (SELECT o_orderpriority AS station, CAST(o_orderdate A
 def daily_build_two_deliveries(spark, sf_dir):
     weather = panels.named(sixteenths(panels.wx(spark, sf_dir)))
     return _feature_columns(daily_build.daily_build(
-        _deliveries(spark, sf_dir), weather, scratch_path(spark, "build"), "code_bss", "date_index", ["seq"], buckets=2))
+        _deliveries(spark, sf_dir), weather, scratch_path(spark, "build"), "code_bss", "date_index", ["seq"]))
 
 
 @query("daily_build_next_chunks", """
@@ -436,7 +436,7 @@ def daily_build_next_chunks(spark, sf_dir):
     first, second = _deliveries(spark, sf_dir)
     path = scratch_path(spark, "build")
     readings = first.unionByName(second)
-    daily_build.load([readings.where(F.year("date_index") < 2000)], path, "code_bss", "date_index", ["seq"], buckets=2)
+    daily_build.load([readings.where(F.year("date_index") < 2000)], path, "code_bss", "date_index", ["seq"])
     ends = readings.groupBy("code_bss").agg(F.max("date_index").alias("last_known"))
     return daily_build.next_chunks(ends, path, first.schema, "code_bss", "date_index", F.lit("1990-01-01").cast("date"), "last_known")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from wellspan.operators import calendar as cal, clean, decompose, joins, quality
 from wellspan.plans.index_queries import level_index
@@ -113,10 +113,35 @@ def corr_with_target(spark, sf_dir):
     return rows.withColumn("r", r6("r"))
 
 
-@query("constant_columns", f"""{with_(WX)} SELECT station, 'flat' AS "column", CAST(0 AS DOUBLE) AS std FROM wx GROUP BY 1""")
+_FLAT = ["precip", "et0", "soil_temp", "soil_moist", "radiation", "wind", "cloud", "pressure", "tmax"]
+_STUCK = " UNION ALL ".join(f"SELECT station, '{c}' AS \"column\", STDDEV_SAMP({c}) AS std FROM stuck GROUP BY 1" for c in [*_FLAT, "flat"])
+
+
+@query("constant_columns", f"""{with_(WX)}, stuck AS (SELECT * REPLACE (CASE WHEN station < '3' THEN 7 ELSE wind END AS wind), 3 AS flat FROM wx)
+SELECT station, "column", CAST(0 AS DOUBLE) AS std FROM ({_STUCK}) WHERE std = 0""")
 def constant_columns(spark, sf_dir):
-    rows = panels.wx(spark, sf_dir).withColumn("flat", F.col("precip") * 0 + 3)
-    return quality.constant_columns(rows, ["precip", "flat"], K)
+    """All nine variables and a constant one; the wind sensor of two stations is stuck."""
+    rows = panels.wx(spark, sf_dir).withColumns({"wind": F.when(F.col("station") < "3", 7.0).otherwise(F.col("wind")), "flat": F.lit(3)})
+    return quality.constant_columns(rows, [*_FLAT, "flat"], K)
+
+
+_CONTRACT = {
+    "orders": "o_orderkey bigint, o_orderpriority string, o_orderdate date, o_totalprice double, o_orderstatus string, o_depth double",
+    "lineitem": "l_orderkey bigint, l_shipdate date, l_quantity bigint, l_discount double, l_humidity double",
+    "events": "event_id bigint, ts timestamp, event_type string, value float, station string",
+}
+_CONTRACT_ROWS = ", ".join(f"('{t}', '{c.split()[0]}', '{c.split()[1]}')" for t, columns in _CONTRACT.items() for c in columns.split(", "))
+_KIND = "CASE c.data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'FLOAT' THEN 'float' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(c.data_type) END"
+
+
+@query("column_contract", f"""WITH want(table_name, column_name, expected) AS (VALUES {_CONTRACT_ROWS}),
+have AS (SELECT c.table_name, c.column_name, {_KIND} AS found FROM information_schema.columns c WHERE c.table_name IN ({', '.join(f"'{t}'" for t in _CONTRACT)}))
+SELECT COALESCE(w.table_name, h.table_name) AS table_name, COALESCE(w.column_name, h.column_name) AS column_name, w.expected, h.found,
+  CASE WHEN h.found IS NULL THEN 'missing' WHEN w.expected IS NULL THEN 'not asked for' WHEN w.expected = h.found THEN 'present' ELSE 'wrong type' END AS status
+FROM want w FULL JOIN have h ON h.table_name = w.table_name AND h.column_name = w.column_name""")
+def column_contract(spark, sf_dir):
+    """Present, missing and wrongly typed columns of the landed tables."""
+    return clean.column_contract({t: (panels.table(spark, sf_dir, t), T.StructType.fromDDL(c)) for t, c in _CONTRACT.items()}, spark)
 
 
 @query("duplicate_dates", """

@@ -12,40 +12,30 @@ A model whose fit fails keeps its version. One job at a time may retrain a model
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wellspan import schemas
 from wellspan.operators.models import fit_additive
 from wellspan.operators.tuning import lagged_all, model_runs, register_runs, resolve_params
 from wellspan.session import materialize, reuse
+from wellspan.streaming.jobs import read_if_there
 
 PARAMS = {"changepoint_prior_scale": 0.05, "seasonality_prior_scale": 10.0, "changepoint_range": 0.8}
 MODEL = ["first_day", "unit_days", "coef", "sigma"]
 _RUN = "run_id string, params map<string,string>, metrics map<string,double>, tags map<string,string>, version int, trained_to date, n_train bigint, params_from string, first_day date, unit_days int, coef array<double>, sigma double"
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of a table that may not have been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def _keys(df: DataFrame, on: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in on)
 
 
 def run_table(spark: SparkSession, store: str, keys: str) -> DataFrame:
-    return read_table(spark, f"{store}/runs", f"{keys}, {_RUN}")
+    return read_if_there(spark, f"{store}/runs", T.StructType.fromDDL(f"{keys}, {_RUN}"))
 
 
 def production_runs(spark: SparkSession, store: str, keys: str, on: list[str]) -> DataFrame:
     """The run that each model's production alias points to; ``keys`` declares the columns ``on``."""
-    moves = read_table(spark, f"{store}/promotions", f"{keys}, version int, move bigint")
+    moves = read_if_there(spark, f"{store}/promotions", T.StructType.fromDDL(f"{keys}, version int, move bigint"))
     alias = moves.groupBy(*on).agg(F.max_by("version", "move").alias("version"))
     return run_table(spark, store, keys).join(alias, [*on, "version"])
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wellspan.plans.registry import q6, query, r6
+from wellspan.plans import daily_queries
+from wellspan.plans.registry import ENTRIES, q6, query, r6
 from wellspan.session import scratch_path
 from wellspan.streaming import jobs
 
@@ -59,7 +60,7 @@ def stream_upsert_last(spark, sf_dir):
         events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(landed)
         rows = spark.readStream.schema(events.schema).parquet(landed).select("user_id", F.to_date("ts").alias("t"), "event_id", "value")
         jobs.upsert_stream(rows, path, checkpoint, "user_id", "t", ["event_id"])
-    return jobs.read_history(spark, path, rows.schema).select("user_id", "t", "event_id", "value")
+    return jobs.read_history(spark, path, rows.schema, "user_id", "t", ["event_id"])
 
 
 @query("stream_high_water_mark", "SELECT user_id, MAX(CAST(ts AS DATE)) AS last_date FROM events GROUP BY 1")
@@ -71,6 +72,31 @@ def stream_high_water_mark(spark, sf_dir):
     return jobs.high_water_mark(spark, path, rows.schema, "user_id", "t")
 
 
+def _landed_twice(spark, label, documents, half, stream):
+    """Documents land in two deliveries, each followed by a run that goes on from the checkpoint of the last."""
+    landed, table, progress = (scratch_path(spark, f"{label}-{p}") for p in ("in", "table", "progress"))
+    rows = None
+    for part in (half, ~half):
+        documents.where(part).select("value").write.mode("append").text(landed)
+        rows = jobs.run_to_files(stream(landed), label, checkpoint=progress, path=table)
+    return rows
+
+
+@query("stream_observation_pages", ENTRIES["observation_pages"].sql)
+def stream_observation_pages(spark, sf_dir):
+    """Observation pages read as they land; the rows are those of the batch reader."""
+    documents = daily_queries.observation_documents(spark, sf_dir)
+    rows = _landed_twice(spark, "pages", documents, F.col("page") % 2 == 0, lambda p: jobs.pages_stream(spark, p))
+    return rows.select("code_bss", "bss_id", "date_mesure", "niveau_nappe_eau", "statut")
+
+
+@query("stream_weather_documents", ENTRIES["weather_documents"].sql)
+def stream_weather_documents(spark, sf_dir):
+    """Weather documents read as they land; the rows are those of the batch reader."""
+    documents = daily_queries.weather_document_rows(spark, sf_dir)
+    return _landed_twice(spark, "weather", documents, F.col("year") < 1996, lambda p: jobs.weather_stream(spark, p))
+
+
 @query("stream_event_runs", f"""
 WITH d AS (SELECT event_type AS station, CAST(ts AS DATE) AS t, AVG(value) AS m FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY 1, 2),
 n AS (SELECT *, m > 50 AS hit, ROW_NUMBER() OVER (PARTITION BY station ORDER BY t) AS rn, MAX(t) OVER (PARTITION BY station) AS last_day FROM d),

@@ -25,6 +25,10 @@ def read_obs_pages(
     if with_source:
         pages = pages.withColumn("source_file", F.col("_metadata.file_path"))
         return nan_to_null(pages.select("source_file", F.inline("data")))
+    return page_rows(pages)
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
     return nan_to_null(pages.select(F.inline("data")))
 
 
@@ -36,7 +40,11 @@ def read_weather_docs(
 ) -> DataFrame:
     """Column-oriented weather documents to one row per station and day."""
     kinds = variables or schemas.WEATHER_VARIABLES
-    docs = spark.read.schema(schemas.weather_doc_schema(kinds)).option("multiLine", multi_line).json(path)
+    return weather_rows(spark.read.schema(schemas.weather_doc_schema(kinds)).option("multiLine", multi_line).json(path), kinds)
+
+
+def weather_rows(docs: DataFrame, variables: dict[str, str] | None = None) -> DataFrame:
+    kinds = variables or schemas.WEATHER_VARIABLES
     columns = [F.col("daily.time").alias("time")] + [F.col(f"daily.{v}").alias(v) for v in kinds]
     return nan_to_null(
         docs.select("code_bss", "latitude", "longitude", F.arrays_zip(*columns).alias("days"))

@@ -8,16 +8,18 @@ shared storage; a batch that is written twice replaces itself.
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from wellspan import schemas
 from wellspan.operators.clean import dedupe_last
-from wellspan.session import materialize, scratch_path
+from wellspan.session import scratch_path
+from wellspan.sources import feeds
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -85,97 +87,99 @@ def sliding_sum_stream(stream: DataFrame, span: str = "30 days", step: str = "1
 
 
 # --- keep-last history -------------------------------------------------------------------
+#
+# A history table is a Parquet table partitioned by month and batch. A merge appends the last reading of
+# each day of its batch and touches nothing that is there; a reader keeps the last batch of each day. So a
+# merge costs what it brings, whatever the table holds, and one that is lost or run twice changes no result:
+# what it may have left is older than what the next run adds. ``compact_history`` folds the batches.
 
-BUCKETS = 64
-POINTER = "_current"
 
-
-def history_layout(df: DataFrame, key: str, t: str, buckets: int = BUCKETS) -> DataFrame:
-    """Partition columns of a history table: month and a hash bucket of the station.
-
-    The number of folders depends on neither the number of stations nor the size of one.
-    """
-    return df.withColumns({
-        "month": F.date_format(t, "yyyy-MM"), "bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"),
-    })
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a table that may not have been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of ``path`` and a maker of its paths."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+def _batches(spark: SparkSession, path: str, schema: T.StructType, months: list[str] | None = None) -> DataFrame:
+    rows = read_if_there(spark, path, T.StructType([*schema, T.StructField("month", T.StringType()), T.StructField("batch", T.LongType())]))
+    return rows if months is None else rows.where(F.col("month").isin(months))
 
 
-def _versions(spark: SparkSession, path: str) -> dict[tuple[str, int], str]:
-    """The folder that is current for each (month, bucket), from the newest pointer file.
+def read_history(spark: SparkSession, path: str, schema: T.StructType, key: str, t: str, order: list[str], months: list[str] | None = None) -> DataFrame:
+    """The last reading of every station and day, of some months only if asked; other folders aren't opened."""
+    rows = _batches(spark, path, schema, months)
+    return dedupe_last(rows, [key, t], ["batch", *order]).select(*schema.names)
 
-    Pointers are numbered files, written whole under another name and then renamed, so a reader sees
-    the table before or after a merge. Their length is that of the folder list, not of the table.
-    """
-    fs, place = _files(spark, path)
-    if not fs.exists(place(path)):
-        return {}
-    found = sorted(s.getPath().getName() for s in fs.listStatus(place(path)) if s.getPath().getName().startswith(POINTER + "-"))
-    if not found:
-        return {}
-    stream = fs.open(place(f"{path}/{found[-1]}"))
-    try:
-        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return {(m, int(b)): v for m, b, v in (line.split(" ") for line in text.splitlines())}
 
+def merge_batch(batch: DataFrame, path: str, key: str, t: str, order: list[str]) -> None:
+    """Add the last reading of each station and day of a batch; from now on it counts instead of older ones."""
+    spark = batch.sparkSession
+    number = _batches(spark, path, batch.schema).agg(F.coalesce(F.max("batch") + 1, F.lit(0).cast("bigint"))).first()[0]
+    new = dedupe_last(batch, [key, t], order).withColumns({"month": F.date_format(t, "yyyy-MM"), "batch": F.lit(number)})
+    # rows of a month go to few files, those of a huge one to several
+    new.hint("rebalance", "month").write.mode("append").partitionBy("month", "batch").parquet(path)
 
-def read_history(spark: SparkSession, path: str, schema: T.StructType, only: list[tuple[str, int]] | None = None) -> DataFrame:
-    """The current rows of a history table, or of some of its folders; other folders aren't opened."""
-    current = _versions(spark, path)
-    folders = [f"{path}/{v}/month={m}/bucket={b}" for (m, b), v in sorted(current.items()) if only is None or (m, b) in only]
-    if not folders:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*folders)
 
+def compact_history(spark: SparkSession, path: str, to: str, schema: T.StructType, key: str, t: str, order: list[str]) -> None:
+    """Write the current rows as a new table of one batch, to go on with instead of the old one."""
+    rows = read_history(spark, path, schema, key, t, order)
+    rows = rows.withColumns({"month": F.date_format(t, "yyyy-MM"), "batch": F.lit(0).cast("bigint")})
+    rows.hint("rebalance", "month").write.partitionBy("month", "batch").parquet(to)
 
-def merge_batch(batch: DataFrame, path: str, key: str, t: str, order: list[str], buckets: int = BUCKETS) -> None:
-    """Keep-last merge of one batch into the history table; only folders that the batch touches are read.
 
-    Touched folders are written anew in a version folder of their own, and the table changes when the
-    next pointer file appears. A driver or task lost at any moment leaves all older rows in place, and
-    a batch that is merged again gives the same rows.
-    """
-    spark = batch.sparkSession
-    keys = [key, t]
-    new = materialize(history_layout(dedupe_last(batch, keys, order), key, t, buckets), "batch")
-    touched = [(r["month"], r["bucket"]) for r in new.select("month", "bucket").distinct().collect()]  # folders, not rows
-    if not touched:
-        return
-    old = history_layout(read_history(spark, path, batch.schema, touched), key, t, buckets)
-    both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))
-    merged = dedupe_last(both, [*keys, "month", "bucket"], ["_batch", *order]).drop("_batch")
-    version = f"v-{uuid.uuid4().hex}"
-    merged.hint("rebalance", "month", "bucket").write.partitionBy("month", "bucket").parquet(f"{path}/{version}")
-    current = _versions(spark, path) | {folder: version for folder in touched}
-    fs, place = _files(spark, path)
-    numbers = [int(s.getPath().getName().rpartition("-")[2]) for s in fs.listStatus(place(path)) if s.getPath().getName().startswith(POINTER + "-")]
-    hidden, final = f"{path}/.{version}", f"{path}/{POINTER}-{max(numbers, default=0) + 1:012d}"
-    out = fs.create(place(hidden), True)
-    out.write(bytearray("".join(f"{m} {b} {v}\n" for (m, b), v in sorted(current.items())), "utf-8"))
-    out.close()
-    if not fs.rename(place(hidden), place(final)):
-        raise RuntimeError(f"{final} exists: two jobs merge into one table")
-
-
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, t: str, order: list[str], buckets: int = BUCKETS) -> None:
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: str, t: str, order: list[str]) -> None:
     """Merge all newly landed readings into the history table at ``path``."""
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, path, key, t, order, buckets))
+        stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, path, key, t, order))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
 def high_water_mark(spark: SparkSession, path: str, schema: T.StructType, key: str, t: str) -> DataFrame:
-    """Last loaded date per station of a history table."""
-    return read_history(spark, path, schema).groupBy(key).agg(F.max(t).alias("last_date"))
+    """Last loaded date per station of a history table; replaced readings have the same day, so none is folded."""
+    return _batches(spark, path, schema).groupBy(key).agg(F.max(t).alias("last_date"))
+
+
+# --- landed feed documents ---------------------------------------------------------------
+
+def pages_stream(spark: SparkSession, path: str, schema: T.StructType = schemas.OBSERVATION_SCHEMA, max_files: int | None = None) -> DataFrame:
+    """Newly landed observation pages as a stream of readings, as ``feeds.read_obs_pages`` gives them."""
+    return feeds.page_rows(_documents(spark, path, schemas.page_schema(schema), max_files))
+
+
+def weather_stream(spark: SparkSession, path: str, variables: dict[str, str] | None = None, max_files: int | None = None) -> DataFrame:
+    """Newly landed weather documents as a stream of days, as ``feeds.read_weather_docs`` gives them."""
+    return feeds.weather_rows(_documents(spark, path, schemas.weather_doc_schema(variables), max_files), variables)
+
+
+def corrupt_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Newly landed lines that are no document of ``schema``, with their file, to be looked at and landed again."""
+    # lines as text, since the JSON reader doesn't hand out its corrupt records alone
+    lines = _limited(spark, max_files).text(path)
+    parsed = F.from_json("value", _declared(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.where(parsed[CORRUPT].isNotNull()).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("line"))
+
+
+CORRUPT = "_corrupt_record"
+
+
+def _declared(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema, T.StructField(CORRUPT, T.StringType())])
+
+
+def _limited(spark: SparkSession, max_files: int | None):
+    return spark.readStream.option("maxFilesPerTrigger", max_files) if max_files else spark.readStream
+
+
+def _documents(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None) -> DataFrame:
+    """One JSON document a line; a line that is none is kept whole in ``_corrupt_record``, all else NULL."""
+    reader = _limited(spark, max_files).schema(_declared(schema))
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 # --- threshold runs with state -----------------------------------------------------------
