@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wellspan.llm.common import table
+from wellspan.llm.common import free_name, table
 
 UNIT = 1
 K = 12
@@ -76,9 +76,9 @@ def _units(text: Column, unit: int) -> Column:
     return _let(F.translate(text, BLANKS, ""), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")))
 
 
-def fingerprint(text: str, unit: int = UNIT, k: int = K, w: int = WINDOW) -> Column:
-    """Array of chosen grams in order of position, each hash * 2**32 + (2**32 - 1 - position)."""
-    units = _units(F.coalesce(F.col(text), F.lit("")), unit)
+def _minima(text: Column, unit: int = UNIT, k: int = K, w: int = WINDOW) -> Column:
+    """The chosen gram of every window in turn, each hash * 2**32 + (2**32 - 1 - position)."""
+    units = _units(F.coalesce(text, F.lit("")), unit)
     grams = _let(units, lambda u: F.when(F.size(u).between(1, k - 1), F.array(F.concat_ws(" ", u))).otherwise(u))
     grams = _grams(F.transform(grams, lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME))), k)
     chosen = F.transform(grams, lambda h, i: F.shiftleft(h, 32) + (F.lit(LOW) - i))
@@ -87,7 +87,12 @@ def fingerprint(text: str, unit: int = UNIT, k: int = K, w: int = WINDOW) -> Col
         gap = min(length, w - length)  # windows of ``length`` may overlap
         chosen = _least(chosen, gap)
         length += gap
-    return F.array_distinct(chosen)
+    return chosen
+
+
+def fingerprint(text: str | Column, unit: int = UNIT, k: int = K, w: int = WINDOW) -> Column:
+    """Array of chosen grams in order of position, each hash * 2**32 + (2**32 - 1 - position)."""
+    return F.array_distinct(_minima(F.col(text) if isinstance(text, str) else text, unit, k, w))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, unit: int = UNIT, k: int = K, w: int = WINDOW) -> DataFrame:
@@ -120,44 +125,91 @@ def _splitters(df: DataFrame, key: str, n: int) -> list[int]:
 def with_next(df: DataFrame, key: str, text: str, run) -> DataFrame:
     """``run(df, next_of)`` over rows in key order, where ``next_of(c)`` is column ``c`` of the next row.
 
-    Rows are cut into key ranges. The first row of each range also visits the range before (the very first
-    the last one), so that one shuffle of the texts serves all rows. Rows without key come first in the
-    first range; rows of one key follow each other by text.
+    ``next_of(c, step)`` looks ``step`` rows on, or back, and is NULL where there is none. Rows are cut into
+    key ranges. The first row of each range also visits the range before (the very first the last one), so that
+    one shuffle of the texts serves all rows. Rows without key come first in the first range; rows of one key
+    follow each other by text. ``run`` keeps the two columns that are added, the last ones.
     """
     n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     starts = _splitters(df, key, n)
     if not starts:
         starts = [0]
+    range_, guest = free_name(df, "_range"), free_name(df, "_guest")
     step = 64
     coarse = F.array(*[F.lit(s).cast("bigint") for s in starts[::step]])
     fine = F.array(*[F.lit(s).cast("bigint") for s in starts])
     block = F.greatest(F.size(F.filter(coarse, lambda s: s <= F.col(key))) - 1, F.lit(0))
     within = F.size(F.filter(F.slice(fine, block * step + 1, F.lit(step)), lambda s: s <= F.col(key)))
     own = F.greatest(block * step + within - 1, F.lit(0))
-    visits = F.filter(F.array(F.struct(own.alias("_range"), F.lit(0).alias("_guest")),
+    visits = F.filter(F.array(F.struct(own.alias(range_), F.lit(0).alias(guest)),
                               F.when(F.get(fine, own) == F.col(key), F.struct(
-                                  F.pmod(own - 1, F.lit(len(starts))).alias("_range"), F.lit(1).alias("_guest")))),
+                                  F.pmod(own - 1, F.lit(len(starts))).alias(range_), F.lit(1).alias(guest)))),
                       lambda v: v.isNotNull())
     placed = df.select("*", F.inline(visits))
-    order = Window.partitionBy("_range").orderBy("_guest", F.col(key).asc_nulls_first(), text)
-    # the last row of a range without a following one (no row has a key) has itself for its next
-    return run(placed, lambda c: F.coalesce(F.lead(c).over(order), F.col(c))).where("_guest = 0").drop("_range", "_guest")
+    order = Window.partitionBy(range_).orderBy(guest, F.col(key).asc_nulls_first(), text)
 
+    def next_of(c: str, step: int | None = None) -> Column:
+        if step is not None:
+            return F.lead(c, step).over(order) if step > 0 else F.lag(c, -step).over(order)
+        # the last row of a range without a following one (no row has a key) has itself for its next
+        return F.coalesce(F.lead(c).over(order), F.col(c))
 
-def op4_winnow(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return run(placed, next_of).where(F.col(guest) == 0).drop(range_, guest)
+
+
+def with_edited(df: DataFrame, key: str, text: str, k: int = K, w: int = WINDOW) -> DataFrame:
+    """Fingerprints of each text and of the text whose second half is the beginning of the next one.
+
+    Every character is hashed once. The edited text is a beginning of the own text, then one of the next: its
+    windows are those of the own text that end before the seam, those of the next text, moved, and the few
+    across the seam, which come from the ``k + w - 2`` characters on each side of it. A row picks what the row
+    before needs of it, by that row's length, so only chosen grams go from row to row.
+
+    Adds ``n_chars``, ``edited`` (the text), ``own`` and ``changed`` (arrays as :func:`fingerprint` has them),
+    ``following`` (the hashes of the next row's fingerprint). Names that ``df`` has are not allowed.
+    """
+    size = k + w - 2
+
+    def bare(t: Column) -> Column:
+        return F.translate(t, BLANKS, "")
+
+    def before(c: str, places: Column) -> Column:
+        """The grams chosen by the windows up to the one that chose ``places``; none if it is NULL."""
+        return F.when(places.isNull(), F.slice(c, 1, 0)).otherwise(F.filter(c, lambda g: F.pmod(g, F.lit(LOW + 1)) >= F.pmod(places, F.lit(LOW + 1))))
 
     def run(df, next_of):
-        df = df.withColumn("next_text", next_of("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+        place = df.columns[-2:]
+        kept = [c for c in df.columns if c not in (text, *place)]
+        df = df.withColumn("n_chars", F.length(text).cast("bigint"))
+        df = df.withColumns({"_next": next_of(text), "_has": next_of("n_chars", 1).isNotNull(), "_before": next_of("n_chars", -1)})
         half = F.floor(F.col("n_chars") / F.lit(2)).cast("int")
-        df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")),
-                                              F.substring("next_text", F.lit(1), half)))
-        df = with_fingerprint(with_fingerprint(df, "text", "own"), "edited", "changed")
-        df = df.select("_range", "_guest", "doc_id", "text", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                       written("own").alias("fingerprint"), written("changed").alias("edited_fingerprint"),
-                       hashes("own").alias("own"), hashes("changed").alias("changed"))
-        df = df.withColumn("following", next_of("own"))
-        return df.select("_range", "_guest", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                         likeness("own", "changed").alias("near_edited"), likeness("own", "following").alias("near_next"))
-
-    return with_next(docs, "doc_id", "text", run)
+        mine = F.substring(text, F.lit(1), (F.col("n_chars") - half).cast("int"))
+        theirs = F.substring("_next", F.lit(1), half)
+        asked = F.substring(text, F.lit(1), F.floor(F.col("_before") / F.lit(2)).cast("int"))
+        df = df.withColumns({"edited": F.concat(mine, theirs), "_a": F.length(bare(mine)), "_b": F.length(bare(asked)),
+                             "_seam": F.concat(F.right(bare(mine), F.lit(size)), F.left(bare(theirs), F.lit(size)))})
+        # the windows inside the first x characters are the first x - (k + w - 2)
+        found = _let(_minima(F.col(text), 1, k, w), lambda m: F.struct(
+            F.array_distinct(m).alias("own"), F.get(m, F.col("_a") - size - 1).alias("cut"), F.get(m, F.col("_b") - size - 1).alias("asked")))
+        df = df.withColumn("_found", found).withColumn("own", F.col("_found.own"))
+        df = df.select(*kept, *place, text, "n_chars", "edited", "own", "_a", "_has", before("own", F.col("_found.cut")).alias("_head"),
+                       before("own", F.col("_found.asked")).alias("_given"),
+                       # without a next row the text goes on with itself
+                       F.when(F.col("_has"), fingerprint("_seam", 1, k, w)).otherwise(fingerprint("edited", 1, k, w)).alias("_seam"), hashes("own").alias("_hashes"))
+        df = df.withColumns({"_given": next_of("_given", 1), "following": next_of("_hashes")})
+        moved = F.transform("_seam", lambda g: g - F.greatest(F.col("_a") - size, F.lit(0)))
+        rest = F.transform("_given", lambda g: g - F.col("_a"))
+        whole = F.array_distinct(F.concat("_head", moved, rest))
+        return df.select(*kept, "n_chars", "edited", "own", F.when(F.col("_has"), whole).otherwise(F.col("_seam")).alias("changed"), "following", *place)
+
+    return with_next(df, key, text, run)
+
+
+def op4_winnow(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = with_edited(docs, "doc_id", "text")
+    found = found.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                         written("own").alias("fingerprint"), written("changed").alias("edited_fingerprint"),
+                         hashes("own").alias("own"), hashes("changed").alias("changed"), "following")
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+                        likeness("own", "changed").alias("near_edited"), likeness("own", "following").alias("near_next"))
