@@ -11,8 +11,9 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
-from wellspan.llm import mixing, queries, runs, whitening
+from wellspan.llm import mixing, queries, runs, whitening, winnow
 from compare import compare
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -318,3 +319,58 @@ def test_deviation_beyond_a_long():
 
 def test_registered():
     assert {"op11_whitening", "op12_source_mix", "op13_periodic_runs"} <= set(queries.QUERIES) and "op12_source_mix" in queries.SQL
+
+
+# --- fingerprints of edited texts ----------------------------------------------------------
+
+def plain_fingerprint(text):
+    """(hash, position) of the chosen grams, from the definition."""
+    bare = [c for c in text if c not in winnow.BLANKS]
+    h = [_char_hash(c) for c in bare]
+    if len(h) < winnow.K:
+        grams = [_char_hash(" ".join(bare))] if h else []
+    else:
+        grams = [sum(v * pow(winnow.BASE, winnow.K - 1 - j, winnow.PRIME) for j, v in enumerate(h[i:i + winnow.K])) % winnow.PRIME for i in range(len(h) - winnow.K + 1)]
+    out, w = [], min(winnow.WINDOW, len(grams))
+    for i in range(len(grams) - w + 1 if grams else 0):
+        at = max(range(i, i + w), key=lambda j: (-grams[j], j))
+        if not out or out[-1][1] != at:
+            out.append((grams[at], at))
+    return out
+
+
+def _char_hash(text):
+    value = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return (value - (1 << 64) if value >> 63 else value) % winnow.PRIME
+
+
+def test_fingerprint_query_equals_the_plain_version(spark, tmp_path):
+    """Seams anywhere: blanks, texts shorter than a gram or a window, empty and null ones, equal neighbours."""
+    r = random.Random(3)
+    sizes = [0, 1, 5, 11, 12, 13, 20, 33, 34, 35, 36, 40, 60, 68, 69, 70, 71, 90, 150, 260]
+    texts = ["".join(r.choice("ab c\n\t😀é") for _ in range(r.choice(sizes))) for _ in range(250)]
+    texts[9:12] = ["ab" * 80] * 3
+    texts[20] = None
+    keys = r.sample(range(-500, 5000), len(texts))
+    spark.createDataFrame(list(zip(keys, texts)), "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in winnow.op4_winnow(spark, str(tmp_path)).collect()}
+    rows = sorted((k, t or "") for k, t in zip(keys, texts))
+    written = lambda found: ",".join(f"{h:x}:{p}" for h, p in found)
+    distinct = lambda found: {h for h, _ in found}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    assert len(got) == len(rows)
+    for (key, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        own, changed, after = map(plain_fingerprint, (text, edited, following))
+        x = got[key]
+        assert (x["n_chars"], x["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (x["fingerprint"], x["edited_fingerprint"]) == (written(own), written(changed))
+        assert (x["near_edited"], x["near_next"]) == (like(distinct(own), distinct(changed)), like(distinct(own), distinct(after)))
+
+
+def test_next_row_beside_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(i, f"text {i}", "x", "y") for i in range(9)], "doc_id bigint, text string, _range string, _guest string")
+    out = winnow.with_next(df, "doc_id", "text", lambda d, next_of: d.withColumn("after", next_of("doc_id")).select("doc_id", "_range", "_guest", "after", *d.columns[-2:]))
+    assert {r.doc_id: r.after for r in out.collect()} == {i: (i + 1) % 9 for i in range(9)} and out.columns == ["doc_id", "_range", "_guest", "after"]
+    assert {(r._range, r._guest) for r in out.collect()} == {("x", "y")}
