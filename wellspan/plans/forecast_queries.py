@@ -530,16 +530,11 @@ def _tuned(results, *more):
                           *[r6(c, 3).alias(c) for c in _TUNED], *more)
 
 
-@query("tuning_results", f"WITH RECURSIVE {_sweep_sql(schemas.HORIZONS)} SELECT {_TUNED_SQL}, CAST(NULL AS VARCHAR) AS error FROM tuned")
-def tuning_results(spark, sf_dir):
-    """Every station, horizon and configuration of the sweep with its metrics."""
-    return _tuned(_sweep(spark, sf_dir), "error")
-
-
-@query("grid_select_score", f"WITH RECURSIVE {_sweep_sql(schemas.HORIZONS)} SELECT {_TUNED_SQL}, place FROM best WHERE place <= 5")
+@query("grid_select_score", f"WITH RECURSIVE {_sweep_sql(schemas.HORIZONS)} SELECT {_TUNED_SQL}, CAST(NULL AS VARCHAR) AS error, place FROM best")
 def grid_select_score(spark, sf_dir):
-    """The full sweep for both horizons, best five configurations each."""
-    return _tuned(metrics.top_configs(_sweep(spark, sf_dir), ["station", "horizon"], 5), "place")
+    """The full sweep for both horizons: every station, horizon and configuration with its metrics and place."""
+    results = _sweep(spark, sf_dir)
+    return _tuned(metrics.top_configs(results, ["station", "horizon"], len(tuning.grid_configs())), "error", "place")
 
 
 # the winner refitted on all rows, its days ahead beside the observed ones, the index of their months
