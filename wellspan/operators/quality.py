@@ -63,12 +63,12 @@ def _with_cuts(rows: DataFrame, cuts: DataFrame, cell: list[str]) -> DataFrame:
     Fewer than ``MOST_HOT`` cells can hold more than that part of all rows each. Their cuts are broadcast, so
     no value is sent to the task of a large cell; only rows of small cells meet theirs by hashing.
     """
-    total = cuts.agg(F.sum("_rows")).first()[0] or 0
+    total, n = cuts.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count(F.lit(1))).first()
+    if n <= MOST_HOT:
+        return rows.join(F.broadcast(cuts.drop("_rows")), cell)
     hot = F.col("_rows") * F.lit(MOST_HOT) > F.lit(total)
     found = rows.join(F.broadcast(cuts.where(hot).drop("_rows")), cell)
     cold = cuts.where(~hot).drop("_rows")
-    if cold.isEmpty():
-        return found
     return found.unionByName(rows.join(F.broadcast(cuts.where(hot).select(*cell)), cell, "left_anti").join(cold, cell))
 
 
@@ -111,7 +111,7 @@ def exact_quantiles(
             break
         cuts = rows.groupBy(*cell).agg(
             F.percentile_approx("v", [i / bins for i in range(1, bins)], 20 * bins).alias("_cuts"), F.count(F.lit(1)).alias("_rows"))
-        located = _with_cuts(rows, materialize(cuts, "cuts"), cell).select(
+        located = _with_cuts(rows, reuse(cuts), cell).select(
             *cell, "before", "v", "c", F.size(F.filter(F.array_distinct("_cuts"), lambda x: x < F.col("v"))).alias("cell"))
         sums = located.groupBy(*cell, "before", "cell").agg(F.sum("c").alias("m"))
         upto = F.col("before") + F.sum("m").over(Window.partitionBy(*cell).orderBy("cell"))
