@@ -46,7 +46,7 @@ def brute_sum(word, p, number, other):
         if i == len(word):
             return 1.0
         total = 0.0
-        for j in range(i + 1, min(len(word), i + lang_id.LONGEST) + 1):
+        for j in range(i + 1, len(word) + 1):
             n = number.get(word[i:j], other if j == i + 1 else 0)
             total += p[n] * rest(j) if n else 0.0
         return total
@@ -64,6 +64,60 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [np.log(brute_sum(w, p[:, 0], lattice.number, lattice.size - 1)) for w in words])
 
 
+def test_forward_with_the_whole_vocabulary():
+    pieces = lang_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice = lang_id.Lattice(pieces)
+    assert lattice.longest == max(map(len, pieces)) > 10
+    p = np.random.default_rng(1).uniform(1e-6, 1e-3, (lattice.size, 1))
+    p[0] = 0.0
+    words = [max((q for q in pieces if q.startswith(lang_id.MARK)), key=len)[1:], "straßen", "ñandú", "x"]
+    want = [np.log(brute_sum(w, p[:, 0], lattice.number, lattice.size - 1)) for w in words]
+    assert np.allclose(lattice.log_likelihood(words, p)[:, 0], want)
+    assert np.allclose(lattice.running(words, p)[:, 0], want)  # the pass for long words says the same
+
+
+def test_long_words_are_scored_whole():
+    pieces = sorted([lang_id.MARK, "a", "b", "ab", "ba", lang_id.MARK + "a", "bab"])
+    lattice = lang_id.Lattice(pieces)
+    p = np.random.default_rng(2).uniform(0.01, 0.2, (lattice.size, 2))
+    p[0] = 0.0
+
+    def plain(word, q):
+        word, sums = lang_id.MARK + word, [1.0]
+        for j in range(1, len(word) + 1):
+            sums.append(sum(sums[j - k] * q[lattice.number.get(word[j - k:j], lattice.size - 1 if k == 1 else 0)] for k in range(1, min(j, 3) + 1)))
+        return np.log(sums[-1])
+
+    words = ["ab" * 20, "b" * 30, "bab" * 9 + "a", "abc" * 15]
+    got = lattice.log_likelihood([*words, "ab"], p)
+    for i, w in enumerate([*words, "ab"]):
+        assert np.allclose(got[i], [plain(w, p[:, 0]), plain(w, p[:, 1])])
+    run = lattice.log_likelihood(["ab" * 5_000], p)
+    assert np.isfinite(run).all() and (run < lattice.log_likelihood(["ab" * 4_999], p)).all()
+    m = lang_id.LanguageModel.fit(pieces, {"aa": {"ab" * 40: 3, "ab": 1}, "bb": {"b" * 60: 2}})
+    scorer = lang_id.Scorer(m)
+    assert scorer.predict(["ab" * 100, "b" * 100, "ab " + "b" * 90])[0] == ["aa", "bb", "bb"]
+    assert all(len(w) <= lang_id.SPAN for w in scorer.at) and len(scorer.known) == len(scorer.at)
+
+
+def test_words_are_letters_with_their_marks():
+    assert lang_id.words_of("½ ² Ⅳ 12 _ \u0301") == []
+    assert lang_id.words_of("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and lang_id.words_of("ภาษาไทยที่นี่") == ["ภาษาไทยที่นี่"]
+    assert lang_id.words_of("L'Été, naïve2x µ") == ["l", "été", "naïve", "x", "µ"]
+    assert "".join(lang_id.spans_of("q" * 60)) == lang_id.MARK + "q" * 60
+    m = lang_id.LanguageModel.fit(["a", "b"], {"en": {"ab": 1}})
+    assert lang_id.Scorer(m).predict(["½ ²", "ab ½", "\u0301"])[0] == ["und", "en", "und"]
+
+
+def test_rare_languages_keep_their_words(spark):
+    rows = [(i, f"common{chr(97 + i % 26)}{chr(97 + i // 26)} word", "aa") for i in range(300)] + [(1000, "żółw gęś", "zz")]
+    rows += [(2000 + i, f"wort{'i' * (i % 20)}", f"l{i:03d}") for i in range(300)]  # over 256 languages
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = lang_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), words_per_lang=2)
+    assert m.langs == ["aa", *(f"l{i:03d}" for i in range(300)), "zz"]
+    assert lang_id.Scorer(m).predict(["żółw"])[0] == ["zz"]
+
+
 def test_expectation_maximisation_raises_the_likelihood():
     pieces = lang_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     words = {"running": 5, "runner": 3, "sing": 4, "singing": 7}

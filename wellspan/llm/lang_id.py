@@ -6,11 +6,15 @@ one segmentation decides. The probabilities are fitted by expectation maximisati
 lattice. A text's log-likelihood is the sum over its words; the posterior under equal priors picks the
 language.
 
-Fitting takes a bounded sample of labelled rows (``per_lang`` documents of each language on average, the
-``words_per_lang`` most frequent words of them); scoring takes every letter of every text. Letter runs
-over ``SPAN`` letters are cut into spans of that length. A null text, or one without letters, is ``und``
-with score 0, as is every text if nothing could be learned. Equal likelihoods go to the language that
-comes first by name.
+A word is a letter with the letters and combining marks that follow it (Unicode classes L and M), in lower
+case; numbers such as ``½`` or ``Ⅳ`` are no letters. Fitting takes a bounded sample of labelled rows
+(``per_lang`` documents of each language on average, the ``words_per_lang`` most frequent words of each
+language); scoring takes every letter of every text and all letter pieces of the vocabulary, however long
+the word. Words over ``SPAN`` letters, as in scripts without blanks, are scored by a running forward pass
+that keeps only the last ends and their scale; for fitting they are cut into spans, of which the first alone
+has the word mark. A null text, or one without letters, is ``und`` with score 0, as is every text if nothing
+could be learned. Equal likelihoods go to the language that comes first by name. Repeated rows get equal
+results, empty tables give empty tables, and columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -21,97 +25,137 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import regex
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from wellspan.llm.common import fold, free_name, map_batches, spread_key, table, texts
+from wellspan.llm.common import LATIN_LETTERS, fold, free_name, is_latin, map_batches, spread_key, table, texts
 
-SPAN = 24
-LONGEST = 10  # letters of a piece, the word mark included
+SPAN = 24  # longer words get the running pass
 MARK = "▁"
+SHORT = 6  # pieces up to this length are looked up at every place
 FLOOR = 1e-8  # probability of a letter that no piece covers
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+LATIN = re.compile(f"[{LATIN_LETTERS}]+")
+PIECE = regex.compile(rf"{MARK}?+[\p{{L}}\p{{M}}]*+")
 UND = "und"
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > SPAN for w in found):
-        return [w[i:i + SPAN] for w in found for i in range(0, len(w), SPAN)]
-    return found
+    low = text.lower()
+    return LATIN.findall(low) if is_latin(low) else LETTERS.findall(low)
+
+
+def spans_of(word: str) -> list[str]:
+    """The word with its mark, in spans of at most ``SPAN`` letters, of which the first alone has the mark."""
+    return [MARK + word[:SPAN], *(word[i:i + SPAN] for i in range(SPAN, len(word), SPAN))]
 
 
 def read_pieces(path: str) -> list[str]:
-    """Pieces of letters, with or without the word mark, of at most ``LONGEST`` characters."""
+    """All pieces of letters and combining marks, with or without the word mark, in lower case."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if len(p) <= LONGEST and p.replace(MARK, "", 1).isalpha() or p == MARK)
+    return sorted(p for p in found if p and PIECE.fullmatch(p))
 
 
 class Lattice:
-    """Piece numbers of all substrings of words, and sums over all segmentations."""
+    """Piece numbers of all substrings of words, and sums over all segmentations.
+
+    Words are given as spans of characters that start with the word mark, or without it where a longer word goes on.
+    """
 
     def __init__(self, pieces: list[str]):
         self.number = {p: i + 1 for i, p in enumerate(pieces)}  # 0: no piece, size - 1: an uncovered letter
         self.size = len(pieces) + 2
-
-    def edges(self, words: list[str]) -> np.ndarray:
-        """[word, end, length - 1]: the piece that ends there; words have equal lengths."""
-        get, other = self.number.get, self.size - 1
-        n = len(words[0]) + 1
-        out = np.zeros((len(words), n, LONGEST), np.int32)
-        rows = []
-        for w in words:
-            w = MARK + w
-            rows.append([get(w[j - k:j], other if k == 1 else 0) if k <= j else 0
-                         for j in range(1, n + 1) for k in range(1, LONGEST + 1)])
-        out[:] = np.array(rows, np.int32).reshape(len(words), n, LONGEST)
+        self.longest = max(map(len, pieces), default=1)
+        self.tails = {p[-SHORT:] for p in pieces if len(p) > SHORT}  # few places end like a long piece
+
+    def ending(self, places: list[tuple[str, int]]) -> np.ndarray:
+        """[place, length - 1]: the piece that ends before each (span, place)."""
+        get, tails, other = self.number.get, self.tails, self.size - 1
+        out = np.zeros((len(places), max(SHORT, self.longest)), np.int32)
+        out[:, :SHORT] = [[get(w[j - k:j], 0) if k <= j else 0 for k in range(1, SHORT + 1)] for w, j in places]
+        out[:, 0] = np.where(out[:, 0] == 0, other, out[:, 0])
+        for i, (w, j) in enumerate(places):
+            if j > SHORT and w[j - SHORT:j] in tails:
+                for k in range(SHORT + 1, min(j, self.longest) + 1):
+                    out[i, k - 1] = get(w[j - k:j], 0)
         return out
 
+    def edges(self, spans: list[str]) -> np.ndarray:
+        """[span, end, length - 1]: the piece that ends there; spans have equal lengths."""
+        n = len(spans[0])
+        return self.ending([(w, j) for w in spans for j in range(1, n + 1)]).reshape(len(spans), n, -1)
+
+    def lengths(self, edges: np.ndarray) -> list[list[int]]:
+        """For every end the lengths of which at least one span has a piece."""
+        return [(np.flatnonzero(used) + 1).tolist() for used in edges.any(axis=0)]
+
     def forward(self, edges: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """[end, word, language]: probability of all ways to reach an end. ``p``: [piece, language]."""
-        words, n, _ = edges.shape
-        alpha = np.zeros((n + 1, words, p.shape[1]))
+        """[end, span, language]: probability of all ways to reach an end. ``p``: [piece, language]."""
+        spans, n, _ = edges.shape
+        alpha = np.zeros((n + 1, spans, p.shape[1]))
         alpha[0] = 1.0
-        for j in range(1, n + 1):
-            for k in range(1, min(j, LONGEST) + 1):
+        for j, lengths in enumerate(self.lengths(edges), 1):
+            for k in lengths:
                 alpha[j] += alpha[j - k] * p[edges[:, j - 1, k - 1]]
         return alpha
 
+    def running(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """[word, language]: logarithms for words of any lengths; memory grows with the words, not their letters."""
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        spans = [MARK + words[i] for i in order]
+        last = np.zeros((self.longest, len(spans), p.shape[1]))  # at k - 1: the end k places back
+        last[0] = 1.0
+        scale, out = np.zeros((len(spans), p.shape[1])), np.empty((len(spans), p.shape[1]))
+        going = len(spans)
+        for j in range(1, len(spans[0]) + 1):
+            e = self.ending([(w, j) for w in spans[:going]])
+            new = np.zeros((going, p.shape[1]))
+            for k in (np.flatnonzero(e.any(axis=0)) + 1).tolist():
+                new += last[k - 1, :going] * p[e[:, k - 1]]
+            # ends are kept relative to the newest one, whose own size goes to the scale
+            scale[:going] += np.log(new)
+            last[1:, :going] = last[:-1, :going] / new
+            last[0, :going] = 1.0
+            while going and len(spans[going - 1]) == j:
+                going -= 1
+                out[order[going]] = scale[going]
+        return out
+
     def log_likelihood(self, words: list[str], p: np.ndarray) -> np.ndarray:
-        """[word, language], for words of any lengths up to ``SPAN``."""
+        """[word, language], for words of any lengths."""
         out = np.empty((len(words), p.shape[1]))
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for own in by_length.values():
+            by_length.setdefault(min(len(w), SPAN + 1), []).append(i)
+        for length, own in by_length.items():
             for at in range(0, len(own), 4096):
                 part = own[at:at + 4096]
-                out[part] = np.log(self.forward(self.edges([words[i] for i in part]), p)[-1])
+                if length > SPAN:
+                    out[part] = self.running([words[i] for i in part], p)
+                else:
+                    out[part] = np.log(self.forward(self.edges([MARK + words[i] for i in part]), p)[-1])
         return out
 
-    def expected_counts(self, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in one language's words, summed over all segmentations."""
+    def expected_counts(self, edges: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in one language's spans, summed over all segmentations."""
         counts = np.zeros(self.size)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for own in by_length.values():
-            edges = self.edges([words[i] for i in own])
-            n = edges.shape[1]
-            alpha = self.forward(edges, p[:, None])[:, :, 0]
-            beta = np.zeros((n + 1, len(own)))
-            beta[n] = 1.0
-            for i in range(n - 1, -1, -1):
-                for k in range(1, min(n - i, LONGEST) + 1):
-                    beta[i] += p[edges[:, i + k - 1, k - 1]] * beta[i + k]
-            share = weight[own] / alpha[n]
-            for j in range(1, n + 1):
-                for k in range(1, min(j, LONGEST) + 1):
-                    e = edges[:, j - 1, k - 1]
-                    counts += np.bincount(e, alpha[j - k] * p[e] * beta[j] * share, self.size)
+        spans, n, _ = edges.shape
+        lengths = self.lengths(edges)
+        alpha = self.forward(edges, p[:, None])[:, :, 0]
+        beta = np.zeros((n + 1, spans))
+        beta[n] = 1.0
+        for j in range(n, 0, -1):
+            for k in lengths[j - 1]:
+                beta[j - k] += p[edges[:, j - 1, k - 1]] * beta[j]
+        share = weight / alpha[n]
+        for j in range(1, n + 1):
+            for k in lengths[j - 1]:
+                e = edges[:, j - 1, k - 1]
+                counts += np.bincount(e, alpha[j - k] * p[e] * beta[j] * share, self.size)
         counts[0] = 0
         return counts
 
@@ -129,12 +173,15 @@ class LanguageModel:
         langs = sorted(lang for lang, words in counts.items() if words)
         p = np.full((lattice.size, max(1, len(langs))), FLOOR)
         for i, lang in enumerate(langs):
-            words = list(counts[lang])
-            weight = np.array([counts[lang][w] for w in words], float)
+            spans: dict[int, Counter] = {}
+            for w, n in counts[lang].items():
+                for part in spans_of(w):
+                    spans.setdefault(len(part), Counter())[part] += n
+            cut = [(lattice.edges(list(c)), np.array(list(c.values()), float)) for c in spans.values()]
             own = np.full(lattice.size, 1.0 / lattice.size)
             own[0], own[-1] = 0.0, FLOOR
             for _ in range(rounds):
-                c = lattice.expected_counts(words, weight, own) + 0.01
+                c = sum(lattice.expected_counts(edges, weight, own) for edges, weight in cut) + 0.01
                 c[0] = 0.0
                 own = c / c.sum()
                 own[0], own[-1] = 0.0, FLOOR
@@ -160,6 +207,9 @@ class Scorer:
             self.forget()
         found = [words_of(t) for t in batch]
         new = [w for w in set().union(*found) if w not in self.at]
+        long = [w for w in new if len(w) > SPAN]  # remembered for this batch only
+        if long:
+            new = [w for w in new if len(w) <= SPAN] + long
         if new:
             self.known = np.concatenate([self.known, self.lattice.log_likelihood(new, self.model.p)])
             start = len(self.at)
@@ -174,14 +224,21 @@ class Scorer:
             best = int(ll.argmax())
             names.append(langs[best])
             scores.append(float(1.0 / np.exp(ll - ll[best]).sum()))
+        if long:
+            for w in long:
+                del self.at[w]
+            self.known = self.known[:len(self.at)]
         return names, scores
 
 
 def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        per_lang: int = 400, words_per_lang: int = 60_000, most_langs: int = 256) -> LanguageModel:
-    """Learn from the rows with a language and a text; the sample depends on ``key`` and ``text`` only."""
+        per_lang: int = 400, words_per_lang: int = 60_000) -> LanguageModel:
+    """Learn all languages of the rows with a language and a text; the sample depends on ``key`` and ``text`` only.
+
+    The driver gets one row a language and at most ``words_per_lang`` words of each.
+    """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()
+    sizes = rows.groupBy(lang).count().orderBy(lang).collect()
     pieces = read_pieces(path)
     if not sizes:
         return LanguageModel.fit(pieces, {})
@@ -203,11 +260,10 @@ def fit(labelled: DataFrame, path: str, text: str = "text", lang: str = "lang",
 
     counted = map_batches(sample, make, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found: dict[str, dict[str, int]] = {}
-    ranked = counted.orderBy(F.desc("n"), "lang", "word").limit(words_per_lang * len(sizes)).toArrow()
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # ranked in part before the shuffle
+    ranked = counted.withColumn("at", F.row_number().over(order)).where(F.col("at") <= words_per_lang).toArrow()
     for name, word, n in zip(*(ranked.column(c).to_pylist() for c in ("lang", "word", "n"))):
-        own = found.setdefault(name, {})
-        if len(own) < words_per_lang:
-            own[word] = n
+        found.setdefault(name, {})[word] = n
     return LanguageModel.fit(pieces, found)
 
 
