@@ -244,6 +244,62 @@ def test_guess_cost(words):
     assert kinds == ["guess"]
 
 
+def brute_bits_of(value, words):
+    """The cheapest of all segmentations, each piece costed on its own."""
+    from itertools import combinations
+
+    s, n, each = value.lower(), len(value), secret_scan.brute_bits(value)
+
+    def near(a, b):
+        return (a, b) in secret_scan.NEAR or abs(ord(a) - ord(b)) == 1 and a.isalnum() and b.isalnum()
+
+    def piece(i, j):
+        v, low, size = value[i:j], s[i:j], j - i
+        costs = [each] if size == 1 else []
+        plain = low.translate(secret_scan.SWAPPED)
+        if low in words:
+            costs.append(1 + words[low] + (v != low))
+        elif plain in words and plain != low and size >= secret_scan.LEAST_SWAPPED:
+            costs.append(2 + words[plain] + (v != low) + sum(a != b for a, b in zip(low, plain)))
+        for u in (1, 2, 3, 4):
+            times = size // u
+            if size == u * times and times >= (3 if u == 1 else 2) and low == low[:u] * times and s[j:j + u] != low[:u]:
+                costs.append(1 + u * each + np.log2(times))
+        if size >= 3 and all(near(a, b) for a, b in zip(low, low[1:])) and not (j < n and near(s[j - 1], s[j])):
+            costs.append(1 + np.log2(47) + 0.5 * (size - 1))
+        if any(p.fullmatch(v) for p in secret_scan.DATES):
+            costs.append(1 + np.log2(200 * (366 if size > 4 else 1)))
+        return min(costs, default=np.inf)
+
+    cuts = [[0, *c, n] for k in range(n) for c in combinations(range(1, n), k)]
+    costs = {(i, j): piece(i, j) for i in range(n) for j in range(i + 1, n + 1)}
+    return min(sum(costs[c] for c in zip(cut, cut[1:])) for cut in cuts)
+
+
+def test_guess_cost_is_the_least_of_all_segmentations(words):
+    r = random.Random(23)
+    parts = ["pass", "word", "cat", "aa", "ab", "abab", "qwe", "asd", "12", "2019", "0412", "31", "X", "$", "P@", "ssw0", "rd", "1", "9", "ß", "-"]
+    values = ["P@ssw0rd", "12019041", "abcabca", "31122020", "2020-1-1", "catcat9", "İab"]
+    values += ["".join(r.choice(parts) for _ in range(5))[:9] for _ in range(150)]
+    for v in values:
+        assert secret_scan.guess_bits(v, words) == pytest.approx(brute_bits_of(v, words)), v
+    assert secret_scan.guess_bits("P@ssw0rd123", words) < 30
+
+
+def test_context_values_that_are_no_secrets(words):
+    def guesses(text):
+        return [text[s:e] for k, s, e, *_ in secret_scan.scan(text, words, 30) if k == "guess"]
+
+    for v in ("<your-password-here>", "${DB_PASSWORD}", 'os.environ["DB_PASS"]', "process.env.DB_PASSWORD", "$(pass show db)", "{{vault_password}}",
+              "https://example.com/account/reset-password", "bob.smith@example.com"):
+        assert guesses(f"login: {v}, next") == [], v
+    assert guesses("login: https://hooks.example.com/services/xK9mQ2vL7pR4sT8w") == ["https://hooks.example.com/services/xK9mQ2vL7pR4sT8w"]
+    token = "24be00a1b2c3d4e5f60718293a4b07ff"
+    text = f'token = "{token}"### next'
+    assert guesses(text) == [] and secret_scan.redact(text, secret_scan.scan(text, words, 30), "*") == 'token = "*"### next'
+    assert guesses("pwd: 'xK9#mQ2p'###") == ["xK9#mQ2p"]
+
+
 def test_secret_query_and_redaction(spark, words, awkward, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     out = {r.doc_id: r for r in registered.QUERIES["op3_secret_scan"](spark, SF).collect()}

@@ -2,10 +2,12 @@
 
 The base patterns find assignments, access keys and hex strings. Besides, every value that follows a
 credential word is split, by dynamic programming, into the cheapest sequence of dictionary words, dates,
-repeats, keyboard walks and brute-force characters. The cost is the logarithm (base 2) of the guesses an
+repeats, keyboard walks and brute-force characters; words count also with some letters swapped for
+digits or symbols (``p@ssw0rd``). The cost is the logarithm (base 2) of the guesses an
 attacker needs. ``password is required`` costs little and is left alone; a value of ``least_bits`` or
 more that base values don't cover wholly is added with the kind ``guess``. The dictionary is a public vocabulary,
-a word's cost its rank.
+a word's cost its rank. References (``${NAME}``, ``<your-password>``, ``os.environ[...]``) and mail addresses
+are no values, of a web address the dearest part counts. A quoted value with blanks in it is not read.
 
 Every text is scanned whole, in time linear in its length. Null and empty texts have no spans; repeated
 rows get equal results. Offsets count code points, the end is exclusive.
@@ -14,6 +16,7 @@ rows get equal results. Offsets count code points, the end is exclusive.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 
@@ -31,7 +34,14 @@ CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|login|bearer)"""
     r"""["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+(?:is|was)\x20+|(?<=bearer)\x20+)["'`]?"""
     rf"""([^{BLANKS}]{{6,}})""", re.I | re.A)
-CLOSED = {q: re.compile(rf"((?:[^\\{q}]|\\.)*){q}(?:[,:;)}}\]]|$)", re.S) for q in "\"'`"}
+# the value that a quote opens ends at the same quote, unless letters or digits go on behind it
+CLOSED = {q: re.compile(rf"((?:[^\\{q}]|\\.)*+){q}(?![^\W_])", re.S) for q in "\"'`"}
+# references to a value kept elsewhere: variables, calls that look one up, fields to fill in
+ELSEWHERE = re.compile(
+    r"""\$\{[A-Za-z_][\w.:-]*\}?|\$\(\S*|\{\{\S*|<[A-Za-z]+(?:[_.-][A-Za-z]+)*>?|(?:os\.environ|os\.getenv|process\.env|getenv|env)\b[\w.\[\]()"']*""", re.A)
+MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+PART = re.compile(r"[^\W_]+")
 # lower-case words one of which stands in every match of ASSIGN or CONTEXT
 HINTS = ("passw", "secret", "token", "key", "pass", "pwd", "credential", "login", "bearer")
 KINDS = ("assign", "access", "hex", "guess")
@@ -40,7 +50,11 @@ LEAST = {"assign": 6, "access": 20}
 # fixed values: rows of a keyboard
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LONGEST_WORD = 16
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+# fixed values: characters written for letters; words of at least LEAST_SWAPPED letters are looked up through them
+SWAPPED = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t"})
+LEAST_SWAPPED = 5
+YEAR, MONTH, DAY = "(?:19|20)[0-9]{2}", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])"
+DATES = tuple(re.compile(p) for p in (f"{YEAR}[-/.]?{MONTH}[-/.]?{DAY}", f"{DAY}[-/.]?{MONTH}[-/.]?{YEAR}", YEAR))
 
 
 def _near() -> set[tuple[str, str]]:
@@ -86,7 +100,10 @@ def _run_lengths(s: str, step: int, same) -> list[int]:
 
 
 def guess_bits(value: str, words: dict[str, float]) -> float:
-    """Cost in bits of the cheapest segmentation of ``value``."""
+    """Cost in bits of the cheapest segmentation of ``value``.
+
+    Repeats and walks go as far to the right as they can; all else may start and end anywhere.
+    """
     s, n = value.lower(), len(value)
     if len(s) != n:
         s = value
@@ -95,7 +112,8 @@ def guess_bits(value: str, words: dict[str, float]) -> float:
     repeats = {u: _run_lengths(s, u, lambda a, b: a == b) for u in (1, 2, 3, 4)}
     walks = _run_lengths(s, 1, lambda a, b: (a, b) in NEAR or ord(b) - ord(a) in (1, -1) and a.isalnum() and b.isalnum())
     brute = brute_bits(value)
-    dates = {m.start(): m.end() for m in DATE.finditer(value)}
+    swapped = s.translate(SWAPPED)
+    swaps = list(itertools.accumulate((a != b for a, b in zip(s, swapped)), initial=0))
     for i in range(n):
         here = best[i]
         if here + brute < best[i + 1]:
@@ -106,6 +124,10 @@ def guess_bits(value: str, words: dict[str, float]) -> float:
                 cost = here + 1 + w + (value[i:j] != s[i:j])
                 if cost < best[j]:
                     best[j] = cost
+            elif j - i >= LEAST_SWAPPED and swaps[j] > swaps[i] and (w := words.get(swapped[i:j])) is not None:
+                cost = here + 1 + w + (value[i:j] != s[i:j]) + 1 + swaps[j] - swaps[i]
+                if cost < best[j]:
+                    best[j] = cost
         for u, runs in repeats.items():
             times = runs[i] // u + 1
             if runs[i] and times >= (3 if u == 1 else 2):
@@ -118,14 +140,26 @@ def guess_bits(value: str, words: dict[str, float]) -> float:
             cost = here + 1 + math.log2(47) + 0.5 * walks[i]
             if cost < best[j]:
                 best[j] = cost
-        if i in dates:
-            j = dates[i]
-            cost = here + 1 + math.log2(200 * (366 if j - i > 4 else 1))
-            if cost < best[j]:
-                best[j] = cost
+        if value[i] in "0123":
+            for pattern in DATES:
+                if m := pattern.match(value, i):
+                    j = m.end()
+                    cost = here + 1 + math.log2(200 * (366 if j - i > 4 else 1))
+                    if cost < best[j]:
+                        best[j] = cost
     return best[n]
 
 
+def value_bits(value: str, words: dict[str, float]) -> float:
+    """Cost of a context value: nothing for mail addresses and for references to a value kept elsewhere;
+    of a web address the dearest run of letters and digits, since a token may be part of it."""
+    if ELSEWHERE.fullmatch(value) or MAIL.fullmatch(value):
+        return 0.0
+    if ADDRESS.match(value):
+        return max((guess_bits(p, words) for p in PART.findall(value)), default=0.0)
+    return guess_bits(value, words)
+
+
 def scan(text: str, words: dict[str, float], least_bits: float) -> list[tuple[str, int, int, int, float]]:
     """(kind, start, end, start of the value, bits or -1) of all spans, by start, then kind."""
     out = []
@@ -143,7 +177,7 @@ def scan(text: str, words: dict[str, float], least_bits: float) -> list[tuple[st
             start, value = m.start(1), _unquoted(text[m.start(1) - 1], m[1]).rstrip("\"'`.,;:!?)]}>")
             end = start + len(value)
             if len(value) >= LEAST["assign"] and not _covered(taken, start, end):
-                bits = guess_bits(value, words)
+                bits = value_bits(value, words)
                 if bits >= least_bits:
                     out.append(("guess", start, end, start, bits))
     out.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -151,7 +185,7 @@ def scan(text: str, words: dict[str, float], least_bits: float) -> list[tuple[st
 
 
 def _unquoted(before: str, value: str) -> str:
-    """A value that a quote opens goes up to the same quote if syntax follows that; else it is whole."""
+    """A value that a quote opens goes up to the same quote, unless letters or digits follow that; else it is whole."""
     closed = CLOSED[before].match(value) if before in CLOSED else None
     return closed[1] if closed else value
 
