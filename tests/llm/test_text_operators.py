@@ -521,6 +521,61 @@ def test_tagger_learns_and_goes_beyond_the_patterns(spark, awkward, empty):
     assert out[1] == out[2] == out[5] == [] and pii.find(empty, pii.fit(empty)).count() == 0
 
 
+def test_writings_beyond_the_patterns_on_held_out_texts():
+    import pandas as pd
+
+    rows = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text"]).text.dropna().tolist()
+    fitted, held = rows[:700], rows[700:]
+    pairs = [x for t in fitted for x in pii.examples(t)]
+    tagger = pii.Tagger()
+    tagger.fit(np.array([i for i, _ in pairs]), np.array([g for _, g in pairs]))
+    r = random.Random(99)
+    made = [pii.planted(r.choice(held), r) for _ in range(1500)]
+    base = [pii.base_spans(t) for t, _ in made]
+    added = pii.added_spans([t for t, _ in made], base, tagger)
+    wanted, caught, wrong = ({k: 0 for k in pii.KINDS} for _ in range(3))
+    for (_, own), b, a in zip(made, base, added):
+        want = {x for x in own if not any(x[1] < e and s < x[2] for _, s, e in b)}
+        for x in want:
+            wanted[x[0]] += 1
+            caught[x[0]] += x in a
+        for x in a:
+            wrong[x[0]] += x not in want
+    figures = {k: (caught[k] / wanted[k], caught[k] / max(1, caught[k] + wrong[k])) for k in pii.KINDS}
+    assert all(wanted[k] > 150 and recall >= 0.9 and precision >= 0.9 for k, (recall, precision) in figures.items()), figures
+    clean = [re.sub(r"[0-9@]", "x", t) for t in held]  # nothing personal is left
+    assert sum(map(len, pii.added_spans(clean, [[] for _ in clean], tagger))) == 0
+
+
+def test_windows_of_a_long_stretch_are_reconciled():
+    """Every place takes the tag of the window in whose middle it is most."""
+    r = np.random.default_rng(4)
+    tagger = pii.Tagger(hidden=3)
+    text = "".join(r.choice(list("12 .+@ax"), 300))
+    pieces = []
+    for a, b in pii.regions(text):
+        at = pii.windows(a, b)
+        place = {s: pii.viterbi(tagger.emissions(np.pad(pii.symbols(text[s:s + pii.WIDE]), (0, max(0, pii.WIDE - len(text[s:s + pii.WIDE]))))[:, None]),
+                                tagger.w["a"])[:, 0] for s in at}
+        tags = []
+        for i in range(a, b):
+            own = max((s for s in at if s <= i < s + pii.WIDE), key=lambda s: (min(i - s, s + pii.WIDE - 1 - i), -s))
+            tags.append(int(place[own][i - own]))
+        i = 0
+        while i < len(tags):
+            j = i + 1
+            k = (tags[i] - 1) // 2
+            while tags[i] and j < len(tags) and tags[j] == 2 + 2 * k:
+                j += 1
+            if tags[i]:
+                v = text[a + i:a + j]
+                x, y = a + i + len(v) - len(v.lstrip()), a + i + len(v.rstrip())
+                if pii.valid(pii.KINDS[k], text[x:y]):
+                    pieces.append((pii.KINDS[k], x, y))
+            i = j
+    assert pii.added_spans([text], [[]], tagger, sure=0.0)[0] == pieces
+
+
 def test_personal_data_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     out = {r.doc_id: r for r in registered.QUERIES["op5_personal_data"](spark, SF).collect()}
