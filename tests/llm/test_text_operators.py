@@ -1,6 +1,8 @@
 """The text operators against plain versions, and on awkward rows."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -728,6 +730,79 @@ def test_noise_in_part_of_a_text_fails(spark):
     assert [got[i] for i, _ in rows] == [False] * len(bad) + [True] * len(clean)
 
 
+def test_texts_that_say_little_fail_in_any_alphabet(spark):
+    r = random.Random(21)
+
+    def letters(alphabet, n):
+        return "".join(r.choice(alphabet) for _ in range(n))
+
+    def prose(alphabet, n, of=3000):
+        weights = [1 / (i + 2) for i in range(len(alphabet))]
+        words = ["".join(r.choices(alphabet, weights, k=r.randint(2, 9))) for _ in range(of)]
+        often = [1 / (i + 2) for i in range(of)] if of > 100 else None  # as in prose, some words are frequent
+        return " ".join(r.choices(words, often, k=n // 5))[:n]
+
+    cyrillic, greek, latin = ("".join(map(chr, range(a, b))) for a, b in ((0x430, 0x450), (0x3B1, 0x3C9), (0x61, 0x7B)))
+    log = "\n".join(f"2026-01-{r.randint(1, 28):02d} {r.randint(0, 23):02d}:{r.randint(0, 59):02d} INFO worker-{r.randint(1, 40)} request "
+                    f"{r.randint(1000, 99999)} took {r.randint(1, 900)} ms" for _ in range(1000))
+    bad = [letters(cyrillic + " ", 20_000), letters(greek + " ", 9000), prose(latin, 15_000, 30), prose(cyrillic, 15_000, 30), log,
+           "This This This This This thhant thhant thhant thhant thhant ininti ininti ininti ininti ininti nderat nderat nderat nderat nderat "
+           "of of of of of ingble ingble ingble ingble ingble anen. anen. anen. anen. anen."]
+    clean = [prose(a, n) for a in (cyrillic, greek, latin) for n in (300, 2000, 9000, 30_000)]
+    clean.append("Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.")
+    rows = list(enumerate(bad + clean))
+    got = {x.doc_id: x.kept for x in quality.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [False] * len(bad) + [True] * len(clean)
+
+
+def test_compression_verdict_equals_a_plain_version():
+    import zstandard
+
+    r, compress = random.Random(22), zstandard.ZstdCompressor(level=3).compress
+
+    def plain(text):
+        data = text.encode("utf-8")
+        outside = sum(b > 127 for b in data)
+        script = "ascii" if outside <= 0.25 * len(data) else "alphabet" if len({c for c in text if ord(c) > 127}) <= 128 else "other"
+        if script == "alphabet":
+            code = {c: 128 + i for i, c in enumerate(sorted({c for c in text if ord(c) > 127}))}
+            data = bytes(code.get(c, ord(c)) for c in text)
+
+        def band(part):
+            if len(part) < 100:
+                return 0.20, 1.60
+            kind = script
+            if script != "alphabet":
+                kind = "ascii" if sum(b > 127 for b in part) <= 0.25 * len(part) else "other"
+            found = quality.LIMITS[-1][1:]
+            for (a, l0, h0), (b, l1, h1) in zip(quality.LIMITS, quality.LIMITS[1:]):
+                if a <= len(part) < b:
+                    x = (math.log(len(part)) - math.log(a)) / (math.log(b) - math.log(a))
+                    found = l0 + x * (l1 - l0), h0 + x * (h1 - h0)
+                    break
+            low, high = quality.WIDENED[kind]
+            return found[0] * low, found[1] * high
+
+        bad = 0
+        for at in range(0, len(data), 4096):
+            part = data[at:at + 4096]
+            low, high = band(part)
+            ratio = len(compress(part)) / len(part)
+            bad += len(part) * (ratio < 0.8 * low or len(part) >= 100 and ratio > high)
+        low, high = band(data)
+        return low <= len(compress(data)) / len(data) <= high and bad <= 0.1 * len(data)
+
+    alphabets = ["abcdefgh ", "абвгдежзик ", "".join(map(chr, range(0x4E00, 0x4F00))), "aé日 ", "the of and "]
+    seen = collections.Counter()
+    for _ in range(600):
+        text = "".join("".join(r.choices(r.choice(alphabets), k=r.randint(1, 1500))) * r.randint(1, 3) for _ in range(r.randint(1, 6)))
+        data, script = quality.one_byte_letters(text)
+        fine = quality.compression_verdict(data, compress, script)[3]
+        seen[fine] += 1
+        assert fine == plain(text)
+    assert min(seen[True], seen[False]) > 30
+
+
 # --- chat --------------------------------------------------------------------------------
 
 def test_perspectives(spark):
