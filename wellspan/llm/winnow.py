@@ -32,21 +32,18 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _pairs(a: Column, gap: int, f) -> Column:
-    """``f`` of each element and the one ``gap`` places on."""
-    n = F.greatest(F.size(a) - gap, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(gap + 1), n), f)
+def _from(a: Column, place: int) -> Column:
+    return F.slice(a, F.lit(place + 1), F.greatest(F.size(a) - place, F.lit(0)))
 
 
 def _joined(left: Column, right: Column, size: int, gap: int) -> Column:
-    """Hashes of runs of ``size`` units in ``left``, each followed by a run of ``gap`` units in ``right``."""
+    """Hashes of runs of ``size`` units in ``left``, each followed by a run of ``gap`` units in ``right``; NULL where the end is passed."""
     factor = F.lit(pow(BASE, gap, PRIME))
-    n = F.greatest(F.size(right) - size, F.lit(0))
-    return F.when(F.size(right) > 1, F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(size + 1), n), lambda x, y: (x * factor + y) % F.lit(PRIME))).otherwise(left)
+    return F.zip_with(left, _from(right, size), lambda x, y: (x * factor + y) % F.lit(PRIME))
 
 
 def _grams(units: Column, k: int) -> Column:
-    """Hashes of all runs of ``k`` units: runs of powers of two, put together by the binary digits of ``k``."""
+    """Hashes of all runs of ``k`` units: runs of powers of two, put together by the binary digits of ``k``. A single unit stays."""
 
     def step(whole: Column | None, length: int, a: Column, gap: int) -> Column:
         # ``whole`` has the runs of ``length`` units, the digits of k below ``gap``; ``a`` those of ``gap`` units
@@ -61,13 +58,12 @@ def _grams(units: Column, k: int) -> Column:
 
         return _let(a, use)
 
-    return step(None, 0, units, 1)
+    return _let(units, lambda u: F.when(F.size(u) > 1, F.slice(step(None, 0, u, 1), F.lit(1), F.greatest(F.size(u) - (k - 1), F.lit(0)))).otherwise(u))
 
 
 def _least(c: Column, gap: int) -> Column:
-    """Minima of windows ``gap`` longer; one of all if there are fewer."""
-    return _let(c, lambda a: F.when(F.size(a) > gap, _pairs(a, gap, lambda x, y: F.least(x, y)))
-                .when(F.size(a) > 1, F.array(F.array_min(a))).otherwise(a))
+    """Minima of windows ``gap`` longer; those that pass the end are of what there is."""
+    return _let(c, lambda a: F.zip_with(a, _from(a, gap), lambda x, y: F.least(x, y)))
 
 
 def _units(text: Column, unit: int) -> Column:
@@ -87,7 +83,8 @@ def _minima(text: Column, unit: int = UNIT, k: int = K, w: int = WINDOW) -> Colu
         gap = min(length, w - length)  # windows of ``length`` may overlap
         chosen = _least(chosen, gap)
         length += gap
-    return chosen
+    # whole windows only, or the one of all grams
+    return _let(chosen, lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - (w - 1), F.lit(1))))
 
 
 def fingerprint(text: str | Column, unit: int = UNIT, k: int = K, w: int = WINDOW) -> Column:
