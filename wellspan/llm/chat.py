@@ -8,7 +8,11 @@ blocks of ``BLOCK`` turn numbers, then over the blocks.
 
 A null role is the speaker ``unknown``, a null text empty, a null conversation one of its own; a null
 turn comes first. Turns of one number follow each other by role, then text; repeated rows stay. A
-conversation of system turns only has no view.
+conversation of system turns only has no view. Empty tables give no rows; other columns of the turns,
+whatever their names, are left out.
+
+A turn can't forge another: turn markers inside a text lose their bars (``<im_end>``). User names have no
+blanks; those, and ``%`` itself, are written as ``%`` and their code, so that different speakers stay different.
 """
 
 from __future__ import annotations
@@ -19,17 +23,33 @@ from wellspan.llm.common import table
 
 BLOCK = 1024
 SYSTEM = "system"
+START, END = "<|im_start|>", "<|im_end|>"
+# fixed values: how a blank and the sign of the code are written in a name
+CODED = [("%", "%25"), (" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\x0b", "%0B"), ("\f", "%0C"), ("\r", "%0D")]
+
+
+def harmless(text: Column) -> Column:
+    """``text`` with the bars of turn markers taken out."""
+    for marker in (START, END):
+        text = F.replace(text, F.lit(marker), F.lit(marker.replace("|", "")))
+    return text
+
+
+def name(role: Column) -> Column:
+    for blank, code in CODED:
+        role = F.replace(role, F.lit(blank), F.lit(code))
+    return harmless(role)
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, perspective, position, turn, speaker, segment, trained, char_start, char_end, mask_start, mask_end)."""
     rows = turns.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("unknown")).alias("r"),
-                        F.coalesce(F.col(text), F.lit("")).alias("x"))
+                        harmless(F.coalesce(F.col(text), F.lit(""))).alias("x"))
     people = rows.where(F.col("r") != SYSTEM).select(F.col("c").alias("pc"), F.col("r").alias("p")).distinct()
     trained = F.col("r") == F.col("p")
-    head = F.concat(F.lit("<|im_start|>"), F.when(trained, F.lit("assistant")).when(F.col("r") == SYSTEM, F.lit(SYSTEM)).otherwise(
-        F.concat(F.lit("user name="), F.regexp_replace("r", r"\s", "_"))), F.lit("\n"))
-    tail = F.lit("<|im_end|>\n")
+    head = F.concat(F.lit(START), F.when(trained, F.lit("assistant")).when(F.col("r") == SYSTEM, F.lit(SYSTEM)).otherwise(
+        F.concat(F.lit("user name="), name(F.col("r")))), F.lit("\n"))
+    tail = F.lit(END + "\n")
     views = rows.join(people, F.col("c").eqNullSafe(F.col("pc"))).select(
         "c", "p", "t", "r", "x", trained.alias("trained"), head.alias("head"), F.concat(head, "x", tail).alias("segment"),
         F.floor(F.coalesce("t", F.lit(-1)) / F.lit(BLOCK)).alias("b"))
@@ -53,7 +73,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return placed.select(
         F.col("c").alias(conv), F.col("p").alias("perspective"), (F.col("k0") + F.col("place") - 1).alias("position"), F.col("t").alias(turn),
         F.col("r").alias("speaker"), "segment", "trained", start.alias("char_start"), end.alias("char_end"),
-        masked(said).alias("mask_start"), masked(said + F.length("x") + F.lit(len("<|im_end|>"))).alias("mask_end"))
+        masked(said).alias("mask_start"), masked(said + F.length("x") + F.lit(len(END))).alias("mask_end"))
 
 
 def op8_perspectives(spark, sf_dir: str) -> DataFrame:
@@ -62,12 +82,15 @@ def op8_perspectives(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS r, coalesce(text, '') AS x FROM conversations),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS r,
+         replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS x FROM conversations),
 people AS (SELECT DISTINCT conv_id AS pc, r AS p FROM turns WHERE r <> 'system'),
 views AS (
   SELECT conv_id, p, turn, r, x, r = p AS trained,
          '<|im_start|>' || CASE WHEN r = p THEN 'assistant' WHEN r = 'system' THEN 'system'
-                                ELSE 'user name=' || regexp_replace(r, '\\s', '_', 'g') END || chr(10) AS head
+                                ELSE 'user name=' || replace(replace(replace(replace(replace(replace(replace(replace(replace(
+                                  r, '%', '%25'), ' ', '%20'), chr(9), '%09'), chr(10), '%0A'), chr(11), '%0B'), chr(12), '%0C'), chr(13), '%0D'),
+                                  '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') END || chr(10) AS head
   FROM turns JOIN people ON conv_id IS NOT DISTINCT FROM pc),
 rendered AS (SELECT *, head || x || '<|im_end|>' || chr(10) AS segment FROM views),
 placed AS (
