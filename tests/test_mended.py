@@ -96,3 +96,17 @@ def test_merge_only_adds(spark, tmp_path):
     again = jobs.read_history(spark, folded, first.schema, "k", "t", ["seq"])
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, history.collect())) and all("batch=0" in f for f in again.inputFiles())
     assert {r.k: r.last_date for r in jobs.high_water_mark(spark, path, first.schema, "k", "t").collect()}["new"] == dt.date(2020, 5, 1)
+
+
+def test_history_of_months_reads_their_folders_only(spark, tmp_path):
+    path = str(tmp_path / "history")
+    batch = spark.createDataFrame([("a", dt.date(2020, m, 1), 0, float(m)) for m in (1, 2, 3)] + [("a", None, 0, 9.0)], "k string, t date, seq int, x double")
+    read = lambda months: jobs.read_history(spark, path, batch.schema, "k", "t", ["seq"], months)
+    assert read(["2020-01"]).count() == 0  # no table yet
+    jobs.merge_batch(batch, path, "k", "t", ["seq"])
+    for months, want in [(["2020-02"], {2.0}), (["2020-03", "1999-01", "2020-01"], {1.0, 3.0}), (["1999-01"], set()), ([], set()),
+                         (["2020-0*", "{", None], set())]:
+        found = read(months)
+        assert {r.x for r in found.collect()} == want and found.columns == batch.columns
+        assert {f.split("month=")[1].split("/")[0] for f in found.inputFiles()} == {f"2020-0{int(x)}" for x in want}
+    assert {r.x for r in read(None).collect()} == {1.0, 2.0, 3.0, 9.0}

@@ -7,6 +7,7 @@ shared storage; a batch that is written twice replaces itself.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -94,10 +95,11 @@ def sliding_sum_stream(stream: DataFrame, span: str = "30 days", step: str = "1
 # what it may have left is older than what the next run adds. ``compact_history`` folds the batches.
 
 
-def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The rows of a table that may not have been written yet."""
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType, folders: str = "") -> DataFrame:
+    """The rows of a table that may not have been written yet, or of those of its ``folders`` (a pattern) that are there."""
+    reader = spark.read.schema(schema)
     try:
-        return spark.read.schema(schema).parquet(path)
+        return reader.option("basePath", path).parquet(f"{path}/{folders}") if folders else reader.parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -105,12 +107,18 @@ def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def _batches(spark: SparkSession, path: str, schema: T.StructType, months: list[str] | None = None) -> DataFrame:
-    rows = read_if_there(spark, path, T.StructType([*schema, T.StructField("month", T.StringType()), T.StructField("batch", T.LongType())]))
-    return rows if months is None else rows.where(F.col("month").isin(months))
+    whole = T.StructType([*schema, T.StructField("month", T.StringType()), T.StructField("batch", T.LongType())])
+    if months is None:
+        return read_if_there(spark, path, whole)
+    # anything else is no month of a date, so that there is no folder of it
+    months = [m for m in months if re.fullmatch(r"[+-]?[0-9]+-[0-9]{2}", m or "")]
+    if not months:
+        return spark.createDataFrame([], whole)
+    return read_if_there(spark, path, whole, f"month={{{','.join(months)}}}").where(F.col("month").isin(months))
 
 
 def read_history(spark: SparkSession, path: str, schema: T.StructType, key: str, t: str, order: list[str], months: list[str] | None = None) -> DataFrame:
-    """The last reading of every station and day, of some months only if asked; other folders aren't opened."""
+    """The last reading of every station and day, of some months (yyyy-MM) only if asked; other folders are neither listed nor opened."""
     rows = _batches(spark, path, schema, months)
     return dedupe_last(rows, [key, t], ["batch", *order]).select(*schema.names)
 
