@@ -369,6 +369,26 @@ def test_fingerprint_query_equals_the_plain_version(spark, tmp_path):
         assert (x["near_edited"], x["near_next"]) == (like(distinct(own), distinct(changed)), like(distinct(own), distinct(after)))
 
 
+def test_fingerprints_of_other_sizes_equal_the_plain_version(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("ab c\n\t😀é") for _ in range(r.choice([0, 1, 2, 3, 7, 8, 12, 13, 20, 90])))) for i in range(120)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes = [(1, 1), (1, 5), (2, 3), (3, 1), (5, 4), (7, 9), (8, 24)]
+    got = df.select("text", *[winnow.fingerprint("text", 1, k, w).alias(f"f{k}_{w}") for k, w in sizes]).collect()
+    for k, w in sizes:
+        monkeypatch.setattr(winnow, "K", k)
+        monkeypatch.setattr(winnow, "WINDOW", w)
+        for x in got:
+            assert [(c >> 32, winnow.LOW - (c & winnow.LOW)) for c in x[f"f{k}_{w}"]] == plain_fingerprint(x["text"] or "")
+
+
+def test_fingerprint_passes_are_not_copied_by_element(spark):
+    """A slice of an array costs as much as a pass, ``translate`` a string for every character."""
+    df = spark.createDataFrame([("x",)], "text string").select(winnow.fingerprint("text").alias("f"))
+    written = df._jdf.queryExecution().analyzed().expressions().mkString()
+    assert written.count("slice(") == 1 and "translate(" not in written and written.count("zip_with(") == 9
+
+
 def test_next_row_beside_columns_of_the_same_names(spark):
     df = spark.createDataFrame([(i, f"text {i}", "x", "y") for i in range(9)], "doc_id bigint, text string, _range string, _guest string")
     out = winnow.with_next(df, "doc_id", "text", lambda d, next_of: d.withColumn("after", next_of("doc_id")).select("doc_id", "_range", "_guest", "after", *d.columns[-2:]))
